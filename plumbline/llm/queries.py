@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from plumbline.llm import block_names
+from plumbline.llm import block_names, chat, simhash
 
-QUERIES = {"op10_exact_dedup": block_names.op10_exact_dedup}
-SQL = {"op10_exact_dedup": block_names.ORACLE}
+QUERIES = {
+    "op7_chat_format": chat.op7_chat_format,
+    "op8_simhash": simhash.op8_simhash,
+    "op10_exact_dedup": block_names.op10_exact_dedup,
+}
+SQL = {
+    "op7_chat_format": chat.ORACLE,
+    "op10_exact_dedup": block_names.ORACLE,
+}
