@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,10 +52,25 @@ def drop_written(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for whole texts."""
+    """Keep Arrow batches small enough for whole texts, and send this package to the workers."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
 
+def ship(spark: SparkSession) -> None:
+    """Add this package to the Python path of all workers, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_plumbline_sent", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    out = Path(tempfile.mkdtemp()) / "plumbline_workers.zip"
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, str(f.relative_to(root.parent)))
+    context.addPyFile(str(out))
+    context._plumbline_sent = True
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
