@@ -127,7 +127,7 @@ class Units:
         return {"item": np.array([x[0] for x in held])[item], "pos": p + first, "lo": lo + first, "hi": hi + first, "anchor": h[p] >> np.uint64(16), "segment": seg}
 
 
-BYTES = Units(size=100, k=24, words=False, across=False)
+BYTES = Units(size=100, k=60, words=False, across=False)
 WORDS = Units(size=50, k=16, words=True, across=True)
 
 
@@ -176,7 +176,7 @@ def _order(c, across: bool):
     o = np.lexsort((c["pos"], c["doc"], c["segment"], c["anchor"]))
     c = {k: v[o] for k, v in c.items()}
     first = _groups(c["anchor"], c["segment"])
-    later = c["doc"] > c["doc"][first] if across else np.arange(len(first)) != first
+    later = (c["doc"] > c["doc"][first]) | ((c["pos"] > c["pos"][first]) & (not across))
     return c, later
 
 
@@ -260,8 +260,6 @@ def repeated(docs: DataFrame, units: Units) -> DataFrame:
         last = len(first) - 1 - _groups(c["anchor"][::-1])[::-1]
         mixed = c["segment"] != c["segment"][first]
         mixed |= c["segment"] != c["segment"][last]
-        if units.across:  # a group of one document has nothing to compare
-            mixed &= c["doc"] != -1
         if mixed.any():
             yield _rows(c, mixed, units, True)
 
