@@ -199,8 +199,26 @@ def _forest(fp: np.ndarray, node: np.ndarray, tau: int) -> list[tuple[np.ndarray
     return out
 
 
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of these links, each as a star around its least node: one row for each
+    other node, however many links there are."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(ids))
+    while True:
+        now, low = label.copy(), np.minimum(label[a], label[b])
+        np.minimum.at(now, label[a], low)
+        np.minimum.at(now, label[b], low)
+        now = now[now]
+        if (now == label).all():
+            break
+        label = now
+    other = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[other], ids[label[other]]
+
+
 def linked(probed: DataFrame, tau: int) -> DataFrame:
-    """u, v: links that join, within each value, what is linked there."""
+    """u, v: stars that join what is linked under the values that a task has read."""
 
     def edges_of(part, value, fp, node):
         change = np.flatnonzero((part[1:] != part[:-1]) | (value[1:] != value[:-1])) + 1
@@ -221,9 +239,8 @@ def linked(probed: DataFrame, tau: int) -> DataFrame:
             out.append((node[hit], node[hit + k]))
         if not out:
             return None
-        u, v = (np.concatenate(x) for x in zip(*out))
-        pairs = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
-        return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]}) if len(pairs) else None
+        u, v = stars(*(np.concatenate(x) for x in zip(*out)))
+        return pd.DataFrame({"u": u, "v": v}) if len(u) else None
 
     def run(batches):
         held, rows = [], 0
