@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from plumbline.llm import block_names, bpe, chat, simhash, substring_dedup, suffix_dedup
+from plumbline.llm import block_names, bpe, chat, packing, simhash, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op4_bpe": bpe.op4_bpe,
+    "op5_pack": packing.op5_pack,
     "op7_chat_format": chat.op7_chat_format,
     "op8_simhash": simhash.op8_simhash,
     "op10_exact_dedup": block_names.op10_exact_dedup,
