@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import block_names, bpe, chat, packing, simhash, substring_dedup, suffix_dedup
+from plumbline.llm import block_names, bpe, chat, packing, simhash, substring_dedup, suffix_dedup, topk
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -11,9 +11,11 @@ QUERIES = {
     "op5_pack": packing.op5_pack,
     "op7_chat_format": chat.op7_chat_format,
     "op8_simhash": simhash.op8_simhash,
+    "op9_topk": topk.op9_topk,
     "op10_exact_dedup": block_names.op10_exact_dedup,
 }
 SQL = {
     "op7_chat_format": chat.ORACLE,
+    "op9_topk": topk.ORACLE,
     "op10_exact_dedup": block_names.ORACLE,
 }
