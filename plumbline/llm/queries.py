@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from plumbline.llm import block_names, bpe, chat, packing, simhash, substring_dedup, suffix_dedup, topk
+from plumbline.llm import block_names, bpe, chat, langid, packing, simhash, substring_dedup, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_langid": langid.op3_langid,
     "op4_bpe": bpe.op4_bpe,
     "op5_pack": packing.op5_pack,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_chat_format": chat.op7_chat_format,
     "op8_simhash": simhash.op8_simhash,
     "op9_topk": topk.op9_topk,
