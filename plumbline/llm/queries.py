@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from plumbline.llm import block_names, bpe, chat, langid, packing, simhash, substring_dedup, suffix_dedup, topk, toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_topk": topk.op9_topk,
     "op10_exact_dedup": block_names.op10_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op7_chat_format": chat.ORACLE,

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,6 +161,35 @@ def removed_words(docs: DataFrame, units: Units = WORDS, batches: int = BATCHES)
     return covers.unionByName(repeats.select("doc_id", F.col("pos").alias("lo"), (F.col("pos") + units.size).alias("hi")))
 
 
+def kept_words(words: list[bytes], spans) -> list[bytes]:
+    kept, at = [], 0
+    for lo, hi in joined([(s["lo"], s["hi"]) for s in spans]) if spans is not None else []:
+        kept += words[at:lo]
+        at = hi
+    return kept + words[at:]
+
+
+def without_passages(docs: DataFrame, units: Units = WORDS, batches: int = BATCHES) -> DataFrame:
+    """The rows of ``docs`` in all columns; ``text`` without repeated passages, and ``n_chars``, if
+    there is one, of the new text.  Texts that lose nothing stay as they are."""
+    small_batches(docs.sparkSession)
+    names = docs.columns
+
+    def run(batches):
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            spans, texts = table.column("__spans").to_pylist(), table.column("text").to_pylist()
+            new = [b" ".join(kept_words(as_bytes(t).split(), s)).decode("utf-8", "surrogatepass") if s else t for t, s in zip(texts, spans)]
+            for name, values in (("text", new), ("n_chars", [len(t) if s else None for t, s in zip(new, spans)])):
+                if name in names:
+                    at, kind = names.index(name), table.schema.field(name).type
+                    old = table.column(name).to_pylist() if name == "n_chars" else new
+                    table = table.set_column(at, name, pa.array([o if v is None else v for v, o in zip(values, old)], kind))
+            yield from table.select(names).to_batches()
+
+    return with_covers(docs, removed_words(docs, units, batches)).select(*names, "__spans").mapInArrow(run, docs.schema)
+
+
 def substring_dedup(docs: DataFrame, units: Units = WORDS, batches: int = BATCHES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_text.
 
@@ -174,14 +204,9 @@ def substring_dedup(docs: DataFrame, units: Units = WORDS, batches: int = BATCHE
     def finish(batches):
         for b in batches:
             rows = []
-            for doc, text, spans in zip(b["doc_id"], b["text"], b["spans"]):
+            for doc, text, spans in zip(b["doc_id"], b["text"], b["__spans"]):
                 words = as_bytes(text).split()
-                cut = joined([(s["lo"], s["hi"]) for s in spans]) if spans is not None else []
-                kept, at = [], 0
-                for lo, hi in cut:
-                    kept += words[at:lo]
-                    at = hi
-                kept += words[at:]
+                kept = kept_words(words, spans)
                 rows.append((doc, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_text"]).astype({"doc_id": "Int64"})
 

@@ -132,8 +132,8 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def with_covers(docs: DataFrame, covers: DataFrame) -> DataFrame:
-    """docs with ``spans``, the covered stretches of each document."""
-    per_doc = covers.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    """docs with ``__spans``, the covered stretches of each document."""
+    per_doc = covers.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
     return docs.join(per_doc, "doc_id", "left")
 
 
@@ -156,7 +156,7 @@ def suffix_dedup(docs: DataFrame, units: Units = BYTES) -> DataFrame:
     def finish(batches):
         for b in batches:
             rows = []
-            for doc, text, spans in zip(b["doc_id"], b["text"], b["spans"]):
+            for doc, text, spans in zip(b["doc_id"], b["text"], b["__spans"]):
                 data = as_bytes(text)
                 cut = joined([(s["lo"], s["hi"]) for s in spans]) if spans is not None else []
                 rows.append((doc, len(data), sum(b - a for a, b in cut), len(cut), kept_bytes(data, cut)))
