@@ -150,7 +150,7 @@ def removed_words(docs: DataFrame, units: Units = WORDS, batches: int = BATCHES)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     found = repeated(docs, units)
     # Batches are ranges of doc_id, so that each meets only earlier documents in the index.
-    cuts = docs.select("doc_id").approxQuantile("doc_id", [(i + 1) / batches for i in range(batches - 1)], 0.01)
+    cuts = docs.select("doc_id").approxQuantile("doc_id", [(i + 1) / batches for i in range(batches - 1)], 0.01) if batches > 1 else []
     batch = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
     rows = written(window_fingerprints(docs.withColumn("batch_id", batch), found.where("need"), units), "windows")
     covers = found.where("not need").select("doc_id", "lo", "hi")

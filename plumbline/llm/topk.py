@@ -60,12 +60,12 @@ class Index:
         s = _lifted(_matrix(some["v"], self.width), self.norm2)
         rng = np.random.default_rng(seed)
         pivots = s[rng.permutation(len(s))[:PIVOTS]]
-        for _ in range(6):
+        for _ in range(6 if len(s) else 0):
             near = _distances(s, pivots).argmin(1)
-            pivots = np.stack([s[near == i].mean(0) if (near == i).any() else pivots[i] for i in range(len(pivots))]) if len(s) else pivots
+            pivots = np.stack([s[near == i].mean(0) if (near == i).any() else pivots[i] for i in range(len(pivots))])
         self.pivots = pivots
         d = _distances(s, pivots)
-        near = d.argmin(1)
+        near = d.argmin(1) if len(s) else np.zeros(0, np.int64)
         self.cuts = np.stack([np.quantile(d[near == i, i], np.arange(1, RINGS) / RINGS) if (near == i).any() else np.zeros(RINGS - 1) for i in range(len(pivots))]) if len(s) else np.zeros((0, RINGS - 1))
         #: Distances are floating point; bounds give way by this much.
         self.slack = 1e-6 * (1 + np.sqrt(self.norm2))
