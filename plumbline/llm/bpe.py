@@ -50,11 +50,24 @@ class Words(dict):
         if len(self) >= KEPT:
             self.clear()
         a = self.automaton
-        ids = [i for w in a.split.findall(self.lead + part) for i in a.path(w.encode("utf-8", "surrogatepass"))]
+        ids = [i for w in a.split.findall(self.lead + part) for i in a.paths[w]]
         self[part] = got = (",".join(map(str, ids)), b"".join([a.labels[i] for i in ids]))
         return got
 
 
+class Paths(dict):
+    """Word -> its ids; parts that differ in punctuation share words."""
+
+    def __init__(self, automaton: "Automaton"):
+        self.automaton = automaton
+
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) >= KEPT // 2:
+            self.clear()
+        self[word] = got = self.automaton.path(word.encode("utf-8", "surrogatepass"))
+        return got
+
+
 class Automaton:
     def __init__(self, path: str):
         import regex
@@ -67,7 +80,8 @@ class Automaton:
         self.labels = {i: s for s, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.labels |= {i: s.encode() for s, i in self.special.items()}
-        self.longest = max(map(len, self.ids))
+        #: Every end of a token; those that are tokens themselves have their id, others -1.
+        self.ends: dict[bytes, int] = {t[i:]: -1 for t in self.ids for i in range(len(t))} | self.ids
         self.gadget: dict[tuple[int, int], int] = {}  # (a, b) -> rank
         self.parts: dict[int, tuple[int, int, int]] = {}  # c -> (rank, a, b)
         for rank, (x, y) in enumerate(m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]):
@@ -78,7 +92,7 @@ class Automaton:
         self.made: dict[int, bool] = {}
         self.split = regex.compile(SPLIT)
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.first, self.words = Words(self, ""), Words(self, " ")
+        self.first, self.words, self.paths = Words(self, ""), Words(self, " "), Paths(self)
 
     def _arc(self, state: int, token: int, before: int) -> bool:
         """Whether the state has the arc once all gadgets of rank under ``before`` are applied."""
@@ -117,14 +131,18 @@ class Automaton:
 
     def path(self, word: bytes) -> list[int]:
         """The tokens of the one path that spells the word."""
-        n, ids, allowed = len(word), self.ids, self.allowed
+        n, end, arcs, allowed = len(word), self.ends.get, self.arcs.get, self.allowed
         state = [START] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
-                t = ids.get(word[j:i])
-                if t is not None and allowed(state[j], t):
-                    state[i] = t
-                    break
+            j = i - 1
+            # Longer and longer stretches that end here, as long as some token ends so.
+            while j >= 0 and (t := end(word[j:i])) is not None:
+                if t >= 0:
+                    got = arcs((state[j], t))
+                    if got or got is None and allowed(state[j], t):
+                        state[i] = t
+                        break
+                j -= 1
             else:
                 raise ValueError(f"no arc spells byte {i} of {word!r}")
         out = []
