@@ -173,6 +173,6 @@ def without_think(c: Column) -> Column:
 
 def confidence(c: Column) -> Column:
     """The first confidence that a reply states, from 0 to 100; 0 without one."""
-    digits = F.regexp_extract(without_think(c), CONFIDENCE, 1)
+    digits = F.regexp_extract(without_think(F.coalesce(c, F.lit(""))), CONFIDENCE, 1)
     many = F.length(F.regexp_replace(digits, "^0+", "")) > 3
     return F.when(digits == "", 0).when(many, 100).otherwise(F.least(digits.try_cast("int"), F.lit(100)))

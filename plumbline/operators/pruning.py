@@ -54,7 +54,7 @@ def percentiles(values: DataFrame, column: str, points: list[float], rows: int |
     """
     v = values.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
     n = v.count() if rows is None else rows
-    if n == 0:
+    if n == 0 or not points:
         return [None] * len(points)
     if n <= AGGREGATE_ROWS:
         return list(v.agg(F.percentile("v", F.array(*map(F.lit, points)))).first()[0])

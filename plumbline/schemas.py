@@ -8,28 +8,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CANDIDATE_SAMPLED = "text string, extracted_answer string, is_correct boolean, token_logprobs array<double>"
-CANDIDATE_SCORED = f"{CANDIDATE_SAMPLED}, interval_scores array<double>, avg_verbal_score double, min_verbal_score int, verbal_score double"
-STATS = "struct<total:int,correct:int,accuracy:double>"
-STATS_SCORED = "struct<total:int,correct:int,accuracy:double,avg_confidence:double>"
+_TYPES = {"string": T.StringType(), "boolean": T.BooleanType(), "int": T.IntegerType(), "double": T.DoubleType()}
 
 
-def _struct(ddl: str) -> str:
-    return "struct<" + ",".join(f"{x.strip().split(' ')[0]}:{x.strip().split(' ')[1]}" for x in ddl.split(", ")) + ">"
+def _struct(fields: str, **nested: T.DataType) -> T.StructType:
+    """A struct of ``name type`` pairs; ``type[]`` is an array, other types are nested ones by name."""
+    out = []
+    for field in fields.split(", "):
+        name, kind = field.split(" ")
+        of = {**_TYPES, **nested}[kind.removesuffix("[]")]
+        out.append(T.StructField(name, T.ArrayType(of) if kind.endswith("[]") else of))
+    return T.StructType(out)
 
 
+_SAMPLED = "text string, extracted_answer string, is_correct boolean, token_logprobs double[]"
+_SCORED = f"{_SAMPLED}, interval_scores double[], avg_verbal_score double, min_verbal_score int, verbal_score double"
+STATS = _struct("total int, correct int, accuracy double")
+STATS_SCORED = _struct("total int, correct int, accuracy double, avg_confidence double")
+
 #: S1: sampled records, one for each question.
-SAMPLED = T.StructType.fromDDL(f"question_id string, problem string, gold_answer string, candidates array<{_struct(CANDIDATE_SAMPLED)}>, stats {STATS}")
+SAMPLED = _struct("question_id string, problem string, gold_answer string, candidates candidate[], stats stats", candidate=_struct(_SAMPLED), stats=STATS)
 #: S2: re-judged records; the aliases of older files are read too.
-FIXED = T.StructType.fromDDL(
-    f"question_id string, problem string, question string, gold_answer string, answer string, candidates array<{_struct(CANDIDATE_SAMPLED + ', full_text string, continuation_text string')}>, stats {STATS}"
+FIXED = _struct(
+    "question_id string, problem string, question string, gold_answer string, answer string, candidates candidate[], stats stats",
+    candidate=_struct(f"{_SAMPLED}, full_text string, continuation_text string"),
+    stats=STATS,
 )
 #: S3: records with confidence scores.
-SCORED = T.StructType.fromDDL(f"question_id string, problem string, gold_answer string, full_poisoned_prefix string, candidates array<{_struct(CANDIDATE_SCORED + ', full_text string')}>, stats {STATS_SCORED}")
+SCORED = _struct("question_id string, problem string, gold_answer string, full_poisoned_prefix string, candidates candidate[], stats stats", candidate=_struct(f"{_SCORED}, full_text string"), stats=STATS_SCORED)
 #: S4: report rows.  ``current_corrrect`` is spelled as files have it.
-REPORT = T.StructType.fromDDL(
+REPORT = _struct(
     "question_id string, is_correct boolean, strategy string, is_same_as_base boolean, final_ans_original_ratio double, pool_size int, baseline_confidence double,"
-    " final_confidence double, total_tokens int, stop_reason string, current_score array<double>, current_corrrect array<boolean>"
+    " final_confidence double, total_tokens int, stop_reason string, current_score double[], current_corrrect boolean[]"
 )
 
 
