@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from plumbline.llm.bpe import byte_of_symbol
 from plumbline.llm.common import small_batches, table, written
 
 CAPACITY = 2048
@@ -33,19 +34,44 @@ KEPT = 1 << 20
 
 
 class WordIds(dict):
-    """Word -> its ids as little-endian 32-bit numbers; words are what stands between white space."""
+    """Word -> its ids as little-endian 32-bit numbers; words are what stands between white space.
+
+    Words of Latin letters, which normalisation only turns to lower case, are split here and
+    go to the library's model piece by piece; all others go through the whole library.
+    """
 
     def __init__(self, path: str):
+        import json
+
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        spec = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.split = regex.compile(spec)
+        self.shown = {b: c for c, b in byte_of_symbol().items()}
+        self.pieces: dict[str, bytes] = {}
+
+    def _piece(self, piece: str) -> bytes:
+        got = self.pieces.get(piece)
+        if got is None:
+            if len(self.pieces) >= KEPT // 2:
+                self.pieces.clear()
+            shown = piece if piece.isascii() else "".join([self.shown[b] for b in piece.encode()])
+            self.pieces[piece] = got = np.array([t.id for t in self.tokenizer.model.tokenize(shown)], "<u4").tobytes()
+        return got
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= KEPT:
             self.clear()
-        self[word] = got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        low = word.lower()
+        if max(word) < "\u0250" and len(low) == len(word) and word.isprintable() and "<|" not in word:
+            got = b"".join([self._piece(x) for x in self.split.findall(low)])
+        else:
+            got = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = got
         return got
 
 

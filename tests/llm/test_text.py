@@ -57,6 +57,14 @@ def test_word_ids_like_library():
         assert packing.token_bytes(t, WORD) == np.array(lib.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from("aZés'tlmrvd .,$1²ªµßÉÞ<|>"), st.characters(min_codepoint=0x20, max_codepoint=0x24F), st.sampled_from("İΣǅ\u0301日")), max_size=25))
+def test_word_ids_of_any_letters(text):
+    packing.token_bytes("", WORD)
+    lib = packing._loaded[WORD].tokenizer
+    assert packing.token_bytes(text, WORD) == np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def check_packing(rows, capacity):
     used = {}
     for r in rows:
