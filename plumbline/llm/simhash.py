@@ -26,6 +26,8 @@ TAU = 4
 SHINGLE = 4
 #: Distinct fingerprints in the sample that bit groups and candidate estimates are fitted on.
 SAMPLE = 2048
+#: Entries under one value that a task takes; more are dealt in blocks, and pairs of blocks to tasks.
+CROWD = 1 << 16
 #: Members of a value up to which all offsets are compared at once; larger ones by search.
 RUN = 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -217,11 +219,25 @@ def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[other], ids[label[other]]
 
 
-def linked(probed: DataFrame, tau: int) -> DataFrame:
+def dealt(probed: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """``probed`` with a group number ``deal``.  Entries of a value are one group; those of a value
+    with more than ``crowd`` fall into blocks by hash, and each pair of blocks is a group, so
+    every two entries still meet and no group outgrows two blocks."""
+    crowded = probed.groupBy("part", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd)
+    crowded = written(crowded.select("part", "value", F.ceil(F.col("n") / crowd).cast("int").alias("g")), "crowded-values")
+    if crowded.isEmpty():
+        return probed.withColumn("deal", F.lit(0).cast("long"))
+    light = probed.join(crowded, ["part", "value"], "left_anti").withColumn("deal", F.lit(0).cast("long"))
+    heavy = probed.join(crowded, ["part", "value"]).withColumn("b", F.pmod(F.xxhash64("node", "fp"), F.col("g")))
+    pair = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.least(o, F.col("b")).cast("long") * F.col("g") + F.greatest(o, F.col("b")))
+    return light.unionByName(heavy.withColumn("deal", F.explode(pair)).drop("g", "b"))
+
+
+def linked(probed: DataFrame, tau: int, crowd: int = CROWD) -> DataFrame:
     """u, v: stars that join what is linked under the values that a task has read."""
 
-    def edges_of(part, value, fp, node):
-        change = np.flatnonzero((part[1:] != part[:-1]) | (value[1:] != value[:-1])) + 1
+    def edges_of(part, value, deal, fp, node):
+        change = np.flatnonzero((part[1:] != part[:-1]) | (value[1:] != value[:-1]) | (deal[1:] != deal[:-1])) + 1
         starts = np.concatenate([[0], change])
         sizes = np.diff(np.concatenate([starts, [len(part)]]))
         run = np.repeat(np.arange(len(starts)), sizes)
@@ -246,12 +262,12 @@ def linked(probed: DataFrame, tau: int) -> DataFrame:
         held, rows = [], 0
         for b in batches:
             # A value that spans batches is held until it ends.
-            held.append([b["part"].to_numpy(), b["value"].to_numpy(np.int64), b["fp"].to_numpy(np.int64).view(np.uint64), b["node"].to_numpy(np.int64)])
+            held.append([b["part"].to_numpy(), b["value"].to_numpy(np.int64), b["deal"].to_numpy(np.int64), b["fp"].to_numpy(np.int64).view(np.uint64), b["node"].to_numpy(np.int64)])
             rows += len(b)
             if rows < 200_000:
                 continue
             cols = [np.concatenate(x) for x in zip(*held)]
-            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            last = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]) | (cols[2] != cols[2][-1]))
             cut = last[-1] + 1 if len(last) else 0
             held, rows = [[c[cut:] for c in cols]], len(cols[0]) - cut
             if cut and (out := edges_of(*[c[:cut] for c in cols])) is not None:
@@ -262,7 +278,8 @@ def linked(probed: DataFrame, tau: int) -> DataFrame:
                 yield out
 
     n = max(partitions(probed.sparkSession), 1)
-    return probed.repartition(n, "part", "value").sortWithinPartitions("part", "value").mapInPandas(run, "u long, v long")
+    rows = dealt(written(probed, "probes"), crowd)
+    return rows.repartition(n, "part", "value", "deal").sortWithinPartitions("part", "value", "deal").select("part", "value", "deal", "fp", "node").mapInPandas(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:

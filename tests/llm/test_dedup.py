@@ -76,6 +76,17 @@ def test_simhash_links_all_within_distance():
             assert any(p <= x for p, x in zip(parts, t[a]))
 
 
+@pytest.mark.parametrize("crowd", [5, 10**6])
+def test_crowded_values_are_dealt_in_blocks(spark, crowd):
+    rng = np.random.default_rng(4)
+    base = np.uint64(0x0123456789ABCDEF)
+    fps = np.unique(base ^ (np.uint64(1) << rng.integers(0, 64, 90).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 90).astype(np.uint64)))
+    df = spark.createDataFrame([(int(f), i) for i, f in enumerate(fps.view(np.int64))], "fp long, node long")
+    plan = simhash.Plan(fps, len(fps), 4, 4)
+    got = components.components(simhash.linked(simhash.probes(df, plan), 4, crowd)).collect()
+    assert {r.node for r in got} == set(range(len(fps))) and {r.component for r in got} == {0}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 150)] + [(7, 7), (3, 4), (200, 150), (150, 149)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
