@@ -9,6 +9,7 @@ all of its starts but the earliest are covered.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 
 import numpy as np
@@ -18,12 +19,17 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import inducing
 from plumbline.llm.anchored import BYTES, Units, _groups, _merged, as_bytes, repeated
-from plumbline.llm.common import partitions, small_batches, table
+from plumbline.llm.common import partitions, small_batches, table, written
 
 #: Symbols that are sorted as one shard; a single anchor's segments stay together.
 SHARD = 1 << 22
 #: Symbols above which a shard's text is in a file and not in memory.
 IN_MEMORY = 1 << 25
+#: Segments of one anchor that are sorted together; those of more frequent ones are cut into
+#: their windows, which go to shards by their content.
+CROWD = 100_000
+#: Windows held while equal ones are folded.
+HELD = 1 << 18
 
 
 def shard_text(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,10 +82,18 @@ def covered_windows(docs: np.ndarray, los: np.ndarray, segments: list[bytes], si
     return _merged(out)[["doc_id", "lo", "hi"]]
 
 
-def suffix_covers(docs: DataFrame, needs: DataFrame, size: int) -> DataFrame:
-    """doc_id, lo, hi of what the suffix arrays of the needed segments cover."""
+def suffix_covers(docs: DataFrame, needs: DataFrame, size: int, crowd: int = CROWD) -> DataFrame:
+    """doc_id, lo, hi of what the suffix arrays of the needed segments cover.
+
+    An anchor of more than ``crowd`` segments would make one shard grow with the corpus.  Its
+    segments are cut into windows, equal ones are folded in each task, and the rest is dealt
+    by content: equal windows still meet in one suffix array.
+    """
     n = partitions(docs.sparkSession)
-    wanted = needs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "anchor")).alias("wanted"))
+    crowded = written(needs.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("anchor"), "crowded-anchors")
+
+    def wanted(rows: DataFrame) -> DataFrame:
+        return docs.select("doc_id", "text").join(rows.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi", "anchor")).alias("wanted")), "doc_id")
 
     def cut(batches):
         for b in batches:
@@ -89,9 +103,38 @@ def suffix_covers(docs: DataFrame, needs: DataFrame, size: int) -> DataFrame:
                 rows += [(w["anchor"], doc, w["lo"], data[w["lo"] : w["hi"]]) for w in wanted]
             yield pd.DataFrame(rows, columns=["anchor", "doc_id", "lo", "segment"])
 
+    def cut_windows(batches):
+        first: dict[bytes, tuple[int, int]] = {}
+        again: list[tuple[int, int]] = []
+
+        def out():
+            rows = [(int(np.frombuffer(hashlib.blake2b(w, digest_size=8).digest(), np.int64)[0]), doc, at, w) for w, (doc, at) in first.items()]
+            rows += [(doc + at, doc, at, None) for doc, at in again]  # any place will do
+            first.clear()
+            again.clear()
+            return pd.DataFrame(rows, columns=["anchor", "doc_id", "lo", "segment"])
+
+        for b in batches:
+            for doc, text, wanted in zip(b["doc_id"], b["text"], b["wanted"]):
+                data = as_bytes(text)
+                for at in {at for w in wanted for at in range(w["lo"], w["hi"] - size + 1)}:
+                    window, here = data[at : at + size], (doc, at)
+                    there = first.setdefault(window, here)
+                    if there != here:
+                        first[window] = min(there, here)
+                        again.append(max(there, here))
+                if len(first) + len(again) >= HELD:
+                    yield out()
+        if first or again:
+            yield out()
+
     def sort(batches):
         rows, total = [], 0
         for b in batches:
+            known = b[b["segment"].isnull()]  # folded before
+            if len(known):
+                yield pd.DataFrame({"doc_id": known["doc_id"], "lo": known["lo"], "hi": known["lo"] + size})
+            b = b[b["segment"].notnull()]
             if not len(b):
                 continue
             rows.append(b)
@@ -108,7 +151,12 @@ def suffix_covers(docs: DataFrame, needs: DataFrame, size: int) -> DataFrame:
             now = pd.concat(rows, ignore_index=True)
             yield covered_windows(now["doc_id"].to_numpy(np.int64), now["lo"].to_numpy(np.int64), list(now["segment"]), size)
 
-    segments = docs.select("doc_id", "text").join(wanted, "doc_id").mapInPandas(cut, "anchor long, doc_id long, lo long, segment binary")
+    kind = "anchor long, doc_id long, lo long, segment binary"
+    if crowded.isEmpty():
+        segments = wanted(needs).mapInPandas(cut, kind)
+    else:
+        segments = wanted(needs.join(crowded, "anchor", "left_anti")).mapInPandas(cut, kind)
+        segments = segments.unionByName(wanted(needs.join(crowded, "anchor", "left_semi")).mapInPandas(cut_windows, kind))
     return segments.repartition(n, "anchor").sortWithinPartitions("anchor").mapInPandas(sort, "doc_id long, lo long, hi long")
 
 
@@ -137,14 +185,14 @@ def with_covers(docs: DataFrame, covers: DataFrame) -> DataFrame:
     return docs.join(per_doc, "doc_id", "left")
 
 
-def removed_spans(docs: DataFrame, units: Units = BYTES) -> DataFrame:
+def removed_spans(docs: DataFrame, units: Units = BYTES, crowd: int = CROWD) -> DataFrame:
     """doc_id, lo, hi: all stretches of bytes to remove, in pieces that may overlap."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     found = repeated(docs, units)
-    return found.where("not need").select("doc_id", "lo", "hi").unionByName(suffix_covers(docs, found.where("need"), units.size))
+    return found.where("not need").select("doc_id", "lo", "hi").unionByName(suffix_covers(docs, found.where("need"), units.size, crowd))
 
 
-def suffix_dedup(docs: DataFrame, units: Units = BYTES) -> DataFrame:
+def suffix_dedup(docs: DataFrame, units: Units = BYTES, crowd: int = CROWD) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_text.
 
     A null or empty text keeps nothing and loses nothing.  Matches never cross documents.
@@ -164,7 +212,7 @@ def suffix_dedup(docs: DataFrame, units: Units = BYTES) -> DataFrame:
 
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    return with_covers(docs, removed_spans(docs, units)).mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_text binary")
+    return with_covers(docs, removed_spans(docs, units, crowd)).mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_text binary")
 
 
 def op1_suffix_dedup(spark, sf_dir):

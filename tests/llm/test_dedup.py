@@ -26,8 +26,9 @@ def test_queries_match_plain_versions(spark, sf_dir, name, plain):
     assert rows_of(got) == plain(pairs(spark, sf_dir))
 
 
-def test_suffix_dedup_edges(make, odd_rows):
-    out = suffix_dedup.suffix_dedup(make(odd_rows)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_text", 256))
+@pytest.mark.parametrize("crowd", [1, 3, suffix_dedup.CROWD])
+def test_suffix_dedup_edges(make, odd_rows, crowd):
+    out = suffix_dedup.suffix_dedup(make(odd_rows), crowd=crowd).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_text", 256))
     assert rows_of(out) == brute.suffix_dedup(odd_rows)
 
 
