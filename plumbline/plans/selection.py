@@ -14,6 +14,7 @@ from plumbline.functions.text import normalize_veto
 from plumbline.operators.pruning import exact_thresholds, high_or_all, thresholds, veto_or_all
 from plumbline.operators.voting import ballot, effective, occurrence_ratio, vote_array
 from plumbline.schemas import SelectionConfig
+from plumbline.sources.tables import materialised
 
 
 def features(records: DataFrame, config: SelectionConfig = SelectionConfig()) -> DataFrame:
@@ -47,7 +48,8 @@ def features(records: DataFrame, config: SelectionConfig = SelectionConfig()) ->
 
 
 def jitters(pools: DataFrame) -> DataFrame:
-    return pools.select(F.explode("pool.jitter").alias("jitter"))
+    # Outer, so that no filter on the array's size works the features out a second time.
+    return pools.select(F.explode_outer("pool.jitter").alias("jitter"))
 
 
 def selected(pools: DataFrame, config: SelectionConfig = SelectionConfig(), limits: DataFrame | None = None) -> DataFrame:
@@ -61,9 +63,15 @@ def selected(pools: DataFrame, config: SelectionConfig = SelectionConfig(), limi
 
 
 def report(records: DataFrame, config: SelectionConfig = SelectionConfig(), large: bool = False) -> DataFrame:
-    """The report rows of scored records.  ``large`` finds exact percentiles over any number of values
-    by narrowing, in jobs of their own; otherwise one aggregate does."""
+    """The report rows of scored records.
+
+    ``large`` is for tables of any size: features, which are far smaller than the log-probabilities
+    they come from, are written once and read by both passes, and exact percentiles are found by
+    narrowing, in jobs of their own.  Otherwise all is one lazy plan.
+    """
     pools = features(records, config)
+    if large:
+        pools = materialised(pools, "features")
     limits = exact_thresholds(jitters(pools), "jitter", config.v100_jitter, config.v0_jitter) if large else None
     return report_rows(selected(pools, config, limits))
 

@@ -235,13 +235,23 @@ SELECT f.question_id, f.is_correct, 'JITTER' AS strategy, f.ans = b.ans AS is_sa
 FROM final f JOIN base b USING (question_id) JOIN won USING (question_id) JOIN whole USING (question_id)"""
 )
 def selection_report(spark, sf_dir):
-    out = selection.report(records(spark, sf_dir))
+    return _shown(selection.report(records(spark, sf_dir)))
+
+
+def _shown(out: DataFrame) -> DataFrame:
+    """Rounded doubles, and arrays as text."""
     for c in ("final_ans_original_ratio", "baseline_confidence", "final_confidence"):
         out = out.withColumn(c, r6(c))
     out = out.withColumn("current_score", F.array_join(F.transform("current_score", lambda x: x.cast("int").cast("string")), ","))
     return out.withColumn("current_corrrect", F.array_join(F.transform("current_corrrect", lambda x: x.cast("string")), ","))
 
 
+@query(SQL["selection_report"])
+def selection_report_large(spark, sf_dir):
+    """The report with features written once and percentiles by narrowing."""
+    return _shown(selection.report(records(spark, sf_dir), large=True))
+
+
 @query(
     REPORT
     + """
