@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline import schemas
 from plumbline.functions import arrays, text
 from plumbline.operators import prompts, pruning, sampling, voting
-from plumbline.plans import judging, selection
+from plumbline.plans import judging, sampling as sampled, selection
 from plumbline.sources import jsonl, scorer
 
 QUERIES: dict = {}
@@ -536,3 +536,27 @@ def scorer_stub(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     s = d.select(F.col("doc_id").alias("question_id"), F.col("lang").alias("problem"), F.lit(0).alias("pos"), F.lit(0).alias("slice_idx"), F.col("source").alias("slice"))
     return scorer.confidence_scores(s).select("question_id", "score")
+
+
+@query(
+    """WITH d AS (SELECT doc_id // 8 AS question_id, doc_id % 8 AS pos, doc_id % 5 = (doc_id // 8) % 5 AS ok, least(doc_id % 10 + 1, 8) AS kept, round(-(doc_id % 7) / 3.0, 4) AS lp FROM documents)
+SELECT question_id, CAST(count(*) AS INTEGER) AS total, CAST(count(*) FILTER (WHERE ok) AS INTEGER) AS correct, round(count(*) FILTER (WHERE ok) / count(*), 6) AS accuracy,
+  string_agg(CAST(kept AS VARCHAR), ',' ORDER BY pos) AS kept, round(sum(lp * kept), 3) AS mass FROM d GROUP BY question_id"""
+)
+def sampled_records(spark, sf_dir):
+    k = F.col("doc_id")
+    q = F.floor(k / 8)
+    letter = lambda c: F.char(F.lit(65) + c % 5)
+    g = table(spark, sf_dir, "documents").select(
+        q.alias("question_id"),
+        F.lit("").alias("problem"),
+        letter(q).alias("gold_answer"),
+        (k % 8).alias("pos"),
+        F.concat(F.lit("so \\boxed{"), letter(k), F.lit("}")).alias("text"),
+        F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(i == k % 10, 2).otherwise(1)).alias("token_ids"),
+        F.array_repeat(-(k % 7) / 3, 8).alias("token_logprobs"),
+    )
+    r = sampled.sampled_records(sampled.judged(g, eos=2))
+    lists = F.transform("candidates", lambda c: F.size(c["token_logprobs"]).cast("string"))
+    mass = F.aggregate("candidates", F.lit(0.0), lambda a, c: a + F.aggregate(c["token_logprobs"], F.lit(0.0), lambda s, x: s + x))
+    return r.select("question_id", "stats.total", "stats.correct", r6("stats.accuracy").alias("accuracy"), F.array_join(lists, ",").alias("kept"), F.round(mass, 3).alias("mass"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline import schemas
-from plumbline.plans import judging, selection
+from plumbline.plans import judging, sampling, selection
 from plumbline.sources import jsonl, scorer
 from plumbline.streaming import apply
 
@@ -142,3 +142,19 @@ def test_questions_from_parquet(spark, tmp_path):
     spark.createDataFrame([(1, "", "alt", 5)], "id long, question string, prompt string, answer int").write.parquet(str(tmp_path / "q"))
     r = jsonl.read_questions(spark, str(tmp_path / "q")).first()
     assert (r.question_id, r.problem, r.gold_answer) == (1, "alt", "5")
+
+
+def test_command_line(spark, lines, tmp_path, capsys):
+    from plumbline.__main__ import main
+
+    main(["--input", lines, "--output", str(tmp_path / "report"), "--sample_e", "4"], spark)
+    assert spark.read.schema(schemas.REPORT).json(str(tmp_path / "report")).count() == 3
+    assert "accuracy" in capsys.readouterr().out
+
+
+def test_questions_are_asked(spark):
+    df = spark.createDataFrame([(1, "q1", "A", "['x', 'y']", "multiple-choice"), (2, "q2", "B", "not a list", "open"), (3, "q3", "B", "oops", "multiple-choice")], "id long, question string, answer string, options string, question_type string")
+    got = {r.question_id: r.prompt for r in sampling.asked(df, visual=True).collect()}
+    assert got[1].startswith("q1\nA. x\nB. y\n\n\n") and got[3].startswith("q3\n\n") and 2 not in got
+    st = spark.createDataFrame([(1, "q", (["A", "B"], ["x", "y"]))], "id long, question string, choices struct<label:array<string>,text:array<string>>")
+    assert sampling.asked(st).first().prompt.startswith("Question: q\nOptions:\nA. x\nB. y\n\n")
