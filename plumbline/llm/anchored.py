@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from plumbline.llm import rolling
 from plumbline.llm.common import partitions, small_batches, written
@@ -264,4 +265,4 @@ def repeated(docs: DataFrame, units: Units) -> DataFrame:
             yield _rows(c, mixed, units, True)
 
     sent = docs.select("doc_id", "text").mapInPandas(find, "bucket int, blob binary, doc_id long, lo long, hi long")
-    return written(sent.repartition(n, "bucket").mapInPandas(meet, OUT), "repeated")
+    return written(sent.repartitionById(n, F.col("bucket")).mapInPandas(meet, OUT), "repeated")

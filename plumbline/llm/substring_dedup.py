@@ -43,11 +43,13 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT):
         self.spark, self.fanout, self.runs = spark, fanout, []
+        #: Fixed for the index's life, so that a fingerprint's bucket never changes.
+        self.buckets = partitions(spark)
 
     def add(self, batch: DataFrame) -> DataFrame:
         """doc_id, pos of the windows in ``batch`` (bucket, blob) whose fingerprint is in the index or
         in the batch with a smaller doc_id; then the batch's new fingerprints are in the index."""
-        n = partitions(self.spark)
+        n = self.buckets
 
         def merge(batches):
             new, old, bucket = [], [], 0
@@ -75,7 +77,7 @@ class FingerprintIndex:
         rows = batch.select("bucket", "blob", F.lit(False).alias("is_run"))
         for r in self.runs:
             rows = rows.unionByName(r.select("bucket", "blob", F.lit(True).alias("is_run")))
-        out = written(rows.repartition(n, "bucket").mapInPandas(merge, "doc_id long, pos long, bucket int, blob binary"), "window-batch")
+        out = written(rows.repartitionById(n, F.col("bucket")).mapInPandas(merge, "doc_id long, pos long, bucket int, blob binary"), "window-batch")
         self.runs.append(out.where("blob is not null").select("bucket", "blob"))
         if len(self.runs) >= self.fanout:
             self.compact()
@@ -83,7 +85,7 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Merge all runs into one."""
-        n = partitions(self.spark)
+        n = self.buckets
 
         def merge(batches):
             blobs = [(k, x) for b in batches for k, x in zip(b["bucket"], b["blob"])]
@@ -96,15 +98,15 @@ class FingerprintIndex:
         rows = self.runs[0]
         for r in self.runs[1:]:
             rows = rows.unionByName(r)
-        self.runs = [written(rows.repartition(n, "bucket").mapInPandas(merge, "bucket int, blob binary"), "window-run")]
+        self.runs = [written(rows.repartitionById(n, F.col("bucket")).mapInPandas(merge, "bucket int, blob binary"), "window-run")]
 
 
-def window_fingerprints(docs: DataFrame, needs: DataFrame, units: Units) -> DataFrame:
+def window_fingerprints(docs: DataFrame, needs: DataFrame, units: Units, buckets: int) -> DataFrame:
     """doc_id, pos (known to repeat within a task) or bucket, batch_id, blob of fingerprints.
 
     Of equal windows in one task only those of its smallest document travel on.
     """
-    n = partitions(docs.sparkSession)
+    n = buckets
     wanted = needs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("wanted"))
 
     def find(batches):
@@ -152,10 +154,10 @@ def removed_words(docs: DataFrame, units: Units = WORDS, batches: int = BATCHES)
     # Batches are ranges of doc_id, so that each meets only earlier documents in the index.
     cuts = docs.select("doc_id").approxQuantile("doc_id", [(i + 1) / batches for i in range(batches - 1)], 0.01) if batches > 1 else []
     batch = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
-    rows = written(window_fingerprints(docs.withColumn("batch_id", batch), found.where("need"), units), "windows")
+    index = FingerprintIndex(spark)
+    rows = written(window_fingerprints(docs.withColumn("batch_id", batch), found.where("need"), units, index.buckets), "windows")
     covers = found.where("not need").select("doc_id", "lo", "hi")
     repeats = rows.where("batch_id = -1").select("doc_id", "pos")
-    index = FingerprintIndex(spark)
     for i in range(batches):
         repeats = repeats.unionByName(index.add(rows.where(F.col("batch_id") == i)))
     return covers.unionByName(repeats.select("doc_id", F.col("pos").alias("lo"), (F.col("pos") + units.size).alias("hi")))
