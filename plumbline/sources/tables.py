@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.  Only where that is unset, as in
+    tests in local mode, a folder of this process's own, which goes when the process ends."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="plumbline-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"
 
 
 def materialised(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet under ``spark.checkpoint.dir`` (a folder in /tmp only where that is
-    unset, as in tests) and read back: read twice, it is worked out once, and a lost executor
-    costs nothing of it."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/plumbline-checkpoints"
-    path = f"{base.rstrip('/')}/plumbline/{label}-{uuid.uuid4().hex}"
+    """``df`` written as Parquet in the shared folder and read back: read twice, it is worked out
+    once, and a lost executor costs nothing of it."""
+    path = f"{shared_folder(df.sparkSession)}/plumbline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression="zstd")
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
