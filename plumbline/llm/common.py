@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import materialised
+
 #: Rows in one Arrow batch; long texts make larger batches too heavy for a small executor.
 ARROW_ROWS = "500"
 #: The characters that count as white space in every contract: space and \x09-\x0D.
@@ -21,26 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset, as in
-    tests, a folder under /tmp is set.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = "file:///tmp/plumbline-checkpoints"
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(conf)
-    return conf
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and
     a lost executor costs no recomputation of what came before."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/plumbline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return materialised(df, label)
 
 
 def drop_written(df: DataFrame) -> None:
