@@ -83,6 +83,14 @@ class Classifier:
 _loaded: dict[int, Classifier] = {}
 
 
+def _in_worker(mark: int, shared) -> Classifier:
+    """The classifier of the broadcast dictionaries, kept from task to task."""
+    if mark not in _loaded:
+        _loaded.clear()
+        _loaded[mark] = Classifier(shared.value)
+    return _loaded[mark]
+
+
 def classified(docs: DataFrame, dicts: dict[str, bytes]) -> DataFrame:
     """One row per row of ``docs``: doc_id, lang_pred, score (0 to 1), accepted.
 
@@ -97,10 +105,7 @@ def classified(docs: DataFrame, dicts: dict[str, bytes]) -> DataFrame:
     mark = zlib.crc32(repr(sorted(dicts.items())).encode())
 
     def run(batches):
-        if mark not in _loaded:
-            _loaded.clear()
-            _loaded[mark] = Classifier(shared.value)
-        c = _loaded[mark]
+        c = _in_worker(mark, shared)
         for b in batches:
             lang, score, ok = zip(*map(c.classify, b["text"])) if len(b) else ((), (), ())
             yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": lang, "score": score, "accepted": ok})

@@ -19,6 +19,8 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
+    "op1_suffix_dedup": suffix_dedup.ORACLE,
+    "op2_substring_dedup": substring_dedup.ORACLE,
     "op7_chat_format": chat.ORACLE,
     "op9_topk": topk.ORACLE,
     "op10_exact_dedup": block_names.ORACLE,

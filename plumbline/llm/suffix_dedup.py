@@ -218,3 +218,21 @@ def suffix_dedup(docs: DataFrame, units: Units = BYTES, crowd: int = CROWD) -> D
 def op1_suffix_dedup(spark, sf_dir):
     out = suffix_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: On hexadecimal texts, two digits for each byte.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, substring(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)),
+ranked AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS r FROM win),
+dup AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM ranked WHERE r > 1),
+runs AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM dup),
+spans AS (SELECT doc_id, run, min(i) AS lo, max(i) + 100 AS hi FROM runs GROUP BY doc_id, run),
+edges AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS from_ FROM spans),
+parts AS (SELECT e.doc_id, e.from_ AS place, substring(h, 2 * e.from_ + 1, 2 * (e.lo - e.from_)) AS t FROM edges e JOIN d USING (doc_id)
+  UNION ALL SELECT d.doc_id, s.hi, substring(h, 2 * s.hi + 1) FROM d JOIN (SELECT doc_id, max(hi) AS hi FROM spans GROUP BY doc_id) s USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(t, '' ORDER BY place) AS t FROM parts GROUP BY doc_id),
+removed AS (SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(r.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(r.n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.t, d.h))) AS kept_sha256
+FROM d LEFT JOIN removed r USING (doc_id) LEFT JOIN kept k USING (doc_id)
+"""
