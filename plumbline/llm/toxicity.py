@@ -20,17 +20,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_batches, table
+from plumbline.llm.common import partitions, small_batches, table, written
 from plumbline.llm.langid import fold
 
-#: Labelled documents that the models are fitted on (those of least hash), and code points of each.
-SAMPLE, LENGTH = 6000, 12_000
-#: Texts of either label whose words the character model is fitted on.
-CHARACTERS = 600
+#: Labelled documents that the model is fitted on (those of least hash), each with its whole text.
+SAMPLE = 8000
 #: Surroundings of a word or beginning in toxic texts, at least; how much likelier it is there.
 SUPPORT, RATIO = 8, 12.0
 THRESHOLD = 0.7
 KEPT = 1 << 20
+#: Different words or letters that a task counts before it passes them on.
+HELD = 200_000
+#: Weights of letters are whole numbers of this part, so that their sums don't depend on the order.
+PART = 1 << 20
 #: Letters that signs stand for, with the cost (negative log) of each reading.
 SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -43,20 +45,41 @@ _SINGLES = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
 _TRIPLE = re.compile(r"(.)\1\1|(.)\2$")
 
 
+def words_in(texts) -> Counter:
+    """How often each alphabetic word stands in these texts, in lower case and without its edges."""
+    tokens: Counter = Counter()
+    for t in texts:
+        tokens.update(t.lower().split())
+    out: Counter = Counter()
+    for token, n in tokens.items():
+        if (w := token.strip(_EDGE)).isalpha():
+            out[w] += n
+    return out
+
+
+def trigrams(words) -> Counter:
+    """Weights of three letters in a row, in PARTs, from words and their numbers in a corpus."""
+    out: Counter = Counter()
+    for w, n in words:
+        n = round((1 + math.log(n)) * PART)
+        s = f"  {w} "
+        for i in range(2, len(s)):
+            out[s[i - 2 : i + 1]] += n
+    return out
+
+
 class CharModel:
     """A trigram model of the letters of words, interpolated with shorter ones."""
 
-    def __init__(self, words: Counter):
+    def __init__(self, three: Counter):
         self.one, self.two, self.three, self.pairs, self.firsts = Counter(), Counter(), Counter(), Counter(), Counter()
-        for w, n in words.items():
-            n = 1 + math.log(n)
-            s = f"  {w} "
-            for i in range(2, len(s)):
-                self.one[s[i]] += n
-                self.two[s[i - 1 : i + 1]] += n
-                self.three[s[i - 2 : i + 1]] += n
-                self.firsts[s[i - 1]] += n
-                self.pairs[s[i - 2 : i]] += n
+        for s, n in sorted(three.items()):
+            n = n / PART
+            self.one[s[2]] += n
+            self.two[s[1:]] += n
+            self.three[s] += n
+            self.firsts[s[1]] += n
+            self.pairs[s[:2]] += n
         self.total = sum(self.one.values()) or 1
         self.memo: dict[str, float] = {}
 
@@ -126,55 +149,65 @@ def beginnings(word: str):
             yield f"{word[:n]}-"
 
 
+def features_in(words: Counter) -> Counter:
+    """How often each feature stands among these words."""
+    out: Counter = Counter()
+    for w, n in words.items():
+        for f in beginnings(w):
+            out[f] += n
+    return out
+
+
+def around_in(texts, features) -> set[tuple[str, int]]:
+    """These features with the hashes of their surroundings, the tokens before and behind."""
+    import xxhash
+
+    out = set()
+    for text in texts:
+        tokens = [t.strip(_EDGE) for t in text.lower().split()]
+        for a, w, b in zip(["", *tokens], tokens, [*tokens[1:], ""]):
+            if w.isalpha():
+                for f in beginnings(w):
+                    if f in features:
+                        out.add((f, xxhash.xxh64_intdigest(f"{a} {b}".encode("utf-8", "surrogatepass")) - (1 << 63)))
+    return out
+
+
 class Model:
     """Features with weights, the character model, and the logistic curve over the weights met."""
 
     def __init__(self, texts: list[str], toxic: list[int]):
-        def words_of(label: int):
-            """Each text's tokens without their edges."""
-            for text, y in zip(texts, toxic):
-                if y == label:
-                    yield [t.strip(_EDGE) for t in text.lower().split()]
-
-        # What toxic texts use often enough, then what others use far less often, and only of
-        # those the surroundings: each step holds little.
-        uses: tuple[Counter, Counter] = (Counter(), Counter())
-        total, words = [1, 1], Counter()
-        for y in (1, 0):
-            for k, tokens in enumerate(words_of(y)):
-                tokens = [t for t in tokens if t.isalpha()]
-                total[y] += len(tokens)
-                if k < CHARACTERS:
-                    words.update(tokens)
-                for w, n in Counter(tokens).items():
-                    for f in beginnings(w):
-                        if y or f in uses[1]:
-                            uses[y][f] += n
-            if y:
-                for f in [f for f, n in uses[1].items() if n < SUPPORT]:
-                    del uses[1][f]
-        likely = {f for f, n in uses[1].items() if (n / total[1]) / ((uses[0][f] + 0.5) / total[0]) >= RATIO}
-        seen: tuple[dict[str, set], dict[str, set]] = ({}, {})
-        for y in (1, 0):
-            for tokens in words_of(y):
-                for a, w, b in zip(["", *tokens], tokens, [*tokens[1:], ""]):
-                    if w.isalpha():
-                        for f in beginnings(w):
-                            if f in likely:
-                                seen[y].setdefault(f, set()).add(hash((a, b)))
+        """Fitted here; ``fit`` does the same in executors."""
+        by = [[t for t, y in zip(texts, toxic) if y == label] for label in (0, 1)]
+        words = [words_in(t) for t in by]
+        total = [1 + w.total() for w in words]
+        good, bad = map(features_in, words)
+        # Of what toxic texts use often enough and others far less often, the surroundings.
+        likely = {f for f, n in bad.items() if n >= SUPPORT and (n / total[1]) / ((good[f] + 0.5) / total[0]) >= RATIO}
+        around = [Counter(f for f, _ in around_in(t, likely)) for t in by]
+        self._weigh({f: (around[0][f], around[1][f]) for f in likely}, total, trigrams((words[0] + words[1]).items()))
+        if texts:
+            self._fit(np.array([self.strength(t) for t in texts]), np.array(toxic, float))
+
+    @classmethod
+    def counted(cls, around: dict[str, tuple[int, int]], total: list[int], three: Counter) -> Model:
+        """A model from what others and toxic texts hold, without its curve."""
+        model = cls([], [])
+        model._weigh(around, total, three)
+        return model
+
+    def _weigh(self, around: dict[str, tuple[int, int]], total: list[int], three: Counter) -> None:
+        """around: for each feature its different surroundings in other and in toxic texts."""
         self.weights: dict[str, float] = {}
-        for f, around in seen[1].items():
-            if len(around) < SUPPORT:
+        for f, (other, n) in around.items():
+            if n < SUPPORT:
                 continue
-            sure = len(around) - 2 * math.sqrt(len(around))  # as few as chance may have made many
-            other = len(seen[0].get(f, ()))
+            sure = n - 2 * math.sqrt(n)  # as few as chance may have made many
             ratio = (sure / total[1]) / ((other + 0.5) / total[0])
-            if ratio >= RATIO and len(around) > other:
+            if ratio >= RATIO and n > other:
                 self.weights[f] = math.log(ratio)
-        self.chars = CharModel(words)
+        self.chars = CharModel(three)
         self.slope, self.shift = 1.0, -4.0
-        if texts:
-            self._fit(np.array([self.strength(t) for t in texts]), np.array(toxic, float))
 
     def _fit(self, x: np.ndarray, y: np.ndarray) -> None:
         """Logistic regression on one variable, by Newton steps with a small penalty."""
@@ -228,15 +261,94 @@ class _Weights(dict):
         return got
 
 
+def letters(texts: DataFrame) -> Counter:
+    """``trigrams`` of all words of the column ``text``, counted in executors: words are summed up in
+    each task, then over all, and what comes back is bounded by the alphabet."""
+    small_batches(texts.sparkSession)
+
+    def batch(held):
+        return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["part", "n"])
+
+    def counted(count):
+        def run(batches):
+            held: Counter = Counter()
+            for b in batches:
+                held.update(count(b))
+                if len(held) > HELD:
+                    yield batch(held)
+                    held = Counter()
+            yield batch(held)
+
+        return run
+
+    words = counted(lambda b: words_in(t for t in b["text"].to_pylist() if t))
+    grams = counted(lambda b: trigrams(zip(b["part"].to_pylist(), b["n"].to_pylist())))
+    out = texts.select("text")
+    for step in (words, grams):
+        out = out.mapInArrow(step, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    return Counter({r["part"]: r["n"] for r in out.collect()})
+
+
+def counts(rows: DataFrame) -> tuple[dict[str, tuple[int, int]], list[int]]:
+    """Of the likely features of ``rows`` (text, toxic) the numbers of surroundings in other and
+    in toxic texts, and the words of both, one more each; counted in executors."""
+
+    def uses(batches):
+        for b in batches:
+            for y in (0, 1):
+                words = words_in(b["text"][b["toxic"] == y])
+                got = features_in(words)
+                got[""] = words.total()  # no word is empty
+                yield pd.DataFrame({"feature": list(got.keys()), "toxic": np.int32(y), "n": list(got.values())})
+
+    def n(y):
+        return F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0))
+
+    used = rows.mapInPandas(uses, "feature string, toxic int, n long").groupBy("feature").agg(n(0).alias("good"), n(1).alias("bad"))
+    used = written(used, "toxicity-features")
+    total = [1, 1]
+    for r in used.where("feature = ''").collect():
+        total = [1 + r["good"], 1 + r["bad"]]
+    often = (F.col("bad") / total[1]) / ((F.col("good") + 0.5) / total[0]) >= RATIO
+    likely = {r["feature"] for r in used.where((F.col("feature") != "") & (F.col("bad") >= SUPPORT) & often).select("feature").collect()}
+
+    def around(batches):
+        for b in batches:
+            for y in (0, 1):
+                if got := around_in(b["text"][b["toxic"] == y], likely):
+                    f, h = zip(*got)
+                    yield pd.DataFrame({"feature": f, "toxic": np.int32(y), "around": h})
+
+    seen = rows.mapInPandas(around, "feature string, toxic int, around long").distinct().groupBy("feature", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    out = {f: [0, 0] for f in likely}
+    for r in seen.collect():
+        out[r["feature"]][r["toxic"]] = r["n"]
+    return {f: (a, b) for f, (a, b) in out.items()}, total
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled documents: those of least hash of their id."""
+    """Fit on at most ``sample`` labelled documents: those of least hash of their id, each with its
+    whole text.  Texts stay in executors; counts and one number for each document come back."""
+    spark = docs.sparkSession
     ids = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    toxic = {r["doc_id"]: int(r["toxic"]) for r in ids.collect()}
-    keys = docs.sparkSession.createDataFrame([(i,) for i in toxic], "doc_id long")
-    rows = docs.join(F.broadcast(keys), "doc_id").where("text is not null").select("doc_id", F.substring("text", 1, LENGTH).alias("text")).collect()  # at most ``sample`` ids
-    rows = sorted({(r["doc_id"], r["text"]) for r in rows})
-    return Model([t for _, t in rows], [toxic[i] for i, _ in rows])
+    keys = spark.createDataFrame([(r["doc_id"], int(r["toxic"])) for r in ids.collect()], "doc_id long, toxic int")
+    small_batches(spark)
+    rows = docs.join(F.broadcast(keys), "doc_id").where("text is not null").select("doc_id", "text", "toxic")
+    rows = written(rows.repartition(partitions(spark), "doc_id").distinct(), "toxicity-sample")
+    model = Model.counted(*counts(rows), letters(rows))
+    shared, mark = spark.sparkContext.broadcast(model), _mark(model)
+
+    def strengths(batches):
+        m, weights = _in_worker(mark, shared)
+        for b in batches:
+            yield pd.DataFrame({"doc_id": b["doc_id"], "strength": [m.strength(t, weights.__getitem__) for t in b["text"]], "toxic": b["toxic"]})
+
+    # In one order always, for the same sums.
+    got = sorted(tuple(r) for r in rows.mapInPandas(strengths, "doc_id long, strength double, toxic int").collect())
+    if got:
+        model._fit(np.array([x for _, x, _ in got]), np.array([y for *_, y in got], float))
+    return model
 
 
 _loaded: dict[int, tuple[Model, _Weights]] = {}

@@ -175,6 +175,26 @@ def test_toxicity_edges(make, model):
     assert toxicity.Model([], []).score("anything") < 0.7
 
 
+def labelled(spark, make, rows):
+    """Documents and labels of (doc_id, text, toxic)."""
+    return make([r[:2] for r in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+
+
+def test_toxicity_fit_reads_whole_texts(spark, make):
+    """Toxic words far into long documents are learned, as by the model fitted on all texts here."""
+    rng = random.Random(7)
+    words = "stone river quiet morning letter garden winter silver candle paper orange travel".split()
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, f"{text(2500)} you {rng.choice(words)} moron {text(3)} moron {text(3)}", 1) for i in range(40)]
+    rows += [(i, text(400), 0) for i in range(100, 200)] + [(500, None, 1)]
+    docs, labels = labelled(spark, make, [*rows, rows[0]])
+    got, want = toxicity.fit(docs, labels), toxicity.Model([t for _, t, _ in rows[:-1]], [y for *_, y in rows[:-1]])
+    assert "moron" in got.weights and got.weights == want.weights and got.chars.three == want.chars.three
+    assert got.slope == pytest.approx(want.slope) and got.shift == pytest.approx(want.shift)
+    assert got.score("stone moron river") >= 0.7 > got.score("stone river")
+    assert toxicity.fit(make([]), labels).weights == {} and toxicity.fit(docs, labels.where("false")).weights == {}
+
+
 def test_chat_layouts(spark):
     want = [("user", "hi"), ("assistant", "yo")]
     tables = [
