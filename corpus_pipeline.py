@@ -22,7 +22,7 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator predicts toxic go."""
     labels = table(spark, sf_dir, "labels").where(fold(3) != 1)
-    return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
+    return toxicity.without_toxic(docs, toxicity.fit(docs.where(fold(3) != 1), labels))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -328,7 +328,8 @@ def counts(rows: DataFrame) -> tuple[dict[str, tuple[int, int]], list[int]]:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled documents: those of least hash of their id, each with its
-    whole text.  Texts stay in executors; counts and one number for each document come back."""
+    whole text.  The letters are those of all rows of ``docs``, labelled or not.  Texts stay in
+    executors; counts and one number for each document come back."""
     spark = docs.sparkSession
     ids = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -336,7 +337,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     small_batches(spark)
     rows = docs.join(F.broadcast(keys), "doc_id").where("text is not null").select("doc_id", "text", "toxic")
     rows = written(rows.repartition(partitions(spark), "doc_id").distinct(), "toxicity-sample")
-    model = Model.counted(*counts(rows), letters(rows))
+    model = Model.counted(*counts(rows), letters(docs.where("text is not null")))
     shared, mark = spark.sparkContext.broadcast(model), _mark(model)
 
     def strengths(batches):
@@ -355,7 +356,7 @@ _loaded: dict[int, tuple[Model, _Weights]] = {}
 
 
 def _mark(model: Model) -> int:
-    return zlib.crc32(repr((sorted(model.weights.items()), model.slope, model.shift)).encode())
+    return zlib.crc32(repr((sorted(model.weights.items()), sorted(model.chars.three.items()), model.slope, model.shift)).encode())
 
 
 def _in_worker(mark: int, shared) -> tuple[Model, _Weights]:
@@ -404,5 +405,5 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
 def op6_toxicity(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = scored(docs, fit(docs, labels.where(fold(3) != 1)))
+    out = scored(docs, fit(docs.where(fold(3) != 1), labels.where(fold(3) != 1)))
     return out.select("doc_id", (fold(3) == 1).alias("held_out"), "score", "predicted")

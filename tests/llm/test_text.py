@@ -189,12 +189,27 @@ def test_toxicity_fit_reads_whole_texts(spark, make):
     rows += [(i, text(400), 0) for i in range(100, 200)] + [(500, None, 1)]
     docs, labels = labelled(spark, make, [*rows, rows[0]])
     got, want = toxicity.fit(docs, labels), toxicity.Model([t for _, t, _ in rows[:-1]], [y for *_, y in rows[:-1]])
-    assert "moron" in got.weights and got.weights == want.weights and got.chars.three == want.chars.three
+    assert "moron" in got.weights and got.weights == want.weights
     assert got.slope == pytest.approx(want.slope) and got.shift == pytest.approx(want.shift)
     assert got.score("stone moron river") >= 0.7 > got.score("stone river")
     assert toxicity.fit(make([]), labels).weights == {} and toxicity.fit(docs, labels.where("false")).weights == {}
 
 
+def test_toxicity_letters_of_all_texts(spark, make):
+    """Words that only late and unlabelled texts hold enter the character model."""
+    rng = random.Random(9)
+    words = "stone river quiet morning letter garden winter silver candle paper orange travel".split()
+    text = lambda: " ".join(rng.choice(words) for _ in range(8))
+    rows = [(i, text() + " moron" * (i % 3 == 0) + " " + text(), int(i % 3 == 0)) for i in range(2400)]
+    late = [(i, "Zyxwomat, zyxwomat! the zyxwomats") for i in range(5000, 5020)]
+    docs, labels = labelled(spark, make, rows)
+    got = toxicity.fit(docs.unionByName(make([*late, (9000, None)])), labels)
+    assert got.chars.three == toxicity.CharModel(toxicity.trigrams(toxicity.words_in([t for _, t, _ in rows] + [t for _, t in late]).items())).three
+    assert got.chars.restore("zyxw0m4t") == "zyxwomat"
+    less = toxicity.fit(docs, labels)
+    assert less.weights == got.weights and toxicity._mark(less) != toxicity._mark(got)
+
+
 def test_chat_layouts(spark):
     want = [("user", "hi"), ("assistant", "yo")]
     tables = [
