@@ -6,27 +6,74 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of this process: its own shared folder in tests, and paths of tables by scope.
 _own: list[str] = []
+_scopes: list[list[str]] = []
+_run = uuid.uuid4().hex
+_folders: dict[str, object] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``.  Only where that is unset, as in
-    tests in local mode, a folder of this process's own, which goes when the process ends."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``.  Only where that is unset and the
+    master is local, as in tests, a folder of this process's own, which goes when the process ends."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="plumbline-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return f"file://{_own[0]}"
 
 
-def materialised(df: DataFrame, label: str) -> DataFrame:
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder by the file system that it is in."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _at_exit(system, folder) -> None:
+    from py4j.protocol import Py4JError
+
+    try:
+        system.delete(folder, True)
+    except (Py4JError, OSError):  # the JVM has gone before
+        pass
+
+
+def run_folder(spark: SparkSession) -> str:
+    """The folder of this process's tables, deleted when the process ends."""
+    path = f"{shared_folder(spark)}/plumbline/{_run}"
+    if path not in _folders:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        _folders[path] = folder
+        atexit.register(_at_exit, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder)
+    return path
+
+
+def materialised(df: DataFrame, label: str, outer: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read back: read twice, it is worked out
-    once, and a lost executor costs nothing of it."""
-    path = f"{shared_folder(df.sparkSession)}/plumbline/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd")
+    once, and a lost executor costs nothing of it.  With ``outer`` it outlives the scope; ``by`` are
+    columns whose values have folders of their own."""
+    path = f"{run_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    for held in _scopes[:-1][-1:] if outer else _scopes[-1:]:
+        held.append(path)
+    df.write.parquet(path, compression="zstd", partitionBy=list(by) or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables materialised within, but for outer ones, are deleted at the end.  What is read of them
+    must have been written or collected by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            deleted(spark, path)
