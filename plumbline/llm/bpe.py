@@ -1,15 +1,18 @@
 """BPE encoding and decoding through a token automaton built merge by merge.
 
-States are named by the token read last; an arc carries a token.  The automaton starts with
-one arc for each byte at every state.  The gadget of a merge (a, b -> c) cuts arc b at the
-state after a; it adds arc c at every state that had arc a, leading to a state that copies
-the arcs that the state after b has then.  (Where a and b are the same token, pairs are taken
-from the left, so arc c isn't added at the state after a itself.)  After the last gadget every
-text has exactly one path, its BPE encoding, and the path's arc labels spell the text.
-
-The table would hold states times tokens arcs, of which texts use few, so each arc is
-derived from the gadgets when it is first asked for, and kept: ``allowed`` says what the
-gadgets, applied in order, have left of it.
+Two machines are composed.  The first reads tokens; its states are named by the token read
+last.  It starts with one arc for each byte at every state.  The gadget of a merge
+(a, b -> c) cuts arc b at the state after a; it adds arc c at every state that had arc a,
+leading to a state that copies the arcs of the state after b.  (Where a and b are the same
+token, pairs are taken from the left, so arc c isn't added at the state after a itself.)
+After the last gadget every text has exactly one path, its BPE encoding, and the path's arc
+labels spell the text.  ``_arc`` says what the gadgets, applied in order, have left of an arc.
+
+The second spells tokens: a trie of their bytes.  Their composition reads bytes and is made
+deterministic by subsets: a state holds every (token-state, trie node) that a token begun at
+an earlier byte may be in, and the one token that ends here.  Words are encoded by its table,
+a row of transitions by byte for each state.  The whole table would have billions of entries,
+of which texts use few, so a row is filled when its transition is first asked for, and kept.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ from pyspark.sql import DataFrame
 
 from plumbline.llm.common import small_batches, table
 
-#: Words and arcs kept in a worker's memory; beyond that the table starts afresh.
-KEPT = 1 << 20
+#: Words and arcs kept in a worker's memory, and states of the table; beyond that they start afresh.
+KEPT, STATES = 1 << 20, 1 << 18
 START = -1
 _WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Fixed value: how byte-level BPE splits text into words before merging.
+#: Fixed value: how byte-level BPE splits text into words before merging.  Only texts below LATIN are
+#: split by it; which other characters are letters or numbers is for the library to say.
+LATIN = "\u0250"
 SPLIT = f"'s|'t|'re|'ve|'m|'ll|'d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^{_WHITE}\\p{{L}}\\p{{N}}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
 #: Runs of white space across which words can't be split at each space.
 _RUNS = re.compile(r"\s\s\s|\s\s\Z")
@@ -50,7 +55,7 @@ class Words(dict):
         if len(self) >= KEPT:
             self.clear()
         a = self.automaton
-        ids = [i for w in a.split.findall(self.lead + part) for i in a.paths[w]]
+        ids = [i for w in a.split(self.lead + part) for i in a.paths[w]]
         self[part] = got = (",".join(map(str, ids)), b"".join([a.labels[i] for i in ids]))
         return got
 
@@ -71,6 +76,7 @@ class Paths(dict):
 class Automaton:
     def __init__(self, path: str):
         import regex
+        from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
         code = byte_of_symbol()
@@ -78,10 +84,24 @@ class Automaton:
         vocab = spec["model"]["vocab"]
         self.ids = {raw(s): i for s, i in vocab.items()}
         self.labels = {i: s for s, i in self.ids.items()}
+        self.size = {i: len(s) for i, s in self.labels.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.labels |= {i: s.encode() for s, i in self.special.items()}
-        #: Every end of a token; those that are tokens themselves have their id, others -1.
-        self.ends: dict[bytes, int] = {t[i:]: -1 for t in self.ids for i in range(len(t))} | self.ids
+        # The trie: node << 8 | byte -> node, and the token that ends at a node.
+        self.child: dict[int, int] = {}
+        self.ends = [-1]
+        for label, i in self.ids.items():
+            node = 0
+            for byte in label:
+                to = self.child.setdefault(node << 8 | byte, len(self.ends))
+                if to == len(self.ends):
+                    self.ends.append(-1)
+                node = to
+            self.ends[node] = i
+        #: Nodes from which a token goes on.
+        self.inner = bytearray(len(self.ends))
+        for step in self.child:
+            self.inner[step >> 8] = 1
         self.gadget: dict[tuple[int, int], int] = {}  # (a, b) -> rank
         self.parts: dict[int, tuple[int, int, int]] = {}  # c -> (rank, a, b)
         for rank, (x, y) in enumerate(m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]):
@@ -90,7 +110,9 @@ class Automaton:
             self.parts.setdefault(c, (rank, a, b))
         self.arcs: dict[tuple[int, int], bool] = {}
         self.made: dict[int, bool] = {}
-        self.split = regex.compile(SPLIT)
+        self._afresh()
+        self._latin = regex.compile(SPLIT)
+        self._library = Tokenizer.from_file(path).pre_tokenizer
         self.marks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.first, self.words, self.paths = Words(self, ""), Words(self, " "), Paths(self)
 
@@ -129,33 +151,76 @@ class Automaton:
             self.arcs[state, token] = got = self.fires(token) and (state == START or self._arc(state, token, len(self.gadget) + 1))
         return got
 
+    def _afresh(self, name: tuple = (START,)) -> int:
+        """An empty table that holds the start, state 0, and the state of this name, whose number it returns."""
+        #: The table, state << 8 | byte -> state, and of each state its name (the token that ends here, or
+        #: START, and the pairs of token-state << 24 | trie node that tokens begun before are in).
+        self.table: dict[int, int] = {}
+        self.names: list[tuple] = list(dict.fromkeys([(START,), name]))
+        self.states: dict[tuple, int] = {x: i for i, x in enumerate(self.names)}
+        self.ended: list[int] = [x[0] for x in self.names]
+        return self.states[name]
+
+    def _step(self, state: int, byte: int) -> int:
+        """The transition, worked out and entered in the table."""
+        child, ends, inner, arcs = self.child.get, self.ends, self.inner, self.arcs.get
+        at, *begun = self.names[state]
+        to = child(byte)
+        name = [START, at << 24 | to] if inner[to] else [START]
+        token = START
+        if (t := ends[to]) >= 0 and ((ok := arcs((at, t))) or ok is None and self.allowed(at, t)):
+            token = t
+        for pair in begun:
+            to = child((pair & 0xFFFFFF) << 8 | byte)
+            if to is not None:
+                at = pair >> 24
+                if inner[to]:
+                    name.append(at << 24 | to)
+                if token < 0 and (t := ends[to]) >= 0 and ((ok := arcs((at, t))) or ok is None and self.allowed(at, t)):
+                    token = t
+        if token < 0:
+            raise ValueError(f"no arc spells byte {byte} behind token {self.ended[state]}")
+        name[0] = token
+        key = tuple(name)
+        got = self.states.get(key)
+        if got is None:
+            self.states[key] = got = len(self.ended)
+            self.names.append(key)
+            self.ended.append(token)
+        self.table[state << 8 | byte] = got
+        return got
+
     def path(self, word: bytes) -> list[int]:
         """The tokens of the one path that spells the word."""
-        n, end, arcs, allowed = len(word), self.ends.get, self.arcs.get, self.allowed
-        state = [START] * (n + 1)
-        for i in range(1, n + 1):
-            j = i - 1
-            # Longer and longer stretches that end here, as long as some token ends so.
-            while j >= 0 and (t := end(word[j:i])) is not None:
-                if t >= 0:
-                    got = arcs((state[j], t))
-                    if got or got is None and allowed(state[j], t):
-                        state[i] = t
-                        break
-                j -= 1
-            else:
-                raise ValueError(f"no arc spells byte {i} of {word!r}")
-        out = []
+        table, ended, state, tokens = self.table.get, self.ended, 0, []
+        for byte in word:
+            to = table(state << 8 | byte)
+            if to is None:
+                if len(ended) >= STATES:
+                    state = self._afresh(self.names[state])
+                    table, ended = self.table.get, self.ended
+                to = self._step(state, byte)
+            state = to
+            tokens.append(ended[state])
+        out, n, size = [], len(word), self.size
         while n:
-            out.append(state[n])
-            n -= len(self.labels[state[n]])
-        return out[::-1]
+            t = tokens[n - 1]
+            out.append(t)
+            n -= size[t]
+        out.reverse()
+        return out
+
+    def split(self, text: str) -> list[str]:
+        """The words that merges don't cross."""
+        if not text or max(text) < LATIN:
+            return self._latin.findall(text)
+        return [text[a:b] for _, (a, b) in self._library.pre_tokenize_str(text)]
 
     def _plain(self, text: str) -> list[tuple[str, bytes]]:
         if not text:
             return []
         if _RUNS.search(text):
-            return [self.first[w] for w in self.split.findall(text)]
+            return [self.first[w] for w in self.split(text)]
         head, *rest = text.split(" ")
         got = list(map(self.words.__getitem__, rest))
         return [self.first[head], *got] if head else got
@@ -189,8 +254,11 @@ def automaton(path: str) -> Automaton:
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
-    """One row per row of ``docs``: doc_id, ids array<int>, decoded string.  Null texts are empty.
-    Special tokens in texts are read as such.  Further columns are ignored."""
+    """One row per row of ``docs``: doc_id, ids array<int>, decoded string.
+
+    Null and empty texts have no ids and decode to the empty text.  Special tokens in texts are read
+    as such.  Rows that repeat, or have no doc_id, give a row each; an empty table gives none.
+    Further columns are ignored."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -203,7 +271,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: ``encoded`` without its long columns."""
+    """One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256: ``encoded`` without its
+    long columns, with the same results for null, empty and repeated rows."""
     small_batches(docs.sparkSession)
 
     def run(batches):
