@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -9,10 +11,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.sources.tables import materialised
+from plumbline.sources.tables import deleted, materialised
 
-#: Rows in one Arrow batch; long texts make larger batches too heavy for a small executor.
-ARROW_ROWS = "500"
+#: Bytes in one Arrow batch, the same for all operators; a row that is longer comes alone.
+ARROW_BYTES = "4194304"
 #: The characters that count as white space in every contract: space and \x09-\x0D.
 SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
@@ -22,24 +24,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, outer: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends here, and
     a lost executor costs no recomputation of what came before."""
-    return materialised(df, label)
+    return materialised(df, label, outer, by)
 
 
 def drop_written(df: DataFrame) -> None:
     """Delete a table of ``written`` that no later plan reads."""
-    spark = df.sparkSession
     for file in df.inputFiles()[:1]:
-        parent = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(parent, True)
+        deleted(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer where the table has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for whole texts, and send this package to the workers."""
+    """Keep Arrow batches small by their bytes, and send this package to the workers.  The setting is
+    one constant, so plans that are built at different times run alike."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def ship(spark: SparkSession) -> None:
@@ -48,7 +57,9 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_plumbline_sent", False):
         return
     root = Path(__file__).resolve().parents[1]
-    out = Path(tempfile.mkdtemp()) / "plumbline_workers.zip"
+    folder = tempfile.mkdtemp()  # on the driver alone; Spark serves the file to the executors
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    out = Path(folder) / "plumbline_workers.zip"
     with zipfile.ZipFile(out, "w") as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, str(f.relative_to(root.parent)))

@@ -290,9 +290,7 @@ def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     null doc_id keep their fingerprint; if no other id is reachable their component_id is
     null.  Repeated rows each give a row.  Further columns are ignored.
     """
-    spark = docs.sparkSession
     rows = written(fingerprints(docs), "fingerprints")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
     # Without any doc_id a fingerprint has no name that a component could take.
     fps = nodes.where("node is not null")
