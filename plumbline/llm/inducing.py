@@ -11,20 +11,41 @@ that is ranked by doubling.
 
 The common prefix of an induced suffix with the one before it in its queue is one more than
 the least value met between their inducers, so it is carried without reading the text.  Values
-count up to ``cap``; order beyond that many symbols is left open.  Queues that outgrow their
-memory go to files and come back batch by batch.
+count up to ``cap``; order beyond that many symbols is left open.
+
+Queues, those of the L-suffixes between the scans included, go to files beyond ``queued`` tuples
+and come back batch by batch; arrays with an entry per symbol or seed are files beyond
+``memory`` bytes.  The files are a task's scratch space, unlinked at once: no other task reads
+them, and a task that is run again makes them anew.
 """
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 import numpy as np
 
 #: Tuples that the queues of one scan keep in memory; the rest is in a file.
-QUEUED = 1 << 23
+QUEUED = 1 << 20
 #: Length up to which a string of names is ranked by doubling instead of a further level.
 BASE = 1 << 22
+#: Bytes up to which an array is in memory, and tuples that leave a queue at once.
+MEMORY, BATCH = 1 << 25, 1 << 18
+
+
+def scratch():
+    """An unlinked file where executors keep scratch data."""
+    named = os.environ.get("SPARK_LOCAL_DIRS") or os.environ.get("LOCAL_DIRS")
+    folder = named.split(",")[0] if named else None
+    return tempfile.TemporaryFile(dir=folder if folder and os.path.isdir(folder) else None)
+
+
+def room(n: int, kind, memory: int) -> np.ndarray:
+    """An array to fill; a file if it is large."""
+    if n * np.dtype(kind).itemsize <= memory:
+        return np.empty(n, kind)
+    return np.memmap(scratch(), kind, "w+", shape=(n,))
 
 
 class Queues:
@@ -42,7 +63,7 @@ class Queues:
 
     def _spill(self) -> None:
         if self.file is None:
-            self.file = tempfile.TemporaryFile()
+            self.file = scratch()
         self.file.seek(0, 2)
         for symbol, batches in self.batches.items():
             for i, (p, v) in enumerate(batches):
@@ -53,18 +74,25 @@ class Queues:
                     batches[i] = ((at, len(p), p.dtype, v.dtype), None)
         self.held = 0
 
-    def pop(self, symbol: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """All that waits for this symbol, in order."""
-        got = self.batches.pop(symbol, None)
-        if got is None:
+    def pop(self, symbol: int, last: bool = False) -> tuple[np.ndarray, np.ndarray] | None:
+        """The first (or last) batches that wait for this symbol, about BATCH tuples, in order."""
+        waiting = self.batches.get(symbol)
+        if not waiting:
             return None
+        n, size = 0, 0
+        while n < len(waiting) and size < BATCH:
+            p = waiting[-1 - n if last else n][0]
+            size += len(p) if isinstance(p, np.ndarray) else p[1]
+            n += 1
+        got = waiting[-n:] if last else waiting[:n]
+        self.batches[symbol] = waiting[:-n] if last else waiting[n:]
         out = []
         for p, v in got:
             if not isinstance(p, np.ndarray):
-                at, n, pk, vk = p
+                at, k, pk, vk = p
                 self.file.seek(at)
-                p = np.frombuffer(self.file.read(n * pk.itemsize), pk)
-                v = np.frombuffer(self.file.read(n * vk.itemsize), vk)
+                p = np.frombuffer(self.file.read(k * pk.itemsize), pk)
+                v = np.frombuffer(self.file.read(k * vk.itemsize), vk)
             else:
                 self.held -= len(p)
             out.append((p, v))
@@ -153,17 +181,19 @@ def _range_least(values: np.ndarray, a: np.ndarray, b: np.ndarray, skip: np.ndar
     return out
 
 
-def _types(text: np.ndarray) -> np.ndarray:
+def _types(text: np.ndarray, memory: int = MEMORY) -> np.ndarray:
     """True for S-suffixes; the last symbol, less than all others, counts as S."""
     n = len(text)
-    s = np.empty(n, bool)
+    s = room(n, bool, memory)
     s[-1] = True
-    differs = np.flatnonzero(text[1:] != text[:-1])  # the type of these is seen at once
-    less = text[differs] < text[differs + 1]
-    at = np.searchsorted(differs, np.arange(n - 1))
-    ends = at < len(differs)
-    s[:-1] = True
-    s[:-1][ends] = less[at[ends]]
+    ahead = True  # the type behind the part in hand
+    for stop in range(n - 1, 0, -BATCH * 4):
+        start = max(0, stop - BATCH * 4)
+        part, behind = text[start:stop], text[start + 1 : stop + 1]
+        differs = np.flatnonzero(part != behind)  # the type of these is seen at once
+        less = np.append(part[differs] < behind[differs], ahead)
+        s[start:stop] = less[np.searchsorted(differs, np.arange(stop - start))]
+        ahead = bool(s[start])
     return s
 
 
@@ -191,30 +221,26 @@ def _scan(text: np.ndarray, s: np.ndarray, seeds: np.ndarray, values: np.ndarray
     """
     kind = seeds.dtype
     # Left scan: at each symbol its L-suffixes, then its seeds.
-    queues, least, lefts = Queues(queued), _Least(cap), {}
-    heads = text[seeds]
-    cut = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]]))
-    seeded = {int(heads[a]): (a, b) for a, b in zip(cut, np.concatenate([cut[1:], [len(heads)]]))}
-    waiting = sorted(set(np.unique(text).tolist()))
+    queues, least, lefts = Queues(queued), _Least(cap), Queues(queued)
+    seeded = _seeded(text, seeds)
+    tail: dict[int, np.ndarray] = {}  # the last L-suffix of each symbol
+    waiting = _symbols(text)
     for c in waiting:
-        first = True
         while (got := queues.pop(c)) is not None:
             p, v = got
-            if first:
+            if c not in tail:
                 v = v.copy()
                 v[0] = 0
-            first = False
-            lefts.setdefault(c, []).append((p, v))
+            tail[c] = p[-1:].copy()
+            lefts.push(c, p, v)
             _induce(text, s, p, v, False, queues, least, kind)
         if c in seeded:
-            a, b = seeded[c]
-            v = values[a:b].copy()
-            if c in lefts:
-                last = lefts[c][-1][0][-1:]
-                v[0] = common(text, last, seeds[a : a + 1], cap)[0]
-            else:
-                v[0] = 0
-            _induce(text, s, seeds[a:b], v, False, queues, least, kind)
+            for a in range(*seeded[c], BATCH):
+                b = min(a + BATCH, seeded[c][1])
+                v = values[a:b].copy()
+                if a == seeded[c][0]:
+                    v[0] = common(text, tail[c], seeds[a : a + 1], cap)[0] if c in tail else 0
+                _induce(text, s, seeds[a:b], v, False, queues, least, kind)
     queues.close()
     # Right scan: at each symbol its S-suffixes, then its L-suffixes, all descending.
     queues, least = Queues(queued), _Least(cap)
@@ -226,7 +252,7 @@ def _scan(text: np.ndarray, s: np.ndarray, seeds: np.ndarray, values: np.ndarray
             if before is None:
                 v = v.copy()
                 v[0] = 0
-            before = p[-1:]
+            before = p[-1:].copy()
             yield p, v
             _induce(text, s, p, v, True, queues, least, kind)
         if c == text[-1]:
@@ -234,15 +260,35 @@ def _scan(text: np.ndarray, s: np.ndarray, seeds: np.ndarray, values: np.ndarray
             before = end
             yield end, v
             _induce(text, s, end, v, True, queues, least, kind)
-        if c in lefts:
-            p = np.concatenate([x[0] for x in lefts[c]])[::-1]
-            v = np.concatenate([x[1] for x in lefts.pop(c)])
-            v = np.concatenate([[0], v[1:][::-1]]).astype(np.uint8)
-            if before is not None:
+        link = None  # common prefix of the last suffix yielded with the one before it in the left scan
+        while (got := lefts.pop(c, last=True)) is not None:
+            p, v = got[0][::-1], got[1][::-1]
+            v, link = np.concatenate([[0 if link is None else link], v[:-1]]).astype(np.uint8), int(v[-1])
+            if before is not None and p[0] == tail[c][0]:
                 v[0] = common(text, before, p[:1], cap)[0]
             yield p, v
             _induce(text, s, p, v, True, queues, least, kind)
     queues.close()
+    lefts.close()
+
+
+def _symbols(text: np.ndarray) -> list[int]:
+    found: set[int] = set()
+    for at in range(0, len(text), 4 * BATCH):
+        found.update(np.unique(text[at : at + 4 * BATCH]).tolist())
+    return sorted(found)
+
+
+def _seeded(text: np.ndarray, seeds: np.ndarray) -> dict[int, tuple[int, int]]:
+    """Where the seeds of each first symbol stand."""
+    out: dict[int, tuple[int, int]] = {}
+    for at in range(0, len(seeds), BATCH):
+        heads = text[seeds[at : at + BATCH]]
+        cut = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]])).tolist()
+        for a, b in zip(cut, [*cut[1:], len(heads)]):
+            c = int(heads[a])
+            out[c] = (out[c][0] if c in out else at + a, at + b)
+    return out
 
 
 def _induce(text, s, p, v, to_s: bool, queues: Queues, least: _Least, kind) -> None:
@@ -272,56 +318,83 @@ def _doubled(names: np.ndarray, depth: int) -> np.ndarray:
             return order
 
 
-def _names(text: np.ndarray, order: np.ndarray, lms: np.ndarray) -> np.ndarray:
-    """Name of the substring from each leftmost S-place to the next, for ``order``ed places."""
-    size = np.empty(len(text), np.int32)
-    size[lms] = np.diff(np.concatenate([lms, [len(text)]])) + 1
-    a, b = order[:-1], order[1:]
-    same = size[a] == size[b]
-    left = np.flatnonzero(same)
-    k = 0
-    n = len(text)
-    while len(left):
-        left = left[size[a[left]] > k]
-        x, y = a[left] + k, b[left] + k
-        ok = (x < n) & (y < n)
-        ok[ok] = text[x[ok]] == text[y[ok]]
-        same[left[~ok]] = False
-        left = left[ok]
-        k += 1
-    return np.concatenate([[0], np.cumsum(~same)])
+def _names(text: np.ndarray, order: np.ndarray, lms: np.ndarray, memory: int) -> np.ndarray:
+    """The name of the substring from each leftmost S-place to the next, by place; ``order`` has the
+    places in order."""
+    n, name = len(text), -1
+    out = room(len(lms), np.int64, memory)
+    for at in range(0, len(order), BATCH):
+        part = np.asarray(order[max(at - 1, 0) : at + BATCH])
+        index = np.searchsorted(lms, part)
+        stop = np.where(index + 1 < len(lms), lms[np.minimum(index + 1, len(lms) - 1)], n)
+        size = stop - part + 1
+        a, b = part[:-1], part[1:]
+        same = size[:-1] == size[1:]
+        left = np.flatnonzero(same)
+        k = 0
+        while len(left):
+            left = left[size[left] > k]
+            x, y = a[left] + k, b[left] + k
+            ok = (x < n) & (y < n)
+            ok[ok] = text[x[ok]] == text[y[ok]]
+            same[left[~ok]] = False
+            left = left[ok]
+            k += 1
+        new = ~same if at else np.concatenate([[True], ~same])
+        got = name + np.cumsum(new)
+        out[index if not at else index[1:]] = got
+        name = int(got[-1]) if len(got) else name
+    return out
+
+
+def _filled(parts, n: int, kind, memory: int) -> np.ndarray:
+    """Parts one behind the other, from the end to the start."""
+    out, at = room(n, kind, memory), n
+    for p in parts:
+        out[at - len(p) : at] = p[::-1]
+        at -= len(p)
+    return out
 
 
-def descending(text: np.ndarray, cap: int, queued: int = QUEUED, base: int = BASE):
+def descending(text: np.ndarray, cap: int, queued: int = QUEUED, base: int = BASE, memory: int = MEMORY):
     """Batches (positions, values) of all suffixes of ``text`` in descending order, by at least
     ``cap`` symbols; each value is the common prefix with the suffix before, up to cap.
 
     text: integers of 0 or more; the last is less than all others.
     """
     kind = np.int32 if len(text) < 2**31 else np.int64
-    s = _types(text)
-    lms = (np.flatnonzero(s[1:] & ~s[:-1]) + 1).astype(kind)
+    s = _types(text, memory)
+    found = []
+    for at in range(0, len(text), 4 * BATCH):
+        part = s[max(at - 1, 0) : at + 4 * BATCH]
+        found.append((np.flatnonzero(part[1:] & ~part[:-1]) + max(at - 1, 0) + 1).astype(kind))
+    lms = _filled((p[::-1] for p in reversed(found)), sum(map(len, found)), kind, memory)
+    del found
     if not len(lms):
         lms = np.array([len(text) - 1], kind)
     seeds = lms
     if len(lms) > 1:
-        rough = lms[np.argsort(text[lms], kind="stable")]
-        is_lms = np.zeros(len(text), bool)
-        is_lms[lms] = True
-        sorted_lms = [p[is_lms[p]] for p, _ in _scan(text, s, rough, np.zeros(len(rough), np.uint8), cap, queued)]
-        order = np.concatenate(sorted_lms)[::-1]
-        name = np.empty(len(text), np.int64)
-        name[order] = _names(text, order, lms)
-        names = name[lms]
-        del name
-        if len(np.unique(names)) == len(names):
+        rough = room(len(lms), kind, memory)
+        rough[:] = lms[np.argsort(text[lms], kind="stable")]
+        rough_values = room(len(rough), np.uint8, memory)
+        rough_values[:] = 0
+        picked = (p[(p > 0) & s[p] & ~s[p - 1]] for p, _ in _scan(text, s, rough, rough_values, cap, queued))
+        order = _filled(picked, len(lms), kind, memory)
+        del rough, rough_values
+        names = _names(text, order, lms, memory)
+        if int(names.max()) + 1 == len(names):
             seeds = order
         elif len(names) <= base:
             seeds = lms[_doubled(names, cap)]
         else:
-            below = np.concatenate([names + 1, [0]])
-            ranked = [p for p, _ in descending(below, min(cap, 255), queued, base)]
-            ranked = np.concatenate(ranked)[::-1]
-            seeds = lms[ranked[ranked < len(lms)]]
-    values = np.concatenate([np.zeros(1, np.uint8), common(text, seeds[:-1], seeds[1:], cap)])
-    yield from _scan(text, s, seeds.astype(kind), values, cap, queued)
+            below = room(len(names) + 1, np.int64, memory)
+            below[:-1], below[-1] = names, 0
+            below[:-1] += 1
+            ranked = (lms[p[p < len(lms)]] for p, _ in descending(below, min(cap, 255), queued, base, memory))
+            seeds = _filled(ranked, len(lms), kind, memory)
+    values = room(len(seeds), np.uint8, memory)
+    values[:1] = 0
+    for at in range(1, len(seeds), BATCH):
+        stop = min(at + BATCH, len(seeds))
+        values[at:stop] = common(text, seeds[at - 1 : stop - 1], seeds[at:stop], cap)
+    yield from _scan(text, s, seeds.astype(kind, copy=False), values, cap, queued)

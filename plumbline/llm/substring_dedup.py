@@ -1,166 +1,241 @@
 """Substring dedup of words: a log-structured index of window fingerprints.
 
-A window is 50 consecutive words.  Windows that can repeat come from ``anchored``; those
-around anchors of differing surroundings are fingerprinted (64 bits, and 64 more from other
-word values to verify) and go, batch by batch in order of doc_id, through the index: sorted
-immutable runs of the fingerprints of earlier batches, each with the smallest document that
-holds it.  A batch is merge-joined with the runs and itself, its new fingerprints become one
-more run, and runs are compacted into one when there are several.
+Of every 50 consecutive words a smaller window, the anchor, is chosen by its content
+(``anchored``); the index holds the fingerprints of these windows and of the segments around
+them, in sorted immutable runs, one for each batch of documents.  A new batch is merge-joined
+with the runs, read chunk by chunk in order of their key, and with itself.  Its anchors that
+meet no others end there.  A segment that equals an older one byte for byte is covered.  Where
+segments of an anchor differ, their windows of 50 words are verified: windows are equal by a
+128-bit digest of their words.  The batch's new fingerprints become one more run; when there
+are several runs they are compacted into one, dealt into more buckets as the index grows.
+
+An index that has a folder can be opened again later, and tells what a further batch repeats.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import rolling
-from plumbline.llm.anchored import HELD, WORDS, Units, _groups, as_bytes, pack, repeated, unpack, word_hashes
-from plumbline.llm.common import partitions, small_batches, table, written
+from plumbline.llm.anchored import AGAIN, COVER, CROWDED, FOUND, HELD, NEED, OLD, SENT, WORDS, Units, _groups, _together, as_bytes, covers, dealt, digests, merged, met, sent_anchors, sent_frame
+from plumbline.llm.common import fresh, partitions, small_batches, table, written
 from plumbline.llm.suffix_dedup import joined, with_covers
 
-#: Batches that a whole table is taken in, and runs that are compacted into one.
-BATCHES, FANOUT = 3, 2
-NEW = {"hash": "<u8", "check": "<u8", "doc": "<i8", "pos": "<i4"}
-RUN = {"hash": "<u8", "check": "<u8", "doc": "<i8"}
-_OTHER = np.uint64(0xA0761D6478BD642F)
-
-
-def _sorted(c: dict) -> dict:
-    o = np.lexsort((*([c["pos"]] if "pos" in c else []), c["doc"], c["check"], c["hash"]))
-    return {k: v[o] for k, v in c.items()}
-
-
-def _together(blobs, kinds) -> dict:
-    got = [unpack(x, kinds) for x in blobs]
-    return {k: np.concatenate([g[k] for g in got]) if got else np.zeros(0, kinds[k]) for k in kinds}
+#: Batches that a whole table is taken in, runs that are compacted into one, and entries of a bucket
+#: from which on a compacted run has more buckets.
+BATCHES, FANOUT, GROWN = 4, 3, 1 << 23
+WINDOW = {"d0": "<u8", "d1": "<u8", "doc": "<i8", "pos": "<i4"}
+RUN = "bucket int, low long, n int, blob binary"
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (hash, check, smallest doc_id), as tables in the shared folder."""
-
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT):
-        self.spark, self.fanout, self.runs = spark, fanout, []
-        #: Fixed for the index's life, so that a fingerprint's bucket never changes.
-        self.buckets = partitions(spark)
-
-    def add(self, batch: DataFrame) -> DataFrame:
-        """doc_id, pos of the windows in ``batch`` (bucket, blob) whose fingerprint is in the index or
-        in the batch with a smaller doc_id; then the batch's new fingerprints are in the index."""
-        n = self.buckets
+    """Sorted immutable runs of fingerprints, as tables: in ``folder``, with the texts that verification
+    reads and a manifest, or else in the shared folder for this session alone."""
+
+    def __init__(self, spark: SparkSession, units: Units = WORDS, fanout: int = FANOUT, folder: str | None = None):
+        self.spark, self.units, self.fanout, self.folder = spark, units, fanout, folder
+        self.runs: list[DataFrame] = []
+        self.buckets, self.version = partitions(spark), 0
+        self.paths: dict[str, list[str]] = {"runs": [], "texts": [], "crowds": []}
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, units: Units = WORDS, fanout: int = FANOUT) -> FingerprintIndex:
+        """The index as it was after its last batch."""
+        index = cls(spark, units, fanout, folder)
+        last = spark.read.json(f"{folder}/manifest-*").orderBy(F.desc("version")).first()
+        index.version, index.buckets = last["version"], last["buckets"]
+        index.paths = {k: list(last[k]) for k in index.paths}
+        index.runs = [spark.read.schema(RUN).parquet(p) for p in index.paths["runs"]]
+        return index
+
+    def _kept(self, df: DataFrame, kind: str) -> DataFrame:
+        if self.folder is None:
+            return written(df, kind)
+        path = f"{self.folder}/{kind}-{uuid.uuid4().hex}"
+        df.write.parquet(path, compression="zstd")
+        self.paths[kind].append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def add(self, sent: DataFrame) -> DataFrame:
+        """FOUND rows of a batch of ``sent_anchors``; then the batch's fingerprints are in the index."""
+        n, across = self.buckets, self.units.across
+
+        def frame(x: pd.DataFrame) -> pd.DataFrame:
+            return x.assign(bucket=np.int32(0), low=np.int64(0), n=np.int32(0), blob=None)
 
         def merge(batches):
-            new, old, bucket = [], [], 0
-            for b in batches:
-                for k, blob, is_run in zip(b["bucket"], b["blob"], b["is_run"]):
-                    (old if is_run else new).append(blob)
-                    bucket = k
-            fresh, past = _sorted(_together(new, NEW)), _together(old, RUN)
-            both = {k: np.concatenate([past[k], fresh[k]]) for k in RUN}
-            o = np.lexsort((both["doc"], both["check"], both["hash"]))
-            both = {k: v[o] for k, v in both.items()}
-            first = _groups(both["hash"], both["check"])
-            least = np.empty(len(o), np.int64)
-            least[o] = both["doc"][first]
-            of_new = least[len(past["doc"]) :]
-            later = fresh["doc"] > of_new
-            if later.any():
-                yield pd.DataFrame({"doc_id": fresh["doc"][later], "pos": fresh["pos"][later].astype(np.int64), "bucket": np.int32(0), "blob": None})
-            from_past = o < len(past["doc"])
-            heads = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])) if len(o) else np.zeros(0, np.int64)
-            add = heads[~from_past[heads]]
-            if len(add):
-                yield pd.DataFrame([(None, None, int(bucket), pack({k: both[k][add] for k in RUN}))], columns=["doc_id", "pos", "bucket", "blob"]).astype({"doc_id": "Int64", "pos": "Int64", "bucket": "int32"})
-
-        rows = batch.select("bucket", "blob", F.lit(False).alias("is_run"))
+            found: list = []
+            for c in merged(batches, found):
+                for x in met(c, across):
+                    if isinstance(x, pd.DataFrame):
+                        yield frame(x)
+                    elif len(x["doc"]):
+                        chunks = [(bucket, low, int(np.frombuffer(blob, np.int64, 1)[0]), blob) for bucket, low, blob in dealt(x, n, run=True)]
+                        out = pd.DataFrame(chunks, columns=["bucket", "low", "n", "blob"]).reindex(columns=[*(x.split()[0] for x in f"{FOUND}, {RUN}".split(", "))])
+                        yield out.astype({**{x: "Int64" for x in ("doc_id", "lo", "hi", "pos", "anchor")}, "kind": "Int8", "bucket": "int32", "n": "int32"})
+            yield from map(frame, found)
+
+        every = sent
         for r in self.runs:
-            rows = rows.unionByName(r.select("bucket", "blob", F.lit(True).alias("is_run")))
-        out = written(rows.repartitionById(n, F.col("bucket")).mapInPandas(merge, "doc_id long, pos long, bucket int, blob binary"), "window-batch")
-        self.runs.append(out.where("blob is not null").select("bucket", "blob"))
+            nulls = [F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in FOUND.split(", "))]
+            every = every.unionByName(r.select(F.lit(0).alias("batch"), "bucket", "low", F.lit(True).alias("old"), "blob", *nulls))
+        out = every.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "low").mapInPandas(merge, f"{FOUND}, {RUN}")
+        out = written(out, "met")
+        run = out.where("blob is not null").select("bucket", "low", "n", "blob")
+        self.runs.append(run if self.folder is None else self._kept(run, "runs"))
         if len(self.runs) >= self.fanout:
             self.compact()
-        return out.where("blob is null").select("doc_id", "pos")
+        return out.where("blob is null").select(*[x.split()[0] for x in FOUND.split(", ")])
 
     def compact(self) -> None:
         """Merge all runs into one."""
-        n = self.buckets
-
-        def merge(batches):
-            blobs = [(k, x) for b in batches for k, x in zip(b["bucket"], b["blob"])]
-            if blobs:
-                c = _sorted(_together([x for _, x in blobs], RUN))
-                first = _groups(c["hash"], c["check"])
-                heads = first == np.arange(len(first))
-                yield pd.DataFrame([(int(blobs[0][0]), pack({k: v[heads] for k, v in c.items()}))], columns=["bucket", "blob"]).astype({"bucket": "int32"})
-
         rows = self.runs[0]
         for r in self.runs[1:]:
             rows = rows.unionByName(r)
-        self.runs = [written(rows.repartitionById(n, F.col("bucket")).mapInPandas(merge, "bucket int, blob binary"), "window-run")]
+        total = rows.agg(F.sum("n")).first()[0] or 0
+        n = self.buckets
+        while total > n * GROWN:
+            n *= 2
 
+        def split(batches):  # each bucket into those that take its place
+            for b in batches:
+                for blob in b["blob"]:
+                    for c in merged([pd.DataFrame({"low": [0], "old": [False], "blob": [blob]})], []):
+                        yield pd.DataFrame([(*x, False) for x in dealt(c, n, run=True)], columns=["bucket", "low", "blob", "old"])
 
-def window_fingerprints(docs: DataFrame, needs: DataFrame, units: Units, buckets: int) -> DataFrame:
-    """doc_id, pos (known to repeat within a task) or bucket, batch_id, blob of fingerprints.
+        def merge(batches):
+            for c in merged(batches, []):
+                o = np.lexsort((c["doc"], c["right"] == 0, c["d1"], c["d0"], c["anchor"]))
+                c = {k: v[o] for k, v in c.items()}
+                head = _groups(c["anchor"], c["d0"], c["d1"], c["right"] == 0) == np.arange(len(o))
+                chunks = [(bucket, low, int(np.frombuffer(blob, np.int64, 1)[0]), blob) for bucket, low, blob in dealt({k: v[head] for k, v in c.items()}, n, run=True)]
+                yield pd.DataFrame(chunks, columns=["bucket", "low", "n", "blob"]).astype({"bucket": "int32", "n": "int32"})
+
+        kind = "bucket int, low long, old boolean, blob binary"
+        rows = rows.select("bucket", "low", F.lit(False).alias("old"), "blob") if n == self.buckets else rows.select("blob").mapInPandas(split, kind)
+        self.buckets, self.paths["runs"] = n, []
+        self.runs = [self._kept(rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "low").mapInPandas(merge, RUN), "runs")]
+
+    def removed(self, docs: DataFrame) -> DataFrame:
+        """doc_id, lo, hi: the words of a further batch that repeat windows of documents added before, or
+        of the batch's documents of smaller doc_id.  Then the batch is in the index, and in its folder."""
+        if self.folder is None:
+            raise ValueError("an index that takes one batch after another needs a folder")
+        docs = docs.select("doc_id", "text").where("doc_id is not null")
+        small_batches(self.spark)
+        sent = written(sent_anchors(docs, self.units, self.buckets), "sent")
+        found = written(self.add(sent), "found")
+        kind = F.col("kind")
+        new, old = found.where(kind.isin(NEED, CROWDED)), found.where(kind.isin(OLD, AGAIN))
+        for path in self.paths["crowds"]:
+            old = old.unionByName(self.spark.read.schema(found.schema).parquet(path).join(new.select("anchor").distinct(), "anchor", "left_semi").select(*found.columns))
+        rows = windows(docs, new, self.units, self.buckets)
+        for path in self.paths["texts"]:
+            rows = rows.unionByName(windows(self.spark.read.schema(docs.schema).parquet(path), old, self.units, self.buckets, True))
+        told = found.where(kind == COVER).select("doc_id", "lo", "hi").unionByName(verified(rows, self.units, self.buckets))
+        told = written(told, "told")
+        self._kept(docs, "texts")
+        self._kept(found.where(kind == CROWDED), "crowds")
+        self.version += 1
+        self.spark.createDataFrame([(self.version, self.buckets, *self.paths.values())], "version int, buckets int, runs array<string>, texts array<string>, crowds array<string>").coalesce(1).write.json(f"{self.folder}/manifest-{self.version}")
+        return told
+
+
+def by_digest(c: dict) -> np.ndarray:
+    return c["d0"] >> np.uint64(1)
+
+
+def _later(c: dict) -> tuple[dict, np.ndarray]:
+    """Windows in order, and which of them an earlier document holds too."""
+    o = np.lexsort((c["pos"], c["doc"], *([~c["old"]] if "old" in c else []), c["d1"], c["d0"]))
+    c = {k: v[o] for k, v in c.items()}
+    first = _groups(c["d0"], c["d1"])
+    later = c["doc"] > c["doc"][first]
+    return c, ~c["old"] & (later | c["old"][first]) if "old" in c else later
+
+
+def _rows(c: dict, which: np.ndarray, size: int) -> pd.DataFrame:
+    pos = c["pos"][which].astype(np.int64)
+    return covers(pd.DataFrame({"doc_id": c["doc"][which], "lo": pos, "hi": pos + size, "pos": pos, "anchor": np.int64(0), "kind": np.int8(COVER)}))
+
+
+def windows(docs: DataFrame, needs: DataFrame, units: Units, buckets: int, old: bool = False) -> DataFrame:
+    """The windows in the needed stretches, in chunks by ranges of their digest (SENT and FOUND).
 
     Of equal windows in one task only those of its smallest document travel on.
     """
-    n = buckets
     wanted = needs.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("wanted"))
 
     def find(batches):
         held, size = [], 0
 
         def flush():
-            c = _sorted({k: np.concatenate([h[k] for h in held]) for k in (*NEW, "batch")})
-            first = _groups(c["hash"], c["check"])
-            later = c["doc"] > c["doc"][first]
-            if later.any():
-                yield pd.DataFrame({"doc_id": c["doc"][later], "pos": c["pos"][later].astype(np.int64), "batch_id": np.int32(-1), "bucket": np.int32(0), "blob": None})
+            c, later = _later(_together(held))
+            done = [_rows(c, later, units.size)] if later.any() and not old else []
             c = {k: v[~later] for k, v in c.items()}
-            bucket = (c["hash"] % np.uint64(n)).astype(np.int32)
-            o = np.lexsort((c["pos"], c["doc"], bucket, c["batch"]))
-            c, bucket = {k: v[o] for k, v in c.items()}, bucket[o]
-            at = np.flatnonzero(_groups(bucket, c["batch"]) == np.arange(len(o)))
-            rows = [(None, None, int(c["batch"][a]), int(bucket[a]), pack({k: c[k][a:b] for k in NEW})) for a, b in zip(at, [*at[1:], len(o)])]
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "batch_id", "bucket", "blob"]).astype({"doc_id": "Int64", "pos": "Int64", "batch_id": "int32", "bucket": "int32"})
+            out = sent_frame([(0, *x) for x in dealt(c, buckets, WINDOW, by_digest)], done, buckets)
+            return out.assign(old=old)
 
         for b in batches:
-            for doc, text, batch, wanted in zip(b["doc_id"], b["text"], b["batch_id"], b["wanted"]):
-                values = word_hashes(as_bytes(text))
-                start = np.zeros(len(values) + 1, np.int32)
+            for doc, text, wanted in zip(b["doc_id"], b["text"], b["wanted"]):
+                words = as_bytes(text).split()
+                start = np.zeros(len(words) + 1, np.int32)
                 for w in wanted:
                     start[w["lo"]] += 1
                     start[w["hi"] - units.size + 1] -= 1
                 pos = np.flatnonzero(np.cumsum(start)[:-1] > 0)
-                sums, more = rolling.prefix(values), rolling.prefix(rolling.mixed(values ^ _OTHER))
-                held.append({"hash": rolling.spans(sums, pos, pos + units.size), "check": rolling.spans(more, pos, pos + units.size), "doc": np.full(len(pos), doc, np.int64), "pos": pos.astype(np.int32), "batch": np.full(len(pos), batch, np.int32)})
+                stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                starts = np.concatenate([[0], stops[:-1] + 1])
+                marks = digests(b" ".join(words), starts[pos], stops[pos + units.size - 1])
+                held.append({"d0": marks[:, 0], "d1": marks[:, 1], "doc": np.full(len(pos), doc, np.int64), "pos": pos.astype(np.int32)})
                 size += len(pos)
                 if size >= HELD:
-                    yield from flush()
+                    yield flush()
                     held, size = [], 0
         if size:
-            yield from flush()
+            yield flush()
 
-    return docs.join(wanted, "doc_id").mapInPandas(find, "doc_id long, pos long, batch_id int, bucket int, blob binary")
+    return docs.select("doc_id", "text").join(wanted, "doc_id").mapInPandas(find, f"{SENT}, {FOUND}")
+
+
+def verified(rows: DataFrame, units: Units, buckets: int) -> DataFrame:
+    """doc_id, lo, hi of the windows that an earlier document holds too, word for word."""
+
+    def merge(batches):
+        found: list = []
+        for c in merged(batches, found, WINDOW, by_digest):
+            c, later = _later(c)
+            if later.any():
+                yield _rows(c, later, units.size)
+        yield from found
+
+    rows = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "low")
+    return rows.mapInPandas(merge, FOUND).select("doc_id", "lo", "hi")
 
 
 def removed_words(docs: DataFrame, units: Units = WORDS, batches: int = BATCHES) -> DataFrame:
-    """doc_id, lo, hi: stretches of words to remove, in pieces that may overlap."""
+    """doc_id, lo, hi: stretches of words to remove, in pieces that may overlap.
+
+    The table goes through an index in batches that are ranges of doc_id, so that each meets only
+    earlier documents there; the windows that all batches ask for are verified in one pass."""
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    found = repeated(docs, units)
-    # Batches are ranges of doc_id, so that each meets only earlier documents in the index.
-    cuts = docs.select("doc_id").approxQuantile("doc_id", [(i + 1) / batches for i in range(batches - 1)], 0.01) if batches > 1 else []
-    batch = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0)).cast("int")
-    index = FingerprintIndex(spark)
-    rows = written(window_fingerprints(docs.withColumn("batch_id", batch), found.where("need"), units, index.buckets), "windows")
-    covers = found.where("not need").select("doc_id", "lo", "hi")
-    repeats = rows.where("batch_id = -1").select("doc_id", "pos")
-    for i in range(batches):
-        repeats = repeats.unionByName(index.add(rows.where(F.col("batch_id") == i)))
-    return covers.unionByName(repeats.select("doc_id", F.col("pos").alias("lo"), (F.col("pos") + units.size).alias("hi")))
+    cuts = sorted({int(x) for x in docs.select("doc_id").approxQuantile("doc_id", [(i + 1) / batches for i in range(batches - 1)], 0.01)}) if batches > 1 else []
+    index = FingerprintIndex(spark, units)
+    sent = written(sent_anchors(docs, units, index.buckets, cuts), "sent", by=("batch",))
+    # Batch -1 is what tasks have found out before.
+    found = sent.where("batch = -1").select(*[x.split()[0] for x in FOUND.split(", ")])
+    for i in range(len(cuts) + 1):
+        found = found.unionByName(index.add(sent.where(F.col("batch") == i)))
+    needs = found.where((F.col("kind") != COVER) & (F.col("kind") != AGAIN))
+    told = verified(windows(docs, needs, units, index.buckets), units, index.buckets)
+    return found.where(F.col("kind") == COVER).select("doc_id", "lo", "hi").unionByName(told)
 
 
 def kept_words(words: list[bytes], spans) -> list[bytes]:
@@ -175,12 +250,12 @@ def without_passages(docs: DataFrame, units: Units = WORDS, batches: int = BATCH
     """The rows of ``docs`` in all columns; ``text`` without repeated passages, and ``n_chars``, if
     there is one, of the new text.  Texts that lose nothing stay as they are."""
     small_batches(docs.sparkSession)
-    names = docs.columns
+    names, extra = docs.columns, fresh(docs, "spans")
 
     def run(batches):
         for b in batches:
             table = pa.Table.from_batches([b])
-            spans, texts = table.column("__spans").to_pylist(), table.column("text").to_pylist()
+            spans, texts = table.column(extra).to_pylist(), table.column("text").to_pylist()
             new = [b" ".join(kept_words(as_bytes(t).split(), s)).decode("utf-8", "surrogatepass") if s else t for t, s in zip(texts, spans)]
             for name, values in (("text", new), ("n_chars", [len(t) if s else None for t, s in zip(new, spans)])):
                 if name in names:
@@ -189,7 +264,8 @@ def without_passages(docs: DataFrame, units: Units = WORDS, batches: int = BATCH
                     table = table.set_column(at, name, pa.array([o if v is None else v for v, o in zip(values, old)], kind))
             yield from table.select(names).to_batches()
 
-    return with_covers(docs, removed_words(docs, units, batches)).select(*names, "__spans").mapInArrow(run, docs.schema)
+    told = removed_words(docs, units, batches)
+    return with_covers(docs, told, extra).select(*[F.col(f"`{x}`") for x in (*names, extra)]).mapInArrow(run, docs.schema)
 
 
 def substring_dedup(docs: DataFrame, units: Units = WORDS, batches: int = BATCHES) -> DataFrame:
@@ -206,13 +282,13 @@ def substring_dedup(docs: DataFrame, units: Units = WORDS, batches: int = BATCHE
     def finish(batches):
         for b in batches:
             rows = []
-            for doc, text, spans in zip(b["doc_id"], b["text"], b["__spans"]):
+            for doc, text, spans in zip(b["doc_id"], b["text"], b["spans"]):
                 words = as_bytes(text).split()
                 kept = kept_words(words, spans)
                 rows.append((doc, len(words), len(words) - len(kept), b" ".join(kept).decode("utf-8", "surrogatepass")))
             yield pd.DataFrame(rows, columns=["doc_id", "n_words", "n_removed", "kept_text"]).astype({"doc_id": "Int64"})
 
-    return with_covers(docs, removed_words(docs, units, batches)).mapInPandas(finish, "doc_id long, n_words long, n_removed long, kept_text string")
+    return with_covers(docs, removed_words(docs, units, batches), "spans").mapInPandas(finish, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def op2_substring_dedup(spark, sf_dir):

@@ -1,16 +1,15 @@
 """Suffix-array dedup: bytes covered by a 100-byte string that also starts earlier.
 
-``anchored`` finds which stretches can repeat and settles those whose surroundings are equal.
-The rest, segments around an anchor with differing surroundings, goes to shards by anchor.
-Each shard's segments form one text; its suffixes are sorted by external induction with
-common-prefix values (``inducing``), and suffixes with 100 bytes in common are one string:
-all of its starts but the earliest are covered.
+``anchored`` finds which stretches can repeat, and names segments that are equal byte for byte
+(by a 128-bit digest) so that a copy follows the first of its name.  The different segments
+around an anchor go to shards by anchor.  Each shard's segments form one text; its suffixes are
+sorted by external induction with common-prefix values (``inducing``), and suffixes with 100
+bytes in common are one string: all of its starts but the earliest are covered.
 """
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -18,13 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import inducing
-from plumbline.llm.anchored import BYTES, Units, _groups, _merged, as_bytes, repeated
+from plumbline.llm.anchored import BYTES, COVER, Units, _groups, as_bytes, covers, repeated
 from plumbline.llm.common import partitions, small_batches, table, written
 
 #: Symbols that are sorted as one shard; a single anchor's segments stay together.
 SHARD = 1 << 22
-#: Symbols above which a shard's text is in a file and not in memory.
-IN_MEMORY = 1 << 25
 #: Segments of one anchor that are sorted together; those of more frequent ones are cut into
 #: their windows, which go to shards by their content.
 CROWD = 100_000
@@ -32,15 +29,12 @@ CROWD = 100_000
 HELD = 1 << 18
 
 
-def shard_text(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def shard_text(segments: list[bytes], memory: int = inducing.MEMORY) -> tuple[np.ndarray, np.ndarray]:
     """The segments as one string of symbols (bytes from 2, 1 after each segment, 0 at the
     end), and where each starts."""
     size = np.array([len(s) for s in segments])
     at = np.concatenate([[0], np.cumsum(size + 1)])
-    if at[-1] + 1 > IN_MEMORY:
-        text = np.memmap(tempfile.TemporaryFile(), np.int16, "w+", shape=(int(at[-1]) + 1,))
-    else:
-        text = np.empty(at[-1] + 1, np.int16)
+    text = inducing.room(int(at[-1]) + 1, np.int16, memory)
     for i in range(0, len(segments), 4096):
         part = np.frombuffer(b"\0".join(segments[i : i + 4096]) + b"\0", np.uint8).astype(np.int16) + 2
         text[at[i] : at[i] + len(part)] = part
@@ -49,37 +43,43 @@ def shard_text(segments: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return text, at[:-1]
 
 
-def covered_windows(docs: np.ndarray, los: np.ndarray, segments: list[bytes], size: int) -> pd.DataFrame:
-    """doc_id, lo, hi of the windows of ``size`` bytes in these segments that also start earlier."""
-    text, at = shard_text(segments)
-    found, group, carry = [], [], 0
-    held = None
-    for p, v in inducing.descending(text, size):
-        if held is not None:
-            p, v = np.concatenate([held[0], p]), np.concatenate([held[1], v])
-        long = v >= size
-        number = carry + np.cumsum(~long)
-        pick = long.copy()
-        pick[:-1] |= long[1:]
-        held = (p[-1:], v[-1:])  # may begin a run in the next batch
-        pick[-1] &= long[-1]
-        found.append(p[pick])
-        group.append(number[pick])
-        carry = int(number[-1]) - int(~long[-1])
-    if not found:
-        return pd.DataFrame({"doc_id": [], "lo": [], "hi": []}, dtype=np.int64)
-    p, g = np.concatenate(found), np.concatenate(group)
-    seg = np.searchsorted(at, p, side="right") - 1
+def covered_windows(docs: np.ndarray, los: np.ndarray, segments: list[bytes], size: int, **limits):
+    """doc_id, lo, hi of the windows of ``size`` bytes in these segments that also start earlier, a
+    frame for the runs of equal windows that a batch of suffixes completes."""
+    text, at = shard_text(segments, limits.get("memory", inducing.MEMORY))
     ends = np.concatenate([at[1:], [len(text) - 1]]) - 1
-    ok = p + size <= ends[seg]
-    p, g, seg = p[ok], g[ok], seg[ok]
-    doc, start = docs[seg], los[seg] + p - at[seg]
-    o = np.lexsort((start, doc, g))
-    doc, start, g = doc[o], start[o], g[o]
-    first = _groups(g)
-    later = (doc != doc[first]) | (start != start[first])
-    out = pd.DataFrame({"doc_id": doc[later], "lo": start[later], "hi": start[later] + size})
-    return _merged(out)[["doc_id", "lo", "hi"]]
+
+    def told(p: np.ndarray, number: np.ndarray):
+        seg = np.searchsorted(at, p, side="right") - 1
+        ok = p + size <= ends[seg]
+        p, g, seg = p[ok], number[ok], seg[ok]
+        doc, start = docs[seg], los[seg] + p - at[seg]
+        o = np.lexsort((start, doc, g))
+        doc, start, g = doc[o], start[o], g[o]
+        first = _groups(g)
+        later = (doc != doc[first]) | (start != start[first])
+        out = pd.DataFrame({"doc_id": doc[later], "lo": start[later], "hi": start[later] + size})
+        return covers(out)[["doc_id", "lo", "hi"]]
+
+    held: list[np.ndarray] = []  # the last run, which may go on
+    for p, v in inducing.descending(text, size, **limits):
+        long = v >= size
+        starts = np.flatnonzero(~long)
+        if not len(starts):
+            held.append(p)
+            continue
+        before = sum(map(len, held))
+        p = np.concatenate([*held, p])
+        long = np.concatenate([np.arange(before) > 0, long])
+        last = before + int(starts[-1])
+        held = [p[last:]]
+        pick = long[:last].copy()
+        pick[:-1] |= long[1:last]
+        if pick.any():
+            yield told(p[:last][pick], np.cumsum(~long[:last])[pick])
+    p = np.concatenate(held)
+    if len(p) > 1:
+        yield told(p, np.zeros(len(p), np.int64))
 
 
 def suffix_covers(docs: DataFrame, needs: DataFrame, size: int, crowd: int = CROWD) -> DataFrame:
@@ -128,6 +128,9 @@ def suffix_covers(docs: DataFrame, needs: DataFrame, size: int, crowd: int = CRO
         if first or again:
             yield out()
 
+    def of_shard(now: pd.DataFrame):
+        return covered_windows(now["doc_id"].to_numpy(np.int64), now["lo"].to_numpy(np.int64), list(now["segment"]), size)
+
     def sort(batches):
         rows, total = [], 0
         for b in batches:
@@ -144,12 +147,12 @@ def suffix_covers(docs: DataFrame, needs: DataFrame, size: int, crowd: int = CRO
                 ends = np.flatnonzero(every["anchor"].to_numpy() != every["anchor"].iloc[-1])
                 if len(ends):
                     now = every.iloc[: ends[-1] + 1]
-                    yield covered_windows(now["doc_id"].to_numpy(np.int64), now["lo"].to_numpy(np.int64), list(now["segment"]), size)
+                    yield from of_shard(now)
                     every = every.iloc[ends[-1] + 1 :]
                 rows, total = [every], int(every["segment"].map(len).sum())
         if rows:
             now = pd.concat(rows, ignore_index=True)
-            yield covered_windows(now["doc_id"].to_numpy(np.int64), now["lo"].to_numpy(np.int64), list(now["segment"]), size)
+            yield from of_shard(now)
 
     kind = "anchor long, doc_id long, lo long, segment binary"
     if crowded.isEmpty():
@@ -179,9 +182,9 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def with_covers(docs: DataFrame, covers: DataFrame) -> DataFrame:
-    """docs with ``__spans``, the covered stretches of each document."""
-    per_doc = covers.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("__spans"))
+def with_covers(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """docs with a column ``name``, the covered stretches of each document."""
+    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias(name))
     return docs.join(per_doc, "doc_id", "left")
 
 
@@ -189,7 +192,8 @@ def removed_spans(docs: DataFrame, units: Units = BYTES, crowd: int = CROWD) ->
     """doc_id, lo, hi: all stretches of bytes to remove, in pieces that may overlap."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     found = repeated(docs, units)
-    return found.where("not need").select("doc_id", "lo", "hi").unionByName(suffix_covers(docs, found.where("need"), units.size, crowd))
+    told = found.where(F.col("kind") == COVER).select("doc_id", "lo", "hi")
+    return told.unionByName(suffix_covers(docs, found.where(F.col("kind") != COVER), units.size, crowd))
 
 
 def suffix_dedup(docs: DataFrame, units: Units = BYTES, crowd: int = CROWD) -> DataFrame:
@@ -204,7 +208,7 @@ def suffix_dedup(docs: DataFrame, units: Units = BYTES, crowd: int = CROWD) -> D
     def finish(batches):
         for b in batches:
             rows = []
-            for doc, text, spans in zip(b["doc_id"], b["text"], b["__spans"]):
+            for doc, text, spans in zip(b["doc_id"], b["text"], b["spans"]):
                 data = as_bytes(text)
                 cut = joined([(s["lo"], s["hi"]) for s in spans]) if spans is not None else []
                 rows.append((doc, len(data), sum(b - a for a, b in cut), len(cut), kept_bytes(data, cut)))
@@ -212,7 +216,7 @@ def suffix_dedup(docs: DataFrame, units: Units = BYTES, crowd: int = CROWD) -> D
 
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    return with_covers(docs, removed_spans(docs, units, crowd)).mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_text binary")
+    return with_covers(docs, removed_spans(docs, units, crowd), "spans").mapInPandas(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_text binary")
 
 
 def op1_suffix_dedup(spark, sf_dir):
