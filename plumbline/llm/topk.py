@@ -1,36 +1,45 @@
 """Exact top-k search by inner product over a pivot-distance index.
 
 Vectors become integers.  With one more component, sqrt(M^2 - |x|^2), all lie at distance M
-from the origin, so the largest inner products with a query are its nearest vectors.  The
-index keys each vector by its nearest pivot and its distance to it.  Each pivot's vectors
-fall into rings of distance, cut into blocks.  A query first reads the ring of its nearest
-pivot that holds its own distance, which gives k scores to beat; then, annulus by annulus,
-only rings whose triangle-inequality bound could still reach the k-th best.  Pivots are
-fitted on a bounded sample; every vector is in the index and the result is exact.
+from the origin; a query's is zero, so the largest inner products with it are its nearest
+vectors.  The index keys each vector by its nearest pivot and its distance to it; there are
+about as many pivots as the root of the number of vectors, up to a limit.  Each pivot's vectors
+fall into rings of distance, cut into blocks.  The triangle inequality bounds the best score in
+a ring.  A query reads rings in order of their bounds, a growing number in each round, and
+stops as soon as no ring left can reach its k-th best score.  Pivots are fitted on a bounded
+sample; every vector is in the index and the result is exact.
+
+How much is skipped depends on the vectors: among random directions in many dimensions all
+pivots are nearly equally far from everything, and the bounds exclude almost nothing.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.llm.common import partitions, ship, table, written
+from plumbline.llm.common import partitions, small_batches, table, written
 
 SCALE = 1024
-#: Pivots, rings of each, vectors in the sample they are fitted on, vectors of a block, queries of a pack.
-PIVOTS, RINGS, SAMPLE, BLOCK, PACK = 32, 8, 4096, 2048, 512
+#: Pivots at most, rings of each, vectors in the sample they are fitted on, vectors of a block, queries of a
+#: pack, and how many times more rings each round reads.
+PIVOTS, RINGS, SAMPLE, BLOCK, PACK, GROWTH = 1024, 8, 8192, 2048, 512, 16
 
 
 def integers(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, v array<long>: floor(1024 * x) of each component; rows whose id or vector is null
-    or that hold a null or non-finite component are left out."""
+    """vec_id, v array<long>, row: floor(1024 * x) of each component, and a number of the row; rows whose
+    id or vector is null or that hold a null or non-finite component are left out.  Written in the
+    shared folder, so that a row keeps its number."""
     x = F.col(vector)
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c.cast("double")) | (F.abs(c.cast("double")) == float("inf")))
     ok = F.col(id_col).isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(False))
-    return df.where(ok).select(F.col(id_col).alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("long")).alias("v"))
+    v = F.transform(x, lambda c: F.floor(c.cast("double") * SCALE).cast("long"))
+    return written(df.where(ok).select(F.col(id_col).alias("vec_id"), v.alias("v"), F.monotonically_increasing_id().alias("row")), "vectors")
 
 
 def _matrix(vectors, width: int) -> np.ndarray:
@@ -41,6 +50,11 @@ def _matrix(vectors, width: int) -> np.ndarray:
     return out
 
 
+def _asked(q: np.ndarray) -> np.ndarray:
+    """Queries among lifted vectors."""
+    return np.concatenate([q.astype(float), np.zeros((len(q), 1))], axis=1)
+
+
 def _lifted(x: np.ndarray, norm2: float) -> np.ndarray:
     f = x.astype(float)
     return np.concatenate([f, np.sqrt(np.maximum(norm2 - (f**2).sum(axis=1, keepdims=True), 0))], axis=1)
@@ -51,18 +65,22 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Pivots and ring limits; sizes depend on the parameters alone."""
+    """Pivots and ring limits; at most PIVOTS and RINGS of each, whatever the number of vectors."""
 
     def __init__(self, vectors: DataFrame, seed: int = 7):
-        row = vectors.agg(F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()
-        self.width, self.norm2 = int(row[0] or 0), float(row[1] or 0.0)
-        some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
+        norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+        row = vectors.agg(F.max(F.size("v")), F.max(norm), F.count(F.lit(1))).first()
+        self.width, self.norm2, self.total = int(row[0] or 0), float(row[1] or 0.0), row[2]
+        some = vectors.orderBy(F.xxhash64("vec_id", "row"), "row").limit(SAMPLE).toPandas()
         s = _lifted(_matrix(some["v"], self.width), self.norm2)
         rng = np.random.default_rng(seed)
-        pivots = s[rng.permutation(len(s))[:PIVOTS]]
+        pivots = s[rng.permutation(len(s))[: min(PIVOTS, max(16, math.isqrt(self.total)))]]
         for _ in range(6 if len(s) else 0):
             near = _distances(s, pivots).argmin(1)
-            pivots = np.stack([s[near == i].mean(0) if (near == i).any() else pivots[i] for i in range(len(pivots))])
+            n = np.bincount(near, minlength=len(pivots))
+            sums = np.zeros_like(pivots)
+            np.add.at(sums, near, s)
+            pivots = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], pivots)
         self.pivots = pivots
         d = _distances(s, pivots)
         near = d.argmin(1) if len(s) else np.zeros(0, np.int64)
@@ -85,28 +103,58 @@ def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q.astype(float) @ x.T.astype(float)).astype(np.int64) if most < 2**53 else q @ x.T
 
 
-def _best(queries, ids, scores, k: int) -> pd.DataFrame:
-    """The k best rows of each query: highest score, then smallest id."""
-    o = np.lexsort((ids, -scores, queries))
-    queries, ids, scores = queries[o], ids[o], scores[o]
+def _best(queries, ids, rows, scores, k: int) -> pd.DataFrame:
+    """The k best rows of each query: highest score, then smallest id, then row."""
+    o = np.lexsort((rows, ids, -scores, queries))
+    queries, ids, rows, scores = queries[o], ids[o], rows[o], scores[o]
     first = np.maximum.accumulate(np.where(np.concatenate([[True], queries[1:] != queries[:-1]]), np.arange(len(o)), 0)) if len(o) else o
     keep = np.arange(len(o)) - first < k
-    return pd.DataFrame({"query_id": queries[keep], "vec_id": ids[keep], "score": scores[keep]})
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k vectors of highest inner product, other
-    than those of its own id; all if there are fewer; ties to the smaller vec_id.
-
-    Both tables come from ``integers``.  Vectors of unequal length multiply over the shorter
-    one.  Repeated rows of vectors are repeated results.  Empty tables give no rows.
+    return pd.DataFrame({"query_row": queries[keep], "vec_id": ids[keep], "row": rows[keep], "score": scores[keep]})
+
+
+class Rings:
+    """The index's rings with their ranges of distance and numbers of vectors: at most PIVOTS * RINGS."""
+
+    def __init__(self, index: Index, cells: pd.DataFrame):
+        self.index = index
+        self.cells, self.n = cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.int64)
+        self.lo, self.hi = cells["lo"].to_numpy(float), cells["hi"].to_numpy(float)
+        #: Over how many tasks the blocks of a crowded ring are dealt.
+        self.salts = np.maximum(1, self.n // (4 * BLOCK))
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """What no score of a query (row) in a ring (column) exceeds."""
+        asked = _asked(q)
+        d = _distances(asked, self.index.pivots)[:, self.cells // RINGS]
+        gap = np.maximum(np.maximum(self.lo[None] - d, d - self.hi[None]) - self.index.slack, 0)
+        # dist^2 = |q|^2 + M^2 - 2 q.x, and dist is the gap at least.
+        return ((asked**2).sum(1)[:, None] + self.index.norm2 - gap**2) / 2 * (1 + 1e-9) + 1
+
+    def wanted(self, q: np.ndarray, beat: np.ndarray, start: int, stop: int) -> np.ndarray:
+        """Which rings each query reads: those of place start to stop in the order of its bounds that may
+        hold a score of ``beat`` or more."""
+        bound = self.bounds(q)
+        place = np.empty(bound.shape, np.int64)
+        np.put_along_axis(place, np.argsort(-bound, axis=1, kind="stable"), np.arange(bound.shape[1])[None], axis=1)
+        return (place >= start) & (place < stop) & (bound >= beat[:, None])
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, read: list | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score, query_row: each query's k vectors of highest inner product, other
+    than its own row; all if there are fewer; ties to the smaller vec_id.
+
+    ``vectors`` comes from ``integers`` and ``queries`` are rows of it, whole.  Rows that repeat a vec_id
+    are rows of their own, as queries (told apart by query_row) and as results.  Vectors of unequal
+    length multiply over the shorter one.  Empty tables give no rows.  ``read`` gets the number of
+    vectors that each round compares, summed over queries.
     """
     spark = vectors.sparkSession
-    ship(spark)
+    small_batches(spark)
     index = Index(vectors)
     n = partitions(spark)
     if not len(index.pivots):
-        return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).where("false")
+        zero = F.lit(0).cast("long")
+        return vectors.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", zero.alias("score"), zero.alias("query_row")).where("false")
     shared = spark.sparkContext.broadcast(index)
 
     def place(batches):
@@ -115,123 +163,117 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             if len(b):
                 x = _matrix(b["v"], ix.width)
                 cell, dist = ix.cell(x)
-                yield pd.DataFrame({"cell": cell.astype(np.int32), "dist": dist, "vec_id": b["vec_id"], "v": list(x)})
+                yield pd.DataFrame({"cell": cell.astype(np.int32), "dist": dist, "vec_id": b["vec_id"], "row": b["row"], "v": list(x)})
 
-    # A crowded cell is dealt over several tasks by salt; its blocks need not stand together.
-    keyed = written(vectors.mapInPandas(place, "cell int, dist double, vec_id long, v array<long>"), "pivot-index")
-    rings = keyed.groupBy("cell").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count(F.lit(1)).alias("n")).toPandas()  # at most PIVOTS * RINGS rows
+    keyed = written(vectors.mapInPandas(place, "cell int, dist double, vec_id long, row long, v array<long>"), "pivot-index")
+    rings = Rings(index, keyed.groupBy("cell").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count(F.lit(1)).alias("n")).toPandas())
+    known = spark.sparkContext.broadcast(rings)
 
     def block(batches):
-        held: dict[int, list] = {}
+        held: dict[tuple, list] = {}
 
-        def out(cell, rows):
-            ids = np.array([r[0] for r in rows], np.int64)
-            return (cell, len(ids), ids.tobytes(), np.stack([r[1] for r in rows]).astype(np.int64).tobytes())
+        def out(key, rows):
+            return (*key, len(rows), np.array([r[0] for r in rows], np.int64).tobytes(), np.array([r[1] for r in rows], np.int64).tobytes(), np.stack([r[2] for r in rows]).astype(np.int64).tobytes())
 
+        names = ["cell", "salt", "n", "ids", "rows", "vectors"]
         for b in batches:
             done = []
-            for cell, i, v in zip(b["cell"], b["vec_id"], b["v"]):
-                held.setdefault(cell, []).append((i, np.asarray(v, np.int64)))
-                if len(held[cell]) == BLOCK:
-                    done.append(out(cell, held.pop(cell)))
+            for cell, salt, i, r, v in zip(b["cell"], b["salt"], b["vec_id"], b["row"], b["v"]):
+                key = (cell, salt)
+                held.setdefault(key, []).append((i, r, np.asarray(v, np.int64)))
+                if len(held[key]) == BLOCK:
+                    done.append(out(key, held.pop(key)))
             if done:
-                yield pd.DataFrame(done, columns=["cell", "n", "ids", "vectors"])
+                yield pd.DataFrame(done, columns=names)
         if held:
-            yield pd.DataFrame([out(c, r) for c, r in held.items()], columns=["cell", "n", "ids", "vectors"])
+            yield pd.DataFrame([out(c, r) for c, r in held.items()], columns=names)
 
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(4 * n))
-    sizes = {int(c): int(m) for c, m in zip(rings["cell"], rings["n"])}
-    salts = F.create_map(*[F.lit(x) for c, m in sizes.items() for x in (c, max(1, m // (4 * BLOCK)))])
-    spread = keyed.withColumn("salt", F.pmod(salt, salts[F.col("cell")]))
-    blocks = written(spread.repartition(n, "cell", "salt").sortWithinPartitions("cell", "dist").drop("salt", "dist").mapInPandas(block, "cell int, n int, ids binary, vectors binary"), "pivot-blocks")
+    # A crowded ring is dealt over several tasks by salt.
+    salts = spark.createDataFrame(list(zip(rings.cells.tolist(), rings.salts.tolist())), "cell int, salts long")
+    spread = keyed.join(F.broadcast(salts), "cell").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
+    spread = spread.select("cell", "salt", "vec_id", "row", "v").repartition(n, "cell", "salt").sortWithinPartitions("cell", "salt")
+    blocks = written(spread.mapInPandas(block, "cell int, salt int, n int, ids binary, rows binary, vectors binary"), "pivot-blocks")
 
-    cells = rings["cell"].to_numpy(np.int64)
-    lo, hi = rings["lo"].to_numpy(float), rings["hi"].to_numpy(float)
+    def ask(start: int, stop: int):
+        """Packs of queries for each ring that they read in this round."""
 
-    def ask(beaten: bool):
-        """Packs of queries for each cell: at first the nearest ring, then all that may hold better."""
+        def pack(groups) -> pd.DataFrame:
+            out = []
+            for c, m in groups:
+                row = (int(rings.cells[c]), len(m) * int(rings.n[c]), np.array([x[0] for x in m], np.int64).tobytes(), np.stack([x[1] for x in m]).tobytes(), np.array([x[2] for x in m], np.float64).tobytes())
+                out += [(*row[:1], salt, row[1] if not salt else 0, *row[2:]) for salt in range(int(rings.salts[c]))]
+            return pd.DataFrame(out, columns=["cell", "salt", "pairs", "q_rows", "q_vectors", "beat"]).astype({"cell": "int32", "salt": "int32"})
 
         def run(batches):
-            ix = shared.value
+            rings = known.value
             held: dict[int, list] = {}
             for b in batches:
                 if not len(b):
                     continue
-                q = _matrix(b["v"], ix.width)
-                d = _distances(_lifted(q, ix.norm2), ix.pivots)[:, cells // RINGS]
-                gap = np.maximum(np.maximum(lo[None] - d, d - hi[None]), 0)
-                mine = gap.argmin(1)
-                if beaten:
-                    # q.x = (|q~|^2 + |x~|^2 - dist^2) / 2, so a ring's best score is bounded by its gap.
-                    bound = ix.norm2 - (np.maximum(gap - ix.slack, 0) ** 2) / 2
-                    go = bound * (1 + 1e-9) + 1 >= b["beat"].to_numpy(float)[:, None]
-                    go[np.arange(len(q)), mine] = False
-                else:
-                    go = np.zeros(d.shape, bool)
-                    go[np.arange(len(q)), mine] = True
+                q, beat, rows = _matrix(b["v"], rings.index.width), b["beat"].to_numpy(float), b["row"].to_numpy(np.int64)
+                go = rings.wanted(q, beat, start, stop)
                 done = []
                 for c in np.flatnonzero(go.any(0)):
-                    mine_q = held.setdefault(int(c), [])
-                    mine_q += [(i, q[r], t) for r, i, t in ((r, b["vec_id"].iloc[r], b["beat"].iloc[r]) for r in np.flatnonzero(go[:, c]))]
-                    while len(mine_q) >= PACK:
-                        done.append((int(cells[c]), mine_q[:PACK]))
-                        del mine_q[:PACK]
+                    mine = held.setdefault(int(c), [])
+                    mine += [(rows[r], q[r], beat[r]) for r in np.flatnonzero(go[:, c])]
+                    while len(mine) >= PACK:
+                        done.append((c, mine[:PACK]))
+                        del mine[:PACK]
                 if done:
                     yield pack(done)
-            rest = [(int(cells[c]), m) for c, m in held.items() if m]
+            rest = [(c, m) for c, m in held.items() if m]
             if rest:
                 yield pack(rest)
 
         return run
 
-    def pack(groups) -> pd.DataFrame:
-        rows = [(c, np.array([x[0] for x in m], np.int64).tobytes(), np.stack([x[1] for x in m]).tobytes(), np.array([x[2] for x in m], np.float64).tobytes()) for c, m in groups]
-        return pd.DataFrame(rows, columns=["cell", "q_ids", "q_vectors", "beat"]).astype({"cell": "int32"})
-
     def score(batches):
-        ix = shared.value
         for b in batches:
-            for ids, vectors, q_ids, q_vectors, beat in zip(b["ids"], b["vectors"], b["q_ids"], b["q_vectors"], b["beat"]):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
-                x, q = np.frombuffer(vectors, np.int64).reshape(len(ids), -1), np.frombuffer(q_vectors, np.int64).reshape(len(q_ids), -1)
+            for ids, rows, vectors, q_rows, q_vectors, beat in zip(*(b[x] for x in ("ids", "rows", "vectors", "q_rows", "q_vectors", "beat"))):
+                ids, rows, q_rows = (np.frombuffer(x, np.int64) for x in (ids, rows, q_rows))
+                x, q = np.frombuffer(vectors, np.int64).reshape(len(ids), -1), np.frombuffer(q_vectors, np.int64).reshape(len(q_rows), -1)
                 s = _scores(q, x)
-                own = q_ids[:, None] == ids[None, :]
-                ok = ~own & (s >= np.frombuffer(beat, np.float64)[:, None])
+                ok = (q_rows[:, None] != rows[None, :]) & (s >= np.frombuffer(beat, np.float64)[:, None])
                 if len(ids) > 4 * k:  # no more than the ties of each query's k-th best
                     masked = np.where(ok, s, np.iinfo(np.int64).min)
                     ok &= s >= np.partition(masked, len(ids) - k, axis=1)[:, len(ids) - k][:, None]
                 r, c = np.nonzero(ok)
-                yield _best(q_ids[r], ids[c], s[r, c], k)
-
-    asked = queries.withColumn("beat", F.lit(float("-inf")))
-    pairs = "cell int, q_ids binary, q_vectors binary, beat binary"
-    found = "query_id long, vec_id long, score long"
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-
-    def search(asked: DataFrame, beaten: bool) -> DataFrame:
-        packs = asked.select("vec_id", "v", "beat").mapInPandas(ask(beaten), pairs)
-        return blocks.join(packs, "cell").select("ids", "vectors", "q_ids", "q_vectors", "beat").mapInPandas(score, found)
-
-    seed = written(search(asked, False).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "seeds")
-    # Fewer than k so far: nothing is beaten yet.
-    beat = seed.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
-    asked = queries.join(beat, queries["vec_id"] == beat["query_id"], "left").select("vec_id", "v", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))).alias("beat"))
-    every = search(asked, True).unionByName(seed.drop("rank"))
-    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                yield _best(q_rows[r], ids[c], rows[c], s[r, c], k)
+
+    best = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
+    found, start, stop = None, 0, 1
+    while start < len(rings.cells):
+        asked = queries.select("row", "v", F.lit(float("-inf")).alias("beat"))
+        if found is not None:  # with fewer than k so far, nothing is beaten yet
+            kth = found.groupBy("query_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
+            asked = queries.join(kth, queries["row"] == kth["query_row"], "left").select("row", "v", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))).alias("beat"))
+        packs = written(asked.mapInPandas(ask(start, stop), "cell int, salt int, pairs long, q_rows binary, q_vectors binary, beat binary"), "packs")
+        pairs = packs.agg(F.sum("pairs")).first()[0]
+        if read is not None:
+            read.append(pairs or 0)
+        if found is not None and not pairs:
+            break
+        met = blocks.join(packs, ["cell", "salt"]).select("ids", "rows", "vectors", "q_rows", "q_vectors", "beat")
+        now = met.mapInPandas(score, "query_row long, vec_id long, row long, score long")
+        every = now if found is None else now.unionByName(found.drop("rank"))
+        found = written(every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "best")
+        start, stop = stop, stop * GROWTH + 1
+    names = queries.select(F.col("row").alias("query_row"), F.col("vec_id").alias("query_id"))
+    return found.join(names, "query_row").select("query_id", "rank", "vec_id", "score", "query_row")
 
 
 def op9_topk(spark, sf_dir):
-    v = written(integers(table(spark, sf_dir, "embeddings")), "vectors")
-    return top_k(v, v.where("vec_id % 100 = 0"))
+    v = integers(table(spark, sf_dir, "embeddings"))
+    return top_k(v, v.where("vec_id % 100 = 0")).drop("query_row")
 
 
 ORACLE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+  SELECT q.vec_id AS query_id, q.row AS query_row, c.vec_id, c.row, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(c.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.row <> q.row WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_row ORDER BY score DESC, vec_id, row) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
