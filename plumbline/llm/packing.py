@@ -2,16 +2,22 @@
 
 A configuration is a multiset of lengths that fits a sequence.  The program asks for the
 fewest configurations that cover the histogram; it is solved by multiplicative weights.
-In each round a knapsack dynamic program prices lengths by their weights and gives, for each
-length, the best configuration that holds it; those near the best price get a share, and the
-weights of what they cover fall.  The fractional solution is rounded to whole
-configurations, and what is left is placed by best fit, longest first.  All of this works on
-the histogram, whose size is bounded by the capacity.  Pieces then find their places by their
-rank among the pieces of the same length, which is counted in buckets.
+In each round a knapsack dynamic program, bounded by the copies there are, prices lengths by
+their weights and gives for each length the best configuration that holds it.  Lengths behind
+the round's goal get of theirs what they lack; then the weight of each length falls or rises
+exponentially by what it got.  After the last round the fractional solution covers the
+histogram.  It is rounded: configurations are taken whole, largest share first, as often as
+there are pieces, if they are full or the space that any packing leaves free allows what they
+leave.  The program is solved again for the pieces left, until few are; these are placed by
+best fit, longest first, into what space is left and new sequences.
+
+All of this works on the histogram, whose size is bounded by the capacity.  Pieces then find
+their places by their rank among the pieces of the same length, which is counted in buckets.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 
@@ -25,10 +31,11 @@ from plumbline.llm.bpe import byte_of_symbol
 from plumbline.llm.common import small_batches, table, written
 
 CAPACITY = 2048
-#: Rounds of the multiplicative weights, and how near to the best price a configuration must be.
-ROUNDS, NEAR = 24, 0.02
-#: Pieces of one bucket, within which ranks are counted row by row.
-BUCKET = 50_000
+#: Rounds of the multiplicative weights, knapsacks of a round, their rate, and how often the program is
+#: solved and rounded.
+ROUNDS, PASSES, RATE, SOLVED = 8, 64, 0.5, 3
+#: Pieces of one length in a bucket, within which ranks are counted row by row.
+BUCKET = 1000
 #: Words kept in a worker's memory.
 KEPT = 1 << 20
 
@@ -108,65 +115,93 @@ def pieces(docs: DataFrame, path: str, end: int = 0, capacity: int = CAPACITY) -
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def knapsack(lengths: np.ndarray, values: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """best[c]: most value within c.  pick[c]: index of a length of a best solution, or -1."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    sizes, v = lengths[order], values[order]
-    for c in range(1, capacity + 1):
-        k = np.searchsorted(sizes, c, side="right")
-        best[c] = best[c - 1]
-        if k:
-            worth = best[c - sizes[:k]] + v[:k]
-            i = int(np.argmax(worth))
-            if worth[i] > best[c]:
-                best[c], pick[c] = worth[i], order[i]
-    return best, pick
-
-
-def _solution(pick: np.ndarray, lengths: np.ndarray, c: int) -> list[int]:
-    out = []
-    while c > 0:
-        if pick[c] < 0:
-            c -= 1
-        else:
-            out.append(int(pick[c]))
-            c -= int(lengths[pick[c]])
-    return out
+class Knapsack:
+    """Best values of bounded copies of lengths within every capacity, with their solutions."""
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, values: np.ndarray, capacity: int):
+        best, at = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+        # Node 0 is empty; every other one adds ``copies`` of a length to the node before it.
+        before, items, sizes, made = [np.zeros(1, np.int64)], [(0, 0)], [1], 1
+        for i, (size, n, v) in enumerate(zip(lengths.tolist(), counts.tolist(), values.tolist())):
+            left, copies = min(n, capacity // size), 1
+            while left:
+                copies = min(copies, left)
+                s, gain = size * copies, v * copies
+                with_it = best[: capacity + 1 - s] + gain
+                up = np.flatnonzero(with_it > best[s:] + 1e-9)
+                if len(up):
+                    before.append(at[up])
+                    items.append((i, copies))
+                    sizes.append(len(up))
+                    at[up + s] = np.arange(made, made + len(up))
+                    best[up + s] = with_it[up]
+                    made += len(up)
+                left -= copies
+                copies *= 2
+        self.best, self.at, self.before = best, at, np.concatenate(before)
+        self.items, self.number = items, np.repeat(np.arange(len(items)), sizes)
+
+    def solution(self, capacity: int) -> dict[int, int]:
+        """Index of length -> copies of the best that fits."""
+        out: dict[int, int] = {}
+        node = int(self.at[capacity])
+        while node:
+            i, copies = self.items[self.number[node]]
+            out[i] = out.get(i, 0) + copies
+            node = int(self.before[node])
+        return out
 
 
 def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> dict[tuple, float]:
-    """Configurations (sorted (length index, copies) pairs) and their fractional numbers."""
+    """Configurations (sorted (length index, copies) pairs) and their fractional numbers, which cover
+    every length as often as it is there."""
     out: dict[tuple, float] = {}
     weight, share = np.ones(len(lengths)), np.zeros(len(lengths))  # share: part of the demand covered
-    size = lengths / capacity
+    longest = np.argsort(-lengths, kind="stable").tolist()
     for r in range(rounds):
-        value = size * weight
-        best, pick = knapsack(lengths, value, capacity)
-        goal = (r + 1) / rounds
-        for i in np.argsort(-lengths):
-            if share[i] >= goal:
-                continue
-            rest = capacity - int(lengths[i])
-            if value[i] + best[rest] < (1 - NEAR) * best[capacity] and r + 1 < rounds:
-                continue
-            copies: dict[int, int] = {}
-            for k in [int(i), *_solution(pick, lengths, rest)]:
-                copies[k] = copies.get(k, 0) + 1
-            step = min((1 - share[k] if k != i else goal - share[k]) * counts[k] / n for k, n in copies.items())
-            if step <= 0 or any(n > counts[k] for k, n in copies.items()):
-                continue
-            config = tuple(sorted(copies.items()))
-            out[config] = out.get(config, 0.0) + step
-            for k, n in copies.items():
-                share[k] += step * n / counts[k]
-        # What is ahead of the schedule loses weight, what lags gains.
-        weight = np.exp(-0.25 * (share - goal) * rounds / (r + 1))
-        weight[share >= 1] = 1e-6
+        goal, most, before = (r + 1) / rounds, min((r + 2) / rounds, 1.0), share.copy()
+        for n in range(PASSES):  # lengths that have got enough leave the knapsack until the next round
+            lagged = share < goal - 1e-9
+            if not lagged.any():
+                break
+            last = r + 1 == rounds
+            sack = Knapsack(lengths, np.where(lagged if last else share < most - 1e-9, counts, 0), lengths * weight, capacity)
+            for i in longest:
+                if share[i] >= goal - 1e-9:
+                    continue
+                config = sack.solution(capacity - int(lengths[i]))
+                config[i] = min(config.get(i, 0) + 1, int(counts[i]))
+                step = (goal - share[i]) * counts[i] / config[i]
+                if not last or n + 1 < PASSES:  # in the end what lags is covered in any case
+                    step = min(step, *((most - share[k]) * counts[k] / m for k, m in config.items()))
+                if step <= 1e-9:
+                    continue
+                key = tuple(sorted(config.items()))
+                out[key] = out.get(key, 0.0) + step
+                for k, m in key:
+                    share[k] += step * m / counts[k]
+        weight *= np.exp(-RATE * ((share - before) * rounds - 1))
         weight /= weight.max()
     return out
 
 
+def rounded(solution: dict[tuple, float], lengths: np.ndarray, left: np.ndarray, capacity: int, slack: int) -> tuple[list[tuple[int, dict[int, int]]], int]:
+    """Whole configurations of a fractional solution, for which pieces are ``left`` (which falls), and the
+    slack that they leave: space that stays free in any packing."""
+    bins = []
+    for config, n in sorted(solution.items(), key=lambda x: (-x[1], x[0])):
+        whole = min(math.ceil(n - 1e-9), *(int(left[k]) // c for k, c in config))
+        free = capacity - sum(int(lengths[k]) * c for k, c in config)
+        if free:
+            whole = min(whole, slack // free)
+        if whole:
+            bins.append((whole, {int(lengths[k]): c for k, c in config}))
+            slack -= whole * free
+            for k, c in config:
+                left[k] -= whole * c
+    return bins, slack
+
+
 def best_fit(left: dict[int, int], bins: list[tuple[int, dict[int, int]]], capacity: int) -> list[tuple[int, dict[int, int]]]:
     """Place the lengths ``left`` (with counts) into the free space of ``bins`` (number, content)
     and new ones: longest first, each into the fullest sequence that takes it.  Sequences of
@@ -201,24 +236,38 @@ def best_fit(left: dict[int, int], bins: list[tuple[int, dict[int, int]]], capac
     return [x for group in free.values() for x in group]
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
-    """(number of sequences, {length: copies}) that hold exactly the histogram."""
+def program(histogram: dict[int, int], capacity: int = CAPACITY):
+    """After each time that the program is solved and rounded: (bins so far, histogram of what is left)."""
     bins = [(histogram[capacity], {capacity: 1})] if capacity in histogram else []
-    part = {k: v for k, v in sorted(histogram.items()) if k < capacity}
-    if not part:
-        return bins
-    lengths, counts = np.array(list(part)), np.array(list(part.values()))
-    left = counts.copy()
-    for config, n in sorted(fractional(lengths, counts, capacity).items(), key=lambda x: (-x[1], x[0])):
-        # Only full sequences are fixed; the rest is better placed by best fit.
-        if sum(int(lengths[k]) * c for k, c in config) < capacity:
-            continue
-        whole = min([int(np.ceil(n)), *(int(left[k]) // c for k, c in config)])
-        if whole:
-            bins.append((whole, {int(lengths[k]): c for k, c in config}))
-            for k, c in config:
-                left[k] -= whole * c
-    return best_fit({int(a): int(b) for a, b in zip(lengths, left) if b}, bins, capacity)
+    left = {k: v for k, v in sorted(histogram.items()) if k < capacity}
+    slack = -sum(k * v for k, v in left.items()) % capacity
+    yield bins, left
+    for _ in range(SOLVED):
+        if not left:
+            return
+        lengths, counts = np.array(list(left)), np.array(list(left.values()))
+        more, slack = rounded(fractional(lengths, counts, capacity), lengths, counts, capacity, slack)
+        if not more:
+            return
+        bins = bins + more
+        left = {int(k): int(v) for k, v in zip(lengths, counts) if v}
+        yield bins, left
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, dict[int, int]]]:
+    """(number of sequences, {length: copies}) that hold exactly the histogram: the program's bins as
+    far as it is best to follow it, with the rest placed by best fit."""
+    states = list(program(histogram, capacity))
+    least = -(-sum(k * v for k, v in histogram.items()) // capacity)
+    best = None
+    for bins, left in reversed(states):  # of equally good ones, what the program did most of
+        packed = best_fit(dict(left), [(n, dict(c)) for n, c in bins], capacity)
+        size = sum(n for n, _ in packed)
+        if best is None or size < best[0]:
+            best = (size, packed)
+        if size == least:
+            break
+    return best[1] if best else []
 
 
 def places(packed: list[tuple[int, dict[int, int]]]) -> pd.DataFrame:
@@ -235,10 +284,12 @@ def places(packed: list[tuple[int, dict[int, int]]]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "rank", "sequence", "copies", "base"]).sort_values(["length", "rank"], ignore_index=True)
 
 
-def ranked(parts: DataFrame, total: int) -> DataFrame:
-    """parts with ``rank``, from 0 among the pieces of the same length."""
-    buckets = max(1, total // BUCKET)
-    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+def ranked(parts: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """parts with ``rank``, from 0 among the pieces of the same length.  A length has a bucket for
+    each BUCKET of its pieces."""
+    buckets = parts.sparkSession.createDataFrame([(k, -(-n // BUCKET)) for k, n in histogram.items()], "length long, buckets long")  # at most ``capacity`` rows
+    parts = parts.join(F.broadcast(buckets), "length")
+    parts = parts.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("buckets"))).drop("buckets")
     sizes = parts.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sizes = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
@@ -268,7 +319,7 @@ def packed_pieces(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     out = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     order = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
-    return ranked(parts, sum(histogram.values())).select(order).mapInPandas(run, out)
+    return ranked(parts, histogram).select(order).mapInPandas(run, out)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
