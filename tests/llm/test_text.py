@@ -181,6 +181,58 @@ def test_langid_edges(make):
     assert langid.dictionaries(make([])) == {} and langid.classified(make([]), dicts).count() == 0
 
 
+def plain_language(text, dicts):
+    """Each language's size by zstandard alone, pieces and words compressed one by one."""
+    import re
+
+    import zstandard
+
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    if not words or not dicts:
+        return "und"
+    how = zstandard.ZstdCompressionParameters(**langid.EFFORT, strategy=zstandard.STRATEGY_LAZY2, write_checksum=0, write_content_size=0, write_dict_id=0)
+    data, keys = " ".join(words).encode(), []
+    for lang, d in dicts.items():
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+        whole = sum(len(c.compress(data[i : i + 131072])) for i in range(0, len(data), 131072))
+        keys.append((whole, sum(len(c.compress(w.encode())) for w in set(words)), lang))
+    return min(keys)[2]
+
+
+def test_langid_against_a_plain_loop(spark):
+    """Dictionaries counted over whole texts here, and sizes without the classifier: the query's rows."""
+    sf = "/root/testdata/sf0.001"
+    rows = table(spark, sf, "documents").select("doc_id", "lang", "text").collect()
+    held = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in rows}
+    counts = {}
+    for r in rows:
+        if r.lang is not None and r.text is not None and not held[r.doc_id]:  # fewer than the sample's bound
+            words = langid.normalised(r.text).split()
+            counts.setdefault(r.lang, Counter()).update([*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))])
+    dicts = {}
+    for lang, c in counts.items():
+        size, chosen = 0, []
+        for p, n in sorted(c.items(), key=lambda x: (-x[1], x[0])):
+            size += len(p.encode()) + 1
+            if size > langid.DICTIONARY:
+                break
+            chosen.append(p)
+        dicts[lang] = " ".join(reversed(chosen)).encode()
+    assert dicts == langid.dictionaries(table(spark, sf, "documents").where(langid.fold(5) != 0))
+    got = {r.doc_id: (r.held_out, r.lang_pred) for r in QUERIES["op3_langid"](spark, sf).collect()}
+    assert got == {r.doc_id: (held[r.doc_id], plain_language(r.text, dicts)) for r in rows}
+
+
+def test_langid_reads_long_texts_whole(make):
+    """A text whose first 200 KB are of one language and whose longer rest is of another."""
+    rng = random.Random(2)
+    words = {x: [x + "".join(rng.choices("abcdefghij", k=6)) for _ in range(400)] for x in "qz"}
+    dicts = {x: " ".join(w).encode() for x, w in words.items()}
+    text = " ".join(rng.choices(words["q"], k=25_000)) + " " + " ".join(rng.choices(words["z"], k=60_000))
+    got = langid.classified(make([(1, text)]), dicts).first()
+    assert got.lang_pred == "z" and got.accepted
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = QUERIES["op6_toxicity"](spark, sf).join(table(spark, sf, "labels"), "doc_id").where("held_out").collect()
