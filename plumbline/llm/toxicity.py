@@ -2,8 +2,8 @@
 
 A token that mixes in digits, signs or repeated letters, and runs of single letters, are
 character lattices: each sign may stand for a letter, separators may be noise, repeated
-letters may be one.  Viterbi decoding under a character language model restores the likeliest
-word.  The restored text is then scored: words and word beginnings that labelled toxic texts
+letters may be one, and white space in a run of letters may be noise or end a word.  Viterbi
+decoding under a character language model, over all states, restores the likeliest words.  The restored text is then scored: words and word beginnings that labelled toxic texts
 use in many different surroundings, and others don't, weigh in a logistic score.
 """
 
@@ -39,10 +39,16 @@ SIGNS = {
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou",
 }
 SEPARATORS = ".-_*~'`,:;/\\^\"#%&="
-SUBSTITUTE, DROP, REPEAT = 1.5, 0.7, 0.4
+SUBSTITUTE, DROP, REPEAT, BOUNDARY = 1.5, 0.7, 0.4, 1.0
 _EDGE = ".,;:!?\"'()[]{}<>*#&%$=~`^_-/\\|+…“”‘’«»"
-_SINGLES = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
-_TRIPLE = re.compile(r"(.)\1\1|(.)\2$")
+#: Single characters in a row, whatever white space stands between them.
+_SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S(?!\S)){3,}")
+_REPEATS = re.compile(r"(.)\1+", re.S)
+
+
+def squeezed(word: str) -> str:
+    """The word with every letter that repeats written once."""
+    return _REPEATS.sub(r"\1", word)
 
 
 def words_in(texts) -> Counter:
@@ -99,7 +105,8 @@ class CharModel:
         return got
 
     def restore(self, token: str) -> str:
-        """The likeliest word behind a lower-case token; ``token`` may hold signs and separators."""
+        """The likeliest word behind a lower-case token; ``token`` may hold signs and separators.  White
+        space in it may part words."""
         # state: last two letters -> (cost, letters so far as a linked list)
         states = {"  ": (0.0, None)}
         for c in token:
@@ -116,12 +123,12 @@ class CharModel:
                     put(state[1] + r, cost + extra + self.cost(state, r), (r, path))
                     if state[1] == r:
                         put(state, cost + extra + REPEAT, path)
-                if c in SEPARATORS or c == " ":
+                if c in SEPARATORS or c.isspace():
                     put(state, cost + DROP, path)
+                if c.isspace() and state != "  ":
+                    put("  ", cost + BOUNDARY + self.cost(state, " "), (" ", path))
             if not now:  # a sign that no letter explains stays out
                 now = {s: (cost + 2 * DROP, path) for s, (cost, path) in states.items()}
-            if len(now) > 64:
-                now = dict(sorted(now.items(), key=lambda x: x[1][0])[:64])
             states = now
         _, path = min(((cost + self.cost(s, " "), path) for s, (cost, path) in states.items()), key=lambda x: x[0])
         out = []
@@ -132,13 +139,11 @@ class CharModel:
 
 
 def plain_word(token: str) -> str | None:
-    """The word of a lower-case token that needs no restoring, else None."""
+    """The word of a lower-case token that holds letters alone between its edges, else None."""
     core = token.strip(_EDGE)
     if core and token[0] in "$@|+€£¡":  # in front, these are letters
         return None
-    if not core or core.isalpha() and not _TRIPLE.search(core):
-        return core
-    return None
+    return core if not core or core.isalpha() else None
 
 
 def beginnings(word: str):
@@ -206,6 +211,9 @@ class Model:
             ratio = (sure / total[1]) / ((other + 0.5) / total[0])
             if ratio >= RATIO and n > other:
                 self.weights[f] = math.log(ratio)
+        #: What a word must begin with for a decoding that only drops repeated letters to find a weight.
+        self.squeezed = {squeezed(f.removesuffix("-")) for f in self.weights}
+        self.longest = max(map(len, self.squeezed), default=0)
         self.chars = CharModel(three)
         self.slope, self.shift = 1.0, -4.0
 
@@ -228,20 +236,24 @@ class Model:
     def of_token(self, token: str) -> float:
         """The weight of a lower-case token, restored if it looks disguised."""
         word = plain_word(token)
-        if word is not None:
-            return self.of_word(word)
-        return max(self.of_word(self.chars.restore(token)), self.of_word(self.chars.restore(token.strip(_EDGE))))
+        if word is None:
+            return max(self.of_word(self.chars.restore(token)), self.of_word(self.chars.restore(token.strip(_EDGE))))
+        got = self.of_word(word)
+        if not got and _REPEATS.search(word):
+            short = squeezed(word)
+            if any(short[:n] in self.squeezed for n in range(1, min(len(short), self.longest) + 1)):
+                return self.of_word(self.chars.restore(word))
+        return got
 
     def strength(self, text: str, weight=None) -> float:
         low = text.lower()
         weight = weight or self.of_token
         met = [w for w in map(weight, set(low.split())) if w]
         for run in _SINGLES.finditer(low):
-            if w := self.of_word(self.chars.restore(run.group())):
-                met.append(w)
+            met += [w for w in map(self.of_word, self.chars.restore(" ".join(run.group().split())).split()) if w]
         # The strongest counts whole, more of them add less and less.
         met.sort(reverse=True)
-        return sum(w / (i + 1) for i, w in enumerate(met[:10]))
+        return sum(w / (i + 1) for i, w in enumerate(met))
 
     def score(self, text: str | None, weight=None) -> float:
         z = self.slope * self.strength(text or "", weight) + self.shift

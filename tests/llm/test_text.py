@@ -261,6 +261,55 @@ def test_restored_words(model, token, word):
     assert model.chars.restore(token) == word
 
 
+def plain_paths(chars, token):
+    """All readings of a token with their costs, by recursion over every choice."""
+
+    def go(i, state, cost, out):
+        if i == len(token):
+            yield cost + chars.cost(state, " "), out
+            return
+        c = token[i]
+        ways = []
+        for r, extra in ([(c, 0.0)] if c.isalpha() else []) + [(r, toxicity.SUBSTITUTE) for r in toxicity.SIGNS.get(c, "")]:
+            ways.append((state[1] + r, extra + chars.cost(state, r), r))
+            if state[1] == r:
+                ways.append((state, extra + toxicity.REPEAT, ""))
+        if c in toxicity.SEPARATORS or c.isspace():
+            ways.append((state, toxicity.DROP, ""))
+        if c.isspace() and state != "  ":
+            ways.append(("  ", toxicity.BOUNDARY + chars.cost(state, " "), " "))
+        for to, extra, r in ways or [(state, 2 * toxicity.DROP, "")]:
+            yield from go(i + 1, to, cost + extra, out + r)
+
+    return list(go(0, "  ", 0.0, ""))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from("idotmrns10$*.- |§"), max_size=7))
+def test_decoding_is_exact(model, token):
+    paths = plain_paths(model.chars, token)
+    best = min(c for c, _ in paths)
+    assert model.chars.restore(token) in {out for c, out in paths if c <= best + 1e-9}
+
+
+def test_no_state_is_dropped(model):
+    token = "*1|!" * 40 + "idiot"
+    assert model.chars.restore(token)  # far more states than a beam of 64 would keep
+    assert len({p for p in model.chars.restore("*" * 200)} - set("aeiou")) == 0
+
+
+@pytest.mark.parametrize("text", ["stuupid stone", "morron river", "s\tt\tu\tp\ti\td", "i  d  i  o  t", "i\nd\ni\no\nt", "s t u p i d i d i o t", "a st0ne m o r o n"])
+def test_more_disguises_are_caught(model, text):
+    assert model.score(text) >= 0.7
+
+
+def test_all_words_weigh(model):
+    """The eleventh toxic word and those after it still count."""
+    some = [w + x for w in ("idiot", "moron", "stupid") for x in ("", "s", "ed", "ing", "er")]
+    few, more = (model.strength(" ".join(some[:n])) for n in (10, 15))
+    assert more > few
+
+
 def test_disguised_texts_score_like_plain_ones(model):
     plain = model.score("you idiot stone moron river stupid")
     for t in ("you 1d10t stone m0r0n river $tupid", "you i d i o t stone mooooron river s.t.u.p.i.d", "YOU IDIOT!! stone MORON, river (stupid)"):
