@@ -1,9 +1,11 @@
 """Chat formatting by schema fingerprinting, on built-in functions only.
 
-A layout is known by its fingerprint: the hash of its sorted nested field paths.  Each
-fingerprint selects a declarative mapping, a list of turns given as (role, path), or the
-path of a turn array.  Tables are matched once, when the plan is made; JSON records of mixed
-layouts are matched row by row, by hashing the paths present in each record.
+A layout is known by its fingerprint: the hash of its sorted nested field paths, of those that
+some mapping reads.  Each fingerprint selects a declarative mapping, a list of turns given as
+(role, path), or the path of a turn array.  The table of fingerprints holds every set of such
+paths; where a set has the paths of several mappings, the one with the most paths is entered.
+Tables are looked up once, when the plan is made; JSON records of mixed layouts row by row, by
+hashing the paths present in each record.
 
 The template is ``<|turn|>role\\ntext<|end|>`` for each turn.  Inside roles and texts ``&``,
 ``<`` and ``[`` become ``&amp;``, ``&lt;`` and ``&lbr;`` (and a line break in a role
@@ -41,7 +43,7 @@ class Mapping:
 
 
 MAPPINGS = (
-    Mapping("rows", ("conv_id", "turn", "role", "text")),
+    Mapping("rows", ("turn", "role", "text")),
     Mapping("messages", ("messages", "messages.role", "messages.content"), array="messages", role="role", text="content"),
     Mapping("from_value", ("conversations", "conversations.from", "conversations.value"), array="conversations", role="from", text="value"),
     Mapping("instruction_input", ("instruction", "input", "output"), (("user", "instruction+input"), ("assistant", "output"))),
@@ -53,12 +55,34 @@ MAPPINGS = (
 )
 
 
+#: Groups of paths that mean something together alone; all other paths stand for themselves.
+GROUPS = [m.paths for m in MAPPINGS if m.array or not m.turns]
+UNITS = [*GROUPS, *sorted({(p,) for m in MAPPINGS for _, t in m.turns for p in t.split("+")})]
+
+
 def fingerprint(paths) -> str:
     """Hash of the field paths, whatever their order."""
     return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()[:16]
 
 
-BY_FINGERPRINT = {fingerprint(m.paths): m for m in MAPPINGS}
+def known(paths) -> set[str]:
+    """Those of the paths that mappings read; of a group all or none."""
+    have = set(paths)
+    return {p for unit in UNITS if have.issuperset(unit) for p in unit}
+
+
+def _table() -> dict[str, Mapping]:
+    """Fingerprint -> mapping, for every set of units that holds the paths of one."""
+    out = {}
+    for bits in range(1 << len(UNITS)):
+        have = {p for i, unit in enumerate(UNITS) if bits >> i & 1 for p in unit}
+        fits = [m for m in MAPPINGS if have.issuperset(m.paths)]
+        if fits:
+            out[fingerprint(have)] = max(fits, key=lambda m: len(m.paths))
+    return out
+
+
+BY_FINGERPRINT = _table()
 
 
 def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
@@ -75,13 +99,12 @@ def field_paths(schema: T.DataType, prefix: str = "") -> list[str]:
 
 
 def mapping_for(schema: T.StructType) -> Mapping:
-    """The mapping whose fingerprint the schema has; columns that no mapping knows don't count.
-    Of several, the one with the most paths wins.  Unknown layouts raise ValueError."""
-    have = set(field_paths(schema))
-    found = [m for m in MAPPINGS if BY_FINGERPRINT.get(fingerprint(have & set(m.paths))) is m]
-    if not found:
-        raise ValueError(f"no mapping for fingerprint {fingerprint(have)} of {sorted(have)}")
-    return max(found, key=lambda m: len(m.paths))
+    """The mapping under the fingerprint of the schema's known paths; other columns don't count.
+    Unknown layouts raise ValueError."""
+    mark = fingerprint(known(field_paths(schema)))
+    if mark not in BY_FINGERPRINT:
+        raise ValueError(f"no mapping for fingerprint {mark} of {sorted(field_paths(schema))}")
+    return BY_FINGERPRINT[mark]
 
 
 def _role(c: Column) -> Column:
@@ -128,25 +151,33 @@ JSON_SCHEMA = T.StructType(
 def canonical_json(df: DataFrame, json_col: str, id_col: str = "conv_id") -> DataFrame:
     """conv_id, layout, turn, role, text of JSON records of mixed layouts.
 
-    The paths present in each record are hashed and the hash picks the mapping.  A record of
+    The known paths present in each record are hashed and the hash picks the mapping.  A record of
     no known layout, or one that isn't JSON, gives one row with null layout, turn, role and text.
+    A null field is not present; an empty text is.  An empty table gives no rows.
     """
     r = df.select(F.col(id_col).alias("conv_id"), F.from_json(json_col, JSON_SCHEMA).alias("r"))
-    paths = [p for p in field_paths(JSON_SCHEMA)]
-
-    def present(path: str) -> Column:
-        top, _, below = path.partition(".")
-        there = F.col("r")[top].isNotNull()
-        return F.when(there & F.exists(F.col("r")[top], lambda x: x[below].isNotNull()), path) if below else F.when(there, path)
 
-    r = r.withColumn("mark", F.xxhash64(F.concat_ws("\n", F.sort_array(F.array_compact(F.array(*map(present, paths)))))))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
+    def present(unit: tuple[str, ...]) -> Column:
+        tests = []
+        for path in unit:
+            top, _, below = path.partition(".")
+            there = F.col("r")[top].isNotNull()
+            tests.append(there & F.exists(F.col("r")[top], lambda x: x[below].isNotNull()) if below else there)
+        all_ = tests[0]
+        for t in tests[1:]:
+            all_ = all_ & t
+        return F.when(all_, F.lit("\n".join(unit)))
+
+    units = [u for u in UNITS if u[0].partition(".")[0] in JSON_SCHEMA.names]
+    paths = F.array_sort(F.split(F.concat_ws("\n", F.array_compact(F.array(*map(present, units)))), "\n"))
+    r = r.withColumn("mark", F.substring(F.sha2(F.encode(F.array_join(paths, "\n"), "UTF-8"), 256), 1, 16))
+    table_ = df.sparkSession.createDataFrame([(k, m.name) for k, m in BY_FINGERPRINT.items()], "mark string, layout string")  # a set number of rows
+    r = r.join(F.broadcast(table_), "mark", "left")
+    turns = F.lit(None).cast("array<struct<turn:bigint,role:string,text:string>>")
     for m in MAPPINGS:
         if m.name != "rows":
-            same = F.col("mark") == F.xxhash64(F.lit("\n".join(sorted(m.paths))))
-            layout = F.when(same, m.name).otherwise(layout)
-            turns = F.when(same, _turns(m, lambda p: F.col("r")[p])).otherwise(turns)
-    return r.select("conv_id", layout.alias("layout"), F.explode_outer(turns).alias("t")).select("conv_id", "layout", "t.turn", "t.role", "t.text")
+            turns = F.when(F.col("layout") == m.name, _turns(m, lambda p: F.col("r")[p])).otherwise(turns)
+    return r.select("conv_id", "layout", F.explode_outer(turns).alias("t")).select("conv_id", "layout", "t.turn", "t.role", "t.text")
 
 
 def escaped(c: Column) -> Column:
@@ -165,7 +196,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """conv_id, formatted string, loss_spans array<struct<start long, length long>>.
 
     ``turns`` has conv_id, turn, role, text.  Turns go in order of turn, then role, then
-    text; rows that repeat each make a turn.  Spans count code points of ``formatted`` from 0
+    text; rows that repeat each make a turn.  Null roles and texts are empty, a null turn comes
+    first, a null conv_id is one more conversation, and an empty table gives no rows.  Spans count code points of ``formatted`` from 0
     and cover the text of each assistant turn and nothing else.
     """
     t = turns.select(

@@ -391,6 +391,19 @@ def test_chat_json_of_mixed_layouts(spark):
     assert by[3][0] == ("system_prompt", "system", "s") and by[4] == by[5] == [(None, None, None)]
 
 
+def test_fingerprints_select_mappings(spark):
+    """Every mapping is found under the hash of its own paths, extra columns or not; the hash decides."""
+    for m in chat.MAPPINGS:
+        assert chat.BY_FINGERPRINT[chat.fingerprint(m.paths)] is m
+        assert chat.known([*m.paths, "zzz", "zzz.role"]) == set(m.paths)
+    assert len(chat.BY_FINGERPRINT) > 1000 and chat.fingerprint(["a", "b"]) == chat.fingerprint(["b", "a", "b"])
+    schema = spark.createDataFrame([], "turn long, role string, prompt string, response string, messages array<struct<role:string>>").schema
+    assert chat.known(chat.field_paths(schema)) == {"prompt", "response"} and chat.mapping_for(schema).name == "prompt_response"
+    lines = ['{"prompt":"a","response":"b","question":"q","answer":null}', '{"messages":[{"role":"user"}],"question":"a","answer":"b"}', '{"instruction":"a","input":"","output":"b"}', "[]", ""]
+    got = chat.canonical_json(spark.createDataFrame(list(enumerate(lines)), "conv_id long, line string"), "line").select("conv_id", "layout").distinct().collect()
+    assert {r.conv_id: r.layout for r in got} == {0: "prompt_response", 1: "question_answer", 2: "instruction_input", 3: None, 4: None}
+
+
 @settings(max_examples=15, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\nb", "<x>"]), st.text(alphabet="ab&<[;lt|>turnend\n/", max_size=25)), min_size=1, max_size=6))
 def test_chat_reads_back(spark, turns):
