@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import written
+from plumbline.llm.common import only, text_key, written
 
 #: Bytes of a block.  Most documents are one or two blocks.
 BLOCK_BYTES = 4096
@@ -37,7 +37,7 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """
     rows = docs.select(
         "doc_id",
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"),
+        text_key().alias("key"),
         F.encode(normalised(), "UTF-8").alias("b"),
     )
     n = F.greatest(F.ceil(F.octet_length("b") / F.lit(block_bytes)), F.lit(1)).cast("int")
@@ -47,12 +47,14 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         n.alias("n"),
         F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("b"), i * block_bytes + 1, F.lit(block_bytes)))).alias("i", "block"),
     )
-    # Sorting aggregation: the partial step folds copies before anything is shuffled.
-    names = (
+    # Sorting aggregation: the partial step folds copies before anything is shuffled.  Names are written,
+    # so that a block which a large part of all rows hold is a skewed join that AQE can split.
+    names = written(
         blocks.groupBy("block")
         .agg(F.min(_name_of(F.col("doc_id"), F.col("key"), F.col("i"))).alias("name"), F.count(F.lit(1)).alias("c"))
         .where("c > 1")
-        .drop("c")
+        .drop("c"),
+        "repeated-blocks",
     )
     named = blocks.join(names, "block", "left").select("doc_id", "key", "n", "i", "name")
     # Only documents all of whose blocks occur elsewhere too can equal another document.
@@ -84,38 +86,43 @@ def identities(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return done.select("doc_id", "key", F.struct("n", "name").alias("name"))
 
 
-def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after every white-space character is deleted.  Of equal
-    texts the row with the most code points in the original text stays, ties go to the
-    smallest doc_id.  Null texts are empty texts; all empty texts form one group.  Rows
-    repeated in full each count in ``group_size`` and share ``kept``.  A null doc_id sorts
-    before all others.  Further columns are ignored.
-    """
+def _grouped(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """doc_id, key, keep_id, group_size, kept, text_sha256 of each row."""
     rows = docs.select(
         "doc_id",
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"),
+        text_key().alias("key"),
         F.sha2(F.encode(normalised(), "UTF-8"), 256).alias("text_sha256"),
         F.length(F.coalesce(F.col("text"), F.lit(""))).alias("points"),
     )
     # A null doc_id is one more id; the struct keeps it apart from real ones in equality joins.
-    name = written(identities(docs, block_bytes), "block-identities")
-    rows = rows.withColumn("id", F.struct("doc_id", "key"))
-    name = name.select(F.struct("doc_id", "key").alias("id"), "name").distinct()
-    rows = rows.join(name, "id")
+    name = identities(docs, block_bytes).select(F.struct("doc_id", "key").alias("id"), "name").distinct()
+    rows = written(rows.withColumn("id", F.struct("doc_id", "key")).join(name, "id"), "block-identities")
     best = rows.groupBy("name").agg(
-        F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id"))).alias("best"),
+        F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id"), F.col("key"))).alias("best"),
         F.count(F.lit(1)).alias("group_size"),
     )
-    out = rows.join(best, "name")
-    return out.select(
-        "doc_id",
-        F.col("best.doc_id").alias("keep_id"),
-        "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("points") == -F.col("best.p"))).alias("kept"),
-        "text_sha256",
-    )
+    out = rows.drop("id").join(written(best, "block-groups"), "name")  # written, as a group may be large
+    first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))
+    return out.select("doc_id", "key", F.col("best.doc_id").alias("keep_id"), "group_size", first.alias("kept"), "text_sha256")
+
+
+def exact_duplicates(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after every white-space character is deleted.  Of equal
+    texts the row with the most code points in the original text stays, ties go to the
+    smallest doc_id, then to the text of least hash.  Null texts are empty texts; all empty texts
+    form one group.  Rows repeated in full each count in ``group_size`` and share ``kept``.  A
+    null doc_id sorts before all others.  Further columns are ignored.
+    """
+    return _grouped(docs, block_bytes).drop("key")
+
+
+def without_copies(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, whole and in all columns, that stay: one of each group of equal texts, also
+    where rows repeat a doc_id or repeat in full."""
+    found = _grouped(docs, block_bytes).where("kept")
+    return only(docs, found.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")))
 
 
 def op10_exact_dedup(spark, sf_dir):

@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from plumbline.sources.tables import deleted, materialised
 
@@ -67,8 +68,24 @@ def ship(spark: SparkSession) -> None:
     context._plumbline_sent = True
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
+def text_key(name: str = "text") -> Column:
+    """Tells rows that repeat a doc_id with another text apart."""
+    return F.xxhash64(F.coalesce(F.col(name), F.lit("")))
+
+
+def only(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """The rows of ``docs``, whole, that ``keep`` (doc_id, key, n) names by doc_id and ``text_key``; a null
+    id is an id.  Of the n rows that share both, one stays: that of least hash of all its columns."""
+    keep = written(keep, "kept")
+    name, place = fresh(docs, "key"), fresh(docs, "place")
+    rows = docs.withColumn(name, text_key())
+    same = rows["doc_id"].eqNullSafe(keep["doc_id"]) & (rows[name] == keep["key"])
+    rows_of = lambda which: rows.join(which, same, "left_semi")
+    if keep.where("n > 1").isEmpty():
+        return rows_of(keep).drop(name)
+    order = W.partitionBy("doc_id", name).orderBy(F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+    one = rows_of(keep.where("n > 1")).withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return rows_of(keep.where("n = 1")).drop(name).unionByName(one.drop(name, place))
 
 
 def partitions(spark: SparkSession) -> int:

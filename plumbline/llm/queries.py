@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from plumbline.llm import block_names, bpe, chat, langid, packing, simhash, substring_dedup, suffix_dedup, topk, toxicity
 
 QUERIES = {
@@ -16,7 +15,6 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_topk": topk.op9_topk,
     "op10_exact_dedup": block_names.op10_exact_dedup,
-    "pipeline": corpus_pipeline.run,
 }
 SQL = {
     "op1_suffix_dedup": suffix_dedup.ORACLE,

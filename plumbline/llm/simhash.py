@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import partitions, small_batches, table, written
+from plumbline.llm.common import only, partitions, small_batches, table, text_key, written
 from plumbline.llm.components import components
 
 TAU = 4
@@ -57,15 +57,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long)."""
+    """doc_id, key (``text_key``), fp (the fingerprint's 64 bits as a signed long)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
             fp = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "fp": fp.view(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select("doc_id", text_key().alias("key"), "text").mapInPandas(run, "doc_id long, key long, fp long")
 
 
 def bit_groups(sample: np.ndarray, m: int) -> list[list[int]]:
@@ -282,22 +282,36 @@ def linked(probed: DataFrame, tau: int, crowd: int = CROWD) -> DataFrame:
     return rows.repartition(n, "part", "value", "deal").sortWithinPartitions("part", "value", "deal").select("part", "value", "deal", "fp", "node").mapInPandas(run, "u long, v long")
 
 
+def _grouped(docs: DataFrame, tau: int) -> DataFrame:
+    """doc_id, key, fp, label (a fingerprint that stands for the component) of each row."""
+    rows = written(fingerprints(docs), "fingerprints")
+    fps = written(rows.select("fp", F.col("fp").alias("node")).distinct(), "distinct-fingerprints")
+    comps = components(linked(probes(fps, plan_for(fps, tau)), tau))
+    named = fps.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("label"))
+    return rows.join(written(named, "labels"), "fp")  # written, as a fingerprint may be many rows'
+
+
 def near_duplicates(docs: DataFrame, tau: int = TAU) -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id.
 
     component_id is the smallest doc_id reachable over links of ``tau`` or fewer differing
     bits.  Null and wordless texts have fingerprint zero and link like any other.  Rows with a
-    null doc_id keep their fingerprint; if no other id is reachable their component_id is
-    null.  Repeated rows each give a row.  Further columns are ignored.
+    null doc_id link too; if no other id is reachable their component_id is null.  Repeated
+    rows each give a row.  Further columns are ignored.
     """
-    rows = written(fingerprints(docs), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct-fingerprints")
-    # Without any doc_id a fingerprint has no name that a component could take.
-    fps = nodes.where("node is not null")
-    edges = linked(probes(fps, plan_for(fps, tau)), tau)
-    comps = components(edges)
-    named = nodes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = _grouped(docs, tau)
+    least = written(rows.groupBy("label").agg(F.min("doc_id").alias("component_id")), "components")
+    return rows.join(least, "label").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def without_near_copies(docs: DataFrame, tau: int = TAU) -> DataFrame:
+    """The rows of ``docs``, whole and in all columns, that stay: of each component the smallest doc_id,
+    null after all others; of rows that share it the text of least hash, and of those one."""
+    rows = _grouped(docs, tau)
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("best"))
+    rows = rows.groupBy("label", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("key") == F.col("best.key"))
+    return only(docs, rows.join(first, "label").where(same).select("doc_id", "key", "n"))
 
 
 def op8_simhash(spark, sf_dir):

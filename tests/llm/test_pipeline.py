@@ -49,10 +49,48 @@ def test_stages_on_odd_rows(spark, sf_dir, make, odd_rows):
         assert out.columns == docs.columns
         docs = out
     ids = {r.doc_id for r in docs.collect()}
-    assert None in ids and 13 in ids and 3 in ids and not ids & {1, 2, 20}
+    assert None in ids and 13 in ids and 3 in ids and not ids & {1, 2, 20}  # 3 has the longest text without a word
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= docs.count()
 
 
 def test_stages_on_empty_tables(spark, sf_dir, make):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, make([]), sf_dir).count() == 0
+
+
+def test_repeated_rows_and_ids(spark, sf_dir, make):
+    """Rows that repeat in full leave one; rows that share an id and differ are documents of their own."""
+    stages = dict(corpus_pipeline.STAGES)
+    t, u = "one text of some words here", "quite another text with other words in it"
+    docs = make([(1, t), (1, t), (2, "x  y z"), (2, "q w e"), (3, "q w e"), (4, "x y  z "), (5, u), (5, u), (None, t), (None, None), (None, None)])
+    for name in ("exact_dedup", "near_dedup"):
+        out = stages[name](spark, docs, sf_dir)
+        assert out.columns == docs.columns
+        got = sorted([(r.doc_id, r.text) for r in out.collect()], key=str)
+        longest = (4, "x y  z ") if name == "exact_dedup" else None
+        if name == "exact_dedup":  # a null id sorts before all others
+            assert got == sorted([(None, t), longest, (2, "q w e"), (5, u), (None, None)], key=str)
+        else:  # a null id stays only where no other is left
+            assert got == sorted([(1, t), (2, "x  y z"), (2, "q w e"), (5, u), (None, None)], key=str)
+
+
+def test_columns_that_clash(spark, sf_dir):
+    text = " ".join(f"t{i}" for i in range(80))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, spans int, key string, _key long, place int, kept boolean, fp long, label long, node long, score double"
+    docs = spark.createDataFrame([(i, text if i < 3 else f"{i} other words", None, "s", 5, i, "k", 7, 1, True, 0, 0, 0, 0.0) for i in (1, 1, 2, 3, 4)], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.schema == docs.schema, name
+        assert out.count() == {"toxicity": 5, "exact_dedup": 3, "near_dedup": 3, "substring_dedup": 5}[name]
+
+
+def test_run_leaves_no_tables_of_its_stages(spark, sf_dir):
+    import os
+
+    from plumbline.sources.tables import run_folder
+
+    folder = run_folder(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    corpus_pipeline.run(spark, sf_dir).count()
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before}
+    assert left <= {"stage-substring_dedup", "pieces"}
