@@ -10,13 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import block_names, packing, simhash, substring_dedup, toxicity
-from plumbline.llm.common import table, written
+from plumbline.llm.common import drop_written, table, written
 from plumbline.llm.langid import fold
-
-
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids``; a null id is an id."""
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+from plumbline.sources.tables import scope
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +22,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original, then the smallest doc_id, stays."""
-    found = block_names.exact_duplicates(docs)
-    return _only(docs, found.where("kept").select("doc_id"))
+    """Of equal texts the longest original, then the smallest doc_id, stays; of rows that repeat in full
+    one."""
+    return block_names.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the smallest doc_id stays."""
-    found = simhash.near_duplicates(docs)
-    return _only(docs, found.where("doc_id <=> component_id").select("doc_id"))
+    """Of each group of near-duplicates the smallest doc_id stays; of rows that repeat it one."""
+    return simhash.without_near_copies(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages.  Tables that a stage makes go when its result is written, its input when the next
+    stage's result is; what the last stage makes stays as long as the process, which reads it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for n, (name, stage) in enumerate(STAGES[:-1]):
+        with scope(spark):
+            out = written(stage(spark, docs, sf_dir), f"stage-{name}", outer=True)
+        if n:
+            drop_written(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
