@@ -16,6 +16,12 @@ def token_probabilities(logprobs: Column) -> Column:
     return F.transform(kept, lambda x: F.exp(x))
 
 
+def overflows(logprobs: Column) -> Column:
+    """Whether exp of some log-probability, itself finite, is beyond doubles."""
+    inf = float("inf")
+    return F.coalesce(F.exists(logprobs, lambda x: (x < inf) & (x > 0) & (F.exp(x) == inf)), F.lit(False))
+
+
 def mean_of(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
 

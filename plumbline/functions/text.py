@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -126,17 +128,27 @@ def shown_double(d: Column) -> Column:
     return let(d.cast("string"), shape)
 
 
+def _ascii_digits(c: Column) -> Column:
+    """Decimal digits of all scripts as 0 to 9."""
+    digits = [chr(i) for i in range(0x80, 0x110000) if unicodedata.category(chr(i)) == "Nd"]
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, "".join(digits), "".join(str(unicodedata.digit(d)) for d in digits))).otherwise(c)
+
+
 def numeric_text(c: Column) -> Column:
     """Texts that read as a number, in its shortest form; others as they are.  A dot makes a
-    double of it; otherwise signs and leading zeros of a whole number go, whatever its size."""
+    double of it; otherwise signs and leading zeros of a whole number go, whatever its size.  White
+    space around it and digits of any script are read too."""
+
+    def form(x):
+        return let(strip(_ascii_digits(x)), lambda s: shown(s, x))
 
-    def form(s):
+    def shown(s, x):
         bare = F.replace(s, F.lit("_"), F.lit(""))
         unsigned = F.regexp_replace(bare, "^[+-]?0*(?=.)", "")
         whole = F.when((unsigned != "0") & F.startswith(bare, F.lit("-")), F.concat(F.lit("-"), unsigned)).otherwise(unsigned)
         is_whole = s.rlike(r"^[+-]?\d+(_\d+)*$")
         is_double = s.rlike(r"^[+-]?(\d+(_\d+)*\.(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$")
-        return F.when(is_whole, whole).when(is_double, shown_double(bare.try_cast("double"))).otherwise(s)
+        return F.when(is_whole, whole).when(is_double, shown_double(bare.try_cast("double"))).otherwise(x)
 
     return let(c, form)
 

@@ -5,19 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Instructions of the sampling and scoring stages, in words of this engine's own.
+#: Instructions of the sampling stage, in words of this engine's own.
 SOLVE = "Reason step by step and put the final answer in \\boxed{}."
-RATE = "How likely is the answer above to be right? End with one line: Confidence: <0-100>%"
+_HARSH = " Do not be lenient: work that wanders or disagrees with itself gets 0%."
+_END = " Answer with nothing but this line: **Confidence: [Score]%**"
+_SCALE = " Say, from 0 to 100, how sure you are that this path will reach the right result in the end."
+_PATH = "Verify a path of reasoning strictly. Hold the thoughts so far against what the problem demands; they must be sound and agree with each other."
+_PATH_GOOD, _PATH_BAD = "the step is a valid inference that brings the solution nearer", "numbers or assumptions come from nowhere, or the logic contradicts the problem or an earlier step, or the approach is wrong at its root or cannot lead anywhere"
+_STEP = "Verify the work step by step and strictly. Hold the last step against the problem; school arithmetic leaves nothing open to interpretation."
+_STEP_GOOD, _STEP_BAD = "the step plainly follows from the sentence before it and its numbers are those of the problem", "a number has no visible source, or the operation makes no sense for the things described, or the calculation is wrong"
+#: What a scorer is asked: for paths of any kind or steps of school mathematics, on a scale or as yes or no.
+RUBRICS = {
+    "path": f"{_PATH}{_SCALE} High: {_PATH_GOOD}. Low: {_PATH_BAD}.{_HARSH}{_END}",
+    "path_simple": f"{_PATH} 100%: {_PATH_GOOD}. 0%: {_PATH_BAD}.{_HARSH}{_END}",
+    "steps": f"{_STEP}{_SCALE} High: {_STEP_GOOD}. Low: {_STEP_BAD}.{_HARSH}{_END}",
+    "steps_simple": f"{_STEP} 100%: {_STEP_GOOD}. 0%: {_STEP_BAD}.{_HARSH}{_END}",
+}
+RATE = RUBRICS["path"]
+#: What a judge is asked, before and behind the question, the reference and the response.
+JUDGE = "Grade a mathematical response strictly: does it agree with the reference answer?"
+JUDGE_RULES = (
+    "Only the final answer counts, whatever mistakes the reasoning holds. A response that corrects itself and ends with the right number, in a box or at the close, is right. "
+    "One that gives several answers which contradict each other is wrong. Reply with JSON only: "
+    '{"extracted_answer": "the number that the response gives", "is_correct": true or false}'
+)
 
 
 def option_letters(options: Column) -> Column:
-    """``A. first`` and so on, a line each, of an array of texts."""
-    return F.array_join(F.transform(options, lambda o, i: F.concat(F.char(F.lit(65) + i), F.lit(". "), o, F.lit("\n"))), "")
+    """``A. first`` and so on, a line each, of an array of texts; a null one reads ``None``."""
+    return F.array_join(F.transform(options, lambda o, i: F.concat(F.char(F.lit(65) + i), F.lit(". "), F.coalesce(o, F.lit("None")), F.lit("\n"))), "")
 
 
 def option_list(literal: Column) -> Column:
-    """``option_letters`` of a list literal in single or double quotes; empty if it isn't one."""
-    return F.coalesce(option_letters(F.from_json(literal, "array<string>")), F.lit(""))
+    """``option_letters`` of a list literal in single or double quotes, with bare None, True, False and
+    numbers as they are written; empty if it isn't a list."""
+    # Every quoted text and every bare word gets a mark behind it; marks of quoted ones go again.
+    marked = F.regexp_replace(literal, r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|\b(None|True|False)\b""", "$1$2\u0001")
+    bare = F.regexp_replace(F.regexp_replace(marked, "(['\"])\u0001", "$1"), "(None|True|False)\u0001", '"$1"')
+    closed = F.regexp_replace(bare, r",\s*\]\s*$", "]")
+    listed = F.when(F.startswith(F.ltrim(literal), F.lit("[")), F.from_json(closed, "array<string>", {"allowBackslashEscapingAnyCharacter": "true"}))
+    return F.coalesce(option_letters(listed), F.lit(""))
+
+
+def with_options(question: Column, lines: Column) -> Column:
+    """A question with lettered options under a heading, if there are any."""
+    return F.concat(question, F.when(F.coalesce(lines, F.lit("")) == "", "").otherwise(F.concat(F.lit("\n\nOptions:\n"), lines)))
 
 
 def option_struct(question: Column, options: Column) -> Column:
@@ -37,4 +69,5 @@ def verification(question: Column, slice_: Column, rubric: str = RATE) -> Column
 
 
 def judge_prompt(question: Column, gold: Column, response: Column) -> Column:
-    return F.concat(F.lit("Question:\n"), question, F.lit("\n\nReference answer:\n"), gold, F.lit("\n\nResponse:\n"), response, F.lit('\n\nReply as JSON: {"extracted_answer": ..., "is_correct": true or false}'))
+    """One prompt with the rules of judging; any judge that replies in JSON will do."""
+    return F.concat(F.lit(f"{JUDGE}\n\nQuestion:\n"), question, F.lit("\n\nReference answer:\n"), gold, F.lit("\n\nResponse:\n"), response, F.lit(f"\n\n{JUDGE_RULES}"))

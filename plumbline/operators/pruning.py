@@ -19,13 +19,18 @@ def high_or_all(pool: Column, least: float) -> Column:
     return let(F.filter(pool, lambda x: x["score"] >= least), lambda h: F.when(F.size(h) > 0, h).otherwise(pool))
 
 
+def _stays(score: Column, jitter: Column, least: float, t_hi: Column, t_lo: Column) -> Column:
+    over = ~F.isnan(jitter) & ~F.isnan(t_hi) & (jitter > t_hi)
+    below = ~F.isnan(jitter) & ~F.isnan(t_lo) & (jitter < t_lo)
+    return F.when(score >= least, ~over).otherwise(~below)
+
+
 def veto_or_all(pool: Column, least: float, t_hi: Column, t_lo: Column) -> Column:
     """Drop high scorers of a jitter over t_hi and others of one below t_lo; all stay if none would.
-    NaN is over or below nothing."""
+    Nothing is over or below NaN, nor is NaN over or below anything."""
 
     def stays(x):
-        j = x["jitter"]
-        return F.isnan(j) | F.when(x["score"] >= least, ~(j > t_hi)).otherwise(~(j < t_lo))
+        return _stays(x["score"], x["jitter"], least, t_hi, t_lo)
 
     return let(F.filter(pool, stays), lambda k: F.when(F.size(k) > 0, k).otherwise(pool))
 
@@ -38,24 +43,27 @@ def high_or_all_long(rows: DataFrame, least: float, key: str = "question_id") ->
 
 def veto_or_all_long(rows: DataFrame, least: float, thresholds: DataFrame, key: str = "question_id") -> DataFrame:
     """``veto_or_all`` over long rows with ``score`` and ``jitter``; thresholds is one row."""
-    j = F.col("jitter")
     rows = rows.crossJoin(F.broadcast(thresholds))  # one row by construction
-    rows = rows.withColumn("__stays", F.isnan(j) | F.when(F.col("score") >= least, ~(j > F.col("t_hi"))).otherwise(~(j < F.col("t_lo"))))
+    rows = rows.withColumn("__stays", _stays(F.col("score"), F.col("jitter"), least, F.col("t_hi"), F.col("t_lo")))
     n = F.count_if("__stays").over(W.partitionBy(key))
     return rows.withColumn("__n", n).where(F.col("__stays") | (F.col("__n") == 0)).drop("__n", "__stays", "t_hi", "t_lo")
 
 
 def percentiles(values: DataFrame, column: str, points: list[float], rows: int | None = None) -> list[float | None]:
-    """Exact percentiles (linear between ranks) at any size.
+    """Exact percentiles (linear between ranks) at any size.  Nulls don't count; a NaN among the values
+    makes all of them NaN.
 
     An exact percentile as one aggregate holds all distinct values in one place.  Beyond
     ``AGGREGATE_ROWS`` values, the bracket around each rank is narrowed with approximate
     quantiles and counts until what is left of it is small; only that is sorted.
     """
-    v = values.select(F.col(column).cast("double").alias("v")).where("v is not null and not isnan(v)")
-    n = v.count() if rows is None else rows
-    if n == 0 or not points:
-        return [None] * len(points)
+    v = values.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    if not points:
+        return []
+    n, bad = v.agg(F.count(F.lit(1)), F.count_if(F.isnan("v"))).first()
+    if n == 0 or bad:
+        return [float("nan") if bad else None] * len(points)
+    n = n if rows is None else rows
     if n <= AGGREGATE_ROWS:
         return list(v.agg(F.percentile("v", F.array(*map(F.lit, points)))).first()[0])
     out = []
@@ -104,12 +112,13 @@ def threshold_point(ratio: float, direction: str = "top") -> float | None:
 def thresholds(values: DataFrame, column: str, v100: float, v0: float) -> DataFrame:
     """One row: t_hi above which high scorers go (the top ``v100`` percent) and t_lo below which
     others go (all but the top ``v0`` percent); 10000 where the ratio isn't positive or there are
-    no values.  Lazy, for tables whose distinct values fit one task; ``exact_thresholds`` is for
+    no values, NaN where one of them is.  Lazy, for tables whose distinct values fit one task; ``exact_thresholds`` is for
     larger ones."""
 
     def of(ratio: float) -> Column:
         point = threshold_point(ratio)
-        return F.lit(NO_THRESHOLD) if point is None else F.coalesce(F.percentile(column, F.lit(point)), F.lit(NO_THRESHOLD))
+        found = F.when(F.count_if(F.isnan(column)) > 0, F.lit(float("nan"))).otherwise(F.percentile(column, F.lit(0.0 if point is None else point)))
+        return F.lit(NO_THRESHOLD) if point is None else F.coalesce(found, F.lit(NO_THRESHOLD))
 
     return values.agg(of(v100).alias("t_hi"), of(v0).alias("t_lo"))
 

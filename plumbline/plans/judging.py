@@ -9,7 +9,7 @@ from plumbline.functions.arrays import interval_slices
 from plumbline.functions.text import extract_fix, normalize_fix
 from plumbline.operators.prompts import judge_prompt
 from plumbline.operators.voting import record_stats
-from plumbline.schemas import SamplingConfig, or_empty
+from plumbline.schemas import SamplingConfig, candidates_of, field_of, first_present, or_empty
 
 
 def gold_letter(gold: Column) -> Column:
@@ -22,25 +22,51 @@ def rejudged(pred: Column, gold: Column) -> Column:
     return (normalize_fix(pred) == normalize_fix(gold)) | F.coalesce(gold == pred, F.lit(False))
 
 
+def _kind(records: DataFrame):
+    """The type of a candidate."""
+    name = "candidates" if "candidates" in records.columns else "continuations"
+    return records.schema[name].dataType.elementType
+
+
+def _gold(records: DataFrame) -> Column:
+    """The gold answer, by either name; a null or empty one gives way to the other."""
+    return or_empty(first_present(records, "gold_answer"), F.coalesce(first_present(records, "answer"), F.lit("")))
+
+
+def _question(records: DataFrame) -> Column:
+    return or_empty(first_present(records, "problem"), F.coalesce(first_present(records, "question"), F.lit("")))
+
+
 def fix_records(records: DataFrame) -> DataFrame:
     """Records with extracted_answer, is_correct and stats redone.  Answers that are there are kept;
     others are read from the text.  What stays without an answer is for ``to_judge``."""
-    gold = gold_letter(or_empty(F.col("gold_answer"), F.col("answer")) if "answer" in records.columns else F.coalesce("gold_answer", F.lit("")))
-    fields = {f.name for f in records.schema["candidates"].dataType.elementType.fields}
-
-    def text(c):
-        return F.coalesce(*[c[n] for n in ("text", "full_text", "continuation_text") if n in fields], F.lit(""))
-
-    rows = records.withColumn("__gold", gold)
+    kind = _kind(records)
+    text = lambda c: F.coalesce(field_of(c, kind, "text", "full_text", "continuation_text"), F.lit(""))
+    rows = records.withColumn("__gold", gold_letter(_gold(records)))
     rows = rows.withColumn("candidates", F.transform(F.coalesce("candidates", F.array()), lambda c: c.withField("extracted_answer", F.coalesce(c["extracted_answer"], extract_fix(text(c))))))
     rows = rows.withColumn("candidates", F.transform("candidates", lambda c: c.withField("is_correct", F.when(c["extracted_answer"].isNull(), F.lit(False)).otherwise(rejudged(c["extracted_answer"], F.col("__gold"))))))
     return rows.withColumn("stats", record_stats(F.col("candidates"))).drop("__gold")
 
 
 def to_judge(records: DataFrame) -> DataFrame:
-    """question_id, pos, prompt of the candidates that have no answer after ``fix_records``."""
-    c = records.select("question_id", "problem", "gold_answer", F.posexplode("candidates").alias("pos", "c")).where("c.extracted_answer is null")
-    return c.select("question_id", "pos", judge_prompt(F.coalesce("problem", F.lit("")), F.coalesce("gold_answer", F.lit("")), F.coalesce("c.text", F.lit(""))).alias("prompt"))
+    """question_id, pos, prompt of the candidates that have no answer after ``fix_records``; questions,
+    gold answers and texts by any of their names."""
+    kind = _kind(records)
+    c = records.select("question_id", _question(records).alias("q"), _gold(records).alias("g"), F.posexplode("candidates").alias("pos", "c")).where("c.extracted_answer is null")
+    text = F.coalesce(field_of(F.col("c"), kind, "text", "full_text", "continuation_text"), F.lit(""))
+    return c.select("question_id", "pos", judge_prompt(F.col("q"), F.col("g"), text).alias("prompt"))
+
+
+def run_counts(fixed: DataFrame) -> DataFrame:
+    """One row on records after ``fix_records``: records, candidates, correct ones, and those that a judge
+    is asked about."""
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return fixed.agg(
+        F.count(F.lit(1)).alias("records"),
+        n(F.size("candidates")).alias("candidates"),
+        n(F.col("stats.correct")).alias("correct"),
+        n(F.size(F.filter("candidates", lambda c: c["extracted_answer"].isNull()))).alias("judge_calls"),
+    )
 
 
 def with_verdicts(records: DataFrame, replies: DataFrame) -> DataFrame:
@@ -60,11 +86,24 @@ def with_verdicts(records: DataFrame, replies: DataFrame) -> DataFrame:
     return rows.withColumn("stats", record_stats(F.col("candidates")))
 
 
+def scorable(records: DataFrame) -> DataFrame:
+    """The records that the scoring stage keeps: those without candidates, which it hands on as they
+    are, and those with stats whose candidates all have a text."""
+    kind = _kind(records)
+    c = candidates_of(records)
+    whole = F.forall(c, lambda x: field_of(x, kind, "text", "full_text").isNotNull())
+    stats = F.col("stats").isNotNull() if "stats" in records.columns else F.lit(False)
+    return records.where((F.size(c) == 0) | (stats & whole))
+
+
 def slices_of(records: DataFrame, config: SamplingConfig = SamplingConfig(), flag: str = "\n\n") -> DataFrame:
     """question_id, problem, pos, slice_idx, slice: what a scorer is asked about."""
-    c = records.select("question_id", "problem", F.posexplode("candidates").alias("pos", "c"))
-    text = F.coalesce(c["c.text"], c["c.full_text"] if "full_text" in c.schema["c"].dataType.names else F.lit(None), F.lit(""))
-    return c.select("question_id", "problem", "pos", F.posexplode(interval_slices(text, config.num_intervals, flag)).alias("slice_idx", "slice"))
+    kind = _kind(records)
+    prefix = F.coalesce(first_present(records, "full_poisoned_prefix"), F.lit(""))
+    c = records.select("question_id", F.coalesce("problem", F.lit("")).alias("problem"), prefix.alias("prefix"), F.posexplode(candidates_of(records)).alias("pos", "c"))
+    text = F.coalesce(field_of(F.col("c"), kind, "text", "full_text"), F.lit(""))
+    slices = interval_slices(text, config.num_intervals, flag, F.col("prefix") if config.poisoned else None)
+    return c.select("question_id", "problem", "pos", F.posexplode(slices).alias("slice_idx", "slice"))
 
 
 def candidate_scores(scores: DataFrame) -> DataFrame:
@@ -74,10 +113,11 @@ def candidate_scores(scores: DataFrame) -> DataFrame:
 
 
 def with_scores(records: DataFrame, scores: DataFrame) -> DataFrame:
-    """Records with scores in their candidates and ``stats.avg_confidence``; candidates that have no
-    score get an empty list and zeros."""
+    """The ``scorable`` records with scores in their ``candidates`` and ``stats.avg_confidence``;
+    candidates that have no score get an empty list and zeros.  Records without candidates stay as
+    they are, their confidence null."""
     per = candidate_scores(scores).groupBy("question_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", F.struct("interval_scores", "avg_verbal_score", "min_verbal_score")))).alias("__s"))
-    rows = records.join(per, "question_id", "left")
+    rows = scorable(records).withColumn("candidates", candidates_of(records)).drop("continuations").join(per, "question_id", "left")
 
     def scored(c, i):
         s = F.try_element_at(F.col("__s"), i)
@@ -87,4 +127,6 @@ def with_scores(records: DataFrame, scores: DataFrame) -> DataFrame:
 
     rows = rows.withColumn("candidates", F.transform("candidates", scored)).drop("__s")
     mean = F.aggregate("candidates", F.lit(0.0), lambda a, c: a + c["avg_verbal_score"]) / F.size("candidates")
-    return rows.withColumn("stats", F.col("stats").withField("avg_confidence", F.when(F.size("candidates") > 0, mean).otherwise(F.lit(0.0))))
+    if "stats" not in records.columns:
+        return rows
+    return rows.withColumn("stats", F.col("stats").withField("avg_confidence", F.when(F.size("candidates") > 0, mean)))

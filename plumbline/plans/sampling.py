@@ -24,10 +24,10 @@ def asked(questions: DataFrame, config: SamplingConfig = SamplingConfig(), visua
                 shown = prompts.option_struct(q, F.col(name))
             else:
                 lines = prompts.option_letters(F.col(name)) if kind.startswith("array") else prompts.option_list(F.col(name))
-                shown = F.concat(q, F.when(F.coalesce(lines, F.lit("")) == "", "").otherwise(F.concat(F.lit("\n"), lines)))
+                shown = prompts.with_options(q, lines)
     images = [F.col("image_1")] if visual and "image_1" in df.columns else []
     rows = df.select(id_of(df).alias("question_id"), q.alias("problem"), gold_of(df).alias("gold_answer"), prompts.prompt(shown).alias("prompt"), *images)
-    return sampling.hash_sample(rows, "question_id", config.sample_size)
+    return sampling.hash_sample(rows, "question_id", config.sample_size, config.seed)
 
 
 def judged(generated: DataFrame, task: str = "GPQ", eos: int | None = None, visual: bool = False) -> DataFrame:

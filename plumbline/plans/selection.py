@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.arrays import jitter, python_slice, token_probabilities
+from plumbline.functions.arrays import jitter, overflows, python_slice, token_probabilities
 from plumbline.functions.text import normalize_veto
 from plumbline.operators.pruning import exact_thresholds, high_or_all, thresholds, veto_or_all
 from plumbline.operators.voting import ballot, effective, occurrence_ratio, vote_array
@@ -20,7 +20,8 @@ from plumbline.sources.tables import materialised
 def features(records: DataFrame, config: SelectionConfig = SelectionConfig()) -> DataFrame:
     """question_id, gold, pool of records with candidates: for each candidate of the slice ``ans`` (its
     ballot), ``ok``, ``score`` and ``jitter``.  Texts are not read.  A record without a candidate in the
-    slice is left out; null log-probabilities count as none, a null first score as 0."""
+    slice is left out, and so is one with a log-probability whose exp is beyond doubles; null
+    log-probabilities count as none, a null first score as 0."""
     # The fields that are needed, drawn from the array as columns, so that a scan can prune the rest.
     names = ("extracted_answer", "is_correct", "token_logprobs", "interval_scores")
     slim = records.where("candidates is not null").select(
@@ -34,7 +35,7 @@ def features(records: DataFrame, config: SelectionConfig = SelectionConfig()) ->
         score = F.coalesce(F.try_element_at(c["interval_scores"], F.lit(1)), F.lit(0.0)).cast("double")
         return F.struct(normalize_veto(c["extracted_answer"]).alias("raw"), c["is_correct"].alias("is_correct"), score.alias("score"), jitter(token_probabilities(c["token_logprobs"]), config.block_size).alias("jitter"))
 
-    made = slim.where("size(c) > 0").select("question_id", "gold", F.transform("c", row).alias("c"))
+    made = slim.where((F.size("c") > 0) & ~F.exists("c", lambda c: overflows(c["token_logprobs"]))).select("question_id", "gold", F.transform("c", row).alias("c"))
     pool = F.transform(
         "c",
         lambda c: F.struct(
@@ -62,12 +63,13 @@ def selected(pools: DataFrame, config: SelectionConfig = SelectionConfig(), limi
     return rows.withColumns({"base": vote_array(F.col("pool"), F.col("gold")), "final": vote_array(F.col("pruned"), F.col("gold"))})
 
 
-def report(records: DataFrame, config: SelectionConfig = SelectionConfig(), large: bool = False) -> DataFrame:
+def report(records: DataFrame, config: SelectionConfig = SelectionConfig(), large: bool = True) -> DataFrame:
     """The report rows of scored records.
 
-    ``large`` is for tables of any size: features, which are far smaller than the log-probabilities
+    By default for tables of any size: features, which are far smaller than the log-probabilities
     they come from, are written once and read by both passes, and exact percentiles are found by
-    narrowing, in jobs of their own.  Otherwise all is one lazy plan.
+    narrowing, in jobs of their own.  Without ``large`` all is one lazy plan, whose percentile holds
+    all distinct values in one task.  Both give the same rows.
     """
     pools = features(records, config)
     if large:

@@ -6,6 +6,8 @@ are a question's candidates, components are log-probabilities, labels are answer
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from plumbline.functions import arrays, text
 from plumbline.operators import prompts, pruning, sampling, voting
 from plumbline.plans import judging, sampling as sampled, selection
 from plumbline.sources import jsonl, scorer
+from plumbline.sources.tables import run_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -235,7 +238,7 @@ SELECT f.question_id, f.is_correct, 'JITTER' AS strategy, f.ans = b.ans AS is_sa
 FROM final f JOIN base b USING (question_id) JOIN won USING (question_id) JOIN whole USING (question_id)"""
 )
 def selection_report(spark, sf_dir):
-    return _shown(selection.report(records(spark, sf_dir)))
+    return _shown(selection.report(records(spark, sf_dir), large=False))
 
 
 def _shown(out: DataFrame) -> DataFrame:
@@ -249,7 +252,7 @@ def _shown(out: DataFrame) -> DataFrame:
 @query(SQL["selection_report"])
 def selection_report_large(spark, sf_dir):
     """The report with features written once and percentiles by narrowing."""
-    return _shown(selection.report(records(spark, sf_dir), large=True))
+    return _shown(selection.report(records(spark, sf_dir)))
 
 
 @query(
@@ -560,3 +563,246 @@ def sampled_records(spark, sf_dir):
     lists = F.transform("candidates", lambda c: F.size(c["token_logprobs"]).cast("string"))
     mass = F.aggregate("candidates", F.lit(0.0), lambda a, c: a + F.aggregate(c["token_logprobs"], F.lit(0.0), lambda s, x: s + x))
     return r.select("question_id", "stats.total", "stats.correct", r6("stats.accuracy").alias("accuracy"), F.array_join(lists, ",").alias("kept"), F.round(mass, 3).alias("mass"))
+
+
+# Files: sources and sinks --------------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    """A folder of this run in the shared folder."""
+    return f"{run_folder(spark)}/files-{uuid.uuid4().hex}"
+
+
+@query("SELECT lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS n_chars, count(*) FILTER (WHERE source IS NULL) AS no_source FROM documents GROUP BY lang")
+def jsonl_strict(spark, sf_dir):
+    """Rows written as JSON lines, a part for each task, and read by the strict source."""
+    path, kind = _folder(spark), table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    jsonl.write_records(kind, path)
+    back = jsonl.read_strict(spark, path, kind.schema)
+    return back.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("n_chars"), F.count_if(F.col("source").isNull()).alias("no_source"))
+
+
+@query("SELECT CAST(o_orderkey % 3 AS INTEGER) AS part, true AS found, count(*) AS lines, CAST(sum(o_custkey) AS BIGINT) AS merged FROM orders WHERE o_orderkey % 3 <> 1 GROUP BY 1 UNION ALL SELECT 1, false, 0, 0")
+def parts_merged(spark, sf_dir):
+    """Three outputs, one of which was never written: what a merge finds, and its rows."""
+    o, folder = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), _folder(spark)
+    paths = [f"{folder}/part_{i}" for i in range(3)]
+    for i in (0, 2):
+        jsonl.write_records(o.where(F.col("o_orderkey") % 3 == i), paths[i], 1)
+    rows = jsonl.merge_parts(spark, paths, o.schema)
+    sums = rows.groupBy((F.col("o_orderkey") % 3).cast("int").alias("part")).agg(F.sum("o_custkey").alias("merged"))
+    return jsonl.part_counts(spark, paths).join(sums, "part", "left").withColumn("merged", F.coalesce("merged", F.lit(0).cast("long")))
+
+
+@query(SQL["selection_report"])
+def report_sink(spark, sf_dir):
+    """The report through its JSON file, written twice over, and back."""
+    path = _folder(spark)
+    rows = selection.report(records(spark, sf_dir)).withColumn("question_id", F.col("question_id").cast("string"))
+    jsonl.write_records(rows.limit(1), path)
+    jsonl.write_records(rows, path)
+    back = jsonl.merge_parts(spark, [path], schemas.REPORT)
+    return _shown(back.withColumn("question_id", F.col("question_id").cast("long")))
+
+
+# Aliases, judging and scoring ----------------------------------------------------------------
+
+
+@query(
+    """SELECT p_partkey AS question_id, coalesce(nullif(CASE WHEN p_size % 3 = 0 THEN '' ELSE p_name END, ''), p_brand) AS problem,
+  coalesce(CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_size AS VARCHAR) END, 'None') AS gold_answer, count(*) OVER () AS n_ids FROM part"""
+)
+def question_aliases(spark, sf_dir):
+    """Questions, gold answers and ids by column presence; ids made of the question where there is none."""
+    p = table(spark, sf_dir, "part")
+    q = p.select(
+        F.col("p_partkey").alias("id"),
+        F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_name")).alias("question"),
+        F.col("p_brand").alias("prompt"),
+        F.when(F.col("p_size") % 4 != 0, F.col("p_size")).alias("answerKey"),
+    )
+    made = q.select(F.concat_ws(" ", "question", "id").alias("problem"))
+    n = made.select(schemas.id_of(made).alias("made")).agg(F.count_distinct("made").alias("n_ids"))
+    return q.select(schemas.id_of(q).alias("question_id"), schemas.question_of(q).alias("problem"), schemas.gold_of(q).alias("gold_answer")).crossJoin(F.broadcast(n))  # one row
+
+
+def _old_records(spark, sf_dir) -> DataFrame:
+    """Records of a document each under the names of older files, with three candidates: one whose answer is
+    read from its text, one that keeps its answer, one without any."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    letter = lambda n: F.char(F.lit(65) + k % n)
+    none = F.lit(None).cast("string")
+
+    def c(text, full, more, answer):
+        return F.struct(text.alias("text"), full.alias("full_text"), more.alias("continuation_text"), answer.alias("extracted_answer"), F.lit(False).alias("is_correct"))
+
+    first = F.concat(F.lit("so \\boxed{"), letter(5), F.lit("}"))
+    made = F.array(c(none, first, none, none), c(F.lit("x"), none, none, letter(3)), c(none, none, F.concat(F.lit(".... "), k.cast("string")), none))
+    problem = F.when(k % 2 == 0, "").otherwise(F.col("lang"))
+    gold = F.when(k % 3 != 0, letter(3))
+    stats = F.struct(F.lit(0).alias("total"), F.lit(0).alias("correct"), F.lit(0.0).alias("accuracy"))
+    return d.select(k.alias("question_id"), problem.alias("problem"), F.col("source").alias("question"), gold.alias("gold_answer"), letter(5).alias("answer"), made.alias("candidates"), stats.alias("stats"))
+
+
+_OLD = """o AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN coalesce(source, '') ELSE coalesce(nullif(lang, ''), source, '') END AS problem,
+  chr(CAST(65 + doc_id % (CASE WHEN doc_id % 3 <> 0 THEN 3 ELSE 5 END) AS INTEGER)) AS gold, chr(CAST(65 + doc_id % 5 AS INTEGER)) AS a, chr(CAST(65 + doc_id % 3 AS INTEGER)) AS b FROM documents)"""
+
+
+@query(f"WITH {_OLD} SELECT doc_id AS question_id, a AS first, b AS kept, CAST(3 AS INTEGER) AS total, CAST((a = gold)::INT + (b = gold)::INT AS INTEGER) AS correct, round(((a = gold)::INT + (b = gold)::INT) / 3, 6) AS accuracy FROM o")
+def fixed_records(spark, sf_dir):
+    f = judging.fix_records(_old_records(spark, sf_dir))
+    c = F.col("candidates")
+    return f.select("question_id", c[0]["extracted_answer"].alias("first"), c[1]["extracted_answer"].alias("kept"), "stats.total", "stats.correct", r6("stats.accuracy").alias("accuracy"))
+
+
+def _quoted(x: str) -> str:
+    return x.replace("'", "''").replace("\n", "' || chr(10) || '")
+
+
+@query(
+    f"""WITH {_OLD} SELECT doc_id AS question_id, CAST(2 AS INTEGER) AS pos, md5('{_quoted(prompts.JUDGE)}' || chr(10) || chr(10) || 'Question:' || chr(10) || problem || chr(10) || chr(10) || 'Reference answer:' || chr(10) || gold
+  || chr(10) || chr(10) || 'Response:' || chr(10) || '.... ' || doc_id || chr(10) || chr(10) || '{_quoted(prompts.JUDGE_RULES)}') AS prompt FROM o"""
+)
+def judge_routing(spark, sf_dir):
+    """Only the candidate without an answer is asked about, by whatever names the record has."""
+    asked = judging.to_judge(judging.fix_records(_old_records(spark, sf_dir)))
+    return asked.select("question_id", "pos", F.md5(F.encode("prompt", "UTF-8")).alias("prompt"))
+
+
+def _replies(texts: list) -> list:
+    """A judge for queries: what it says follows from the number in the response."""
+    out = []
+    for t in texts:
+        n = int(t.split(".... ")[1].split("\n")[0])
+        out.append(['{"extracted_answer": "7", "is_correct": true}', '{"extracted_answer": "8", "is_correct": "true"}', '{"is_correct": 1}', "no JSON", '{"extracted_answer": "9", "is_correct": false}'][n % 5])
+    return out
+
+
+@query(
+    f"""WITH {_OLD} SELECT doc_id AS question_id, CASE doc_id % 5 WHEN 0 THEN '7' WHEN 1 THEN '8' WHEN 4 THEN '9' END AS answer, doc_id % 5 = 0 AS is_correct,
+  CAST((a = gold)::INT + (b = gold)::INT + (doc_id % 5 = 0)::INT AS INTEGER) AS correct FROM o"""
+)
+def judge_verdicts(spark, sf_dir):
+    """A judge's replies: only a true boolean counts, and a reply of another shape is none."""
+    fixed = judging.fix_records(_old_records(spark, sf_dir))
+    said = scorer.scored_batches(judging.to_judge(fixed), "prompt", "reply", lambda: _replies, workers=4)
+    r = judging.with_verdicts(fixed, said)
+    last = F.col("candidates")[2]
+    return r.select("question_id", last["extracted_answer"].alias("answer"), last["is_correct"].alias("is_correct"), "stats.correct")
+
+
+@query(f"WITH {_OLD} SELECT count(*) AS records, CAST(3 * count(*) AS BIGINT) AS candidates, CAST(sum((a = gold)::INT + (b = gold)::INT) AS BIGINT) AS correct, count(*) AS judge_calls FROM o")
+def run_counters(spark, sf_dir):
+    return judging.run_counts(judging.fix_records(_old_records(spark, sf_dir)))
+
+
+def _to_score(spark, sf_dir) -> DataFrame:
+    """Records for the scorer: continuations for candidates, a shared prefix, and some that are left out."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    n = k.cast("string")
+    c = lambda t, f: F.struct(t.alias("text"), f.alias("full_text"))
+    none = F.lit(None).cast("string")
+    made = F.array(c(F.concat(F.lit(" given "), n, F.lit("\n\none\n\ntwo ok<|im_end|>")), none), c(none, F.concat(F.lit("alone "), n)))
+    made = F.when(k % 7 == 0, F.array(c(none, none))).when(k % 7 == 1, F.array().cast("array<struct<text:string,full_text:string>>")).otherwise(made)
+    stats = F.when(k % 5 != 0, F.struct(F.size(made).alias("total"), F.lit(0).alias("correct"), F.lit(0.0).alias("accuracy")))
+    return d.select(k.alias("question_id"), F.lit("p").alias("problem"), F.concat(F.lit("given "), n).alias("full_poisoned_prefix"), made.alias("continuations"), stats.alias("stats"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id FROM documents WHERE doc_id % 7 > 1 AND doc_id % 5 <> 0)
+SELECT doc_id AS question_id, 0 AS pos, 0 AS slice_idx, 'given ' || doc_id || chr(10) || 'one' || chr(10) || chr(10) || 'two ok' AS slice FROM d
+UNION ALL SELECT doc_id, 0, 1, 'given ' || doc_id || chr(10) || 'one' FROM d UNION ALL SELECT doc_id, 1, 0, 'given ' || doc_id || chr(10) || 'alone ' || doc_id FROM d"""
+)
+def continuations_sliced(spark, sf_dir):
+    """Slices of candidates by their other name, with the shared prefix set apart in front of each."""
+    return judging.slices_of(judging.scorable(_to_score(spark, sf_dir)), schemas.SamplingConfig(poisoned=True)).select("question_id", "pos", "slice_idx", "slice")
+
+
+@query(
+    """SELECT doc_id AS question_id, CASE WHEN doc_id % 7 = 1 THEN -1.0 ELSE round(((doc_id % 50 + doc_id % 50 + 20) / 2 + doc_id % 30) / 2, 6) END AS avg_confidence,
+  CAST(CASE WHEN doc_id % 7 = 1 THEN -1 ELSE least(doc_id % 50, doc_id % 30) END AS INTEGER) AS least_score FROM documents WHERE doc_id % 7 = 1 OR (doc_id % 7 > 1 AND doc_id % 5 <> 0)"""
+)
+def record_confidence(spark, sf_dir):
+    """Scores back into records: means of candidates and of records; records that the stage drops or hands on."""
+    records = _to_score(spark, sf_dir)
+    s, q = judging.slices_of(judging.scorable(records)).select("question_id", "pos", "slice_idx"), F.col("question_id")
+    score = F.when(F.col("pos") == 1, q % 30).otherwise(q % 50 + 20 * F.col("slice_idx")).cast("int")
+    r = judging.with_scores(records, s.withColumn("score", score))
+    least = F.array_min(F.transform("candidates", lambda c: c["min_verbal_score"]))
+    return r.select("question_id", F.coalesce(r6("stats.avg_confidence"), F.lit(-1.0)).alias("avg_confidence"), F.coalesce(least, F.lit(-1)).alias("least_score"))
+
+
+def _generator():
+    """A generator for queries: questions of one rest modulo 3 succeed, of another fail every second time, of
+    the last always."""
+    calls: dict[str, int] = {}
+
+    def make(prompt: str, n: int) -> list[dict]:
+        k = calls[prompt] = calls.get(prompt, 0) + 1
+        kind = int(prompt.split()[-1]) % 3
+        if kind == 2 or kind == 1 and k % 2:
+            raise RuntimeError
+        return [{"text": f"{prompt} {k}"} for _ in range(n)]
+
+    return make
+
+
+@query(
+    """SELECT doc_id AS question_id, CAST(4 AS BIGINT) AS with_retries, CAST(CASE doc_id % 3 WHEN 0 THEN 4 ELSE 2 END AS BIGINT) AS without FROM documents WHERE doc_id % 3 < 2"""
+)
+def generated_with_retries(spark, sf_dir):
+    """Candidates that a generator makes of each question, with retries and where a failure skips a batch."""
+    q = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.concat(F.lit("ask "), F.col("doc_id").cast("string")).alias("prompt"))
+
+    def n(name: str, retries):
+        config = schemas.SamplingConfig(n_samples=4, micro_batch=1, retries=retries, workers=4)
+        return scorer.generated(q, "prompt", _generator, "text string", config).groupBy("question_id").agg(F.count(F.lit(1)).alias(name))
+
+    return n("with_retries", 5).join(n("without", None), "question_id", "full")
+
+
+@query(
+    """SELECT n_nationkey AS question_id, 'Which? ' || n_name || chr(10) || chr(10) || 'Options:' || chr(10) || 'A. ' || n_name || chr(10) || 'B. None' || chr(10) || 'C. it''s 7' || chr(10) || 'D. 2.5' || chr(10) || chr(10) || chr(10) || '"""
+    + _quoted(prompts.SOLVE)
+    + """' AS prompt FROM nation"""
+)
+def asked_with_options(spark, sf_dir):
+    """Visual questions: a list literal of options, with a bare None and a number, under a heading."""
+    n = table(spark, sf_dir, "nation")
+    literal = F.concat(F.lit("['"), F.col("n_name"), F.lit("', None, \"it's 7\", 2.5]"))
+    q = n.select(F.col("n_nationkey").alias("id"), F.concat(F.lit("Which? "), "n_name").alias("question"), F.lit("A").alias("answer"), literal.alias("options"))
+    return sampled.asked(q, schemas.SamplingConfig(sample_size=-1), visual=True).select("question_id", "prompt")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY md5('42:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 100")
+def seeded_sample(spark, sf_dir):
+    return sampling.hash_sample(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100, schemas.SamplingConfig().seed)
+
+
+@query(
+    f"""WITH {CAND}, {jitter_cte(20)}, x AS (SELECT question_id, pos, CASE WHEN question_id % 2 = 0 AND pos = 3 THEN CAST('NaN' AS DOUBLE) ELSE jitter END AS j FROM feat)
+SELECT question_id % 2 AS half, CASE WHEN question_id % 2 = 0 THEN 'NaN' ELSE CAST(round(quantile_cont(j, 0.9), 4) AS VARCHAR) END AS t_hi FROM x GROUP BY 1"""
+)
+def thresholds_of_nan(spark, sf_dir):
+    """One NaN among the values makes both forms of a threshold NaN."""
+    rows = long_features(spark, sf_dir).withColumn("jitter", F.when((F.col("question_id") % 2 == 0) & (F.col("pos") == 3), float("nan")).otherwise(F.col("jitter")))
+    out = None
+    for half in (0, 1):
+        part = rows.where(F.col("question_id") % 2 == half)
+        one, two = pruning.thresholds(part, "jitter", 10, 90).select("t_hi"), pruning.exact_thresholds(part, "jitter", 10, 90).select(F.col("t_hi").alias("t"))
+        same = F.isnan("t_hi") & F.isnan("t") | (F.abs(F.col("t_hi") - F.col("t")) < 1e-12)
+        shown = F.when(~same, "different").when(F.isnan("t_hi"), "NaN").otherwise(F.round("t_hi", 4).cast("string"))
+        got = one.crossJoin(two).select(F.lit(half).cast("long").alias("half"), shown.alias("t_hi"))  # one row each
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query(
+    f"""WITH {CAND} SELECT question_id, count(*) AS n FROM cand WHERE question_id % 4 <> 1 GROUP BY question_id"""
+)
+def overflow_dropped(spark, sf_dir):
+    """A record with a log-probability whose exp is beyond doubles is left out; an infinite one is not."""
+    big = F.when((F.col("question_id") % 4 == 1) & (F.col("pos") == 2), F.array(F.lit(800.0))).when((F.col("question_id") % 4 == 2) & (F.col("pos") == 2), F.array(F.lit(float("inf"))))
+    c = F.struct("pos", F.col("answer").alias("extracted_answer"), F.col("flag").alias("is_correct"), F.coalesce(big, "logprobs").alias("token_logprobs"), F.array("score").alias("interval_scores"))
+    r = candidates(spark, sf_dir).groupBy("question_id", F.col("gold").alias("gold_answer")).agg(F.sort_array(F.collect_list(c)).alias("candidates"))
+    return selection.features(r).select("question_id", F.size("pool").cast("long").alias("n"))

@@ -34,6 +34,12 @@ FIXED = _struct(
     candidate=_struct(f"{_SAMPLED}, full_text string, continuation_text string"),
     stats=STATS,
 )
+#: What the scoring stage reads: S2 by any of its names, and a prefix that all of a record's texts share.
+TO_SCORE = _struct(
+    "question_id string, problem string, gold_answer string, full_poisoned_prefix string, candidates candidate[], continuations candidate[], stats stats",
+    candidate=_struct(f"{_SAMPLED}, full_text string"),
+    stats=STATS,
+)
 #: S3: records with confidence scores.
 SCORED = _struct("question_id string, problem string, gold_answer string, full_poisoned_prefix string, candidates candidate[], stats stats", candidate=_struct(f"{_SCORED}, full_text string"), stats=STATS_SCORED)
 #: S4: report rows.  ``current_corrrect`` is spelled as files have it.
@@ -71,6 +77,14 @@ class SamplingConfig:
     top_p: float = 0.95
     num_intervals: int = 10
     batch_size: int = 8
+    #: Generations asked for at once, failures in a row that end a question (None: each failure skips
+    #: its batch), tasks that hold a model (None: as the table is dealt), the rubric of the scorer, and
+    #: whether the records' shared prefix is set apart in front of each slice.
+    micro_batch: int = 1
+    retries: int | None = None
+    workers: int | None = None
+    rubric: str = "path"
+    poisoned: bool = False
 
 
 def first_present(df: DataFrame, *names: str) -> Column:
@@ -101,6 +115,18 @@ def id_of(df: DataFrame) -> Column:
     return F.xxhash64(question_of(df)).cast("string")
 
 
+def field_of(c: Column, kind: T.DataType, *names: str) -> Column:
+    """The first of a struct's fields by these names that it has and that isn't null."""
+    have = {f.name for f in kind.fields}
+    return F.coalesce(*[c[n] for n in names if n in have], F.lit(None).cast("string"))
+
+
+def candidates_of(df: DataFrame) -> Column:
+    """The candidates of records, by either name."""
+    names = [n for n in ("candidates", "continuations") if n in df.columns]
+    return F.coalesce(*[F.col(n) for n in names], F.array())
+
+
 def or_empty(first: Column, then: Column) -> Column:
     """``first`` unless it is null or empty."""
     return F.coalesce(F.nullif(first, F.lit("")), then)

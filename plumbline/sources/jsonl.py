@@ -30,6 +30,10 @@ def read_sampled(spark: SparkSession, path: str) -> DataFrame:
     return read_tolerant(spark, path, schemas.SAMPLED)
 
 
+def read_to_score(spark: SparkSession, path: str) -> DataFrame:
+    return read_tolerant(spark, path, schemas.TO_SCORE)
+
+
 def read_scored(spark: SparkSession, path: str) -> DataFrame:
     """Scored records with at least one candidate."""
     return read_tolerant(spark, path, schemas.SCORED).where("candidates is not null and size(candidates) > 0")
@@ -46,6 +50,22 @@ def write_records(df: DataFrame, path: str, files: int | None = None) -> None:
     (df.coalesce(files) if files else df).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def _there(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def merge_parts(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
-    """All records of several outputs."""
-    return spark.read.schema(schema).json(paths)
+    """All records of several outputs; outputs that aren't there are skipped."""
+    found = [p for p in paths if _there(spark, p)]
+    return spark.read.schema(schema).json(found) if found else spark.createDataFrame([], schema)
+
+
+def part_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """part (its place in the list), found, lines of several outputs: what a merge would take from each."""
+    out = spark.createDataFrame([(i, False, 0) for i in range(len(paths))], "part int, found boolean, lines long").where("false")
+    for i, p in enumerate(paths):
+        there = _there(spark, p)
+        lines = spark.read.text(p).agg(F.count(F.lit(1)).alias("lines")) if there else spark.range(1).select(F.lit(0).cast("long").alias("lines"))
+        out = out.unionByName(lines.select(F.lit(i).alias("part"), F.lit(there).alias("found"), "lines"))
+    return out

@@ -14,13 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import confidence
+from plumbline.functions.text import confidence, without_think
 from plumbline.operators import prompts
+from plumbline.schemas import SamplingConfig
 
 
-def scored_batches(df: DataFrame, column: str, out: str, factory: Callable[[], Callable[[list], list]], batch: int = 8, on_error=None, kind: str = "string") -> DataFrame:
+def scored_batches(df: DataFrame, column: str, out: str, factory: Callable[[], Callable[[list], list]], batch: int = 8, on_error=None, kind: str = "string", workers: int | None = None) -> DataFrame:
     """df with ``out``: what the scorer says of ``column``, ``batch`` rows at a time.  A batch that
-    fails gets ``on_error``, or fails the task where that is an exception class."""
+    fails gets ``on_error``, or fails the task where that is an exception class.  ``workers``: tasks that
+    hold a scorer, over which rows are dealt evenly."""
+    if workers is not None:
+        df = df.repartition(workers)
 
     def run(frames):
         score = factory()
@@ -40,20 +44,40 @@ def scored_batches(df: DataFrame, column: str, out: str, factory: Callable[[], C
     return df.mapInPandas(run, f"{fields}, `{out}` {kind}")
 
 
-def generated(df: DataFrame, column: str, factory: Callable[[], Callable[[str], list[dict]]], kind: str) -> DataFrame:
+def generated(df: DataFrame, column: str, factory: Callable[[], Callable[[str, int], list[dict]]], kind: str, config: SamplingConfig = SamplingConfig()) -> DataFrame:
     """One row for each candidate that the generator makes of a row's prompt, with ``pos``; ``kind``
-    is the DDL of a candidate.  A prompt that fails gives no row."""
+    is the DDL of a candidate.  The generator is asked for ``micro_batch`` candidates at a time until
+    there are ``n_samples``.
+
+    With ``retries``, that many failures in a row end a question, a success starts the count anew,
+    and the first failure only lowers a larger batch to one.  Without, a failure skips its batch.
+    In both cases the question keeps what there is; one without any candidate gives no row.
+    """
     import json
 
+    if config.workers is not None:
+        df = df.repartition(config.workers)
+
+    def candidates(make, prompt: str) -> list[dict]:
+        out: list[dict] = []
+        size, asked, failures = config.micro_batch, 0, 0
+        while (asked if config.retries is None else len(out)) < config.n_samples and (config.retries is None or failures < config.retries):
+            n = min(size, config.n_samples - (asked if config.retries is None else len(out)))
+            asked += n
+            try:
+                out += make(prompt, n)[:n]
+                failures = 0
+            except Exception:  # whatever a model may raise
+                if config.retries is not None and size > 1:
+                    size = 1
+                else:
+                    failures += 1
+        return out
+
     def run(frames):
         make = factory()
         for f in frames:
-            rows = []
-            for r in f.to_dict("records"):
-                try:
-                    rows += [r | {"pos": i, "candidate": json.dumps(c)} for i, c in enumerate(make(r[column]))]
-                except Exception:
-                    continue
+            rows = [r | {"pos": i, "candidate": json.dumps(c)} for r in f.to_dict("records") for i, c in enumerate(candidates(make, r[column]))]
             if rows:
                 yield pd.DataFrame(rows)
 
@@ -62,6 +86,40 @@ def generated(df: DataFrame, column: str, factory: Callable[[], Callable[[str],
     return out.withColumn("candidate", F.from_json("candidate", kind))
 
 
+def image_of(cell):
+    """The RGB image of a cell with ``bytes``, for generators of visual questions; None without one.
+    Images are decoded where they are used and never travel decoded."""
+    raw = cell.get("bytes") if cell is not None else None
+    if raw is None:
+        return None
+    import io
+
+    from PIL import Image  # not needed without visual questions
+
+    return Image.open(io.BytesIO(raw)).convert("RGB")
+
+
+def http_judge(url: str, model: str, key: str = "", timeout: float = 60.0) -> Callable[[], Callable[[list], list]]:
+    """A factory of judges behind a chat-completion endpoint that replies in JSON, at temperature 0.  Any
+    error is a reply without an answer, which counts as wrong."""
+
+    def factory():
+        import json
+        from urllib.request import Request, urlopen
+
+        def judge(text: str) -> str:
+            body = {"model": model, "messages": [{"role": "system", "content": "Reply in JSON."}, {"role": "user", "content": text}], "response_format": {"type": "json_object"}, "temperature": 0.0}
+            try:
+                with urlopen(Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"}), timeout=timeout) as got:
+                    return json.load(got)["choices"][0]["message"]["content"]
+            except Exception:  # network, status and shape alike
+                return '{"extracted_answer": null, "is_correct": false}'
+
+        return lambda texts: [judge(t) for t in texts]
+
+    return factory
+
+
 def stub_factory() -> Callable[[list], list]:
     """A scorer for tests: a confidence that follows from the text alone."""
 
@@ -71,9 +129,11 @@ def stub_factory() -> Callable[[list], list]:
     return score
 
 
-def confidence_scores(slices: DataFrame, factory=stub_factory, batch: int = 8) -> DataFrame:
-    """question_id, pos, slice_idx, score of ``slices`` (with problem and slice): keys travel along, so
-    nothing is matched back by position.  A failed batch scores 0."""
-    asked = slices.select("question_id", "pos", "slice_idx", F.to_json(prompts.verification(F.col("problem"), F.col("slice"))).alias("messages"))
-    replies = scored_batches(asked, "messages", "reply", factory, batch, on_error="")
+def confidence_scores(slices: DataFrame, factory=stub_factory, batch: int = 8, rubric: str = "path", workers: int | None = None) -> DataFrame:
+    """question_id, pos, slice_idx, score of ``slices`` (with problem and slice, whose closed think blocks
+    are left out): keys travel along, so nothing is matched back by position.  A failed batch
+    scores 0."""
+    messages = prompts.verification(F.col("problem"), without_think(F.col("slice")), prompts.RUBRICS[rubric])
+    asked = slices.select("question_id", "pos", "slice_idx", F.to_json(messages).alias("messages"))
+    replies = scored_batches(asked, "messages", "reply", factory, batch, on_error="", workers=workers)
     return replies.select("question_id", "pos", "slice_idx", confidence(F.col("reply")).alias("score"))

@@ -47,7 +47,7 @@ def test_report_of_records(spark, lines, tmp_path):
     assert (q.is_correct, q.strategy, q.is_same_as_base, q.pool_size, q.current_score) == (False, "JITTER", False, 1, [100.0])
     assert (q.baseline_confidence, q.final_confidence, q.final_ans_original_ratio) == (0.5, pytest.approx(1 / 3), 0.25)
     assert by["q3"].is_correct and by["q3"].current_score == [0.0]
-    assert {r.question_id: r for r in selection.report(records, large=True).collect()} == by
+    assert {r.question_id: r for r in selection.report(records, large=False).collect()} == by
     jsonl.write_records(out, str(tmp_path / "out"), 1)
     back = jsonl.merge_parts(spark, [str(tmp_path / "out")], schemas.REPORT)
     assert back.count() == 3 and "current_corrrect" in back.columns
@@ -55,7 +55,7 @@ def test_report_of_records(spark, lines, tmp_path):
 
 def test_report_reads_no_texts_and_shuffles_once(spark, lines, tmp_path):
     jsonl.read_scored(spark, lines).write.parquet(str(tmp_path / "s3"))
-    df = selection.report(spark.read.parquet(str(tmp_path / "s3")))
+    df = selection.report(spark.read.parquet(str(tmp_path / "s3")), large=False)
     plan = df._jdf.queryExecution().toString()
     physical = plan[plan.index("== Physical Plan ==") :]
     assert "hashpartitioning" not in physical  # votes need no exchange; the percentile's goes to one partition
@@ -134,7 +134,7 @@ def test_failed_batches_get_the_default(spark):
 
 def test_generated_candidates(spark):
     df = spark.createDataFrame([("q", "ask")], "question_id string, prompt string")
-    got = scorer.generated(df, "prompt", lambda: lambda p: [{"text": f"{p}{i}"} for i in range(3)], "text string")
+    got = scorer.generated(df, "prompt", lambda: lambda p, n: [{"text": f"{p}{i}"} for i in range(n)], "text string", schemas.SamplingConfig(n_samples=3, micro_batch=3))
     assert [(r.pos, r.candidate.text) for r in got.orderBy("pos").collect()] == [(0, "ask0"), (1, "ask1"), (2, "ask2")]
 
 
@@ -155,6 +155,6 @@ def test_command_line(spark, lines, tmp_path, capsys):
 def test_questions_are_asked(spark):
     df = spark.createDataFrame([(1, "q1", "A", "['x', 'y']", "multiple-choice"), (2, "q2", "B", "not a list", "open"), (3, "q3", "B", "oops", "multiple-choice")], "id long, question string, answer string, options string, question_type string")
     got = {r.question_id: r.prompt for r in sampling.asked(df, visual=True).collect()}
-    assert got[1].startswith("q1\nA. x\nB. y\n\n\n") and got[3].startswith("q3\n\n") and 2 not in got
+    assert got[1].startswith("q1\n\nOptions:\nA. x\nB. y\n\n\n") and got[3].startswith("q3\n\n") and 2 not in got
     st = spark.createDataFrame([(1, "q", (["A", "B"], ["x", "y"]))], "id long, question string, choices struct<label:array<string>,text:array<string>>")
     assert sampling.asked(st).first().prompt.startswith("Question: q\nOptions:\nA. x\nB. y\n\n")

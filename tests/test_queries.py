@@ -34,3 +34,23 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_without_the_optional_part(tmp_path):
+    """With the training-data operators and the pipeline deleted the entry has the core's queries; a module that
+    they lack is an error and not their absence."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    repo = Path(__file__).resolve().parents[1]
+    shutil.copytree(repo / "plumbline", tmp_path / "plumbline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(repo / "__spark_entry__.py", tmp_path)
+    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    got = run("import __spark_entry__ as e; print(len(e.queries()), sorted(e.queries()) == sorted(e.oracle_sql()))")
+    assert got.stdout.split() == [str(len(queries.QUERIES)), "True"], got.stderr
+    (tmp_path / "plumbline/llm").mkdir()
+    assert run("import __spark_entry__").returncode == 0  # an empty folder is none
+    (tmp_path / "plumbline/llm/queries.py").write_text("import zstandard_that_is_missing")
+    assert "zstandard_that_is_missing" in run("import __spark_entry__").stderr
