@@ -31,9 +31,9 @@ from plumbline.llm.bpe import byte_of_symbol
 from plumbline.llm.common import small_batches, table, written
 
 CAPACITY = 2048
-#: Rounds of the multiplicative weights, knapsacks of a round, their rate, and how often the program is
-#: solved and rounded.
-ROUNDS, PASSES, RATE, SOLVED = 8, 64, 0.5, 3
+#: Rounds of the multiplicative weights, knapsacks of a round, their rate, how often the program is solved
+#: and rounded at most, and the part of all pieces that are few enough for best fit.
+ROUNDS, PASSES, RATE, SOLVED, FEW = 8, 64, 0.5, 6, 0.1
 #: Pieces of one length in a bucket, within which ranks are counted row by row.
 BUCKET = 1000
 #: Words kept in a worker's memory.
@@ -241,9 +241,10 @@ def program(histogram: dict[int, int], capacity: int = CAPACITY):
     bins = [(histogram[capacity], {capacity: 1})] if capacity in histogram else []
     left = {k: v for k, v in sorted(histogram.items()) if k < capacity}
     slack = -sum(k * v for k, v in left.items()) % capacity
+    few = FEW * sum(histogram.values())
     yield bins, left
     for _ in range(SOLVED):
-        if not left:
+        if sum(left.values()) <= few:
             return
         lengths, counts = np.array(list(left)), np.array(list(left.values()))
         more, slack = rounded(fractional(lengths, counts, capacity), lengths, counts, capacity, slack)

@@ -327,6 +327,38 @@ def test_toxicity_edges(make, model):
     assert toxicity.Model([], []).score("anything") < 0.7
 
 
+def test_toxicity_query_against_a_plain_version(spark):
+    """The query's scores from counts, weights and curve worked out here on the driver."""
+    sf = "/root/testdata/sf0.001"
+    part = lambda i: zlib.crc32(str(i).encode()) % 3
+    docs = {r.doc_id: r.text or "" for r in table(spark, sf, "documents").collect()}
+    marks = {r.doc_id: r.toxic for r in table(spark, sf, "labels").collect() if part(r.doc_id) != 1 and r.toxic is not None and r.doc_id in docs}
+    by = [[docs[i] for i in sorted(marks) if marks[i] == y] for y in (0, 1)]
+    words = [Counter(w for t in texts for w in (x.strip(toxicity._EDGE) for x in t.lower().split()) if w.isalpha()) for texts in by]
+    uses = [Counter() for _ in by]
+    for n, c in zip(uses, words):
+        for w, k in c.items():
+            for f in {w, *(w[:m] + "-" for m in (4, 5, 6) if len(w) > m)}:
+                n[f] += k
+    total = [1 + sum(c.values()) for c in words]
+    likely = {f for f, n in uses[1].items() if n >= toxicity.SUPPORT and (n / total[1]) / ((uses[0][f] + 0.5) / total[0]) >= toxicity.RATIO}
+    around = {f: [set(), set()] for f in likely}
+    for y, texts in enumerate(by):
+        for t in texts:
+            tokens = ["", *(x.strip(toxicity._EDGE) for x in t.lower().split()), ""]
+            for a, w, b in zip(tokens, tokens[1:], tokens[2:]):
+                for f in {w, *(w[:m] + "-" for m in (4, 5, 6) if len(w) > m)} & likely if w.isalpha() else ():
+                    around[f][y].add((a, b))
+    letters = Counter(w for i, t in docs.items() if part(i) != 1 for w in (x.strip(toxicity._EDGE) for x in t.lower().split()) if w.isalpha())
+    plain = toxicity.Model.counted({f: (len(a), len(b)) for f, (a, b) in around.items()}, total, toxicity.trigrams(letters.items()))
+    order = sorted(marks)
+    plain._fit(np.array([plain.strength(docs[i]) for i in order]), np.array([marks[i] for i in order], float))
+    got = {r.doc_id: r for r in QUERIES["op6_toxicity"](spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        assert got[i].score == pytest.approx(plain.score(t), abs=1e-6) and got[i].held_out == (part(i) == 1) and got[i].predicted == (got[i].score >= 0.7)
+
+
 def labelled(spark, make, rows):
     """Documents and labels of (doc_id, text, toxic)."""
     return make([r[:2] for r in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
