@@ -28,16 +28,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.llm.bpe import byte_of_symbol
-from plumbline.llm.common import small_batches, table, written
+from plumbline.llm.common import small_batches, sole, table, written
 
 CAPACITY = 2048
-#: Rounds of the multiplicative weights, knapsacks of a round, their rate, how often the program is solved
-#: and rounded at most, and the part of all pieces that are few enough for best fit.
-ROUNDS, PASSES, RATE, SOLVED, FEW = 8, 64, 0.5, 6, 0.1
+#: Rounds of the multiplicative weights, knapsacks of a round and of the last one, and their rate.
+ROUNDS, PASSES, LAST, RATE = 8, 6, 64, 0.5
+#: Parts of all pieces down to which the program is solved and rounded, one time after the other.
+LEFT = (0.6, 0.3, 0.1, 0)
 #: Pieces of one length in a bucket, within which ranks are counted row by row.
 BUCKET = 1000
 #: Words kept in a worker's memory.
-KEPT = 1 << 20
+KEPT = 1 << 19
 
 
 class WordIds(dict):
@@ -90,6 +91,7 @@ _loaded: dict[str, WordIds] = {}
 
 def token_bytes(text: str | None, path: str) -> bytes:
     """Ids of the whole text as little-endian 32-bit numbers, without an end."""
+    sole("packing", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = WordIds(path)
     words = _WHITE.split(text or "") if _ODD.search(text or "") else (text or "").split()
@@ -122,13 +124,14 @@ class Knapsack:
         best, at = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
         # Node 0 is empty; every other one adds ``copies`` of a length to the node before it.
         before, items, sizes, made = [np.zeros(1, np.int64)], [(0, 0)], [1], 1
-        for i, (size, n, v) in enumerate(zip(lengths.tolist(), counts.tolist(), values.tolist())):
+        here = counts.nonzero()[0]
+        for i, size, n, v in zip(here.tolist(), lengths[here].tolist(), counts[here].tolist(), values[here].tolist()):
             left, copies = min(n, capacity // size), 1
             while left:
                 copies = min(copies, left)
                 s, gain = size * copies, v * copies
                 with_it = best[: capacity + 1 - s] + gain
-                up = np.flatnonzero(with_it > best[s:] + 1e-9)
+                up = (with_it > best[s:] + 1e-9).nonzero()[0]
                 if len(up):
                     before.append(at[up])
                     items.append((i, copies))
@@ -160,11 +163,11 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
     longest = np.argsort(-lengths, kind="stable").tolist()
     for r in range(rounds):
         goal, most, before = (r + 1) / rounds, min((r + 2) / rounds, 1.0), share.copy()
-        for n in range(PASSES):  # lengths that have got enough leave the knapsack until the next round
+        last = r + 1 == rounds
+        for n in range(LAST if last else PASSES):  # lengths that have got enough leave the knapsack until the next round
             lagged = share < goal - 1e-9
             if not lagged.any():
                 break
-            last = r + 1 == rounds
             sack = Knapsack(lengths, np.where(lagged if last else share < most - 1e-9, counts, 0), lengths * weight, capacity)
             for i in longest:
                 if share[i] >= goal - 1e-9:
@@ -172,7 +175,7 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
                 config = sack.solution(capacity - int(lengths[i]))
                 config[i] = min(config.get(i, 0) + 1, int(counts[i]))
                 step = (goal - share[i]) * counts[i] / config[i]
-                if not last or n + 1 < PASSES:  # in the end what lags is covered in any case
+                if not last or n + 1 < LAST:  # in the end what lags is covered in any case
                     step = min(step, *((most - share[k]) * counts[k] / m for k, m in config.items()))
                 if step <= 1e-9:
                     continue
@@ -185,16 +188,18 @@ def fractional(lengths: np.ndarray, counts: np.ndarray, capacity: int, rounds: i
     return out
 
 
-def rounded(solution: dict[tuple, float], lengths: np.ndarray, left: np.ndarray, capacity: int, slack: int) -> tuple[list[tuple[int, dict[int, int]]], int]:
-    """Whole configurations of a fractional solution, for which pieces are ``left`` (which falls), and the
-    slack that they leave: space that stays free in any packing."""
-    bins = []
-    for config, n in sorted(solution.items(), key=lambda x: (-x[1], x[0])):
+def rounded(solution: dict[tuple, float], lengths: np.ndarray, left: np.ndarray, capacity: int, slack: int, few: float = 0) -> tuple[list[tuple[int, dict[int, int]]], int]:
+    """Whole configurations of a fractional solution, for which pieces are ``left`` (which falls, down to
+    a ``few``), and the slack that they leave: space that stays free in any packing."""
+    bins, many = [], int(left.sum())
+    for config, n in sorted(solution.items(), key=lambda x: (sum(c for _, c in x[0]), -x[1], x[0])):
         whole = min(math.ceil(n - 1e-9), *(int(left[k]) // c for k, c in config))
         free = capacity - sum(int(lengths[k]) * c for k, c in config)
         if free:
             whole = min(whole, slack // free)
-        if whole:
+        whole = min(whole, math.ceil((many - few) / sum(c for _, c in config)))
+        if whole > 0:
+            many -= whole * sum(c for _, c in config)
             bins.append((whole, {int(lengths[k]): c for k, c in config}))
             slack -= whole * free
             for k, c in config:
@@ -241,13 +246,14 @@ def program(histogram: dict[int, int], capacity: int = CAPACITY):
     bins = [(histogram[capacity], {capacity: 1})] if capacity in histogram else []
     left = {k: v for k, v in sorted(histogram.items()) if k < capacity}
     slack = -sum(k * v for k, v in left.items()) % capacity
-    few = FEW * sum(histogram.values())
+    total = sum(histogram.values())
     yield bins, left
-    for _ in range(SOLVED):
+    for part in LEFT:
+        few = part * total
         if sum(left.values()) <= few:
-            return
+            continue
         lengths, counts = np.array(list(left)), np.array(list(left.values()))
-        more, slack = rounded(fractional(lengths, counts, capacity), lengths, counts, capacity, slack)
+        more, slack = rounded(fractional(lengths, counts, capacity), lengths, counts, capacity, slack, few)
         if not more:
             return
         bins = bins + more
