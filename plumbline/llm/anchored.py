@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import rolling
-from plumbline.llm.common import partitions, small_batches, written
+from plumbline.llm.common import partitions, small_batches, sole, written
 
 #: Bytes handled at once, anchors held before a task hands them on, and entries of a chunk.
-CHUNK, HELD, ENTRIES = 1 << 20, 1 << 19, 1 << 16
+CHUNK, HELD, ENTRIES = 1 << 20, 1 << 18, 1 << 16
 #: Different segments of an anchor in one task from which on it goes by a mark.
 MANY = 256
 #: Words whose hashes a worker keeps.
-KEPT = 1 << 20
+KEPT = 1 << 17
 _SPACE_RUN = re.compile(rb"[ \t-\r]")
 
 
@@ -60,6 +60,10 @@ class _WordHashes(dict):
 _words = _WordHashes()
 
 
+def own_worker() -> None:
+    sole("words", _words.clear)
+
+
 def word_slices(data: bytes, step: int, margin: int):
     """(offset, words, begin, last) of slices of about ``step`` bytes: places from begin to last count,
     and ``margin`` words stand before and behind them, if there are any."""
@@ -301,6 +305,7 @@ def sent_anchors(docs: DataFrame, units: Units, buckets: int, cuts=()) -> DataFr
     """Anchors of ``docs`` in chunks (SENT), beside what a task has found out already (FOUND)."""
 
     def find(batches):
+        own_worker()
         held: list[dict] = []
         size = 0
 

@@ -24,7 +24,7 @@ import re
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from plumbline.llm.common import small_batches, table
+from plumbline.llm.common import small_batches, sole, table
 
 #: Words and arcs kept in a worker's memory, and states of the table; beyond that they start afresh.
 KEPT, STATES = 1 << 20, 1 << 18
@@ -248,6 +248,7 @@ _loaded: dict[str, Automaton] = {}
 
 def automaton(path: str) -> Automaton:
     """The automaton of a vocabulary file, kept for the life of a worker."""
+    sole("bpe", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Automaton(path)
     return _loaded[path]

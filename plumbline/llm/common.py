@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,10 +32,13 @@ def written(df: DataFrame, label: str, outer: bool = False, by: tuple[str, ...]
     return materialised(df, label, outer, by)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete a table of ``written`` that no later plan reads."""
+def drop_written(df: DataFrame, part: str = "") -> None:
+    """Delete a table of ``written`` that no later plan reads, or of one with ``by`` a part, ``name=value``."""
     for file in df.inputFiles()[:1]:
-        deleted(df.sparkSession, file.rsplit("/", 1)[0])
+        folder = file.rsplit("/", 1)[0]
+        while "=" in folder.rsplit("/", 1)[1]:
+            folder = folder.rsplit("/", 1)[0]
+        deleted(df.sparkSession, f"{folder}/{part}" if part else folder)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -45,6 +49,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def sole(operator: str, clear: Callable[[], None] | None = None) -> None:
+    """In a worker: what other operators keep there from task to task goes, so that the memory of one is
+    enough.  ``clear`` empties what this one keeps, if it keeps anything."""
+    if operator not in _caches:
+        for other in list(_caches):
+            _caches.pop(other)()
+        _caches[operator] = clear or (lambda: None)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small by their bytes, and send this package to the workers.  The setting is
     one constant, so plans that are built at different times run alike."""
@@ -73,6 +89,18 @@ def text_key(name: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(name), F.lit("")))
 
 
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with ``name``: the doc_id, where no two texts share one; else a number for each doc_id and
+    ``text_key``, in their order.  Null where doc_id is null."""
+    key = fresh(docs, "key")
+    rows = docs.withColumn(key, text_key())
+    pairs = rows.where("doc_id is not null").select("doc_id", key).distinct()
+    if pairs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn(name, F.col("doc_id"))
+    order = written(pairs.orderBy("doc_id", key).select("doc_id", key, F.monotonically_increasing_id().alias(name)), "numbers")
+    return rows.join(order, ["doc_id", key], "left").select(*[F.col(f"`{c}`") for c in docs.columns], name)
+
+
 def only(docs: DataFrame, keep: DataFrame) -> DataFrame:
     """The rows of ``docs``, whole, that ``keep`` (doc_id, key, n) names by doc_id and ``text_key``; a null
     id is an id.  Of the n rows that share both, one stays: that of least hash of all its columns."""

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import only, partitions, small_batches, table, text_key, written
+from plumbline.llm.common import only, partitions, small_batches, sole, table, text_key, written
 from plumbline.llm.components import components
 
 TAU = 4
@@ -61,6 +61,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        sole("simhash")
         for b in batches:
             fp = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b))
             yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "fp": fp.view(np.int64)})

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import partitions, small_batches, table, written
+from plumbline.llm.common import partitions, small_batches, sole, table, written
 from plumbline.llm.langid import fold
 
 #: Labelled documents that the model is fitted on (those of least hash), each with its whole text.
@@ -28,7 +28,8 @@ SAMPLE = 8000
 #: Surroundings of a word or beginning in toxic texts, at least; how much likelier it is there.
 SUPPORT, RATIO = 8, 12.0
 THRESHOLD = 0.7
-KEPT = 1 << 20
+#: Tokens, and letters behind two others, whose weights a worker keeps.
+KEPT = 1 << 18
 #: Different words or letters that a task counts before it passes them on.
 HELD = 200_000
 #: Weights of letters are whole numbers of this part, so that their sums don't depend on the order.
@@ -373,6 +374,7 @@ def _mark(model: Model) -> int:
 
 def _in_worker(mark: int, shared) -> tuple[Model, _Weights]:
     """The broadcast model and the weights met so far, kept from task to task."""
+    sole("toxicity", _loaded.clear)
     if mark not in _loaded:
         _loaded.clear()
         _loaded[mark] = (shared.value, _Weights(shared.value))
