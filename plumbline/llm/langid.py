@@ -24,6 +24,8 @@ from plumbline.llm.common import small_batches, table, written
 #: Documents per language that dictionaries are built from, bytes of each dictionary, and bytes of text
 #: that are compressed at once: with the dictionary they stay within the window.
 SAMPLE, DICTIONARY, PIECE = 300, 64 * 1024, 128 * 1024
+#: Parts of a language in which its sample is drawn at first.
+PARTS = 256
 #: How thoroughly matches of four bytes or more are sought.
 EFFORT = {"window_log": 18, "chain_log": 17, "hash_log": 17, "search_log": 4, "min_match": 4, "target_length": 8}
 #: A best size within this part of the second best is rejected.
@@ -50,9 +52,12 @@ def dictionaries(docs: DataFrame, sample: int = SAMPLE, size: int = DICTIONARY)
     the dictionaries come back.  Rows that repeat count once; null texts, languages and ids not at all."""
     small_batches(docs.sparkSession)
     known = docs.select("lang", "doc_id", "text").where("lang is not null and text is not null and doc_id is not null")
-    ids = known.select("lang", "doc_id").distinct()
-    ids = ids.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("k") <= sample)
-    rows = known.join(F.broadcast(ids.drop("k")), ["lang", "doc_id"]).distinct()  # at most ``sample`` ids of each language
+    ids = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct()
+    # First within parts of a language, so that no task ranks all of a frequent one.
+    for part in (F.pmod("h", F.lit(PARTS)), F.lit(0)):
+        least = W.partitionBy("lang", "part").orderBy("h", "doc_id")
+        ids = ids.withColumn("part", part).withColumn("k", F.row_number().over(least)).where(F.col("k") <= sample).drop("k", "part")
+    rows = known.join(F.broadcast(ids.drop("h")), ["lang", "doc_id"]).distinct()  # at most ``sample`` ids of each language
 
     def count(batches):
         for b in batches:

@@ -15,6 +15,7 @@ An index that has a folder can be opened again later, and tells what a further b
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -23,12 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.anchored import AGAIN, COVER, CROWDED, FOUND, HELD, NEED, OLD, SENT, WORDS, Units, _groups, _together, as_bytes, covers, dealt, digests, merged, met, sent_anchors, sent_frame
-from plumbline.llm.common import fresh, partitions, small_batches, table, written
+from plumbline.llm.common import drop_written, fresh, numbered, partitions, small_batches, table, written
 from plumbline.llm.suffix_dedup import joined, with_covers
+from plumbline.sources.tables import deleted
 
 #: Batches that a whole table is taken in, runs that are compacted into one, and entries of a bucket
 #: from which on a compacted run has more buckets.
-BATCHES, FANOUT, GROWN = 4, 3, 1 << 23
+BATCHES, FANOUT, GROWN = 3, 2, 1 << 23
 WINDOW = {"d0": "<u8", "d1": "<u8", "doc": "<i8", "pos": "<i4"}
 RUN = "bucket int, low long, n int, blob binary"
 
@@ -40,8 +42,12 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, units: Units = WORDS, fanout: int = FANOUT, folder: str | None = None):
         self.spark, self.units, self.fanout, self.folder = spark, units, fanout, folder
         self.runs: list[DataFrame] = []
+        #: What deletes the tables of these runs, where they aren't kept.
+        self.drops: list[Callable[[], None]] = []
         self.buckets, self.version = partitions(spark), 0
         self.paths: dict[str, list[str]] = {"runs": [], "texts": [], "crowds": []}
+        #: Runs that a manifest to come will no longer name.
+        self.replaced: list[str] = []
 
     @classmethod
     def open(cls, spark: SparkSession, folder: str, units: Units = WORDS, fanout: int = FANOUT) -> FingerprintIndex:
@@ -61,8 +67,15 @@ class FingerprintIndex:
         self.paths[kind].append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def add(self, sent: DataFrame) -> DataFrame:
-        """FOUND rows of a batch of ``sent_anchors``; then the batch's fingerprints are in the index."""
+    def drop(self) -> None:
+        """Delete the runs of an index that isn't kept."""
+        for f in self.drops:
+            f()
+        self.runs, self.drops = [], []
+
+    def add(self, sent: DataFrame, last: bool = False) -> DataFrame:
+        """FOUND rows of a batch of ``sent_anchors``; then the batch's fingerprints are in the index.  Behind
+        the ``last`` batch of an index that isn't kept, runs need no compaction."""
         n, across = self.buckets, self.units.across
 
         def frame(x: pd.DataFrame) -> pd.DataFrame:
@@ -85,12 +98,13 @@ class FingerprintIndex:
             nulls = [F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in FOUND.split(", "))]
             every = every.unionByName(r.select(F.lit(0).alias("batch"), "bucket", "low", F.lit(True).alias("old"), "blob", *nulls))
         out = every.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "low").mapInPandas(merge, f"{FOUND}, {RUN}")
-        out = written(out, "met")
-        run = out.where("blob is not null").select("bucket", "low", "n", "blob")
+        out = written(out.withColumn("is_run", F.col("blob").isNotNull().cast("int")), "met", by=("is_run",))
+        run = out.where("is_run = 1").select("bucket", "low", "n", "blob")
         self.runs.append(run if self.folder is None else self._kept(run, "runs"))
-        if len(self.runs) >= self.fanout:
+        self.drops.append(lambda: drop_written(out, "is_run=1"))
+        if len(self.runs) >= self.fanout and not last:
             self.compact()
-        return out.where("blob is null").select(*[x.split()[0] for x in FOUND.split(", ")])
+        return out.where("is_run = 0").select(*[x.split()[0] for x in FOUND.split(", ")])
 
     def compact(self) -> None:
         """Merge all runs into one."""
@@ -118,8 +132,12 @@ class FingerprintIndex:
 
         kind = "bucket int, low long, old boolean, blob binary"
         rows = rows.select("bucket", "low", F.lit(False).alias("old"), "blob") if n == self.buckets else rows.select("blob").mapInPandas(split, kind)
-        self.buckets, self.paths["runs"] = n, []
-        self.runs = [self._kept(rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "low").mapInPandas(merge, RUN), "runs")]
+        self.buckets, old = n, self.paths["runs"]
+        self.paths["runs"] = []
+        run = self._kept(rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "low").mapInPandas(merge, RUN), "runs")
+        self.drop()
+        self.replaced += old
+        self.runs, self.drops = [run], [lambda: drop_written(run)] if self.folder is None else []
 
     def removed(self, docs: DataFrame) -> DataFrame:
         """doc_id, lo, hi: the words of a further batch that repeat windows of documents added before, or
@@ -143,6 +161,9 @@ class FingerprintIndex:
         self._kept(found.where(kind == CROWDED), "crowds")
         self.version += 1
         self.spark.createDataFrame([(self.version, self.buckets, *self.paths.values())], "version int, buckets int, runs array<string>, texts array<string>, crowds array<string>").coalesce(1).write.json(f"{self.folder}/manifest-{self.version}")
+        for path in self.replaced:
+            deleted(self.spark, path)
+        self.replaced = []
         return told
 
 
@@ -230,9 +251,11 @@ def removed_words(docs: DataFrame, units: Units = WORDS, batches: int = BATCHES)
     index = FingerprintIndex(spark, units)
     sent = written(sent_anchors(docs, units, index.buckets, cuts), "sent", by=("batch",))
     # Batch -1 is what tasks have found out before.
-    found = sent.where("batch = -1").select(*[x.split()[0] for x in FOUND.split(", ")])
+    found = written(sent.where("batch = -1").select(*[x.split()[0] for x in FOUND.split(", ")]), "found")
     for i in range(len(cuts) + 1):
-        found = found.unionByName(index.add(sent.where(F.col("batch") == i)))
+        found = found.unionByName(index.add(sent.where(F.col("batch") == i), i == len(cuts)))
+    drop_written(sent)
+    index.drop()
     needs = found.where((F.col("kind") != COVER) & (F.col("kind") != AGAIN))
     told = verified(windows(docs, needs, units, index.buckets), units, index.buckets)
     return found.where(F.col("kind") == COVER).select("doc_id", "lo", "hi").unionByName(told)
@@ -248,9 +271,11 @@ def kept_words(words: list[bytes], spans) -> list[bytes]:
 
 def without_passages(docs: DataFrame, units: Units = WORDS, batches: int = BATCHES) -> DataFrame:
     """The rows of ``docs`` in all columns; ``text`` without repeated passages, and ``n_chars``, if
-    there is one, of the new text.  Texts that lose nothing stay as they are."""
+    there is one, of the new text.  Texts that lose nothing stay as they are.  Rows that share a doc_id and
+    differ in their text are documents of their own, in order of their text's hash; rows that repeat in
+    full get equal results.  Null texts, and rows with a null doc_id, stay as they are."""
     small_batches(docs.sparkSession)
-    names, extra = docs.columns, fresh(docs, "spans")
+    names, extra, number = docs.columns, fresh(docs, "spans"), fresh(docs, "number")
 
     def run(batches):
         for b in batches:
@@ -264,8 +289,9 @@ def without_passages(docs: DataFrame, units: Units = WORDS, batches: int = BATCH
                     table = table.set_column(at, name, pa.array([o if v is None else v for v, o in zip(values, old)], kind))
             yield from table.select(names).to_batches()
 
-    told = removed_words(docs, units, batches)
-    return with_covers(docs, told, extra).select(*[F.col(f"`{x}`") for x in (*names, extra)]).mapInArrow(run, docs.schema)
+    rows = numbered(docs, number)
+    told = removed_words(rows.select(F.col(number).alias("doc_id"), "text"), units, batches)
+    return with_covers(rows, told, extra, number).select(*[F.col(f"`{x}`") for x in (*names, extra)]).mapInArrow(run, docs.schema)
 
 
 def substring_dedup(docs: DataFrame, units: Units = WORDS, batches: int = BATCHES) -> DataFrame:

@@ -45,7 +45,7 @@ def shard_text(segments: list[bytes], memory: int = inducing.MEMORY) -> tuple[np
 
 def covered_windows(docs: np.ndarray, los: np.ndarray, segments: list[bytes], size: int, **limits):
     """doc_id, lo, hi of the windows of ``size`` bytes in these segments that also start earlier, a
-    frame for the runs of equal windows that a batch of suffixes completes."""
+    frame for about HELD suffixes in whole runs of equal windows."""
     text, at = shard_text(segments, limits.get("memory", inducing.MEMORY))
     ends = np.concatenate([at[1:], [len(text) - 1]]) - 1
 
@@ -62,6 +62,8 @@ def covered_windows(docs: np.ndarray, los: np.ndarray, segments: list[bytes], si
         return covers(out)[["doc_id", "lo", "hi"]]
 
     held: list[np.ndarray] = []  # the last run, which may go on
+    runs: list[tuple[np.ndarray, np.ndarray]] = []
+    n, size_of_runs = 0, 0
     for p, v in inducing.descending(text, size, **limits):
         long = v >= size
         starts = np.flatnonzero(~long)
@@ -76,10 +78,17 @@ def covered_windows(docs: np.ndarray, los: np.ndarray, segments: list[bytes], si
         pick = long[:last].copy()
         pick[:-1] |= long[1:last]
         if pick.any():
-            yield told(p[:last][pick], np.cumsum(~long[:last])[pick])
+            number = n + np.cumsum(~long[:last])
+            runs.append((p[:last][pick], number[pick]))
+            n, size_of_runs = int(number[-1]), size_of_runs + len(runs[-1][0])
+        if size_of_runs >= HELD:
+            yield told(*map(np.concatenate, zip(*runs)))
+            runs, size_of_runs = [], 0
     p = np.concatenate(held)
     if len(p) > 1:
-        yield told(p, np.zeros(len(p), np.int64))
+        runs.append((p, np.full(len(p), n + 1)))
+    if runs:
+        yield told(*map(np.concatenate, zip(*runs)))
 
 
 def suffix_covers(docs: DataFrame, needs: DataFrame, size: int, crowd: int = CROWD) -> DataFrame:
@@ -182,10 +191,10 @@ def kept_bytes(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, data[at:]])
 
 
-def with_covers(docs: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """docs with a column ``name``, the covered stretches of each document."""
-    per_doc = found.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias(name))
-    return docs.join(per_doc, "doc_id", "left")
+def with_covers(docs: DataFrame, found: DataFrame, name: str, on: str = "doc_id") -> DataFrame:
+    """docs with a column ``name``, the covered stretches of each document, which ``on`` identifies."""
+    per_doc = found.groupBy(F.col("doc_id").alias(on)).agg(F.collect_list(F.struct("lo", "hi")).alias(name))
+    return docs.join(per_doc, on, "left")
 
 
 def removed_spans(docs: DataFrame, units: Units = BYTES, crowd: int = CROWD) -> DataFrame:

@@ -74,6 +74,13 @@ def test_repeated_rows_and_ids(spark, sf_dir, make):
             assert got == sorted([(1, t), (2, "x  y z"), (2, "q w e"), (5, u), (None, None)], key=str)
 
 
+def test_texts_that_share_an_id_are_cut_apart(spark, sf_dir, make):
+    one, two = (" ".join(f"{x}{i}" for i in range(70)) for x in "ab")
+    rows = [(1, one), (2, two), (2, f"x y {one}"), (3, f"{two} end"), (3, f"{two} end"), (None, one)]
+    out = dict(corpus_pipeline.STAGES)["substring_dedup"](spark, make(rows), sf_dir)
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted([(1, one), (2, two), (2, "x y"), (3, "end"), (3, "end"), (None, one)], key=str)
+
+
 def test_columns_that_clash(spark, sf_dir):
     text = " ".join(f"t{i}" for i in range(80))
     schema = "doc_id long, text string, lang string, source string, n_chars long, spans int, key string, _key long, place int, kept boolean, fp long, label long, node long, score double"
