@@ -40,7 +40,7 @@ def option_list(literal: Column) -> Column:
     """``option_letters`` of a list literal in single or double quotes, with bare None, True, False and
     numbers as they are written; empty if it isn't a list."""
     # Every quoted text and every bare word gets a mark behind it; marks of quoted ones go again.
-    marked = F.regexp_replace(literal, r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|\b(None|True|False)\b""", "$1$2\u0001")
+    marked = F.regexp_replace(literal, r"""("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+')|\b(None|True|False)\b""", "$1$2\u0001")
     bare = F.regexp_replace(F.regexp_replace(marked, "(['\"])\u0001", "$1"), "(None|True|False)\u0001", '"$1"')
     closed = F.regexp_replace(bare, r",\s*\]\s*$", "]")
     listed = F.when(F.startswith(F.ltrim(literal), F.lit("[")), F.from_json(closed, "array<string>", {"allowBackslashEscapingAnyCharacter": "true"}))

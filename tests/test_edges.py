@@ -18,6 +18,7 @@ LITERALS = [
     ("['a', None]", "A. a\nB. None\n"),
     ("['a, None, b', \"it's\", True, 3, 2.5,]", "A. a, None, b\nB. it's\nC. True\nD. 3\nE. 2.5\n"),
     (r"['it\'s', 'x\\y']", "A. it's\nB. x\\y\n"),
+    ("['" + "long " * 5000 + "']", "A. " + "long " * 5000 + "\n"),
     ("[]", ""),
     ("{'a': 1}", ""),
     ("('a', 'b')", ""),
