@@ -36,9 +36,9 @@ ROUNDS, PASSES, LAST, RATE = 8, 6, 64, 0.5
 #: Parts of all pieces down to which the program is solved and rounded, one time after the other.
 LEFT = (0.6, 0.3, 0.1, 0)
 #: Pieces of one length in a bucket, within which ranks are counted row by row.
-BUCKET = 1000
+BUCKET = 256
 #: Words kept in a worker's memory.
-KEPT = 1 << 19
+KEPT = 1 << 20
 
 
 class WordIds(dict):
