@@ -334,7 +334,7 @@ def sent_anchors(docs: DataFrame, units: Units, buckets: int, cuts=()) -> DataFr
                 if f := units.find(chunk):
                     held.append({"anchor": f["anchor"], "d0": f["d0"], "d1": f["d1"], "doc": ids[f["item"]], "pos": f["pos"], "left": (f["pos"] - f["lo"]).astype(np.uint8), "right": (f["hi"] - f["pos"]).astype(np.uint8)})
                     size += len(f["pos"])
-                if size >= (HELD if units.words else 2 * HELD):  # words take more memory beside
+                if size >= HELD:
                     yield flush()
                     held, size = [], 0
         if size:
