@@ -131,7 +131,7 @@ def shown_double(d: Column) -> Column:
 def _ascii_digits(c: Column) -> Column:
     """Decimal digits of all scripts as 0 to 9."""
     digits = [chr(i) for i in range(0x80, 0x110000) if unicodedata.category(chr(i)) == "Nd"]
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(c, "".join(digits), "".join(str(unicodedata.digit(d)) for d in digits))).otherwise(c)
+    return F.translate(c, "".join(digits), "".join(str(unicodedata.digit(d)) for d in digits))
 
 
 def numeric_text(c: Column) -> Column:
@@ -140,7 +140,8 @@ def numeric_text(c: Column) -> Column:
     space around it and digits of any script are read too."""
 
     def form(x):
-        return let(strip(_ascii_digits(x)), lambda s: shown(s, x))
+        odd = x.rlike(r"[^\x21-\x7E]")  # few answers need more than this look
+        return let(F.when(odd, strip(_ascii_digits(x))).otherwise(x), lambda s: shown(s, x))
 
     def shown(s, x):
         bare = F.replace(s, F.lit("_"), F.lit(""))
