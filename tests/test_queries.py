@@ -37,8 +37,9 @@ def test_entry(spark):
 
 
 def test_entry_without_the_optional_part(tmp_path):
-    """With the training-data operators and the pipeline deleted the entry has the core's queries; a module that
-    they lack is an error and not their absence."""
+    """With the training-data operators deleted the entry has the core's queries, whether the pipeline is left or
+    not and whatever else is on the import path; a module that they lack is an error and not their absence."""
+    import os
     import shutil
     import subprocess
     import sys
@@ -47,10 +48,25 @@ def test_entry_without_the_optional_part(tmp_path):
     repo = Path(__file__).resolve().parents[1]
     shutil.copytree(repo / "plumbline", tmp_path / "plumbline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
-    run = lambda code: subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
-    got = run("import __spark_entry__ as e; print(len(e.queries()), sorted(e.queries()) == sorted(e.oracle_sql()))")
-    assert got.stdout.split() == [str(len(queries.QUERIES)), "True"], got.stderr
-    (tmp_path / "plumbline/llm").mkdir()
-    assert run("import __spark_entry__").returncode == 0  # an empty folder is none
+    code = "import __spark_entry__ as e; print(len(e.queries()), sorted(e.queries()) == sorted(e.oracle_sql()))"
+
+    def run(code: str, path: str | None = None):
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | ({"PYTHONPATH": path} if path else {})
+        return subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+
+    def core_alone(path: str | None = None):
+        got = run(code, path)
+        return got.stdout.split() == [str(len(queries.QUERIES)), "True"] or got.stderr
+
+    assert core_alone() is True
+    assert core_alone(str(repo)) is True  # the repository's own pipeline is on the path
+    (tmp_path / "plumbline/llm/__pycache__").mkdir(parents=True)
+    assert core_alone() is True and core_alone(str(repo)) is True  # a folder that deleted files leave
+    (tmp_path / "corpus_pipeline.py").write_text("from plumbline.llm import packing")
+    assert core_alone() is True
     (tmp_path / "plumbline/llm/queries.py").write_text("import zstandard_that_is_missing")
     assert "zstandard_that_is_missing" in run("import __spark_entry__").stderr
+    (tmp_path / "plumbline/llm/queries.py").write_text("import plumbline.llm.gone")
+    assert "plumbline.llm.gone" in run("import __spark_entry__").stderr
+    (tmp_path / "plumbline/llm/queries.py").write_text("QUERIES, SQL = {}, {}")
+    assert "packing" in run("import __spark_entry__").stderr
