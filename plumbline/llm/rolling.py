@@ -75,16 +75,17 @@ def anchors(h: np.ndarray, w: int, whole: np.ndarray) -> np.ndarray:
     """Positions of h that are a least value of some window of w hashes.
 
     whole[i]: window i (len(h) - w + 1 of them) lies within one document.  Which positions of a
-    window are chosen depends on the window's hashes alone, so equal windows choose alike.
+    window are chosen depends on the window's hashes alone, so equal windows choose alike.  A hash of 0
+    counts as 1, as 0 marks windows that aren't whole.
     """
     if len(h) < w:
         return np.zeros(0, np.int64)
-    least = _slide(h, w, np.minimum)
-    least[~whole] = 0
+    h = np.maximum(h, np.uint64(1))
+    least = np.where(whole, _slide(h, w, np.minimum), np.uint64(0))
     padded = np.zeros(len(h) + w - 1, np.uint64)
     padded[w - 1 : w - 1 + len(least)] = least
     most = _slide(padded, w, np.maximum)  # over the windows that hold each position
-    return np.flatnonzero((most == h) & (h != 0))
+    return np.flatnonzero(most == h)
 
 
 def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:

@@ -5,9 +5,11 @@ import random
 import brute
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from plumbline.llm import anchored, inducing, substring_dedup, suffix_dedup
+from plumbline.llm import anchored, inducing, rolling, substring_dedup, suffix_dedup
 
 
 def words_removed(make, rows, **how):
@@ -129,3 +131,27 @@ def test_sorting_beyond_memory(monkeypatch):
     most[0] = 0
     assert told(queued=500, memory=1000, base=200) == plain
     assert files[0] > 10 and most[0] <= 500 < sum(map(len, segments)) / 20
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=40), st.integers(1, 6), st.data())
+def test_every_whole_window_has_its_anchors(values, w, data):
+    """Hashes of 0 are hashes as others are, whichever windows are whole."""
+    h = np.array(values, np.uint64)
+    n = max(len(h) - w + 1, 0)
+    whole = np.array(data.draw(st.lists(st.booleans(), min_size=n, max_size=n)), bool)
+    want = set()
+    for i in np.flatnonzero(whole):
+        window = [max(v, 1) for v in values[i : i + w]]
+        want |= {int(i) + k for k, v in enumerate(window) if v == min(window)}
+    assert set(rolling.anchors(h, w, whole).tolist()) == want
+
+
+def test_copies_of_a_text_whose_gram_has_the_hash_0(make):
+    """60 bytes of this text have the polynomial sum 0 modulo 2**64, hence the hash 0."""
+    text = "Twenty bytes before.HbnEqMdwJyjvmPXeaXPHrNmfcsRYtwisLklDAXkUgrsp LFOg hEfbMqYrgrand twenty behind it"
+    h = rolling.grams(rolling.prefix(rolling.byte_values(np.frombuffer(text.encode(), np.uint8))), 60)
+    assert len(text) == 100 and 0 in h
+    for t in (text, text[::-1]):
+        got = suffix_dedup.suffix_dedup(make([(1, t), (2, t), (3, f"a{t}b")]))
+        assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 0, 2: 100, 3: 100}
