@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 _own: list[str] = []
 _scopes: list[list[str]] = []
 _run = uuid.uuid4().hex
-_folders: dict[str, object] = {}
+_folders: set[str] = set()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,13 +46,18 @@ def _at_exit(system, folder) -> None:
         pass
 
 
+def deleted_at_exit(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the process ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    atexit.register(_at_exit, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder)
+
+
 def run_folder(spark: SparkSession) -> str:
     """The folder of this process's tables, deleted when the process ends."""
     path = f"{shared_folder(spark)}/plumbline/{_run}"
     if path not in _folders:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        _folders[path] = folder
-        atexit.register(_at_exit, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder)
+        _folders.add(path)
+        deleted_at_exit(spark, path)
     return path
 
 
