@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import block_names, bpe, chat, langid, licenses, packing, simhash, substring_dedup, suffix_dedup, topk, toxicity
+from plumbline.llm import block_names, bpe, chat, langid, licenses, merkle, packing, simhash, substring_dedup, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_topk": topk.op9_topk,
     "op10_exact_dedup": block_names.op10_exact_dedup,
+    "op11_merkle": merkle.op11_merkle,
     "op12_licenses": licenses.op12_licenses,
 }
 SQL = {
@@ -23,4 +24,5 @@ SQL = {
     "op7_chat_format": chat.ORACLE,
     "op9_topk": topk.ORACLE,
     "op10_exact_dedup": block_names.ORACLE,
+    "op11_merkle": merkle.ORACLE,
 }
