@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.llm import block_names, bpe, chat, langid, licenses, merkle, packing, simhash, substring_dedup, suffix_dedup, topk, toxicity
+from plumbline.llm import block_names, bpe, chat, langid, licenses, merkle, packing, resampling, simhash, substring_dedup, suffix_dedup, topk, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_exact_dedup": block_names.op10_exact_dedup,
     "op11_merkle": merkle.op11_merkle,
     "op12_licenses": licenses.op12_licenses,
+    "op13_resampling": resampling.op13_resampling,
 }
 SQL = {
     "op1_suffix_dedup": suffix_dedup.ORACLE,
@@ -25,4 +26,5 @@ SQL = {
     "op9_topk": topk.ORACLE,
     "op10_exact_dedup": block_names.ORACLE,
     "op11_merkle": merkle.ORACLE,
+    "op13_resampling": resampling.ORACLE,
 }
