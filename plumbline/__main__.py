@@ -9,7 +9,6 @@ from pyspark.sql import SparkSession
 from plumbline.plans import selection
 from plumbline.schemas import SelectionConfig
 from plumbline.sources import jsonl
-from plumbline.sources.tables import materialised
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> None:
@@ -25,8 +24,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     source, target = a.pop("input"), a.pop("output")
     config = SelectionConfig(**a)
     spark = spark or SparkSession.builder.appName("plumbline").getOrCreate()
-    pools = materialised(selection.features(jsonl.read_scored(spark, source), config), "features")
-    rows = selection.selected(pools, config, selection.exact_thresholds(selection.jitters(pools), "jitter", config.v100_jitter, config.v0_jitter))
+    rows = selection.selected(selection.features(jsonl.read_scored(spark, source), config), config)
     jsonl.write_records(selection.report_rows(rows), target)
     selection.metrics(rows).show()
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from plumbline.functions.text import let
+from plumbline.sources.tables import fresh, materialised
 
 #: What a threshold is that doesn't exist.
 NO_THRESHOLD = 10000.0
-#: Values up to which a percentile is left to one aggregate; beyond that ranks are narrowed down.
-AGGREGATE_ROWS = 5_000_000
+#: Values among which ranks are looked up by sorting them in one task, at most, and 1 over a summary's error.
+SMALL, ACCURACY = 1_000_000, 10_000
 
 
 def high_or_all(pool: Column, least: float) -> Column:
@@ -35,70 +38,103 @@ def veto_or_all(pool: Column, least: float, t_hi: Column, t_lo: Column) -> Colum
     return let(F.filter(pool, stays), lambda k: F.when(F.size(k) > 0, k).otherwise(pool))
 
 
+def _of_key(rows: DataFrame, key: str, flag: Column) -> DataFrame:
+    """``rows`` where the flag holds, or holds for no row of the key.  Whether it does is combined map-side and joined
+    back, so that no window gathers the rows of a key; ``rows`` are read twice."""
+    stays, some = fresh(rows, "stays"), fresh(rows, "some")
+    marked = rows.withColumn(stays, F.coalesce(flag, F.lit(False)))
+    keys = marked.groupBy(F.col(key).alias(some)).agg(F.bool_or(stays).alias(stays)).where(stays).select(some)
+    kept = marked.where(stays)
+    rest = marked.where(~F.col(stays)).join(keys, F.col(key).eqNullSafe(F.col(some)), "left_anti")
+    return kept.unionByName(rest).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def high_or_all_long(rows: DataFrame, least: float, key: str = "question_id") -> DataFrame:
-    """``high_or_all`` over long rows with ``score``: one shuffle by key."""
-    n = F.count_if(F.col("score") >= least).over(W.partitionBy(key))
-    return rows.withColumn("__n", n).where((F.col("score") >= least) | (F.col("__n") == 0)).drop("__n")
+    """``high_or_all`` over long rows with ``score``."""
+    return _of_key(rows, key, F.col("score") >= least)
 
 
 def veto_or_all_long(rows: DataFrame, least: float, thresholds: DataFrame, key: str = "question_id") -> DataFrame:
     """``veto_or_all`` over long rows with ``score`` and ``jitter``; thresholds is one row."""
-    rows = rows.crossJoin(F.broadcast(thresholds))  # one row by construction
-    rows = rows.withColumn("__stays", _stays(F.col("score"), F.col("jitter"), least, F.col("t_hi"), F.col("t_lo")))
-    n = F.count_if("__stays").over(W.partitionBy(key))
-    return rows.withColumn("__n", n).where(F.col("__stays") | (F.col("__n") == 0)).drop("__n", "__stays", "t_hi", "t_lo")
+    hi, lo = fresh(rows, "t_hi"), fresh(rows, "t_lo")
+    limits = thresholds.select(F.col("t_hi").alias(hi), F.col("t_lo").alias(lo))
+    joined = rows.crossJoin(F.broadcast(limits))  # one row by construction
+    return _of_key(joined, key, _stays(F.col("score"), F.col("jitter"), least, F.col(hi), F.col(lo))).drop(hi, lo)
+
 
+def between(a: float, b: float, share: float) -> float:
+    """The value a share of the way from one rank's to the next one's."""
+    if a == b or share == 0:
+        return a
+    return a * (1 - share) + b * share if math.isinf(b - a) else a + (b - a) * share
 
-def percentiles(values: DataFrame, column: str, points: list[float], rows: int | None = None) -> list[float | None]:
+
+def percentiles(values: DataFrame, column: str, points: list[float], small: int = SMALL) -> list[float | None]:
     """Exact percentiles (linear between ranks) at any size.  Nulls don't count; a NaN among the values
-    makes all of them NaN.
+    makes all of them NaN; without values all are None.
 
-    An exact percentile as one aggregate holds all distinct values in one place.  Beyond
-    ``AGGREGATE_ROWS`` values, the bracket around each rank is narrowed with approximate
-    quantiles and counts until what is left of it is small; only that is sorted.
+    Two passes over the values, whatever the number of points.  The first makes a quantile summary, which
+    executors merge, and brackets every rank by its guaranteed error.  The second writes the values within brackets
+    and counts, by observation, those below each.  What is written is smaller by some orders of magnitude; as
+    long as a bracket has more than ``small`` values, it is treated in the same way.
     """
     v = values.select(F.col(column).cast("double").alias("v")).where("v is not null")
     if not points:
         return []
-    n, bad = v.agg(F.count(F.lit(1)), F.count_if(F.isnan("v"))).first()
+    n, bad, summary = v.agg(F.count(F.lit(1)), F.count_if(F.isnan("v")), _summary(points)).first()
     if n == 0 or bad:
         return [float("nan") if bad else None] * len(points)
-    n = n if rows is None else rows
-    if n <= AGGREGATE_ROWS:
-        return list(v.agg(F.percentile("v", F.array(*map(F.lit, points)))).first()[0])
-    out = []
-    for p in points:
-        at = p * (n - 1)
-        lo, hi = int(at), min(int(at) + 1, n - 1)
-        a, b = (ranked(v, k, n) for k in (lo, hi))
-        out.append(a + (b - a) * (at - lo))
+    at = [p * (n - 1) for p in points]
+    ranks = sorted({k for x in at for k in (int(x), min(int(x) + 1, n - 1))})
+    of = dict(zip(ranks, ranked(v, ranks, n, small, _brackets(summary))))
+    return [between(of[int(x)], of[min(int(x) + 1, n - 1)], x - int(x)) for x in at]
+
+
+def _summary(shares: list[float]) -> Column:
+    """Values somewhat below and above each share of the ranks, by more than the summary errs."""
+    near = [min(max(s + d / ACCURACY, 0.0), 1.0) for s in shares for d in (-3, 3)]
+    return F.percentile_approx("v", near, F.lit(ACCURACY))
+
+
+def _brackets(summary: list[float]) -> list[tuple[float, float]]:
+    """Disjoint intervals, in order."""
+    out: list[tuple[float, float]] = []
+    for low, high in sorted(zip(summary[::2], summary[1::2])):
+        if out and low <= out[-1][1]:
+            low, high = out[-1][0], max(high, out.pop()[1])
+        out.append((low, high))
     return out
 
 
-def ranked(v: DataFrame, k: int, n: int, small: int = AGGREGATE_ROWS) -> float:
-    """The value of rank k (from 0) among the n values of column v."""
-    below = 0
-    while n > small:
-        share = (k - below) / max(n - 1, 1)
-        low, high = v.approxQuantile("v", [max(share - 0.01, 0.0), min(share + 0.01, 1.0)], 0.002)
-        counts = v.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v") <= high)).first()
-        if not counts[0] <= k - below < counts[1]:  # the estimate missed: halves do
-            low, high = v.agg(F.min("v"), F.max("v")).first()
-            middle = (low + high) / 2
-            under = v.where(F.col("v") <= middle).count()
-            if k - below < under:
-                v, n = v.where(F.col("v") <= middle), under
-            else:
-                v, n, below = v.where(F.col("v") > middle), n - under, below + under
-            continue
-        if low == high:
-            return low
-        v = v.where((F.col("v") >= low) & (F.col("v") <= high))
-        below, left = below + counts[0], counts[1] - counts[0]
-        if left == n:
-            break
-        n = left
-    return v.agg(F.percentile("v", F.lit((k - below) / max(n - 1, 1)))).first()[0]
+def ranked(v: DataFrame, ranks: list[int], n: int, small: int = SMALL, brackets: list[tuple[float, float]] | None = None) -> list[float]:
+    """The values of these ranks (from 0) among the n values of column v."""
+    if not ranks:
+        return []
+    if n <= small:  # so many rows at most, in one task
+        upto = v.groupBy("v").count().select("v", F.sum("count").over(W.orderBy("v")).alias("upto"))
+        return list(upto.agg(*[F.min(F.when(F.col("upto") > k, F.col("v"))).alias(f"r{i}") for i, k in enumerate(ranks)]).first())
+    if brackets is None:
+        brackets = _brackets(v.agg(_summary([k / (n - 1) for k in ranks])).first()[0])
+    edges = sorted({x for pair in brackets for x in pair})
+    counts = {f"{kind}{i}": (v_below, x) for i, x in enumerate(edges) for kind, v_below in (("below", F.col("v") < x), ("upto", F.col("v") <= x))}
+    seen = Observation()
+    within = [(F.col("v") > low) & (F.col("v") < high) for low, high in brackets]
+    some = within[0]
+    for w in within[1:]:
+        some = some | w
+    inside = materialised(v.observe(seen, *[F.count_if(c).alias(name) for name, (c, _) in counts.items()]).where(some), "ranks")
+    below, upto = ([seen.get[f"{kind}{i}"] for i in range(len(edges))] for kind in ("below", "upto"))
+    found: dict[int, float] = {k: x for k in ranks for i, x in enumerate(edges) if below[i] <= k < upto[i]}
+    place = {x: i for i, x in enumerate(edges)}
+    for (low, high), w in zip(brackets, within):
+        first, stop = upto[place[low]], below[place[high]]
+        mine = [k for k in ranks if first <= k < stop]
+        found |= zip(mine, ranked(inside.where(w), [k - first for k in mine], stop - first, small))
+    missed = [k for k in ranks if k not in found]
+    if missed:  # the summary erred by more than it says: everything between the edges is looked through
+        ends = v.agg(F.min("v"), F.max("v")).first()
+        found |= zip(missed, ranked(v, missed, n, small, [(ends[0], ends[1])]))
+    return [found[k] for k in ranks]
 
 
 def threshold_point(ratio: float, direction: str = "top") -> float | None:
@@ -112,8 +148,8 @@ def threshold_point(ratio: float, direction: str = "top") -> float | None:
 def thresholds(values: DataFrame, column: str, v100: float, v0: float) -> DataFrame:
     """One row: t_hi above which high scorers go (the top ``v100`` percent) and t_lo below which
     others go (all but the top ``v0`` percent); 10000 where the ratio isn't positive or there are
-    no values, NaN where one of them is.  Lazy, for tables whose distinct values fit one task; ``exact_thresholds`` is for
-    larger ones."""
+    no values, NaN where one of them is.  Lazy, for tables whose distinct values fit one task; ``exact_thresholds``, the
+    default everywhere, is for any."""
 
     def of(ratio: float) -> Column:
         point = threshold_point(ratio)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.functions.text import let
+from plumbline.sources.tables import fresh
 
 INVALID = "INVALID"
 
@@ -61,8 +62,9 @@ def vote_long(rows: DataFrame, key: str = "question_id", answer: str = "answer",
 
 def clusters_long(rows: DataFrame, key: str = "question_id", answer: str = "ans", pos: str = "pos") -> DataFrame:
     """The rows whose answer wins their key."""
-    won = vote_long(rows, key, answer, pos).select(key, F.col("answer").alias("__won"))
-    return rows.join(won, key).where(F.col(answer) == F.col("__won")).drop("__won")
+    name = fresh(rows, "won")
+    won = vote_long(rows, key, answer, pos).select(key, F.col("answer").alias(name))
+    return rows.join(won, key).where(F.col(answer) == F.col(name)).drop(name)
 
 
 def occurrence_ratio(pool: Column, answer: Column) -> Column:

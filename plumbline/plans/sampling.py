@@ -13,7 +13,8 @@ from plumbline.schemas import SamplingConfig, gold_of, id_of, question_of
 
 def asked(questions: DataFrame, config: SamplingConfig = SamplingConfig(), visual: bool = False) -> DataFrame:
     """question_id, problem, gold_answer, prompt (and image_1, if there is one) of a sample of a question
-    table.  Visual tables keep multiple-choice rows only, where they say which those are."""
+    table.  Visual tables keep multiple-choice rows only, where they say which those are.  A record_id, if there is
+    one, goes along."""
     df = sampling.only_if_present(questions, "question_type", "multiple-choice") if visual else questions
     q = question_of(df)
     shown = q
@@ -25,8 +26,8 @@ def asked(questions: DataFrame, config: SamplingConfig = SamplingConfig(), visua
             else:
                 lines = prompts.option_letters(F.col(name)) if kind.startswith("array") else prompts.option_list(F.col(name))
                 shown = prompts.with_options(q, lines)
-    images = [F.col("image_1")] if visual and "image_1" in df.columns else []
-    rows = df.select(id_of(df).alias("question_id"), q.alias("problem"), gold_of(df).alias("gold_answer"), prompts.prompt(shown).alias("prompt"), *images)
+    more = [F.col(c) for c in ("record_id", *(["image_1"] if visual else [])) if c in df.columns]
+    rows = df.select(id_of(df).alias("question_id"), q.alias("problem"), gold_of(df).alias("gold_answer"), prompts.prompt(shown).alias("prompt"), *more)
     return sampling.hash_sample(rows, "question_id", config.sample_size, config.seed)
 
 
@@ -42,8 +43,10 @@ def judged(generated: DataFrame, task: str = "GPQ", eos: int | None = None, visu
 
 def sampled_records(rows: DataFrame) -> DataFrame:
     """One record for each question, candidates in order of pos, with stats.  Candidates of a question
-    are few by design (its number of samples)."""
+    are few by design (its number of samples).  Rows with a record_id are gathered by it, so that questions that
+    repeat stay records of their own; without one, by question_id, problem and gold_answer."""
     c = F.struct("pos", "text", "extracted_answer", "is_correct", "token_logprobs")
-    g = rows.groupBy("question_id", "problem", "gold_answer").agg(F.array_sort(F.collect_list(c)).alias("candidates"))
+    keys = [c for c in ("record_id", "question_id", "problem", "gold_answer") if c in rows.columns]
+    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(c)).alias("candidates"))
     g = g.withColumn("candidates", F.transform("candidates", lambda x: x.dropFields("pos")))
     return g.withColumn("stats", record_stats(F.col("candidates")))

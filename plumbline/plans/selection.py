@@ -54,9 +54,12 @@ def jitters(pools: DataFrame) -> DataFrame:
 
 
 def selected(pools: DataFrame, config: SelectionConfig = SelectionConfig(), limits: DataFrame | None = None) -> DataFrame:
-    """pools with base and final vote.  ``limits`` may be thresholds that are known already."""
+    """pools with base and final vote.  ``limits`` may be thresholds that are known already; without them the pools,
+    which are far smaller than the log-probabilities they come from, are written once, and exact thresholds are
+    found by jobs of their own."""
     if limits is None:
-        limits = thresholds(jitters(pools), "jitter", config.v100_jitter, config.v0_jitter)
+        pools = materialised(pools, "features")
+        limits = exact_thresholds(jitters(pools), "jitter", config.v100_jitter, config.v0_jitter)
     high = high_or_all(F.col("pool"), config.min_score)
     rows = pools.crossJoin(F.broadcast(limits)).withColumn("high", high)  # limits is one row
     rows = rows.withColumn("pruned", veto_or_all(F.col("high"), config.min_score, F.col("t_hi"), F.col("t_lo")))
@@ -66,16 +69,11 @@ def selected(pools: DataFrame, config: SelectionConfig = SelectionConfig(), limi
 def report(records: DataFrame, config: SelectionConfig = SelectionConfig(), large: bool = True) -> DataFrame:
     """The report rows of scored records.
 
-    By default for tables of any size: features, which are far smaller than the log-probabilities
-    they come from, are written once and read by both passes, and exact percentiles are found by
-    narrowing, in jobs of their own.  Without ``large`` all is one lazy plan, whose percentile holds
+    By default for tables of any size (``selected``).  Without ``large`` all is one lazy plan, whose percentile holds
     all distinct values in one task.  Both give the same rows.
     """
     pools = features(records, config)
-    if large:
-        pools = materialised(pools, "features")
-    limits = exact_thresholds(jitters(pools), "jitter", config.v100_jitter, config.v0_jitter) if large else None
-    return report_rows(selected(pools, config, limits))
+    return report_rows(selected(pools, config, None if large else thresholds(jitters(pools), "jitter", config.v100_jitter, config.v0_jitter)))
 
 
 def report_rows(rows: DataFrame) -> DataFrame:

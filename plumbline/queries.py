@@ -16,7 +16,7 @@ from plumbline.functions import arrays, text
 from plumbline.operators import prompts, pruning, sampling, voting
 from plumbline.plans import judging, sampling as sampled, selection
 from plumbline.sources import jsonl, scorer
-from plumbline.sources.tables import run_folder
+from plumbline.sources.tables import materialised, run_folder
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -218,8 +218,8 @@ def score_filter_fallback(spark, sf_dir):
 
 @query(f"WITH {CAND}, {jitter_cte(20)}, {LIMITS}, {POOLS} SELECT question_id, pos, CAST(score AS DOUBLE) AS score, round(jitter, 6) AS jitter FROM kept")
 def jitter_veto(spark, sf_dir):
-    rows = long_features(spark, sf_dir)
-    limits = pruning.thresholds(rows, "jitter", 10, 90)
+    rows = materialised(long_features(spark, sf_dir), "long-features")
+    limits = pruning.exact_thresholds(rows, "jitter", 10, 90)
     kept = pruning.veto_or_all_long(pruning.high_or_all_long(rows, 100), 100, limits)
     return kept.select("question_id", "pos", "score", r6("jitter").alias("jitter"))
 
@@ -806,3 +806,58 @@ def overflow_dropped(spark, sf_dir):
     c = F.struct("pos", F.col("answer").alias("extracted_answer"), F.col("flag").alias("is_correct"), F.coalesce(big, "logprobs").alias("token_logprobs"), F.array("score").alias("interval_scores"))
     r = candidates(spark, sf_dir).groupBy("question_id", F.col("gold").alias("gold_answer")).agg(F.sort_array(F.collect_list(c)).alias("candidates"))
     return selection.features(r).select("question_id", F.size("pool").cast("long").alias("n"))
+
+
+# Records that share an id, percentiles with infinities ------------------------------------------
+
+
+def _asked(prompts_: DataFrame) -> DataFrame:
+    return scorer.scored_batches(prompts_, "prompt", "reply", lambda: _replies, workers=4)
+
+
+@query(
+    """SELECT doc_id // 2 AS question_id, doc_id, CASE doc_id % 5 WHEN 0 THEN '7' WHEN 1 THEN '8' WHEN 4 THEN '9' END AS answer, doc_id % 5 = 0 AS is_correct,
+  CAST((doc_id % 5 = 0)::INT AS INTEGER) AS correct FROM documents"""
+)
+def judged_repeats(spark, sf_dir):
+    """Two records of each question_id: each keeps the verdict on its own candidate."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    c = F.struct(F.concat(F.lit(".... "), k.cast("string")).alias("text"), F.lit(None).cast("string").alias("extracted_answer"), F.lit(False).alias("is_correct"))
+    r = judging.judged_records(d.select(F.floor(k / 2).alias("question_id"), F.lit("p").alias("problem"), F.lit("A").alias("gold_answer"), F.array(c).alias("candidates")), _asked)
+    one = F.col("candidates")[0]
+    return r.select("question_id", F.regexp_extract(one["text"], "[0-9]+", 0).cast("long").alias("doc_id"), one["extracted_answer"].alias("answer"), one["is_correct"].alias("is_correct"), "stats.correct")
+
+
+@query(
+    """WITH s AS (SELECT doc_id, CAST(('0x' || substr(md5('[{"role":"user","content":"p"},{"role":"assistant","content":"alone ' || doc_id || '"},{"role":"user","content":"RATE"}]'), 1, 6)) AS INTEGER) % 101 AS score FROM documents)
+SELECT doc_id // 2 AS question_id, doc_id, CAST(1 AS INTEGER) AS n_scores, CAST(score AS DOUBLE) AS avg_confidence FROM s""".replace("RATE", prompts.RATE)
+)
+def scored_repeats(spark, sf_dir):
+    """Two records of each question_id through the scoring stage: each keeps its own score."""
+    d, k = table(spark, sf_dir, "documents"), F.col("doc_id")
+    stats = F.struct(F.lit(1).alias("total"), F.lit(0).alias("correct"), F.lit(0.0).alias("accuracy"))
+    c = F.array(F.struct(F.concat(F.lit("alone "), k.cast("string")).alias("text")))
+    r = judging.scored_records(d.select(F.floor(k / 2).alias("question_id"), F.lit("p").alias("problem"), c.alias("candidates"), stats.alias("stats")), scorer.confidence_scores)
+    one = F.col("candidates")[0]
+    return r.select("question_id", F.regexp_extract(one["text"], "[0-9]+", 0).cast("long").alias("doc_id"), F.size(one["interval_scores"]).alias("n_scores"), "stats.avg_confidence")
+
+
+_POINTS = (0.1, 0.5, 0.9, 0.97, 1.0)
+
+
+@query(
+    f"""WITH {CAND}, {jitter_cte(20)}, x AS (SELECT list_sort(list(CASE WHEN pos = 3 THEN CAST('Infinity' AS DOUBLE) WHEN pos IN (4, 5) THEN 0.0 ELSE jitter END)) AS l FROM feat),
+p AS (SELECT l, unnest({list(_POINTS)}::DOUBLE[]) AS point FROM x), r AS (SELECT *, point * (len(l) - 1) AS place FROM p),
+v AS (SELECT point, l[CAST(floor(place) AS INT) + 1] AS a, l[least(CAST(floor(place) AS INT) + 2, len(l))] AS b, place - floor(place) AS f FROM r)
+SELECT point, CASE WHEN a = b OR f = 0 THEN CASE WHEN isinf(a) THEN 'Infinity' ELSE CAST(round(a, 4) AS VARCHAR) END WHEN isinf(b) THEN 'Infinity' ELSE CAST(round(a + (b - a) * f, 4) AS VARCHAR) END AS value FROM v"""
+)
+def percentiles_of_infinities(spark, sf_dir):
+    """Ties and infinities among the values: several points in two passes, and the aggregate's percentiles."""
+    pos = F.col("pos")
+    rows = long_features(spark, sf_dir).select(F.when(pos == 3, float("inf")).when(pos.isin(4, 5), 0.0).otherwise(F.col("jitter")).alias("j"))
+    rows = materialised(rows, "jitters")
+    got = pruning.percentiles(rows, "j", list(_POINTS), small=20)
+    want = rows.agg(F.percentile("j", F.array(*map(F.lit, _POINTS))).alias("w"))
+    both = want.select(F.posexplode("w").alias("i", "w")).withColumn("g", F.element_at(F.array(*map(F.lit, got)), F.col("i") + 1)).withColumn("point", F.element_at(F.array(*map(F.lit, _POINTS)), F.col("i") + 1))
+    same = (F.col("w") == F.col("g")) | (F.abs(F.col("w") - F.col("g")) < 1e-12)
+    return both.select("point", F.when(~same, "different").otherwise(F.when(F.col("g") == float("inf"), "Infinity").otherwise(F.round("g", 4).cast("string"))).alias("value"))

@@ -130,10 +130,10 @@ def stub_factory() -> Callable[[list], list]:
 
 
 def confidence_scores(slices: DataFrame, factory=stub_factory, batch: int = 8, rubric: str = "path", workers: int | None = None) -> DataFrame:
-    """question_id, pos, slice_idx, score of ``slices`` (with problem and slice, whose closed think blocks
-    are left out): keys travel along, so nothing is matched back by position.  A failed batch
-    scores 0."""
+    """All of ``slices`` but problem and slice (whose closed think blocks are left out), and score: keys travel
+    along, so nothing is matched back by position.  A failed batch scores 0."""
+    keys = [F.col(f"`{c}`") for c in slices.columns if c not in ("problem", "slice")]
     messages = prompts.verification(F.col("problem"), without_think(F.col("slice")), prompts.RUBRICS[rubric])
-    asked = slices.select("question_id", "pos", "slice_idx", F.to_json(messages).alias("messages"))
+    asked = slices.select(*keys, F.to_json(messages).alias("messages"))
     replies = scored_batches(asked, "messages", "reply", factory, batch, on_error="", workers=workers)
-    return replies.select("question_id", "pos", "slice_idx", confidence(F.col("reply")).alias("score"))
+    return replies.select(*keys, confidence(F.col("reply")).alias("score"))

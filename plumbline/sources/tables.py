@@ -8,7 +8,9 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders of this process: its own shared folder in tests, and paths of tables by scope.
 _own: list[str] = []
@@ -72,6 +74,27 @@ def materialised(df: DataFrame, label: str, outer: bool = False, by: tuple[str,
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer where the table has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def identified(df: DataFrame, name: str = "record_id") -> DataFrame:
+    """df with an identity of each row, the same however often the result is read: of a Parquet file its path and the
+    row's index there, without a pass over the data; rows of other plans are numbered and written once.  A
+    table that has such a column keeps it."""
+    if name in df.columns:
+        return df
+    try:
+        place = F.concat(F.xxhash64("_metadata.file_path").cast("string"), F.lit(":"), F.col("_metadata.row_index").cast("string"))
+        return df.select("*", place.alias(name))
+    except AnalysisException:  # not the rows of files, or of files without such an index
+        return materialised(df.withColumn(name, F.monotonically_increasing_id().cast("string")), "identified")
+
+
 @contextmanager
 def scope(spark: SparkSession):
     """Tables materialised within, but for outer ones, are deleted at the end.  What is read of them

@@ -44,11 +44,69 @@ def test_thresholds(spark, v100, v0, want):
         assert tuple(f(df.where("false"), "j", 10, 90).first()) == (10000, 10000)
 
 
-@pytest.mark.parametrize("k", [0, 1, 17, 500, 998, 999])
-def test_ranks_by_narrowing(spark, k):
+def test_ranks_by_brackets(spark):
     values = [float((i * 37) % 101) for i in range(1000)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    assert pruning.ranked(df, k, 1000, small=20) == sorted(values)[k]
+    ranks = [0, 1, 17, 500, 501, 998, 999]
+    assert pruning.ranked(df, ranks, 1000, small=20) == [sorted(values)[k] for k in ranks]
+    # Brackets that miss their ranks cost another pass and no result.
+    assert pruning.ranked(df, ranks, 1000, 20, [(50.0, 50.5), (100.0, 200.0)]) == [sorted(values)[k] for k in ranks]
+
+
+INF = float("inf")
+
+
+@pytest.mark.parametrize(
+    "values",
+    [
+        [float(i) for i in range(50)] + [INF] * 2,
+        [-INF] * 3 + [float(i) for i in range(40)] + [INF] * 30,
+        [1.0] * 60 + [math.nextafter(1.0, 2.0)] * 60,
+        [0.0, -0.0] * 40,
+        [INF] * 70,
+        [7.5],
+        [1e308, -1e308] * 30,
+    ],
+)
+def test_percentiles_of_ties_and_infinities(spark, values):
+    """Whatever the values, one rule: by brackets, by sorting and by Spark's aggregate."""
+    points = [0.0, 0.03, 0.1, 0.5, 0.97, 1.0]
+    df = spark.createDataFrame([(v,) for v in [*values, None]], "v double").repartition(3)
+    ordered = sorted(values)
+    at = [p * (len(values) - 1) for p in points]
+    want = [pruning.between(ordered[int(x)], ordered[min(int(x) + 1, len(values) - 1)], x - int(x)) for x in at]
+    alike = lambda got: all(a == b or (math.isnan(a) and math.isnan(b)) or a == pytest.approx(b) for a, b in zip(got, want))
+    assert alike(pruning.percentiles(df, "v", points, small=1)) and alike(pruning.percentiles(df, "v", points))
+    if all(abs(v) < 1e300 for v in values) or values[0] >= 0:
+        assert alike(df.agg(F.percentile("v", F.array(*map(F.lit, points)))).first()[0])
+    nan = df.union(spark.createDataFrame([(float("nan"),)], "v double"))
+    assert all(math.isnan(x) for x in pruning.percentiles(nan, "v", points, small=1))
+
+
+def test_percentiles_pass_twice_over_the_values(spark, tmp_path):
+    """Two jobs read the table, with five points as with one."""
+    spark.range(20_000).selectExpr("cast((id * 7919) % 20011 as double) AS v").write.parquet(str(tmp_path / "v"))
+
+    def reads(points):
+        spark.sparkContext.setJobGroup(f"percentiles-{len(points)}", "")
+        seen = spark.sparkContext.accumulator(0)
+        df = spark.read.parquet(str(tmp_path / "v"))
+        counted = df.mapInPandas(lambda frames: (seen.add(len(f)) or f for f in frames), "v double")
+        pruning.percentiles(counted, "v", points, small=100)
+        return seen.value
+
+    assert reads([0.5]) == reads([0.01, 0.2, 0.5, 0.9, 0.99]) == 40_000
+
+
+def test_long_pools_keep_their_columns(spark):
+    """Columns that internal names might take stay, null keys are a key, and a hot key needs no window."""
+    rows = spark.createDataFrame([("q", 1, 10.0, 0.5, 1, 2, 3.0), ("q", 2, 100.0, 0.1, 1, 2, 3.0), ("r", 1, 5.0, 0.9, 1, 2, 3.0), (None, 1, 5.0, 0.9, 1, 2, 3.0), (None, 2, 100.0, 0.9, 1, 2, 3.0)], "question_id string, pos int, score double, jitter double, stays int, some int, t_hi double")
+    limits = spark.createDataFrame([(0.8, 0.6)], "t_hi double, t_lo double")
+    high = pruning.high_or_all_long(rows, 100)
+    assert high.columns == rows.columns and sorted(((r.question_id or "", r.pos) for r in high.collect())) == [("", 2), ("q", 2), ("r", 1)]
+    left = pruning.veto_or_all_long(rows, 100, limits)
+    assert left.columns == rows.columns and sorted(((r.question_id or "", r.pos, r.t_hi) for r in left.collect())) == [("", 1, 3.0), ("q", 2, 3.0), ("r", 1, 3.0)]
+    assert "Window" not in left._jdf.queryExecution().executedPlan().toString()
 
 
 POOL = "array<struct<ans:string,ok:boolean>>"

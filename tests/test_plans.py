@@ -158,3 +158,58 @@ def test_questions_are_asked(spark):
     assert got[1].startswith("q1\n\nOptions:\nA. x\nB. y\n\n\n") and got[3].startswith("q3\n\n") and 2 not in got
     st = spark.createDataFrame([(1, "q", (["A", "B"], ["x", "y"]))], "id long, question string, choices struct<label:array<string>,text:array<string>>")
     assert sampling.asked(st).first().prompt.startswith("Question: q\nOptions:\nA. x\nB. y\n\n")
+
+
+RECORD = "question_id string, problem string, gold_answer string, said string, candidates array<struct<text:string,extracted_answer:string,is_correct:boolean>>, stats struct<total:int,correct:int,accuracy:double>"
+
+
+def repeated_records(spark):
+    """Two records of one id, one of them twice, and a null id."""
+    c = lambda *texts: [(t, None, False) for t in texts]
+    rows = [("q", "p", "A", "x", c("....", "1"), (2, 0, 0.0)), ("q", "p", "A", "y", c("2"), (1, 0, 0.0)), ("q", "p", "A", "y", c("2"), (1, 0, 0.0)), (None, "p", "A", "z", c("3"), (1, 0, 0.0))]
+    return spark.createDataFrame(rows, RECORD)
+
+
+def test_records_that_share_an_id_keep_their_own(spark, tmp_path):
+    def judge(texts):
+        return ['{"extracted_answer": "%s", "is_correct": true}' % t.split("Response:\n")[1].split("\n")[0] for t in texts]
+
+    ask = lambda asked: scorer.scored_batches(asked, "prompt", "reply", lambda: judge)
+    repeated_records(spark).coalesce(1).write.parquet(str(tmp_path / "r"))
+    for records in (repeated_records(spark), spark.read.parquet(str(tmp_path / "r")), repeated_records(spark).withColumn("record_id", F.monotonically_increasing_id())):
+        out = judging.judged_records(records, ask)
+        assert out.columns == records.columns
+        got = sorted((r.question_id or "", r.said, [c.extracted_answer for c in r.candidates], r.stats.correct) for r in out.collect())
+        assert got == [("", "z", ["3"], 1), ("q", "x", ["....", "1"], 2), ("q", "y", ["2"], 1), ("q", "y", ["2"], 1)]
+        scored = judging.scored_records(records, scorer.confidence_scores)
+        got = sorted((r.question_id or "", r.said, [len(c.interval_scores) for c in r.candidates]) for r in scored.collect())
+        assert got == [("", "z", [1]), ("q", "x", [1, 1]), ("q", "y", [1]), ("q", "y", [1])]
+    fixed = judging.fix_records(repeated_records(spark))
+    for mixed in (judging.with_verdicts(fixed, ask(judging.to_judge(fixed))), judging.with_scores(fixed, scorer.confidence_scores(judging.slices_of(fixed)))):
+        with pytest.raises(Exception, match="record_id"):
+            mixed.collect()
+
+
+def test_identities_are_the_same_however_often_they_are_read(spark, tmp_path):
+    from plumbline.sources.tables import identified
+
+    spark.range(1000).withColumn("x", F.lit("same")).repartition(7).write.parquet(str(tmp_path / "t"))
+    for df in (spark.read.parquet(str(tmp_path / "t")), spark.read.parquet(str(tmp_path / "t")).repartition(5)):
+        one = identified(df)
+        assert one.select("record_id").distinct().count() == 1000 and one.join(one.select("record_id", F.col("id").alias("other")), "record_id").where("id = other").count() == 1000
+
+
+def test_fixing_a_table_without_candidates(spark):
+    """Continuations are not candidates in this stage."""
+    df = repeated_records(spark).withColumnRenamed("candidates", "continuations").drop("stats")
+    fixed = judging.fix_records(df)
+    assert {tuple(r.stats) for r in fixed.collect()} == {(0, 0, 0.0)} and "continuations" in fixed.columns
+    assert judging.to_judge(fixed).count() == 0 and judging.with_verdicts(fixed, judging.to_judge(fixed).withColumn("reply", F.lit(""))).count() == 4
+    assert judging.judged_records(df, lambda asked: asked.withColumn("reply", F.lit(""))).columns == [*df.columns, "stats"]
+
+
+def test_questions_that_repeat_stay_records_of_their_own(spark):
+    rows = [(i, "q", "p", "A", k, "\\boxed{A}", [0.1]) for i in (1, 2) for k in (0, 1)]
+    df = sampling.judged(spark.createDataFrame(rows, "record_id long, question_id string, problem string, gold_answer string, pos int, text string, token_logprobs array<double>"))
+    assert [len(r.candidates) for r in sampling.sampled_records(df).collect()] == [2, 2]
+    assert [len(r.candidates) for r in sampling.sampled_records(df.drop("record_id")).collect()] == [4]
