@@ -33,7 +33,7 @@ from plumbline.llm.rolling import mixed
 
 #: Bytes of text in a chunk (a longer text is one of its own), features that a part of the dictionary gets on
 #: average from all chunks before they are folded, at most, and strings that are hashed at once.
-CHUNK, PART, SLICE = 20 << 20, 8_000_000, 1 << 17
+CHUNK, PART, SLICE = 12 << 20, 3_000_000, 1 << 16
 BINARY = pa.large_binary()
 
 
@@ -89,8 +89,9 @@ def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ordered = keys[order]
     head = np.ones(len(keys), bool)
     head[1:] = ordered[1:] != ordered[:-1]
-    inverse = np.empty(len(keys), np.int64)
-    inverse[order] = np.cumsum(head) - 1
+    inverse = np.empty(len(keys), np.int32)
+    inverse[order] = np.cumsum(head, dtype=np.int32) - np.int32(1)
+    del order
     at = np.flatnonzero(head)
     return ordered[at], inverse, np.diff(np.append(at, len(keys)))
 
@@ -102,24 +103,26 @@ class Chunk:
         import xxhash
 
         self.ids, counts, ranks, words = unpacked(blob)
-        self.counts, u, self.words = counts.astype(np.int64), ranks.astype(np.int64), strings_in(*words)
-        v = len(self.words)
-        doc = np.repeat(np.arange(len(counts)), self.counts)
+        self.counts, u, self.words = counts.astype(np.int64), ranks.astype(np.int32), strings_in(*words)
+        v = max(len(self.words), 1)
+        doc = np.repeat(np.arange(len(counts), dtype=np.int32), self.counts)
         two = doc[1:] == doc[:-1]
+        del doc
         three = two[1:] & two[:-1]
         hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words.to_pylist()], np.uint64)
-        pairs, of_pair, n_pairs = distinct((u[:-1] * v + u[1:])[two])
-        self.first, self.second = (pairs // v, pairs % v) if v else (pairs, pairs)
-        before = of_pair[(np.cumsum(two) - 1)[:-1][three]]
-        triples, of_triple, n_triples = distinct(before * v + u[2:][three])
-        self.pair, self.third = (triples // v, triples % v) if v else (triples, triples)
-        self.at = [(np.arange(len(u)), u), (np.flatnonzero(two), of_pair), (np.flatnonzero(three), of_triple)]
-        self.n = [np.bincount(u, minlength=v), n_pairs, n_triples]
+        pairs, of_pair, n_pairs = distinct((u[:-1].astype(np.int64) * v + u[1:])[two])
+        self.first, self.second = (pairs // v).astype(np.int32), (pairs % v).astype(np.int32)
+        before = of_pair[(np.cumsum(two, dtype=np.int32) - 1)[:-1][three]]
+        triples, of_triple, n_triples = distinct(before.astype(np.int64) * v + u[2:][three])
+        del before
+        self.pair, self.third = (triples // v).astype(np.int32), (triples % v).astype(np.int32)
+        self.at = [(None, u), (two, of_pair), (three, of_triple)]
+        self.n = [np.bincount(u, minlength=len(self.words)), n_pairs, n_triples]
         low = np.uint64(max(parts, 1))
-        part_of_pair = (mixed(hashes[self.first] * np.uint64(3) + hashes[self.second]) % low).astype(np.int64)
-        part = [(hashes % low).astype(np.int64), part_of_pair, part_of_pair[self.pair]]
+        part_of_pair = (mixed(hashes[self.first] * np.uint64(3) + hashes[self.second]) % low).astype(np.int32)
+        part = [(hashes % low).astype(np.int32), part_of_pair, part_of_pair[self.pair]]
         # Features by part, in order within it, and where each part ends.
-        self.by_part = [np.argsort(p, kind="stable") for p in part]
+        self.by_part = [np.argsort(p, kind="stable").astype(np.int32) for p in part]
         self.edges = [np.concatenate([[0], np.cumsum(np.bincount(p, minlength=parts))]) for p in part]
 
     def of_part(self, p: int) -> list[np.ndarray]:
@@ -145,7 +148,8 @@ class Chunk:
                 g[i] = gains[told[at : at + len(i)]]
                 at += len(i)
         each = np.zeros(int(self.counts.sum()), np.int64)
-        for (where, which), g in zip(self.at, gain):
+        for (whether, which), g in zip(self.at, gain):
+            where = slice(None) if whether is None else np.flatnonzero(whether)
             each[where] += g[which]
         total = np.concatenate([[0], np.cumsum(each)])
         ends = np.cumsum(self.counts)
@@ -182,6 +186,8 @@ def merged(rows: Iterable, buckets: int) -> Iterator[tuple]:
     for (place, target), n in zip(senders, counts):
         yield place, target, n, bucket[which[at : at + len(n)]]
         at += len(n)
+    del coded, names, which
+    pa.default_memory_pool().release_unused()
 
 
 def bucket_sums(rows: Iterable, buckets: int) -> Iterator[np.ndarray]:
