@@ -1,11 +1,12 @@
 """Target-distribution importance resampling with a dictionary of distinct features.
 
-Features are runs of one to three words.  Texts are encoded once, in chunks of some megabytes, and written.  The
+Features are runs of one to three words.  Texts are encoded in chunks of some megabytes.  The
 distinct features of a chunk go with their counts to the parts of a dictionary, dealt by what they say, so
 that each part meets a string from all chunks, counts it for the corpus and for the target, and hashes it
-once.  The parts' sums by bucket are added up; what comes to the driver is one number for each bucket.  Then each
-part tells every chunk the buckets of the strings it sent, in their order, and chunks join the buckets' gains
-to their documents' feature counts.
+once.  The parts' sums by bucket are added up; what comes to the driver is one number for each bucket.  Each
+part also tells every chunk the buckets of the strings it sent, in their order, and chunks join the buckets' gains
+to their documents' feature counts.  Chunks are encoded again for that, instead of being kept: a table is read
+in the same order each time, other plans are written first, and a chunk that isn't the same as before is an error.
 
 Strings of a chunk travel as a trie: first words, their second words, their third words; what is frequent in a
 chunk is sent once, so a word or passage that a third of all rows hold reaches its part once for each chunk.
@@ -33,7 +34,9 @@ from plumbline.llm.rolling import mixed
 
 #: Bytes of text in a chunk (a longer text is one of its own), features that a part of the dictionary gets on
 #: average from all chunks before they are folded, at most, and strings that are hashed at once.
-CHUNK, PART, SLICE = 12 << 20, 3_000_000, 1 << 16
+CHUNK, PART, SLICE = 8 << 20, 4_000_000, 1 << 16
+#: Tasks over which the parts' sums by bucket are dealt before they are added up.
+SUMS = 16
 BINARY = pa.large_binary()
 
 
@@ -118,9 +121,9 @@ class Chunk:
         self.pair, self.third = (triples // v).astype(np.int32), (triples % v).astype(np.int32)
         self.at = [(None, u), (two, of_pair), (three, of_triple)]
         self.n = [np.bincount(u, minlength=len(self.words)), n_pairs, n_triples]
-        low = np.uint64(max(parts, 1))
-        part_of_pair = (mixed(hashes[self.first] * np.uint64(3) + hashes[self.second]) % low).astype(np.int32)
-        part = [(hashes % low).astype(np.int32), part_of_pair, part_of_pair[self.pair]]
+        low, small = np.uint64(max(parts, 1)), np.uint16 if parts < 1 << 16 else np.uint32  # short ones sort by radix
+        part_of_pair = (mixed(hashes[self.first] * np.uint64(3) + hashes[self.second]) % low).astype(small)
+        part = [(hashes % low).astype(small), part_of_pair, part_of_pair[self.pair]]
         # Features by part, in order within it, and where each part ends.
         self.by_part = [np.argsort(p, kind="stable").astype(np.int32) for p in part]
         self.edges = [np.concatenate([[0], np.cumsum(np.bincount(p, minlength=parts))]) for p in part]
@@ -190,14 +193,6 @@ def merged(rows: Iterable, buckets: int) -> Iterator[tuple]:
     pa.default_memory_pool().release_unused()
 
 
-def bucket_sums(rows: Iterable, buckets: int) -> Iterator[np.ndarray]:
-    """Feature counts by bucket, of the corpus and of the target."""
-    out = np.zeros((2, buckets), np.int64)
-    for _, target, n, bucket in merged(rows, buckets):
-        np.add.at(out[int(target)], bucket, n)
-    yield out
-
-
 def bucket_gains(sums: np.ndarray) -> np.ndarray:
     """floor(1000 ln) of each bucket's share in the target over its share in the corpus, one added to each count."""
     buckets = sums.shape[1]
@@ -206,15 +201,14 @@ def bucket_gains(sums: np.ndarray) -> np.ndarray:
 
 
 def chunked(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """target, n_words, blob: the encoded texts of both tables in chunks, written."""
+    """target, blob: the encoded texts of both tables in chunks."""
 
     def encode(batches):
         held, size, goal = [], 0, False
 
         def flush():
             counts, ranks, words = encoded([t for _, t in held])
-            blob = packed(([i for i, _ in held], counts, ranks, words))
-            return pd.DataFrame({"target": [goal], "n_words": [int(counts.sum())], "blob": [blob]})
+            return pd.DataFrame({"target": [goal], "blob": [packed(([i for i, _ in held], counts, ranks, words))]})
 
         for b in batches:
             for i, text, is_target in zip(b["doc_id"].astype("object").where(b["doc_id"].notna(), None), b["text"], b["target"]):
@@ -232,49 +226,69 @@ def chunked(docs: DataFrame, target: DataFrame) -> DataFrame:
         i = F.col("doc_id").cast("long") if "doc_id" in df.columns and not goal else F.lit(None).cast("long")
         return df.select(i.alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(goal).alias("target"))
 
-    return written(rows(docs, False).unionByName(rows(target, True)).mapInPandas(encode, "target boolean, n_words long, blob binary"), "chunks")
+    return rows(docs, False).unionByName(rows(target, True)).mapInPandas(encode, "target boolean, blob binary")
+
+
+def _as_table(df: DataFrame) -> DataFrame:
+    """df, written unless it is read from files in a fixed order."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return df if "FileScan" in plan and not any(x in plan for x in ("Exchange", "Join", "Python", "Pandas", "Arrow", "Limit")) else written(df, "texts")
 
 
 def weighed(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFrame:
     """doc_id, n_words, n_features, weight of each row of ``docs``, written."""
     spark = docs.sparkSession
+    sc = spark.sparkContext
     small_batches(spark)
-    chunks = chunked(docs, target)
-    words = chunks.agg(F.sum("n_words")).first()[0] or 0
-    parts = max(partitions(spark), -(-3 * words // PART))
-    source: RDD = chunks.select("target", "blob").rdd.map(tuple)
+    docs, target = _as_table(docs.select("doc_id", "text")), _as_table(target.select("text"))
+    size = sum(df.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0] for df in (docs, target))
+    # A word and the space behind it take some six bytes and make three features.
+    parts = max(partitions(spark), -(-size // (2 * PART)))
+    source: RDD = chunked(docs, target).rdd.map(tuple)
+    n, n_sums = max(source.getNumPartitions(), 1), min(SUMS, parts)
 
     def requests(pid: int, rows: Iterable) -> Iterator[tuple]:
         for k, (goal, blob) in enumerate(rows):
-            chunk = Chunk(blob, parts)
+            chunk, check = Chunk(blob, parts), crc32(blob)
             for p in range(parts):
                 if (sent := chunk.request(p)) is not None:
-                    yield p, ((pid, k, p), goal, sent)
+                    yield p, ((pid, k, p, check), goal, sent)
 
-    def replies(rows: Iterable) -> Iterator[tuple]:
-        small = np.min_scalar_type(buckets)
-        for (pid, k, p), goal, _, bucket in merged(rows, buckets):
+    def replies(part: int, rows: Iterable) -> Iterator[tuple]:
+        """To each chunk's partition its buckets; to those behind, the sums."""
+        small, sums = np.min_scalar_type(buckets), np.zeros((2, buckets), np.int64)
+        for (pid, k, p, check), goal, counts, bucket in merged(rows, buckets):
+            np.add.at(sums[int(goal)], bucket, counts)
             if not goal:
-                yield pid, (k, p, packed(bucket.astype(small)))
+                yield pid, (k, p, check, packed(bucket.astype(small)))
+        if sums.any():
+            yield n + part % n_sums, sums
 
-    dictionary = source.mapPartitionsWithIndex(requests).partitionBy(parts, lambda p: p)
-    none = np.zeros((2, buckets), np.int64)
-    gains = spark.sparkContext.broadcast(bucket_gains(dictionary.mapPartitions(lambda r: bucket_sums(r, buckets)).treeReduce(np.add) if words else none))
-    told = dictionary.mapPartitions(replies).partitionBy(max(source.getNumPartitions(), 1), lambda pid: pid)
+    told = source.mapPartitionsWithIndex(requests).partitionBy(parts, lambda p: p).mapPartitionsWithIndex(replies).partitionBy(n + n_sums, lambda pid: pid)
+    all_sums = told.mapPartitionsWithIndex(lambda pid, rows: (x for _, x in rows) if pid >= n else iter(()))
+    gains = sc.broadcast(bucket_gains(all_sums.treeAggregate(np.zeros((2, buckets), np.int64), np.add, np.add)))
 
     def weigh(pair) -> Iterator[tuple]:
         rows, answers = pair
         by_chunk: dict[int, dict[int, bytes]] = {}
-        for _, (k, p, blob) in answers:
-            by_chunk.setdefault(k, {})[p] = blob
+        for _, answer in answers:
+            if isinstance(answer, tuple):
+                k, p, check, blob = answer
+                by_chunk.setdefault(k, {})[p] = blob
+                by_chunk[k][-1] = check
         for k, (goal, blob) in enumerate(rows):
             if not goal:
+                known = by_chunk.get(k, {})
+                if known.pop(-1, crc32(blob)) != crc32(blob):
+                    raise ValueError("the texts of a task came in another order than before")
                 chunk = Chunk(blob, parts)
-                got = chunk.weights({p: unpacked(x) for p, x in by_chunk.get(k, {}).items()}, gains.value)
-                for i, n, w in zip(chunk.ids, chunk.counts.tolist(), got.tolist()):
-                    yield i, n, n + max(n - 1, 0) + max(n - 2, 0), w
+                got = chunk.weights({p: unpacked(x) for p, x in known.items()}, gains.value)
+                for i, words, w in zip(chunk.ids, chunk.counts.tolist(), got.tolist()):
+                    yield i, words, words + max(words - 1, 0) + max(words - 2, 0), w
 
-    rows = source.glom().zip(told.glom()).flatMap(weigh) if source.getNumPartitions() else spark.sparkContext.emptyRDD()
+    # Partitions of both sides in the same number: behind the chunks' there are those of the sums.
+    more = told.getNumPartitions() - source.getNumPartitions()
+    rows = source.union(sc.parallelize([], more)).glom().zip(told.glom()).flatMap(weigh)
     return written(spark.createDataFrame(rows, "doc_id long, n_words long, n_features long, weight long", verifySchema=False), "weights")
 
 

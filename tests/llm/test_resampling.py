@@ -52,7 +52,7 @@ GOAL = ["the quick brown fox", "Ünder the moon", None, "a b c d e f g h"]
 @pytest.mark.parametrize("chunk, part", [(resampling.CHUNK, resampling.PART), (60, 50)])
 def test_edges(make, spark, odd_rows, monkeypatch, chunk, part):
     monkeypatch.setattr(resampling, "CHUNK", chunk)
-    monkeypatch.setattr(resampling, "PART", part if chunk > 60 else 20_000)
+    monkeypatch.setattr(resampling, "PART", part if chunk > 60 else 2_000)
     rows = [*odd_rows, (20, "The quick brown fox " * 30), (20, "The quick brown fox " * 30), (None, "moon " * 25), (21, "\x00a\x7fb İ ß " * 9), (22, "one two"), (23, "x" * 100_000)]
     goal = spark.createDataFrame([(k, t) for k, t in enumerate(GOAL)], "item_id long, text string")
     assert got(resampling.resampled(make(rows), goal, percent=40)) == plain_resampled(rows, GOAL, percent=40)
