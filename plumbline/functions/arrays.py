@@ -72,6 +72,29 @@ def python_slice(a: Column, start: int, end: int) -> Column:
     return F.slice(a, start + 1, max(end - start, 0))
 
 
+def _with_steps(text: Column, flag: str, prefix: Column | None, end_mark: str, slices) -> Column:
+    """slices(steps, front) of a text, which is without its end mark and, where given, the prefix that is put in front
+    of each slice; [text] where there are no steps."""
+    import re
+
+    clean = strip(F.replace(text, F.lit(end_mark), F.lit("")))
+    lead = strip(F.coalesce(prefix, F.lit(""))) if prefix is not None else F.lit("")
+
+    def of(t):
+        body = F.when((lead != "") & F.startswith(t, lead), strip(F.substr(t, F.length(lead) + 1))).otherwise(t)
+        steps = F.filter(F.split(body, re.escape(flag).replace("\\\n", "\n"), -1), lambda x: strip(x) != "")
+        front = F.when(lead == "", "").otherwise(F.concat(lead, F.lit("\n")))
+        return let(steps, lambda s: F.when(F.size(s) == 0, F.array(t)).otherwise(slices(s, front)))
+
+    return let(clean, of)
+
+
+def _target(steps: Column, num_intervals: int, flag: str) -> Column:
+    """The length by which an interval ends: a share of the whole."""
+    total = F.aggregate(steps, F.lit(0), lambda a, x: a + F.length(x)) + (F.size(steps) - 1) * len(flag)
+    return total / F.lit(float(max(1, num_intervals)))
+
+
 def interval_slices(text: Column, num_intervals: int = 10, flag: str = "\n\n", prefix: Column | None = None, end_mark: str = "<|im_end|>") -> Column:
     """[full text, first interval], or [full text] if there is only one interval.
 
@@ -79,32 +102,44 @@ def interval_slices(text: Column, num_intervals: int = 10, flag: str = "\n\n", p
     share of 1/num_intervals of the length is reached.  ``prefix``, where given and not blank,
     is taken off the text and put in front of each slice with a line break.
     """
-    import re
 
-    clean = strip(F.replace(text, F.lit(end_mark), F.lit("")))
-    lead = strip(F.coalesce(prefix, F.lit(""))) if prefix is not None else F.lit("")
+    def cut(s, front):
+        target = _target(s, num_intervals, flag)
 
-    def slices(t):
-        body = F.when((lead != "") & F.startswith(t, lead), strip(F.substr(t, F.length(lead) + 1))).otherwise(t)
-        steps = F.filter(F.split(body, re.escape(flag).replace("\\\n", "\n"), -1), lambda x: strip(x) != "")
-        front = F.when(lead == "", "").otherwise(F.concat(lead, F.lit("\n")))
+        def step(a, x):
+            met = a["end"] > 0
+            size, at = a["size"] + F.length(x) + len(flag), a["at"] + 1
+            return F.struct(F.when(met, a["size"]).otherwise(size).alias("size"), at.alias("at"), F.when(met, a["end"]).when(size >= target, at).otherwise(0).alias("end"))
+
+        zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+        end = F.aggregate(s, zero, step, lambda a: a["end"]) if num_intervals > 1 else F.lit(0)
+        full = F.concat(front, F.array_join(s, flag))
+        first = lambda e: F.concat(front, F.array_join(F.slice(s, F.lit(1), e), flag))
+        return let(end, lambda e: F.when((e > 0) & (e < F.size(s)), F.array(full, first(F.greatest(e, F.lit(1))))).otherwise(F.array(full)))
+
+    return _with_steps(text, flag, prefix, end_mark, cut)
+
+
+def interval_ends(steps: Column, num_intervals: int = 10, flag: str = "\n\n") -> Column:
+    """Numbers of steps up to the end of each interval.  An interval ends with the step by which it has a share of
+    1/num_intervals of the whole length; the last takes what is left."""
+    target = _target(steps, num_intervals, flag)
+
+    def step(a, x):
+        size, at = a["size"] + F.length(x) + len(flag), a["at"] + 1
+        cuts = (size >= target) & (F.size(a["ends"]) < num_intervals - 1)
+        return F.struct(F.when(cuts, 0).otherwise(size).alias("size"), at.alias("at"), F.when(cuts, F.array_append(a["ends"], at)).otherwise(a["ends"]).alias("ends"))
 
-        def cut(s):
-            n = F.size(s)
-            total = F.aggregate(s, F.lit(0), lambda a, x: a + F.length(x)) + (n - 1) * len(flag)
-            target = total / F.lit(float(max(1, num_intervals)))
+    zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    ends = F.aggregate(steps, zero, step, lambda a: a["ends"])
+    return let(ends, lambda e: F.when(F.coalesce(F.try_element_at(e, F.lit(-1)), F.lit(0)) < F.size(steps), F.array_append(e, F.size(steps))).otherwise(e))
 
-            def step(a, x):
-                met = a["end"] > 0
-                size, at = a["size"] + F.length(x) + len(flag), a["at"] + 1
-                return F.struct(F.when(met, a["size"]).otherwise(size).alias("size"), at.alias("at"), F.when(met, a["end"]).when(size >= target, at).otherwise(0).alias("end"))
 
-            zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit(0).alias("end"))
-            end = F.aggregate(s, zero, step, lambda a: a["end"]) if num_intervals > 1 else F.lit(0)
-            full = F.concat(front, F.array_join(s, flag))
-            first = lambda e: F.concat(front, F.array_join(F.slice(s, F.lit(1), e), flag))
-            return F.when(n == 0, F.array(t)).otherwise(let(end, lambda e: F.when((e > 0) & (e < n), F.array(full, first(F.greatest(e, F.lit(1))))).otherwise(F.array(full))))
+def cumulative_slices(text: Column, num_intervals: int = 10, flag: str = "\n\n", prefix: Column | None = None, end_mark: str = "<|im_end|>") -> Column:
+    """The text up to the end of each interval, in order; the last is the full text.  ``interval_slices`` are the last
+    and the first of them."""
 
-        return let(steps, cut)
+    def every(s, front):
+        return let(interval_ends(s, num_intervals, flag), lambda ends: F.transform(ends, lambda e: F.concat(front, F.array_join(F.slice(s, F.lit(1), e), flag))))
 
-    return let(clean, slices)
+    return _with_steps(text, flag, prefix, end_mark, every)

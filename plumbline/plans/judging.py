@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from plumbline.functions.arrays import interval_slices
@@ -81,16 +81,25 @@ def to_judge(records: DataFrame) -> DataFrame:
     return c.select(*_keys(records), "pos", judge_prompt(F.col("q"), F.col("g"), text).alias("prompt"))
 
 
-def run_counts(fixed: DataFrame) -> DataFrame:
-    """One row on records after ``fix_records``: records, candidates, correct ones, and those that a judge
-    is asked about."""
+def _counts() -> list[Column]:
     n = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return fixed.agg(
+    return [
         F.count(F.lit(1)).alias("records"),
         n(F.size("candidates")).alias("candidates"),
         n(F.col("stats.correct")).alias("correct"),
         n(F.size(F.filter("candidates", lambda c: c["extracted_answer"].isNull()))).alias("judge_calls"),
-    )
+    ]
+
+
+def run_counts(fixed: DataFrame) -> DataFrame:
+    """One row on records after ``fix_records``: records, candidates, correct ones, and those that a judge
+    is asked about.  A job of its own; ``observed`` counts in the pass that writes the records."""
+    return fixed.agg(*_counts())
+
+
+def observed(fixed: DataFrame, seen: Observation) -> DataFrame:
+    """``fixed``, whose ``run_counts`` are in ``seen`` as soon as it has been written."""
+    return fixed.observe(seen, *_counts())
 
 
 def with_verdicts(records: DataFrame, replies: DataFrame) -> DataFrame:

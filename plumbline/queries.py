@@ -8,14 +8,15 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline import schemas
 from plumbline.functions import arrays, text
 from plumbline.operators import prompts, pruning, sampling, voting
-from plumbline.plans import judging, sampling as sampled, selection
-from plumbline.sources import jsonl, scorer
+from plumbline.plans import judging, sampling as sampled, segments, selection
+from plumbline.sources import jsonl, scorer, sinks
 from plumbline.sources.tables import materialised, run_folder
 
 QUERIES: dict = {}
@@ -861,3 +862,105 @@ def percentiles_of_infinities(spark, sf_dir):
     both = want.select(F.posexplode("w").alias("i", "w")).withColumn("g", F.element_at(F.array(*map(F.lit, got)), F.col("i") + 1)).withColumn("point", F.element_at(F.array(*map(F.lit, _POINTS)), F.col("i") + 1))
     same = (F.col("w") == F.col("g")) | (F.abs(F.col("w") - F.col("g")) < 1e-12)
     return both.select("point", F.when(~same, "different").otherwise(F.when(F.col("g") == float("inf"), "Infinity").otherwise(F.round("g", 4).cast("string"))).alias("value"))
+
+
+# Whole segmentation ------------------------------------------------------------------------------
+
+
+@query(
+    r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents),
+s AS (SELECT doc_id, t, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS s FROM t),
+c AS (SELECT doc_id, s, len(s) AS n, list_transform(range(len(s) + 1), lambda k: coalesce(list_sum(list_transform(s[1:k], lambda x: length(x) + 1)), 0)) AS cum FROM s WHERE len(s) > 0),
+m AS (SELECT *, unnest([1, 3, 10]) AS intervals FROM c),
+fold AS (SELECT doc_id, intervals, s, n, cum, 0 AS made, 0 AS pos FROM m UNION ALL
+  SELECT doc_id, intervals, s, n, cum, made + 1, CASE WHEN made + 1 < intervals THEN coalesce(list_filter(range(pos + 1, n + 1), lambda k: cum[k + 1] - cum[pos + 1] >= (cum[n + 1] - 1) / intervals)[1], n) ELSE n END FROM fold WHERE pos < n)
+SELECT doc_id, intervals, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY made) AS ends, md5(string_agg(array_to_string(s[1:pos], chr(10)), '|' ORDER BY made)) AS slices FROM fold WHERE pos > 0 GROUP BY doc_id, intervals"""
+)
+def cumulative_slices(spark, sf_dir):
+    """Every cumulative slice, for several numbers of intervals; texts without any step have none here."""
+    d = table(spark, sf_dir, "documents")
+    out = None
+    for n in (1, 3, 10):
+        steps = F.filter(F.split(text.strip(F.col("text")), "\n", -1), lambda x: text.strip(x) != "")
+        ends = F.array_join(F.transform(arrays.interval_ends(steps, n, "\n"), lambda e: e.cast("string")), ",")
+        slices = F.md5(F.encode(F.array_join(arrays.cumulative_slices(F.col("text"), n, "\n"), "|"), "UTF-8"))
+        got = d.where(F.size(steps) > 0).select("doc_id", F.lit(n).alias("intervals"), ends.alias("ends"), slices.alias("slices"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query(f"SELECT doc_id, intervals, ends FROM ({SQL['cumulative_slices']})")
+def segments_long(spark, sf_dir):
+    """The same ends from a row for each step, by prefix sums and pointer doubling."""
+    d = table(spark, sf_dir, "documents")
+    steps = F.filter(F.split(text.strip(F.col("text")), "\n", -1), lambda x: text.strip(x) != "")
+    rows = d.select(F.col("doc_id").alias("key"), F.posexplode(steps).alias("step", "x")).select("key", "step", F.length("x").alias("length"))
+    out = None
+    for n in (1, 3, 10):
+        ends = segments.segments(rows, n, 1).groupBy("key", "segment").agg((F.max("step") + 1).alias("end"))
+        got = ends.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("end")), lambda e: e.cast("string")), ",").alias("ends")).select(F.col("key").alias("doc_id"), F.lit(n).alias("intervals"), "ends")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+# Sinks that go on, counts in the same pass, lines that are dropped ---------------------------------
+
+
+@query(
+    """SELECT doc_id AS question_id, CAST(('0x' || substr(md5('[{"role":"user","content":"p"},{"role":"assistant","content":"alone ' || doc_id || '"},{"role":"user","content":"RATE"}]'), 1, 6)) AS INTEGER) % 101 AS score,
+  CAST(1 AS BIGINT) AS times, true AS as_uninterrupted FROM documents""".replace("RATE", prompts.RATE)
+)
+def resumed_run(spark, sf_dir):
+    """A run that fails after some rounds and goes on, and one that doesn't fail."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.lit("p").alias("problem"), F.lit(0).alias("pos"), F.lit(0).alias("slice_idx"), F.concat(F.lit("alone "), F.col("doc_id").cast("string")).alias("slice"))
+    calls: list[int] = []
+
+    def failing(rows: DataFrame) -> DataFrame:
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("stopped")
+        return scorer.confidence_scores(rows)
+
+    stopped, whole = _folder(spark), _folder(spark)
+    try:
+        sinks.resumed(d, stopped, failing, "question_id", rounds=4)
+    except RuntimeError:
+        sinks.resumed(d, stopped, scorer.confidence_scores, "question_id", rounds=4)
+    sinks.resumed(d, whole, scorer.confidence_scores, "question_id", rounds=1)
+    kind = T.StructType().add("question_id", "long").add("score", "integer")
+    one, two = (sinks.results(spark, p, kind) for p in (stopped, whole))
+    times = one.groupBy("question_id").agg(F.max("score").alias("score"), F.count(F.lit(1)).alias("times"))
+    return times.join(two.select("question_id", F.col("score").alias("other")), "question_id", "full").select("question_id", "score", "times", F.col("score").eqNullSafe(F.col("other")).alias("as_uninterrupted"))
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    """Lines in order of doc_id: most are records, some are blank, broken or of another shape."""
+    k = F.col("question_id") % 11
+    line = F.when(k == 3, "  ").when(k == 5, "{bad").when(k == 7, '{"candidates": 5}').otherwise(F.to_json(F.struct("*")))
+    return _old_records(spark, sf_dir).orderBy("question_id").select(line.alias("value"))
+
+
+@query(
+    f"""WITH {_OLD}, k AS (SELECT * FROM o WHERE doc_id % 11 NOT IN (3, 5, 7)) SELECT (SELECT count(*) FROM o) AS lines, (SELECT count(*) FROM o WHERE doc_id % 11 = 3) AS blank, (SELECT count(*) FROM o WHERE doc_id % 11 IN (5, 7)) AS dropped,
+  count(*) AS records, CAST(3 * count(*) AS BIGINT) AS candidates, CAST(sum((a = gold)::INT + (b = gold)::INT) AS BIGINT) AS correct, count(*) AS judge_calls FROM k"""
+)
+def run_counters_observed(spark, sf_dir):
+    """Lines, dropped lines and the counts of the fixing stage, all from the pass that writes its records."""
+    lines, counts = Observation(), Observation()
+    fixed = judging.fix_records(jsonl.tolerant(_lines(spark, sf_dir), schemas.FIXED, seen=lines))
+    jsonl.write_records(judging.observed(fixed, counts), _folder(spark))
+    return spark.createDataFrame([lines.get | counts.get], "lines long, blank long, dropped long, records long, candidates long, correct long, judge_calls long")
+
+
+@query(
+    """WITH r AS (SELECT doc_id, doc_id % 11 AS k, row_number() OVER (ORDER BY doc_id) - 1 AS row FROM documents)
+SELECT CASE k WHEN 3 THEN 'blank' WHEN 5 THEN 'not JSON' ELSE 'other types' END AS reason, count(*) AS n, CAST(sum(row) AS BIGINT) AS rows_sum FROM r WHERE k IN (3, 5, 7) GROUP BY k
+UNION ALL SELECT 'kept', count(*), 0 FROM r WHERE k NOT IN (3, 5, 7)"""
+)
+def quarantined_lines(spark, sf_dir):
+    """Kept records and rejected lines of a file, with reasons and row numbers; together they are all lines."""
+    path = _folder(spark)
+    _lines(spark, sf_dir).coalesce(1).write.text(path)  # one file, whose row numbers follow from the ids
+    kept, rejected = jsonl.quarantined(spark, path, schemas.FIXED)
+    bad = rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("row").alias("rows_sum"))
+    return bad.unionByName(kept.agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("rows_sum")))

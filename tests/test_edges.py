@@ -188,3 +188,46 @@ def test_images_are_decoded_where_they_are_used():
     image.new("L", (2, 3)).save(out, "PNG")
     assert scorer.image_of({"bytes": out.getvalue()}).mode == "RGB"
     assert scorer.image_of(None) is None and scorer.image_of({"bytes": None}) is None
+
+
+def plain_ends(steps, n, flag):
+    """Ends of intervals by a fold, as numbers of steps."""
+    target = (sum(map(len, steps)) + (len(steps) - 1) * len(flag)) / max(1, n)
+    ends, size = [], 0
+    for at, x in enumerate(steps, 1):
+        size += len(x) + len(flag)
+        if size >= target and len(ends) < n - 1:
+            ends.append(at)
+            size = 0
+    return ends if ends and ends[-1] == len(steps) else [*ends, len(steps)]
+
+
+def test_segmentation_is_a_fold(spark):
+    """Arrays and long rows against the fold, with ends that fall on a target to the letter, and one step of most."""
+    import random
+
+    from plumbline.functions import arrays
+    from plumbline.plans import segments
+
+    draw = random.Random(3)
+    texts = [["a" * draw.choice([1, 1, 2, 5, 40]) for _ in range(draw.randint(1, 30))] for _ in range(40)] + [["x" * 1000, *["y"] * 20], ["ab"] * 12, ["abc"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "key int, steps array<string>")
+    rows = df.select("key", F.posexplode("steps").alias("step", "x")).select("key", "step", F.length("x").alias("length"))
+    for n in (1, 2, 3, 7, 10, 64):
+        want = {k: plain_ends(t, n, "\n\n") for k, t in enumerate(texts)}
+        assert {r.key: r.e for r in df.select("key", arrays.interval_ends(F.col("steps"), n).alias("e")).collect()} == want
+        long = segments.segments(rows, n, 2).groupBy("key", "segment").agg((F.max("step") + 1).alias("end"))
+        got = {}
+        for r in long.collect():
+            got.setdefault(r.key, []).append(r.end)
+        assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_cumulative_slices_of_odd_texts(spark):
+    from plumbline.functions import arrays
+
+    df = spark.createDataFrame([("",), ("  \n\n ",), ("one",), ("lead one\n\ntwo\n\n\n\nthree<|im_end|>",), (None,)], "t string")
+    got = [r.s for r in df.select(arrays.cumulative_slices(F.col("t"), 3, prefix=F.lit(" lead ")).alias("s")).collect()]
+    assert got[:4] == [[""], [""], ["lead\none"], ["lead\none", "lead\none\n\ntwo", "lead\none\n\ntwo\n\nthree"]]
+    pair = df.select(arrays.cumulative_slices(F.col("t"), 3).alias("all"), arrays.interval_slices(F.col("t"), 3).alias("two")).collect()
+    assert all(r.two == ([r.all[-1], r.all[0]] if len(r.all) > 1 else r.all) for r in pair[:4])

@@ -3,7 +3,9 @@
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline import schemas
 from plumbline.plans import judging, sampling, selection
@@ -213,3 +215,62 @@ def test_questions_that_repeat_stay_records_of_their_own(spark):
     df = sampling.judged(spark.createDataFrame(rows, "record_id long, question_id string, problem string, gold_answer string, pos int, text string, token_logprobs array<double>"))
     assert [len(r.candidates) for r in sampling.sampled_records(df).collect()] == [2, 2]
     assert [len(r.candidates) for r in sampling.sampled_records(df.drop("record_id")).collect()] == [4]
+
+
+def test_a_stopped_run_goes_on(spark, tmp_path):
+    """Rounds that were finished aren't worked on again; what a stopped round left behind goes."""
+    from plumbline.sources import sinks
+
+    path, kind = f"file://{tmp_path}/out", T.StructType().add("record_id", "string").add("x", "long").add("none", "string")
+    src = str(tmp_path / "in")
+    spark.range(100).repartition(3).write.parquet(src)
+    worked = []
+
+    def work(rows, stop=None):
+        worked.append(rows.count())
+        if len(worked) == stop:
+            raise RuntimeError("stopped")
+        return rows.select("record_id", (F.col("id") * 2).alias("x"), F.lit(None).cast("string").alias("none"))
+
+    with pytest.raises(RuntimeError):
+        sinks.resumed(spark.read.parquet(src), path, lambda r: work(r, 3), rounds=5)
+    assert sinks.results(spark, path, kind).count() == sum(worked[:2]) < 100
+    spark.range(3).selectExpr("'old' AS record_id", "id AS x", "'n' AS none").write.json(f"{path}/{sinks.PART}left")  # a round without its manifest
+    spark.range(3).selectExpr("'old' AS record_id").write.parquet(f"{path}/{sinks.MANIFEST}broken")
+    (tmp_path / "out" / f"{sinks.MANIFEST}broken" / "_SUCCESS").unlink()
+    del worked[2:]
+    assert sinks.resumed(spark.read.parquet(src), path, work, rounds=5) == 3 and sum(worked) == 100
+    assert sorted(r.x for r in sinks.results(spark, path, kind).collect()) == list(range(0, 200, 2))
+    assert sinks.resumed(spark.read.parquet(src), path, work, rounds=5) == 0
+    assert not (tmp_path / "out" / f"{sinks.PART}left").exists()
+
+
+def test_quarantine_over_splits_of_files(spark, tmp_path):
+    """Row numbers count through splits; kept and rejected lines are all lines."""
+    kind = T.StructType().add("a", "integer")
+    lines = {"x.jsonl": [f'{{"a": {i}}}' if i % 3 else ["", "{bad", '{"a": "no"}'][i % 9 // 3] for i in range(400)], "y.jsonl": ['{"a": 1}', " ", "[1]"], "z.jsonl": []}
+    for name, of in lines.items():
+        (tmp_path / name).write_text("".join(x + "\n" for x in of))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        kept, rejected = jsonl.quarantined(spark, str(tmp_path), kind)
+        assert rejected.rdd.getNumPartitions() > 1
+        bad = {(r.file.rsplit("/", 1)[1], r.row): (r.value, r.reason) for r in rejected.collect()}
+        n = kept.count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    why = {"": "blank", " ": "blank", "{bad": "not JSON", '{"a": "no"}': "other types"}
+    want = {(name, i): (x, why[x]) for name, of in lines.items() for i, x in enumerate(of) if x in why}
+    assert {k: v for k, v in bad.items() if v[0] != "[1]"} == want
+    assert n + len(bad) == sum(map(len, lines.values())) or ("y.jsonl", 2) not in bad
+
+
+def test_counts_are_observed_in_the_pass_that_writes(spark, lines, tmp_path):
+    """Blank and dropped lines are counted; the file is read once."""
+    seen, counts = Observation(), Observation()
+    reads = spark.sparkContext.accumulator(0)
+    counted = spark.read.text(lines).mapInPandas(lambda frames: (reads.add(len(f)) or f for f in frames), "value string")
+    fixed = judging.fix_records(jsonl.tolerant(counted, schemas.FIXED, seen=seen))
+    jsonl.write_records(judging.observed(fixed, counts), str(tmp_path / "out"))
+    assert seen.get == {"lines": 8, "blank": 1, "dropped": 2} and reads.value == 8
+    assert counts.get == judging.run_counts(spark.read.schema(fixed.schema).json(str(tmp_path / "out"))).first().asDict()
