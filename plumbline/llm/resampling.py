@@ -20,14 +20,13 @@ from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import partitions, small_batches, table, written
+from plumbline.llm.common import partitions, ship, table, written
 from plumbline.llm.licenses import WORDS
 from plumbline.llm.merkle import CRC_OF_BYTES, CRC_TABLE
 from plumbline.llm.rolling import mixed
@@ -200,33 +199,32 @@ def bucket_gains(sums: np.ndarray) -> np.ndarray:
     return np.array([math.floor(1000 * math.log((b + 1) * (s + buckets) / ((a + 1) * (t + buckets)))) for a, b in sums.T.tolist()], np.int64)
 
 
-def chunked(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """target, blob: the encoded texts of both tables in chunks."""
+def chunked(docs: DataFrame, target: DataFrame) -> RDD:
+    """(whether it is of the target, packed texts) of both tables in chunks.  As an RDD, so that one Python worker
+    encodes texts and makes requests of them."""
 
-    def encode(batches):
+    def encode(rows: Iterable) -> Iterator[tuple]:
         held, size, goal = [], 0, False
 
-        def flush():
-            counts, ranks, words = encoded([t for _, t in held])
-            return pd.DataFrame({"target": [goal], "blob": [packed(([i for i, _ in held], counts, ranks, words))]})
-
-        for b in batches:
-            for i, text, is_target in zip(b["doc_id"].astype("object").where(b["doc_id"].notna(), None), b["text"], b["target"]):
-                data = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else b""
-                if held and (is_target != goal or size + len(data) > CHUNK):
-                    yield flush()
-                    held, size = [], 0
-                goal = is_target
-                held.append((None if i is None else int(i), data))
-                size += len(data) + 16
+        def flush() -> tuple:
+            return goal, packed(([i for i, _ in held], *encoded([t for _, t in held])))
+
+        for i, text, is_target in rows:
+            data = (text or "").encode("utf-8", "surrogatepass")
+            if held and (is_target != goal or size + len(data) > CHUNK):
+                yield flush()
+                held, size = [], 0
+            goal = is_target
+            held.append((i, data))
+            size += len(data) + 16
         if held:
             yield flush()
 
     def rows(df: DataFrame, goal: bool) -> DataFrame:
-        i = F.col("doc_id").cast("long") if "doc_id" in df.columns and not goal else F.lit(None).cast("long")
+        i = F.col("doc_id").cast("long") if not goal else F.lit(None).cast("long")
         return df.select(i.alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(goal).alias("target"))
 
-    return rows(docs, False).unionByName(rows(target, True)).mapInPandas(encode, "target boolean, blob binary")
+    return rows(docs, False).unionByName(rows(target, True)).rdd.mapPartitions(encode)
 
 
 def _as_table(df: DataFrame) -> DataFrame:
@@ -239,12 +237,12 @@ def weighed(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFr
     """doc_id, n_words, n_features, weight of each row of ``docs``, written."""
     spark = docs.sparkSession
     sc = spark.sparkContext
-    small_batches(spark)
+    ship(spark)
     docs, target = _as_table(docs.select("doc_id", "text")), _as_table(target.select("text"))
     size = sum(df.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0] for df in (docs, target))
     # A word and the space behind it take some six bytes and make three features.
     parts = max(partitions(spark), -(-size // (2 * PART)))
-    source: RDD = chunked(docs, target).rdd.map(tuple)
+    source = chunked(docs, target)
     n, n_sums = max(source.getNumPartitions(), 1), min(SUMS, parts)
 
     def requests(pid: int, rows: Iterable) -> Iterator[tuple]:
