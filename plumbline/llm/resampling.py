@@ -64,6 +64,16 @@ def strings_in(lengths: np.ndarray, data: bytes) -> pa.Array:
     return pa.Array.from_buffers(BINARY, len(lengths), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)])
 
 
+def given_back() -> None:
+    """In a worker: memory that is free again goes back to the system.  Workers wait for further tasks side by side, and
+    each would hold what its largest chunk or part took."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def joined_words(*columns: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(*columns, pa.scalar(b" ", BINARY))
 
@@ -111,7 +121,7 @@ class Chunk:
         two = doc[1:] == doc[:-1]
         del doc
         three = two[1:] & two[:-1]
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words.to_pylist()], np.uint64)
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words.to_numpy(zero_copy_only=False)], np.uint64)
         pairs, of_pair, n_pairs = distinct((u[:-1].astype(np.int64) * v + u[1:])[two])
         self.first, self.second = (pairs // v).astype(np.int32), (pairs % v).astype(np.int32)
         before = of_pair[(np.cumsum(two, dtype=np.int32) - 1)[:-1][three]]
@@ -183,13 +193,11 @@ def merged(rows: Iterable, buckets: int) -> Iterator[tuple]:
     names = coded.dictionary
     bucket = np.empty(len(names), np.int64)
     for k in range(0, len(names), SLICE):
-        bucket[k : k + SLICE] = [crc32(x) % buckets for x in names[k : k + SLICE].to_pylist()]
+        bucket[k : k + SLICE] = [crc32(x) % buckets for x in names[k : k + SLICE].to_numpy(zero_copy_only=False)]
     which, at = np.asarray(coded.indices), 0
     for (place, target), n in zip(senders, counts):
         yield place, target, n, bucket[which[at : at + len(n)]]
         at += len(n)
-    del coded, names, which
-    pa.default_memory_pool().release_unused()
 
 
 def bucket_gains(sums: np.ndarray) -> np.ndarray:
@@ -251,6 +259,8 @@ def weighed(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFr
             for p in range(parts):
                 if (sent := chunk.request(p)) is not None:
                     yield p, ((pid, k, p, check), goal, sent)
+            del chunk
+            given_back()
 
     def replies(part: int, rows: Iterable) -> Iterator[tuple]:
         """To each chunk's partition its buckets; to those behind, the sums."""
@@ -259,6 +269,7 @@ def weighed(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFr
             np.add.at(sums[int(goal)], bucket, counts)
             if not goal:
                 yield pid, (k, p, check, packed(bucket.astype(small)))
+        given_back()
         if sums.any():
             yield n + part % n_sums, sums
 
@@ -281,7 +292,10 @@ def weighed(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFr
                     raise ValueError("the texts of a task came in another order than before")
                 chunk = Chunk(blob, parts)
                 got = chunk.weights({p: unpacked(x) for p, x in known.items()}, gains.value)
-                for i, words, w in zip(chunk.ids, chunk.counts.tolist(), got.tolist()):
+                ids, counts = chunk.ids, chunk.counts.tolist()
+                del chunk
+                given_back()
+                for i, words, w in zip(ids, counts, got.tolist()):
                     yield i, words, words + max(words - 1, 0) + max(words - 2, 0), w
 
     # Partitions of both sides in the same number: behind the chunks' there are those of the sums.
