@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,15 +37,35 @@ def option_letters(options: Column) -> Column:
     return F.array_join(F.transform(options, lambda o, i: F.concat(F.char(F.lit(65) + i), F.lit(". "), F.coalesce(o, F.lit("None")), F.lit("\n"))), "")
 
 
+#: Quoted texts without escapes.
+_QUOTED = r"""'[^'\\\x00-\x1F]*+'|"[^"\\\x00-\x1F]*+\""""
+
+
 def option_list(literal: Column) -> Column:
-    """``option_letters`` of a list literal in single or double quotes, with bare None, True, False and
-    numbers as they are written; empty if it isn't a list."""
-    # Every quoted text and every bare word gets a mark behind it; marks of quoted ones go again.
-    marked = F.regexp_replace(literal, r"""("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+')|\b(None|True|False)\b""", "$1$2\u0001")
-    bare = F.regexp_replace(F.regexp_replace(marked, "(['\"])\u0001", "$1"), "(None|True|False)\u0001", '"$1"')
-    closed = F.regexp_replace(bare, r",\s*\]\s*$", "]")
-    listed = F.when(F.startswith(F.ltrim(literal), F.lit("[")), F.from_json(closed, "array<string>", {"allowBackslashEscapingAnyCharacter": "true"}))
-    return F.coalesce(option_letters(listed), F.lit(""))
+    """``option_letters`` of a Python list literal, with escapes, signs, adjacent texts and nesting as Python has them;
+    empty if it isn't a list.  Lists of quoted texts without escapes, which most are, are read by built-in
+    functions; only others go through Python, in batches."""
+    import ast
+
+    def lines(text):
+        if text is None:
+            return None
+        try:
+            value = ast.literal_eval(text)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return None
+        return "".join(f"{chr(65 + i)}. {x}\n" for i, x in enumerate(value)) if isinstance(value, list) else None
+
+    def read(literals: pd.Series) -> pd.Series:
+        return literals.map(lines)
+
+    # Each quoted text becomes one mark; a plain list is then marks between commas.
+    marks = F.translate(F.regexp_replace(literal, _QUOTED, "\u0001"), " ", "")
+    plain = ~F.contains(literal, F.lit("\u0001")) & ~F.startswith(literal, F.lit("\n")) & marks.rlike("^\\[(?:\u0001(?:,\u0001)*+)?\\]$")
+    plain = F.coalesce(plain, F.lit(True))
+    listed = F.from_json(literal, "array<string>")
+    other = F.pandas_udf(read, "string")(F.when(~plain, literal))
+    return F.coalesce(F.when(plain, option_letters(listed)).otherwise(other), F.lit(""))
 
 
 def with_options(question: Column, lines: Column) -> Column:

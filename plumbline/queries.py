@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline import schemas
-from plumbline.functions import arrays, text
+from plumbline.functions import arrays, sql as sql_functions, text
 from plumbline.operators import prompts, pruning, sampling, voting
 from plumbline.plans import judging, sampling as sampled, segments, selection
-from plumbline.sources import jsonl, scorer, sinks
+from plumbline.sources import images, jsonl, replies, scorer, sinks
 from plumbline.sources.tables import materialised, run_folder
 
 QUERIES: dict = {}
@@ -964,3 +964,106 @@ def quarantined_lines(spark, sf_dir):
     kept, rejected = jsonl.quarantined(spark, path, schemas.FIXED)
     bad = rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.sum("row").alias("rows_sum"))
     return bad.unionByName(kept.agg(F.lit("kept").alias("reason"), F.count(F.lit(1)).alias("n"), F.lit(0).cast("long").alias("rows_sum")))
+
+
+# Replies that are kept, images, literals, SQL ------------------------------------------------------
+
+
+def _graded(texts: list) -> list:
+    return [f"grade {len(t)}" for t in texts]
+
+
+@query(
+    """WITH p AS (SELECT doc_id, lang || ' ' || source AS ask FROM documents) SELECT doc_id, 'grade ' || length(ask) AS reply,
+  (SELECT count(DISTINCT ask) FROM p WHERE doc_id % 3 = 0) AS asked_first, (SELECT count(DISTINCT ask) FROM p WHERE ask NOT IN (SELECT ask FROM p WHERE doc_id % 3 = 0)) AS asked_then FROM p"""
+)
+def replies_kept(spark, sf_dir):
+    """Two runs with one reply table: of equal questions one is asked, and the second run asks what the first didn't."""
+    d, folder = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", "lang", "source").alias("ask")), _folder(spark)
+    ask = lambda rows: replies.answered(rows, "ask", "reply", lambda: _graded, folder, workers=4)
+    ask(d.where("doc_id % 3 = 0"))
+    first = replies.kept_replies(spark, folder).count()
+    out = ask(d)
+    then = replies.kept_replies(spark, folder).count() - first
+    return out.select("doc_id", "reply", F.lit(first).cast("long").alias("asked_first"), F.lit(then).cast("long").alias("asked_then"))
+
+
+def _as_png(numbers, width: int) -> bytes:
+    """A grey image of numbers from 0 to 255, rows one after the other, each with another filter."""
+    import struct
+    import zlib
+
+    rows = [bytes(numbers[i : i + width]) for i in range(0, len(numbers), width)]
+    lines, above = b"", bytes(width)
+    for y, row in enumerate(rows):
+        left = bytes(1) + row[:-1]
+        base = [bytes(width), left, above][y % 3]
+        lines += bytes([y % 3]) + bytes((a - b) % 256 for a, b in zip(row, base))
+        above = row
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return images.SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+
+
+@query(
+    """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(abs(CAST(x AS DOUBLE)) * 1000) AS BIGINT) % 256) AS p FROM embeddings)
+SELECT vec_id, CAST(CASE WHEN vec_id % 5 > 1 THEN 16 ELSE -1 END AS INTEGER) AS width, CAST(CASE WHEN vec_id % 5 > 1 THEN 4 ELSE -1 END AS INTEGER) AS height, CASE WHEN vec_id % 5 > 1 THEN round(list_avg(p), 6) ELSE -1.0 END AS mean, vec_id % 5 = 1 AS faulty FROM p"""
+)
+def images_decoded(spark, sf_dir):
+    """Image files made of vectors, decoded in the workers; some have no bytes and some are damaged."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 1000) % 256).alias("p"))
+
+    def draw(frames):
+        for f in frames:
+            files = [None if i % 5 == 0 else _as_png(list(p), 16)[: 60 if i % 5 == 1 else None] for i, p in zip(f["vec_id"], f["p"])]
+            yield f[["vec_id"]].assign(image_1=files)
+
+    out = images.described(e.mapInPandas(draw, "vec_id long, image_1 binary").select("vec_id", F.when(F.col("image_1").isNotNull(), F.struct(F.col("image_1").alias("bytes"))).alias("image_1")))
+    least = lambda c: F.coalesce(c, F.lit(-1))
+    return out.select("vec_id", least("image.width").alias("width"), least("image.height").alias("height"), least(r6("image.mean")).alias("mean"), F.col("image.fault").isNotNull().alias("faulty"))
+
+
+@query(
+    r"""SELECT n_nationkey, 'A. ' || n_name || chr(10) || 'B. -1' || chr(10) || 'C. 1000' || chr(10) || 'D. ab' || chr(10) || 'E. a\b' || chr(10) || 'F. A' || chr(10) || 'G. [''x'', None, (1,)]' || chr(10) || 'H. {''k'': 2.5}' || chr(10) AS options FROM nation WHERE n_nationkey % 2 = 0
+UNION ALL SELECT n_nationkey, CASE n_nationkey % 4 WHEN 1 THEN 'A. it''s, [' || n_name || ']' || chr(10) || 'B. "' || chr(10) ELSE '' END FROM nation WHERE n_nationkey % 2 = 1"""
+)
+def option_literals(spark, sf_dir):
+    """List literals with all that Python's have: signs, underscores, adjacent texts, raw ones, escapes, nesting."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    odd = F.concat(F.lit("['"), "n_name", F.lit(r"""', -1, 1_000, 'a' "b", r'a\b', 'A', ['x', None, (1,)], {'k': 2.5}]"""))
+    plain = F.concat(F.lit('["it\'s, ['), "n_name", F.lit(''']", '"']'''))
+    k = F.col("n_nationkey")
+    return n.select("n_nationkey", prompts.option_list(F.when(k % 2 == 0, odd).when(k % 4 == 1, plain).otherwise(F.concat(F.lit("['"), "n_name"))).alias("options"))
+
+
+@query(SQL["jitter_b10"])
+def sql_jitter(spark, sf_dir):
+    """The jitter as a function of SQL."""
+    sql_functions.register(spark)
+    return spark.sql("SELECT question_id, pos, round(token_jitter(logprobs, 10), 6) AS jitter FROM {c}", c=candidates(spark, sf_dir))
+
+
+@query(SQL["vote_invalid_bucket"])
+def sql_vote(spark, sf_dir):
+    """The vote as a function of SQL."""
+    sql_functions.register(spark)
+    pools = selection.features(records(spark, sf_dir))
+    return spark.sql("SELECT question_id, v.answer, round(v.confidence, 6) AS confidence, v.is_correct FROM (SELECT question_id, majority_vote(transform(pool, x -> named_struct('ans', x.ans, 'ok', x.ok)), gold) AS v FROM {p})", p=pools)
+
+
+@query(SQL["extract_gpq_build"])
+def sql_extraction(spark, sf_dir):
+    """Extraction as a function of SQL."""
+    sql_functions.register(spark)
+    return spark.sql("SELECT doc_id, option_answer(t) AS answer FROM {a}", a=_answers(spark, sf_dir))
+
+
+def _echo():
+    return lambda prompt, n: [f"{prompt} {i}" for i in range(n)]
+
+
+@query("SELECT doc_id AS question_id, CAST(i AS INTEGER) AS pos, 'ask ' || doc_id || ' ' || i AS text FROM documents, range(3) AS r(i)")
+def sql_generated(spark, sf_dir):
+    """Candidates that a generator makes, as a table function of SQL."""
+    sql_functions.register_generator(spark, "candidates_of", _echo)
+    q = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("question_id"), F.concat(F.lit("ask "), F.col("doc_id").cast("string")).alias("prompt"))
+    return spark.sql("SELECT question_id, pos, text FROM {q}, LATERAL candidates_of(prompt, 3)", q=q)

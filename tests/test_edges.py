@@ -180,15 +180,6 @@ def test_tables_go_with_their_scope(spark):
     assert here(free) and free.count() == 2
 
 
-def test_images_are_decoded_where_they_are_used():
-    image = pytest.importorskip("PIL.Image")
-    import io
-
-    out = io.BytesIO()
-    image.new("L", (2, 3)).save(out, "PNG")
-    assert scorer.image_of({"bytes": out.getvalue()}).mode == "RGB"
-    assert scorer.image_of(None) is None and scorer.image_of({"bytes": None}) is None
-
 
 def plain_ends(steps, n, flag):
     """Ends of intervals by a fold, as numbers of steps."""
