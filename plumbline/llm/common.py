@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import zipfile
 from collections.abc import Callable
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.sources.tables import deleted, materialised
+from plumbline.sources.tables import deleted, fresh, materialised, ship
 
 #: Bytes in one Arrow batch, the same for all operators; a row that is longer comes alone.
 ARROW_BYTES = "4194304"
 #: The characters that count as white space in every contract: space and \x09-\x0D.
 SPACE = "[ \\t\\n\\x0B\\f\\r]"
+#: A-Z to lower case, every other ASCII byte that is no letter or digit to a space; the rest stays.
+WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,14 +38,6 @@ def drop_written(df: DataFrame, part: str = "") -> None:
         deleted(df.sparkSession, f"{folder}/{part}" if part else folder)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """``name``, longer where the table has a column of that name."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = f"_{name}"
-    return name
-
-
 _caches: dict[str, Callable[[], None]] = {}
 
 
@@ -68,22 +57,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
-def ship(spark: SparkSession) -> None:
-    """Add this package to the Python path of all workers, once for each context."""
-    context = spark.sparkContext
-    if getattr(context, "_plumbline_sent", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp()  # on the driver alone; Spark serves the file to the executors
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    out = Path(folder) / "plumbline_workers.zip"
-    with zipfile.ZipFile(out, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, str(f.relative_to(root.parent)))
-    context.addPyFile(str(out))
-    context._plumbline_sent = True
-
-
 def text_key(name: str = "text") -> Column:
     """Tells rows that repeat a doc_id with another text apart."""
     return F.xxhash64(F.coalesce(F.col(name), F.lit("")))

@@ -21,11 +21,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import small_batches, table
+from plumbline.llm.common import WORDS, small_batches, table
 from plumbline.llm.license_rules import BASE, RULES
 
-#: A-Z to lower case, every other ASCII byte that is no letter or digit to a space; the rest stays.
-WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c > 127 else 32 for c in range(256))
 SPAN = "struct<label:string,rule:int,start:long,stop:long,kept:boolean>"
 
 

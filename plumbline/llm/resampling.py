@@ -26,14 +26,13 @@ from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import partitions, ship, table, written
-from plumbline.llm.licenses import WORDS
+from plumbline.llm.common import WORDS, partitions, ship, table, written
 from plumbline.llm.merkle import CRC_OF_BYTES, CRC_TABLE
 from plumbline.llm.rolling import mixed
 
 #: Bytes of text in a chunk (a longer text is one of its own), features that a part of the dictionary gets on
 #: average from all chunks before they are folded, at most, and strings that are hashed at once.
-CHUNK, PART, SLICE = 8 << 20, 4_000_000, 1 << 16
+CHUNK, PART, SLICE = 6 << 20, 4_000_000, 1 << 16
 #: Tasks over which the parts' sums by bucket are dealt before they are added up.
 SUMS = 16
 BINARY = pa.large_binary()
@@ -227,6 +226,7 @@ def chunked(docs: DataFrame, target: DataFrame) -> RDD:
             size += len(data) + 16
         if held:
             yield flush()
+        given_back()
 
     def rows(df: DataFrame, goal: bool) -> DataFrame:
         i = F.col("doc_id").cast("long") if not goal else F.lit(None).cast("long")
@@ -277,6 +277,10 @@ def weighed(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFr
     all_sums = told.mapPartitionsWithIndex(lambda pid, rows: (x for _, x in rows) if pid >= n else iter(()))
     gains = sc.broadcast(bucket_gains(all_sums.treeAggregate(np.zeros((2, buckets), np.int64), np.add, np.add)))
 
+    def gathered(rows: Iterable) -> Iterator[list]:
+        yield list(rows)
+        given_back()
+
     def weigh(pair) -> Iterator[tuple]:
         rows, answers = pair
         by_chunk: dict[int, dict[int, bytes]] = {}
@@ -300,7 +304,7 @@ def weighed(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFr
 
     # Partitions of both sides in the same number: behind the chunks' there are those of the sums.
     more = told.getNumPartitions() - source.getNumPartitions()
-    rows = source.union(sc.parallelize([], more)).glom().zip(told.glom()).flatMap(weigh)
+    rows = source.union(sc.parallelize([], more)).mapPartitions(gathered).zip(told.mapPartitions(gathered)).flatMap(weigh)
     return written(spark.createDataFrame(rows, "doc_id long, n_words long, n_features long, weight long", verifySchema=False), "weights")
 
 
