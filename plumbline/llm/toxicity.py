@@ -34,6 +34,9 @@ KEPT = 1 << 18
 HELD = 200_000
 #: Weights of letters are whole numbers of this part, so that their sums don't depend on the order.
 PART = 1 << 20
+#: The most frequent letters, which the letter model tells apart, and what stands for any other: what comes to
+#: the driver and goes to workers is (LETTERS + 2)**3 trigrams at most, whatever scripts the texts are in.
+LETTERS, OTHER = 96, "\uFFFD"
 #: Letters that signs stand for, with the cost (negative log) of each reading.
 SIGNS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
@@ -92,17 +95,19 @@ class CharModel:
 
     def cost(self, context: str, c: str) -> float:
         """Negative log likelihood of c behind two letters."""
-        key = context + c
-        got = self.memo.get(key)
+        got = self.memo.get(context + c)
         if got is None:
             if len(self.memo) > KEPT:
                 self.memo.clear()
+            seen = context + c
+            context, c = "".join(x if x in self.one else OTHER for x in context), c if c in self.one else OTHER
+            key = context + c
             p = 0.02 * (self.one[c] + 0.1) / (self.total + 10)
             if f := self.firsts[context[1]]:
                 p += 0.28 * self.two[key[1:]] / f
             if f := self.pairs[context]:
                 p += 0.7 * self.three[key] / f
-            self.memo[key] = got = -math.log(p)
+            self.memo[seen] = got = -math.log(p)
         return got
 
     def restore(self, token: str) -> str:
@@ -276,7 +281,8 @@ class _Weights(dict):
 
 def letters(texts: DataFrame) -> Counter:
     """``trigrams`` of all words of the column ``text``, counted in executors: words are summed up in
-    each task, then over all, and what comes back is bounded by the alphabet."""
+    each task, then over all.  Letters beyond the ``LETTERS`` of most weight become one, so that what comes back
+    is bounded."""
     small_batches(texts.sparkSession)
 
     def batch(held):
@@ -299,6 +305,12 @@ def letters(texts: DataFrame) -> Counter:
     out = texts.select("text")
     for step in (words, grams):
         out = out.mapInArrow(step, "part string, n long").groupBy("part").agg(F.sum("n").alias("n"))
+    out = written(out, "trigrams")
+    last = F.substring("part", 3, 1)
+    often = out.where(last != " ").groupBy(last.alias("c")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "c").limit(LETTERS)
+    known = [" ", *(r["c"] for r in often.collect())]
+    letter = lambda i: F.when(F.substring("part", i, 1).isin(known), F.substring("part", i, 1)).otherwise(OTHER)
+    out = out.groupBy(F.concat(letter(1), letter(2), letter(3)).alias("part")).agg(F.sum("n").alias("n"))
     return Counter({r["part"]: r["n"] for r in out.collect()})
 
 

@@ -452,3 +452,23 @@ def test_chat_edges(spark):
     got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(turns)).collect()}
     assert [tuple(x) for x in got[1].turns] == [("", "")] * 2 and len(got[None].loss_text) == 100_000 and [x.text for x in got[2].turns] == ["late", ""]
     assert chat.format_conversations(chat.canonical_turns(spark.createDataFrame([], schema))).count() == 0
+
+
+def test_letters_of_many_scripts_are_bounded(spark, monkeypatch):
+    """Letters beyond the most frequent ones count as one; what is restored in frequent letters stays."""
+    draw = random.Random(8)
+    han = ["".join(chr(draw.randrange(0x4E00, 0x9FA5)) for _ in range(draw.randint(1, 4))) for _ in range(3000)]
+    latin = ["stupid", "idiot", "the", "weather", "is", "fine", "today", "moron"]
+    rows = [(" ".join(latin * 40),)] * 5 + [(" ".join(han[i : i + 50]),) for i in range(0, 3000, 50)]
+    texts = spark.createDataFrame(rows, "text string")
+    monkeypatch.setattr(toxicity, "LETTERS", 20)
+    got = toxicity.letters(texts)
+    alone = toxicity.trigrams(toxicity.words_in(t for (t,) in rows).items())
+    assert len({c for s in alone for c in s}) > 2000 and len({c for s in got for c in s}) <= 22 and len(got) <= 22**3
+    assert sum(got.values()) == sum(alone.values())
+    assert all(got[s] == n for s, n in alone.items() if set(s) <= set("stupid hewarnfoym"))
+    few, many = toxicity.CharModel(got), toxicity.CharModel(alone)
+    for token in ("5tup1d", "w-e-a-t-h-e-r", "m0ron", "id10t"):
+        assert few.restore(token) == many.restore(token)
+    rare = next(w for w in han if len(w) > 2)
+    assert few.restore(rare) == rare
