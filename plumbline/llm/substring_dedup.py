@@ -6,8 +6,9 @@ them, in sorted immutable runs, one for each batch of documents.  A new batch is
 with the runs, read chunk by chunk in order of their key, and with itself.  Its anchors that
 meet no others end there.  A segment that equals an older one byte for byte is covered.  Where
 segments of an anchor differ, their windows of 50 words are verified: windows are equal by a
-128-bit digest of their words.  The batch's new fingerprints become one more run; when there
-are several runs they are compacted into one, dealt into more buckets as the index grows.
+128-bit digest of their words.  The batch's new fingerprints become one more run; several runs of
+about a size are compacted into one of the next, so that a fingerprint is rewritten as often as the number of
+batches has digits.  Runs are dealt into more buckets as the index grows.
 
 An index that has a folder can be opened again later, and tells what a further batch repeats.
 """
@@ -28,8 +29,8 @@ from plumbline.llm.common import drop_written, fresh, numbered, partitions, smal
 from plumbline.llm.suffix_dedup import joined, with_covers
 from plumbline.sources.tables import deleted
 
-#: Batches that a whole table is taken in, runs that are compacted into one, and entries of a bucket
-#: from which on a compacted run has more buckets.
+#: Batches that a whole table is taken in, runs of a level that are compacted into one of the next, and entries of
+#: a bucket from which on there are more buckets.
 BATCHES, FANOUT, GROWN = 3, 2, 1 << 23
 WINDOW = {"d0": "<u8", "d1": "<u8", "doc": "<i8", "pos": "<i4"}
 RUN = "bucket int, low long, n int, blob binary"
@@ -42,8 +43,12 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, units: Units = WORDS, fanout: int = FANOUT, folder: str | None = None):
         self.spark, self.units, self.fanout, self.folder = spark, units, fanout, folder
         self.runs: list[DataFrame] = []
-        #: What deletes the tables of these runs, where they aren't kept.
+        #: What deletes the tables of these runs, where they aren't kept; how often each was compacted and its entries
+        #: then (0 for one that wasn't); and what all compactions wrote.
         self.drops: list[Callable[[], None]] = []
+        self.levels: list[int] = []
+        self.sizes: list[int] = []
+        self.rewritten = 0
         self.buckets, self.version = partitions(spark), 0
         self.paths: dict[str, list[str]] = {"runs": [], "texts": [], "crowds": []}
         #: Runs that a manifest to come will no longer name.
@@ -57,6 +62,7 @@ class FingerprintIndex:
         index.version, index.buckets = last["version"], last["buckets"]
         index.paths = {k: list(last[k]) for k in index.paths}
         index.runs = [spark.read.schema(RUN).parquet(p) for p in index.paths["runs"]]
+        index.drops, index.levels, index.sizes = [lambda: None] * len(index.runs), list(last["levels"]), list(last["sizes"])
         return index
 
     def _kept(self, df: DataFrame, kind: str) -> DataFrame:
@@ -71,7 +77,7 @@ class FingerprintIndex:
         """Delete the runs of an index that isn't kept."""
         for f in self.drops:
             f()
-        self.runs, self.drops = [], []
+        self.runs, self.drops, self.levels, self.sizes = [], [], [], []
 
     def add(self, sent: DataFrame, last: bool = False) -> DataFrame:
         """FOUND rows of a batch of ``sent_anchors``; then the batch's fingerprints are in the index.  Behind
@@ -102,19 +108,37 @@ class FingerprintIndex:
         run = out.where("is_run = 1").select("bucket", "low", "n", "blob")
         self.runs.append(run if self.folder is None else self._kept(run, "runs"))
         self.drops.append(lambda: drop_written(out, "is_run=1"))
-        if len(self.runs) >= self.fanout and not last:
+        self.levels.append(0)
+        self.sizes.append(0)
+        if not last:
             self.compact()
         return out.where("is_run = 0").select(*[x.split()[0] for x in FOUND.split(", ")])
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        rows = self.runs[0]
-        for r in self.runs[1:]:
-            rows = rows.unionByName(r)
-        total = rows.agg(F.sum("n")).first()[0] or 0
+        """Merge the runs of a level into one of the next, from the lowest on, wherever there are ``fanout``."""
+        level = 0
+        while self.levels.count(level) >= self.fanout:
+            self._merge([i for i, x in enumerate(self.levels) if x == level], level + 1)
+            level += 1
+
+    def _merge(self, which: list[int], level: int) -> None:
+        """Replace these runs by one of this level; all of them, where the index has grown out of its buckets."""
+
+        def union(of: list[int]) -> DataFrame:
+            rows = self.runs[of[0]]
+            for i in of[1:]:
+                rows = rows.unionByName(self.runs[i])
+            return rows
+
+        rows = union(which)
+        size = rows.agg(F.sum("n")).first()[0] or 0
+        total = size + sum(x for i, x in enumerate(self.sizes) if i not in which)
         n = self.buckets
         while total > n * GROWN:
             n *= 2
+        if n != self.buckets:
+            which, size, level = list(range(len(self.runs))), total, max(level, *self.levels)
+            rows = union(which)
 
         def split(batches):  # each bucket into those that take its place
             for b in batches:
@@ -132,12 +156,19 @@ class FingerprintIndex:
 
         kind = "bucket int, low long, old boolean, blob binary"
         rows = rows.select("bucket", "low", F.lit(False).alias("old"), "blob") if n == self.buckets else rows.select("blob").mapInPandas(split, kind)
-        self.buckets, old = n, self.paths["runs"]
-        self.paths["runs"] = []
+        self.buckets = n
         run = self._kept(rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "low").mapInPandas(merge, RUN), "runs")
-        self.drop()
-        self.replaced += old
-        self.runs, self.drops = [run], [lambda: drop_written(run)] if self.folder is None else []
+        self.rewritten += size
+        for i in which:
+            self.drops[i]()
+        rest = [i for i in range(len(self.runs)) if i not in which]
+        if self.folder is not None:
+            paths = self.paths["runs"]
+            self.replaced += [paths[i] for i in which]
+            self.paths["runs"] = [paths[i] for i in rest] + paths[-1:]
+        self.runs = [self.runs[i] for i in rest] + [run]
+        self.drops = [self.drops[i] for i in rest] + [(lambda: drop_written(run)) if self.folder is None else (lambda: None)]
+        self.levels, self.sizes = [self.levels[i] for i in rest] + [level], [self.sizes[i] for i in rest] + [size]
 
     def removed(self, docs: DataFrame) -> DataFrame:
         """doc_id, lo, hi: the words of a further batch that repeat windows of documents added before, or
@@ -160,7 +191,8 @@ class FingerprintIndex:
         self._kept(docs, "texts")
         self._kept(found.where(kind == CROWDED), "crowds")
         self.version += 1
-        self.spark.createDataFrame([(self.version, self.buckets, *self.paths.values())], "version int, buckets int, runs array<string>, texts array<string>, crowds array<string>").coalesce(1).write.json(f"{self.folder}/manifest-{self.version}")
+        state = (self.version, self.buckets, self.levels, self.sizes, *self.paths.values())
+        self.spark.createDataFrame([state], "version int, buckets int, levels array<int>, sizes array<long>, runs array<string>, texts array<string>, crowds array<string>").coalesce(1).write.json(f"{self.folder}/manifest-{self.version}")
         for path in self.replaced:
             deleted(self.spark, path)
         self.replaced = []

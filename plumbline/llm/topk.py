@@ -71,6 +71,8 @@ class Index:
         norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
         row = vectors.agg(F.max(F.size("v")), F.max(norm), F.count(F.lit(1))).first()
         self.width, self.norm2, self.total = int(row[0] or 0), float(row[1] or 0.0), row[2]
+        if self.norm2 >= 2.0**63:
+            raise ValueError("scores of these vectors don't fit 64 bits: the longest one's with itself is beyond 2**63")
         some = vectors.orderBy(F.xxhash64("vec_id", "row"), "row").limit(SAMPLE).toPandas()
         s = _lifted(_matrix(some["v"], self.width), self.norm2)
         rng = np.random.default_rng(seed)
@@ -145,7 +147,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, read: list | None
 
     ``vectors`` comes from ``integers`` and ``queries`` are rows of it, whole.  Rows that repeat a vec_id
     are rows of their own, as queries (told apart by query_row) and as results.  Vectors of unequal
-    length multiply over the shorter one.  Empty tables give no rows.  ``read`` gets the number of
+    length multiply over the shorter one.  Vectors so long that a score could leave 64 bits are an error, since no
+    product may wrap.  Empty tables give no rows.  ``read`` gets the number of
     vectors that each round compares, summed over queries.
     """
     spark = vectors.sparkSession

@@ -59,7 +59,7 @@ def test_index_is_saved_and_opened_again(spark, make, tmp_path, monkeypatch, odd
         index = substring_dedup.FingerprintIndex.open(spark, folder) if n else substring_dedup.FingerprintIndex(spark, folder=folder)
         for r in index.removed(make(part)).collect():
             told.setdefault(r.doc_id, set()).update(range(r.lo, r.hi))
-        assert len(index.runs) < index.fanout
+        assert all(index.levels.count(x) < index.fanout for x in index.levels)
     want = {i: gone for i, (_, gone, _) in brute.substring_dedup(rows).items() if gone}
     assert {i: len(x) for i, x in told.items()} == want
     with pytest.raises(ValueError):
@@ -155,3 +155,24 @@ def test_copies_of_a_text_whose_gram_has_the_hash_0(make):
     for t in (text, text[::-1]):
         got = suffix_dedup.suffix_dedup(make([(1, t), (2, t), (3, f"a{t}b")]))
         assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 0, 2: 100, 3: 100}
+
+
+def test_fingerprints_are_rewritten_as_often_as_batches_have_digits(make, spark, tmp_path):
+    """Sixteen batches: a run of each level at most, and each fingerprint in four compactions; what is found is that of one
+    batch."""
+    rows = [(i, " ".join(f"w{(i * 31 + k) % 997}" for k in range(70))) for i in range(48)] + [(100 + i, "also " + " ".join(f"w{(i * 31 + k) % 997}" for k in range(70))) for i in range(0, 48, 5)]
+    index = substring_dedup.FingerprintIndex(spark, folder=f"file://{tmp_path}/index", fanout=2)
+    gone, entries = {}, 0
+    rows.sort(key=lambda r: r[0])
+    for b in range(16):
+        if b == 9:  # another session goes on
+            again = substring_dedup.FingerprintIndex.open(spark, f"file://{tmp_path}/index", fanout=2)
+            assert (again.levels, again.sizes) == (index.levels, index.sizes)
+            again.rewritten, index = index.rewritten, again
+        for r in index.removed(make(rows[len(rows) * b // 16 : len(rows) * (b + 1) // 16])).collect():
+            gone.setdefault(r.doc_id, set()).update(range(r.lo, r.hi))
+        assert len(set(index.levels)) == len(index.levels) <= 4 and len(index.paths["runs"]) == len(index.runs) == len(index.sizes)
+    entries = sum(index.sizes)
+    assert index.levels == [4] and index.rewritten <= 4 * entries * 1.2
+    plain = brute.substring_dedup(rows)
+    assert {i: len(x) for i, x in gone.items()} == {i: n for i, (_, n, _) in plain.items() if n}

@@ -58,3 +58,12 @@ def test_clustered_vectors_are_skipped(spark):
     read: list = []
     assert found(spark, rows, 50, read=read) == plain([r[:2] for r in rows], 50)
     assert sum(read) < 0.3 * 80 * 4000
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    """No product wraps: vectors are short enough for that, or refused."""
+    large = [(i, [float(2**20), float(i)], 0, 0, 0) for i in range(4)]
+    assert found(spark, large, 2) == plain([r[:2] for r in large], 2)
+    for x in (3e9, 1e38):
+        with pytest.raises(ValueError, match="64 bits"):
+            found(spark, [(0, [x, 1.0], 0, 0, 0), (1, [x, 2.0], 0, 0, 0)], 1)
