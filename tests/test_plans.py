@@ -274,3 +274,34 @@ def test_counts_are_observed_in_the_pass_that_writes(spark, lines, tmp_path):
     jsonl.write_records(judging.observed(fixed, counts), str(tmp_path / "out"))
     assert seen.get == {"lines": 8, "blank": 1, "dropped": 2} and reads.value == 8
     assert counts.get == judging.run_counts(spark.read.schema(fixed.schema).json(str(tmp_path / "out"))).first().asDict()
+
+
+def test_thresholds_are_refreshed_by_batches_of_a_stream(spark, tmp_path):
+    """Sketches of batches, merged, are near the exact thresholds of what has arrived; in the end the stream's report is
+    the batch's, though a batch was taken in twice."""
+    from plumbline.operators import pruning
+    from plumbline.streaming import refresh
+
+    src, folder = tmp_path / "stream", f"file://{tmp_path}/state"
+    src.mkdir()
+    state = refresh.StreamedSelection(spark, folder)
+    assert state.report() is None and tuple(state.limits().first()) == (10000, 10000)
+    config = schemas.SelectionConfig()
+    for n in range(3):
+        rows = [json.dumps({**record(f"q{n}-{i}", ["A", "B", "A", "C"], scores=[100, 0, 50, 100]), "candidates": [{"extracted_answer": a, "is_correct": False, "interval_scores": [s], "token_logprobs": [-0.01 * ((k * (i + j + n + 3)) % 97) for k in range(60)]} for j, (a, s) in enumerate(zip("ABAC", [100, 0, 50, 100]))]}) for i in range(40)]
+        (src / f"{n}.jsonl").write_text("\n".join([*rows, "{bad"]))
+        q = apply.scored_stream(spark, str(src)).writeStream.foreachBatch(state.update).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        so_far = selection.jitters(selection.features(jsonl.read_scored(spark, str(src))))
+        near, ordered = state.limits().first(), sorted(r.jitter for r in so_far.collect())
+        for t, point in ((near.t_hi, 0.9), (near.t_lo, 0.1)):
+            below, upto = sum(x < t for x in ordered) / len(ordered), sum(x <= t for x in ordered) / len(ordered)
+            assert below <= point + 0.01 and upto >= point - 0.01
+        # A sketch of so few values has them all; its quantile is one of them, next to the exact one or equal to one that is.
+        for t, x in zip((near.t_hi, near.t_lo), pruning.exact_thresholds(so_far, "jitter", config.v100_jitter, config.v0_jitter).first()):
+            near_it = sorted(set(ordered) | {x}).index(x)
+            assert t in ordered and abs(sorted(set(ordered) | {x}).index(t) - near_it) <= 2
+    state.update(jsonl.read_scored(spark, str(src / "2.jsonl")), 2)
+    ids = lambda df: sorted(map(str, df.collect()))
+    assert ids(state.report()) == ids(selection.report(jsonl.read_scored(spark, str(src))))
+    assert state.report(exact=False).count() == 120
