@@ -277,9 +277,8 @@ def weighed(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFr
     all_sums = told.mapPartitionsWithIndex(lambda pid, rows: (x for _, x in rows) if pid >= n else iter(()))
     gains = sc.broadcast(bucket_gains(all_sums.treeAggregate(np.zeros((2, buckets), np.int64), np.add, np.add)))
 
-    def gathered(rows: Iterable) -> Iterator[list]:
+    def gathered(rows):  # refers to nothing of this module, so a worker that only gathers loads no library
         yield list(rows)
-        given_back()
 
     def weigh(pair) -> Iterator[tuple]:
         rows, answers = pair
