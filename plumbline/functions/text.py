@@ -14,6 +14,8 @@ LEADING = r"(?iuU)^(?:Option|Answer|Choice)?\s*([A-Z])(?:\.|:|\)|\s|$)"
 NUMBER = r"(?U)[-+]?\d*\.\d+|\d+"
 BOX_WORDS = ("text", "textbf", "boxed", "huge", "cal", "rm")
 CONFIDENCE = r"(?iuU)Confidence[:\s]*(\d+)"
+#: Letters whose upper case is several, and the one letter that stands for it (itself where there is none).
+SEVERAL = {c: "ẞ" if c == "ß" else c.title() if len(c.title()) == 1 else c for c in map(chr, range(0x80, 0x110000)) if len(c.upper()) > 1}
 
 
 def let(value: Column, body) -> Column:
@@ -26,6 +28,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+def upper_letter(c: Column) -> Column:
+    """Upper case of a single letter as a single letter: ß becomes ẞ, not SS."""
+    return F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(F.translate(c, "".join(SEVERAL), "".join(SEVERAL.values())))
+
+
 def none_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
@@ -88,7 +95,7 @@ def extract_vl(text: Column, task: str = "GPQ") -> Column:
 
 def extract_fix(text: Column, task: str = "GPQ") -> Column:
     """Answer of a text in the re-judging stage: box, all behind ####, or the last 100 characters;
-    signs and box words blanked; the last single letter (GPQ) or number (MATH)."""
+    signs and box words blanked; the last single letter (GPQ), in upper case, or number (MATH)."""
 
     def read(t):
         other = F.when(F.contains(t, F.lit("####")), F.substring_index(t, "####", -1)).otherwise(F.right(t, F.lit(100)))
@@ -97,8 +104,9 @@ def extract_fix(text: Column, task: str = "GPQ") -> Column:
             clean = F.replace(clean, F.lit(word), F.lit(" "))
         if task == "MATH":
             return last_number(F.replace(clean, F.lit(","), F.lit("")))
-        tokens = F.transform(F.split(F.upper(clean), r"(?U)\s+"), lambda x: F.translate(x, ".:)(", ""))
-        return F.try_element_at(F.filter(tokens, lambda x: x.rlike(r"^\p{L}$")), F.lit(-1))
+        tokens = F.transform(F.split(clean, r"(?U)\s+"), lambda x: F.translate(x, ".:)(", ""))
+        letters = F.transform(F.filter(tokens, lambda x: F.length(x) == 1), upper_letter)
+        return F.try_element_at(F.filter(letters, lambda x: x.rlike(r"^\p{L}$")), F.lit(-1))
 
     if task not in ("GPQ", "MATH"):
         return F.lit(None).cast("string")

@@ -42,6 +42,12 @@ def test_numbers_as_they_are_read(spark, answer, want):
     assert df.select(text.normalize_veto(F.col("a"))).first()[0] == want
 
 
+@pytest.mark.parametrize("answer, want", [("B ist groß ß.", "ẞ"), ("b ßß", "B"), ("c ŉ", "ŉ"), ("c ᾳ", "ᾼ"), ("c ĸ1 ä", "Ä"), ("ß a", "A")])
+def test_a_letter_stays_one_in_upper_case(spark, answer, want):
+    df = spark.createDataFrame([(answer,)], "a string")
+    assert df.select(text.extract_fix(F.col("a"))).first()[0] == want
+
+
 def test_nan_among_values_makes_thresholds_nan(spark):
     for rows in ([float("nan"), 1.0, 2.0], [1.0, 2.0, float("nan")]):
         v = spark.createDataFrame([(x,) for x in rows], "j double")
