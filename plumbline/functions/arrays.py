@@ -82,7 +82,7 @@ def _with_steps(text: Column, flag: str, prefix: Column | None, end_mark: str, s
 
     def of(t):
         body = F.when((lead != "") & F.startswith(t, lead), strip(F.substr(t, F.length(lead) + 1))).otherwise(t)
-        steps = F.filter(F.split(body, re.escape(flag).replace("\\\n", "\n"), -1), lambda x: strip(x) != "")
+        steps = F.filter(F.split(body, re.escape(flag).replace("\\\n", "\n"), -1), lambda x: x.rlike(r"(?U)\S"))
         front = F.when(lead == "", "").otherwise(F.concat(lead, F.lit("\n")))
         return let(steps, lambda s: F.when(F.size(s) == 0, F.array(t)).otherwise(slices(s, front)))
 
@@ -104,15 +104,16 @@ def interval_slices(text: Column, num_intervals: int = 10, flag: str = "\n\n", p
     """
 
     def cut(s, front):
-        target = _target(s, num_intervals, flag)
+        def step(target):
+            def of(a, x):
+                met = a["end"] > 0
+                size, at = a["size"] + F.length(x) + len(flag), a["at"] + 1
+                return F.struct(F.when(met, a["size"]).otherwise(size).alias("size"), at.alias("at"), F.when(met, a["end"]).when(size >= target, at).otherwise(0).alias("end"))
 
-        def step(a, x):
-            met = a["end"] > 0
-            size, at = a["size"] + F.length(x) + len(flag), a["at"] + 1
-            return F.struct(F.when(met, a["size"]).otherwise(size).alias("size"), at.alias("at"), F.when(met, a["end"]).when(size >= target, at).otherwise(0).alias("end"))
+            return of
 
         zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.lit(0).alias("end"))
-        end = F.aggregate(s, zero, step, lambda a: a["end"]) if num_intervals > 1 else F.lit(0)
+        end = let(_target(s, num_intervals, flag), lambda t: F.aggregate(s, zero, step(t), lambda a: a["end"])) if num_intervals > 1 else F.lit(0)
         full = F.concat(front, F.array_join(s, flag))
         first = lambda e: F.concat(front, F.array_join(F.slice(s, F.lit(1), e), flag))
         return let(end, lambda e: F.when((e > 0) & (e < F.size(s)), F.array(full, first(F.greatest(e, F.lit(1))))).otherwise(F.array(full)))
@@ -123,16 +124,21 @@ def interval_slices(text: Column, num_intervals: int = 10, flag: str = "\n\n", p
 def interval_ends(steps: Column, num_intervals: int = 10, flag: str = "\n\n") -> Column:
     """Numbers of steps up to the end of each interval.  An interval ends with the step by which it has a share of
     1/num_intervals of the whole length; the last takes what is left."""
-    target = _target(steps, num_intervals, flag)
 
-    def step(a, x):
-        size, at = a["size"] + F.length(x) + len(flag), a["at"] + 1
-        cuts = (size >= target) & (F.size(a["ends"]) < num_intervals - 1)
-        return F.struct(F.when(cuts, 0).otherwise(size).alias("size"), at.alias("at"), F.when(cuts, F.array_append(a["ends"], at)).otherwise(a["ends"]).alias("ends"))
+    def step(target):
+        def of(a, x):
+            size, at = a["size"] + F.length(x) + len(flag), a["at"] + 1
+            cuts = (size >= target) & (F.size(a["ends"]) < num_intervals - 1)
+            return F.struct(F.when(cuts, 0).otherwise(size).alias("size"), at.alias("at"), F.when(cuts, F.array_append(a["ends"], at)).otherwise(a["ends"]).alias("ends"))
+
+        return of
+
+    def of(s):  # the steps and their share are worked out once for a text, not once for a step
+        zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+        ends = let(_target(s, num_intervals, flag), lambda t: F.aggregate(s, zero, step(t), lambda a: a["ends"]))
+        return let(ends, lambda e: F.when(F.coalesce(F.try_element_at(e, F.lit(-1)), F.lit(0)) < F.size(s), F.array_append(e, F.size(s))).otherwise(e))
 
-    zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
-    ends = F.aggregate(steps, zero, step, lambda a: a["ends"])
-    return let(ends, lambda e: F.when(F.coalesce(F.try_element_at(e, F.lit(-1)), F.lit(0)) < F.size(steps), F.array_append(e, F.size(steps))).otherwise(e))
+    return let(steps, of)
 
 
 def cumulative_slices(text: Column, num_intervals: int = 10, flag: str = "\n\n", prefix: Column | None = None, end_mark: str = "<|im_end|>") -> Column:

@@ -881,7 +881,7 @@ def cumulative_slices(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     out = None
     for n in (1, 3, 10):
-        steps = F.filter(F.split(text.strip(F.col("text")), "\n", -1), lambda x: text.strip(x) != "")
+        steps = F.filter(F.split(text.strip(F.col("text")), "\n", -1), lambda x: x.rlike(r"(?U)\S"))
         ends = F.array_join(F.transform(arrays.interval_ends(steps, n, "\n"), lambda e: e.cast("string")), ",")
         slices = F.md5(F.encode(F.array_join(arrays.cumulative_slices(F.col("text"), n, "\n"), "|"), "UTF-8"))
         got = d.where(F.size(steps) > 0).select("doc_id", F.lit(n).alias("intervals"), ends.alias("ends"), slices.alias("slices"))
@@ -893,7 +893,7 @@ def cumulative_slices(spark, sf_dir):
 def segments_long(spark, sf_dir):
     """The same ends from a row for each step, by prefix sums and pointer doubling."""
     d = table(spark, sf_dir, "documents")
-    steps = F.filter(F.split(text.strip(F.col("text")), "\n", -1), lambda x: text.strip(x) != "")
+    steps = F.filter(F.split(text.strip(F.col("text")), "\n", -1), lambda x: x.rlike(r"(?U)\S"))
     rows = d.select(F.col("doc_id").alias("key"), F.posexplode(steps).alias("step", "x")).select("key", "step", F.length("x").alias("length"))
     out = None
     for n in (1, 3, 10):

@@ -228,3 +228,18 @@ def test_cumulative_slices_of_odd_texts(spark):
     assert got[:4] == [[""], [""], ["lead\none"], ["lead\none", "lead\none\n\ntwo", "lead\none\n\ntwo\n\nthree"]]
     pair = df.select(arrays.cumulative_slices(F.col("t"), 3).alias("all"), arrays.interval_slices(F.col("t"), 3).alias("two")).collect()
     assert all(r.two == ([r.all[-1], r.all[0]] if len(r.all) > 1 else r.all) for r in pair[:4])
+
+
+def test_intervals_take_time_in_proportion_to_the_steps(spark):
+    """A text of many steps: what holds for the text isn't worked out anew for each."""
+    import time
+
+    from plumbline.functions import arrays
+
+    steps = F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.lit("ab"))
+    df = spark.range(1).select(F.array_join(steps, "\n").alias("t"))
+    began = time.time()
+    ends = arrays.interval_ends(F.filter(F.split("t", "\n"), lambda x: x != ""), 10, "\n")
+    row = df.select(ends.alias("e"), F.size(arrays.cumulative_slices(F.col("t"), 10, "\n")).alias("n"), F.size(arrays.interval_slices(F.col("t"), 10, "\n")).alias("two")).first()
+    assert row.e == [2000 * i for i in range(1, 11)] and (row.n, row.two) == (10, 2)
+    assert time.time() - began < 20
