@@ -6,7 +6,9 @@ vectors.  The index keys each vector by its nearest pivot and its distance to it
 about as many pivots as the root of the number of vectors, up to a limit.  Each pivot's vectors
 fall into rings of distance, cut into blocks.  The triangle inequality bounds the best score in
 a ring.  A query reads rings in order of their bounds, a growing number in each round, and
-stops as soon as no ring left can reach its k-th best score.  Pivots are fitted on a bounded
+stops as soon as no ring left can reach its k-th best score.  Queries meet rings in groups: a query goes once
+to a group of rings, with a bit for each ring that it reads, so what is sent are some thousands of queries and
+some ten thousand vectors at a time, and no task holds more.  Pivots are fitted on a bounded
 sample; every vector is in the index and the result is exact.
 
 How much is skipped depends on the vectors: among random directions in many dimensions all
@@ -28,7 +30,9 @@ from plumbline.llm.common import partitions, small_batches, table, written
 SCALE = 1024
 #: Pivots at most, rings of each, vectors in the sample they are fitted on, vectors of a block, queries of a
 #: pack, and how many times more rings each round reads.
-PIVOTS, RINGS, SAMPLE, BLOCK, PACK, GROWTH = 1024, 8, 8192, 2048, 512, 16
+PIVOTS, RINGS, SAMPLE, BLOCK, PACK, GROWTH = 1024, 8, 8192, 2048, 256, 16
+#: Vectors of a group of rings and queries that a group meets at a time, about and at most.
+GROUP, DEAL = 32768, 16384
 
 
 def integers(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -64,6 +68,13 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((a**2).sum(1)[:, None] + (b**2).sum(1)[None, :] - 2 * a @ b.T, 0))
 
 
+def few(vectors: DataFrame, total: int) -> DataFrame:
+    """About 1.25 * SAMPLE of the rows, those of least hash.  Each task sends its least ones to the driver, so their
+    number must be bounded in all tasks together."""
+    share = 1.25 * SAMPLE / max(total, 1)
+    return vectors.where(F.xxhash64("vec_id", "row") < int(2.0**64 * share) - 2**63) if share < 1 else vectors
+
+
 class Index:
     """Pivots and ring limits; at most PIVOTS and RINGS of each, whatever the number of vectors."""
 
@@ -73,7 +84,7 @@ class Index:
         self.width, self.norm2, self.total = int(row[0] or 0), float(row[1] or 0.0), row[2]
         if self.norm2 >= 2.0**63:
             raise ValueError("scores of these vectors don't fit 64 bits: the longest one's with itself is beyond 2**63")
-        some = vectors.orderBy(F.xxhash64("vec_id", "row"), "row").limit(SAMPLE).toPandas()
+        some = few(vectors, self.total).orderBy(F.xxhash64("vec_id", "row"), "row").limit(SAMPLE).toPandas()
         s = _lifted(_matrix(some["v"], self.width), self.norm2)
         rng = np.random.default_rng(seed)
         pivots = s[rng.permutation(len(s))[: min(PIVOTS, max(16, math.isqrt(self.total)))]]
@@ -100,9 +111,9 @@ class Index:
 
 
 def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer inner products."""
+    """Exact integer inner products, as doubles where these hold them."""
     most = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(q.shape[1], 1)
-    return (q.astype(float) @ x.T.astype(float)).astype(np.int64) if most < 2**53 else q @ x.T
+    return q.astype(float) @ x.T.astype(float) if most < 2**53 else q @ x.T
 
 
 def _best(queries, ids, rows, scores, k: int) -> pd.DataFrame:
@@ -115,14 +126,22 @@ def _best(queries, ids, rows, scores, k: int) -> pd.DataFrame:
 
 
 class Rings:
-    """The index's rings with their ranges of distance and numbers of vectors: at most PIVOTS * RINGS."""
+    """The index's rings with their ranges of distance and numbers of vectors: at most PIVOTS * RINGS.  Neighbours by
+    number are in one group."""
 
-    def __init__(self, index: Index, cells: pd.DataFrame):
+    def __init__(self, index: Index, cells: pd.DataFrame, tasks: int):
         self.index = index
+        cells = cells.sort_values("cell")
         self.cells, self.n = cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.int64)
         self.lo, self.hi = cells["lo"].to_numpy(float), cells["hi"].to_numpy(float)
-        #: Over how many tasks the blocks of a crowded ring are dealt.
-        self.salts = np.maximum(1, self.n // (4 * BLOCK))
+        each = min(GROUP, max(BLOCK, index.total // (4 * tasks)))
+        starts = np.unique((np.cumsum(self.n) - self.n) // each, return_index=True)[1]
+        #: First rings of the groups, the group of each ring, and over how many tasks the blocks of a crowded ring,
+        #: and so of its group, are dealt.
+        self.starts = np.append(starts, len(self.n))
+        self.group = np.repeat(np.arange(len(starts)), np.diff(self.starts))
+        self.salts = np.maximum(1, self.n // GROUP)
+        self.group_salts = np.maximum.reduceat(self.salts, starts)
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
         """What no score of a query (row) in a ring (column) exceeds."""
@@ -169,79 +188,89 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, read: list | None
                 yield pd.DataFrame({"cell": cell.astype(np.int32), "dist": dist, "vec_id": b["vec_id"], "row": b["row"], "v": list(x)})
 
     keyed = written(vectors.mapInPandas(place, "cell int, dist double, vec_id long, row long, v array<long>"), "pivot-index")
-    rings = Rings(index, keyed.groupBy("cell").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count(F.lit(1)).alias("n")).toPandas())
+    rings = Rings(index, keyed.groupBy("cell").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"), F.count(F.lit(1)).alias("n")).toPandas(), n)
     known = spark.sparkContext.broadcast(rings)
+    deals = -(-queries.count() // DEAL)
 
     def block(batches):
-        held: dict[tuple, list] = {}
+        def out(rows: pd.DataFrame) -> tuple:
+            ids, numbers, at = (rows[x].to_numpy(np.int64).tobytes() for x in ("vec_id", "row", "ring"))
+            return int(rows["group"].iloc[0]), int(rows["salt"].iloc[0]), ids, numbers, at, np.stack(rows["v"].to_list()).astype(np.int64).tobytes()
 
-        def out(key, rows):
-            return (*key, len(rows), np.array([r[0] for r in rows], np.int64).tobytes(), np.array([r[1] for r in rows], np.int64).tobytes(), np.stack([r[2] for r in rows]).astype(np.int64).tobytes())
-
-        names = ["cell", "salt", "n", "ids", "rows", "vectors"]
+        names, rest = ["group", "salt", "ids", "rows", "rings", "vectors"], None
         for b in batches:
-            done = []
-            for cell, salt, i, r, v in zip(b["cell"], b["salt"], b["vec_id"], b["row"], b["v"]):
-                key = (cell, salt)
-                held.setdefault(key, []).append((i, r, np.asarray(v, np.int64)))
-                if len(held[key]) == BLOCK:
-                    done.append(out(key, held.pop(key)))
-            if done:
-                yield pd.DataFrame(done, columns=names)
-        if held:
-            yield pd.DataFrame([out(c, r) for c, r in held.items()], columns=names)
+            whole = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            cuts = [rows.iloc[k : k + BLOCK] for _, rows in whole.groupby(["group", "salt"], sort=False) for k in range(0, len(rows), BLOCK)]
+            rest = cuts.pop() if cuts else None  # goes on, perhaps
+            if cuts:
+                yield pd.DataFrame([out(x) for x in cuts], columns=names)
+        if rest is not None:
+            yield pd.DataFrame([out(rest)], columns=names)
 
     # A crowded ring is dealt over several tasks by salt.
-    salts = spark.createDataFrame(list(zip(rings.cells.tolist(), rings.salts.tolist())), "cell int, salts long")
-    spread = keyed.join(F.broadcast(salts), "cell").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
-    spread = spread.select("cell", "salt", "vec_id", "row", "v").repartition(n, "cell", "salt").sortWithinPartitions("cell", "salt")
-    blocks = written(spread.mapInPandas(block, "cell int, salt int, n int, ids binary, rows binary, vectors binary"), "pivot-blocks")
+    of_cell = spark.createDataFrame(list(zip(rings.cells.tolist(), range(len(rings.cells)), rings.group.tolist(), rings.salts.tolist())), "cell int, ring int, group int, salts long")
+    spread = keyed.join(F.broadcast(of_cell), "cell").withColumn("salt", F.pmod(F.xxhash64("row"), F.col("salts")).cast("int"))
+    spread = spread.select("group", "salt", "ring", "vec_id", "row", "v").repartition(n, "group", "salt").sortWithinPartitions("group", "salt", "ring")
+    blocks = written(spread.mapInPandas(block, "group int, salt int, ids binary, rows binary, rings binary, vectors binary"), "pivot-blocks")
+    keys = ["group", "salt", "deal"]
+    dealt = blocks.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(max(deals, 1) - 1)))).repartition(n, *keys)
 
     def ask(start: int, stop: int):
-        """Packs of queries for each ring that they read in this round."""
-
-        def pack(groups) -> pd.DataFrame:
-            out = []
-            for c, m in groups:
-                row = (int(rings.cells[c]), len(m) * int(rings.n[c]), np.array([x[0] for x in m], np.int64).tobytes(), np.stack([x[1] for x in m]).tobytes(), np.array([x[2] for x in m], np.float64).tobytes())
-                out += [(*row[:1], salt, row[1] if not salt else 0, *row[2:]) for salt in range(int(rings.salts[c]))]
-            return pd.DataFrame(out, columns=["cell", "salt", "pairs", "q_rows", "q_vectors", "beat"]).astype({"cell": "int32", "salt": "int32"})
+        """Packs of queries for each group of rings some of which they read in this round, with a bit for each ring."""
+        names = [*keys, "pairs", "q_rows", "q_vectors", "beat", "bits"]
 
         def run(batches):
             rings = known.value
-            held: dict[int, list] = {}
             for b in batches:
-                if not len(b):
-                    continue
-                q, beat, rows = _matrix(b["v"], rings.index.width), b["beat"].to_numpy(float), b["row"].to_numpy(np.int64)
-                go = rings.wanted(q, beat, start, stop)
-                done = []
-                for c in np.flatnonzero(go.any(0)):
-                    mine = held.setdefault(int(c), [])
-                    mine += [(rows[r], q[r], beat[r]) for r in np.flatnonzero(go[:, c])]
-                    while len(mine) >= PACK:
-                        done.append((c, mine[:PACK]))
-                        del mine[:PACK]
-                if done:
-                    yield pack(done)
-            rest = [(c, m) for c, m in held.items() if m]
-            if rest:
-                yield pack(rest)
+                every = _matrix(b["v"], rings.index.width) if len(b) else None
+                for k in range(0, len(b), PACK):
+                    q, beat, rows = every[k : k + PACK], b["beat"].to_numpy(float)[k : k + PACK], b["row"].to_numpy(np.int64)[k : k + PACK]
+                    go = rings.wanted(q, beat, start, stop)
+                    deal, out = int(rows[0] % 1000003 % max(deals, 1)), []
+                    for g in np.unique(rings.group[go.any(0)]):
+                        mine = slice(rings.starts[g], rings.starts[g + 1])
+                        who = np.flatnonzero(go[:, mine].any(1))
+                        bits = go[who, mine]
+                        what = rows[who].tobytes(), q[who].tobytes(), beat[who].tobytes(), np.packbits(bits, axis=1).tobytes()
+                        pairs = int((bits @ rings.n[mine]).sum())
+                        out += [(int(g), salt, deal, 0 if salt else pairs, *what) for salt in range(int(rings.group_salts[g]))]
+                        if len(out) >= 32:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
+                    if out:
+                        yield pd.DataFrame(out, columns=names)
 
         return run
 
-    def score(batches):
-        for b in batches:
-            for ids, rows, vectors, q_rows, q_vectors, beat in zip(*(b[x] for x in ("ids", "rows", "vectors", "q_rows", "q_vectors", "beat"))):
-                ids, rows, q_rows = (np.frombuffer(x, np.int64) for x in (ids, rows, q_rows))
-                x, q = np.frombuffer(vectors, np.int64).reshape(len(ids), -1), np.frombuffer(q_vectors, np.int64).reshape(len(q_rows), -1)
-                s = _scores(q, x)
-                ok = (q_rows[:, None] != rows[None, :]) & (s >= np.frombuffer(beat, np.float64)[:, None])
-                if len(ids) > 4 * k:  # no more than the ties of each query's k-th best
-                    masked = np.where(ok, s, np.iinfo(np.int64).min)
+    def score(key, packs, blocks):
+        rings = known.value
+        first, last = rings.starts[key[0]], rings.starts[key[0] + 1]
+        numbers = lambda x: np.frombuffer(x, np.int64)
+        held = [(numbers(i), numbers(r), numbers(c) - first, numbers(v).reshape(len(numbers(i)), rings.index.width)) for i, r, c, v in zip(*(blocks[x] for x in ("ids", "rows", "rings", "vectors")))]
+        found = [_best(*[np.zeros(0, np.int64)] * 4, k)]
+        for q_rows, q, beat, bits in zip(*(packs[x] for x in ("q_rows", "q_vectors", "beat", "bits"))):
+            q_rows, beat = numbers(q_rows), np.frombuffer(beat, np.float64)
+            q = numbers(q).reshape(len(q_rows), rings.index.width)
+            reads = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(len(q_rows), -1), axis=1, count=int(last - first)).astype(bool)
+            good = found[0].iloc[:0]
+            for ids, rows, ring, x in held:
+                some, which = np.unique(ring, return_inverse=True)
+                who = np.flatnonzero(reads[:, some].any(1))
+                if not len(who):
+                    continue
+                s = _scores(q[who], x)
+                ok = s >= beat[who, None]
+                ok &= reads[np.ix_(who, some)][:, which] & (q_rows[who, None] != rows[None, :])
+                if len(ids) > 4 * k and ok.sum() > 4 * k * len(who):  # no more than the ties of each query's k-th best
+                    masked = np.where(ok, s, -np.inf if s.dtype.kind == "f" else np.iinfo(np.int64).min)
                     ok &= s >= np.partition(masked, len(ids) - k, axis=1)[:, len(ids) - k][:, None]
                 r, c = np.nonzero(ok)
-                yield _best(q_rows[r], ids[c], rows[c], s[r, c], k)
+                if not len(r):
+                    continue
+                columns = zip((good[x].to_numpy(np.int64) for x in good.columns), (q_rows[who][r], ids[c], rows[c], s[r, c].astype(np.int64)))
+                good = _best(*(np.concatenate(pair) for pair in columns), k)
+            found.append(good)
+        return pd.concat(found, ignore_index=True)
 
     best = W.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     found, start, stop = None, 0, 1
@@ -250,14 +279,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, read: list | None
         if found is not None:  # with fewer than k so far, nothing is beaten yet
             kth = found.groupBy("query_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("kth"))
             asked = queries.join(kth, queries["row"] == kth["query_row"], "left").select("row", "v", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))).alias("beat"))
-        packs = written(asked.mapInPandas(ask(start, stop), "cell int, salt int, pairs long, q_rows binary, q_vectors binary, beat binary"), "packs")
+        packs = written(asked.mapInPandas(ask(start, stop), "group int, salt int, deal int, pairs long, q_rows binary, q_vectors binary, beat binary, bits binary"), "packs")
         pairs = packs.agg(F.sum("pairs")).first()[0]
         if read is not None:
             read.append(pairs or 0)
         if found is not None and not pairs:
             break
-        met = blocks.join(packs, ["cell", "salt"]).select("ids", "rows", "vectors", "q_rows", "q_vectors", "beat")
-        now = met.mapInPandas(score, "query_row long, vec_id long, row long, score long")
+        met = packs.repartition(n, *keys).groupBy(*keys).cogroup(dealt.groupBy(*keys))
+        now = met.applyInPandas(score, "query_row long, vec_id long, row long, score long")
         every = now if found is None else now.unionByName(found.drop("rank"))
         found = written(every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "best")
         start, stop = stop, stop * GROWTH + 1

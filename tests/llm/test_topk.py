@@ -67,3 +67,24 @@ def test_scores_beyond_64_bits_are_an_error(spark):
     for x in (3e9, 1e38):
         with pytest.raises(ValueError, match="64 bits"):
             found(spark, [(0, [x, 1.0], 0, 0, 0), (1, [x, 2.0], 0, 0, 0)], 1)
+
+
+def test_what_comes_to_the_driver_is_bounded(spark, monkeypatch):
+    """All tasks together send little more than the sample, which is that of least hash."""
+    monkeypatch.setattr(topk, "SAMPLE", 100)
+    rows = spark.range(20_000).repartition(16).select(F.col("id").alias("vec_id"), F.col("id").alias("row")).cache()
+    order = [F.xxhash64("vec_id", "row"), "row"]
+    some = topk.few(rows, 20_000)
+    assert 100 <= some.count() < 200
+    assert some.orderBy(*order).limit(100).collect() == rows.orderBy(*order).limit(100).collect()
+    assert topk.few(rows, 100).count() == 20_000
+
+
+def test_groups_crowded_rings_and_deals(spark, monkeypatch):
+    """Small groups of rings, a ring that is dealt by salt, and queries that are dealt."""
+    for name, n in (("GROUP", 64), ("BLOCK", 16), ("DEAL", 10)):
+        monkeypatch.setattr(topk, name, n)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in ([1.0, 2.0, 0.5] if i % 3 == 0 else rng.normal(size=3))], 0, 0, 0) for i in range(900)]
+    assert found(spark, rows, 9) == plain([r[:2] for r in rows], 9)
+    assert found(spark, [(i, [], 0, 0, 0) for i in range(4)], 2) == plain([(i, []) for i in range(4)], 2)
