@@ -73,6 +73,14 @@ def given_back() -> None:
         trim(0)
 
 
+def large_ones_mapped() -> None:
+    """In a worker: arrays of 256 KB or more have pages of their own, which go back to the system when they do."""
+    import ctypes
+
+    if set_option := getattr(ctypes.CDLL(None), "mallopt", None):
+        set_option(-3, 1 << 18)  # M_MMAP_THRESHOLD
+
+
 def joined_words(*columns: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(*columns, pa.scalar(b" ", BINARY))
 
@@ -206,33 +214,40 @@ def bucket_gains(sums: np.ndarray) -> np.ndarray:
     return np.array([math.floor(1000 * math.log((b + 1) * (s + buckets) / ((a + 1) * (t + buckets)))) for a, b in sums.T.tolist()], np.int64)
 
 
-def chunked(docs: DataFrame, target: DataFrame) -> RDD:
-    """(whether it is of the target, packed texts) of both tables in chunks.  As an RDD, so that one Python worker
-    encodes texts and makes requests of them."""
-
-    def encode(rows: Iterable) -> Iterator[tuple]:
-        held, size, goal = [], 0, False
-
-        def flush() -> tuple:
-            return goal, packed(([i for i, _ in held], *encoded([t for _, t in held])))
+def chunking(most: int):
+    """A function from rows (doc_id, text, whether it is of the target) to chunks of ``most`` bytes: whether it is of the
+    target, ids, texts.  It refers to nothing of this module, so a worker that only gathers loads no library."""
 
+    def chunks(rows):
+        ids, texts, size, goal = [], [], 0, False
         for i, text, is_target in rows:
             data = (text or "").encode("utf-8", "surrogatepass")
-            if held and (is_target != goal or size + len(data) > CHUNK):
-                yield flush()
-                held, size = [], 0
+            if ids and (is_target != goal or size + len(data) > most):
+                yield goal, ids, texts
+                ids, texts, size = [], [], 0
             goal = is_target
-            held.append((i, data))
+            ids.append(i)
+            texts.append(data)
             size += len(data) + 16
-        if held:
-            yield flush()
-        given_back()
+        if ids:
+            yield goal, ids, texts
+
+    return chunks
+
+
+def _rows(docs: DataFrame, target: DataFrame, empty: int = 0) -> RDD:
+    """doc_id, text and whether it is of the target of both tables, then so many empty partitions.  As an RDD, so that one
+    Python worker encodes texts and makes requests of them."""
 
     def rows(df: DataFrame, goal: bool) -> DataFrame:
         i = F.col("doc_id").cast("long") if not goal else F.lit(None).cast("long")
         return df.select(i.alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(goal).alias("target"))
 
-    return rows(docs, False).unionByName(rows(target, True)).rdd.mapPartitions(encode)
+    both = rows(docs, False).unionByName(rows(target, True))
+    if empty:
+        none = docs.sparkSession.range(0, empty, 1, empty).where("id < 0")
+        both = both.unionByName(none.select(F.col("id").alias("doc_id"), F.lit("").alias("text"), F.lit(False).alias("target")))
+    return both.rdd
 
 
 def _as_table(df: DataFrame) -> DataFrame:
@@ -250,11 +265,14 @@ def weighed(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFr
     size = sum(df.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0] for df in (docs, target))
     # A word and the space behind it take some six bytes and make three features.
     parts = max(partitions(spark), -(-size // (2 * PART)))
-    source = chunked(docs, target)
+    source, chunks = _rows(docs, target), chunking(CHUNK)
     n, n_sums = max(source.getNumPartitions(), 1), min(SUMS, parts)
 
     def requests(pid: int, rows: Iterable) -> Iterator[tuple]:
-        for k, (goal, blob) in enumerate(rows):
+        large_ones_mapped()
+        for k, (goal, ids, texts) in enumerate(chunks(rows)):
+            blob = packed((ids, *encoded(texts)))
+            texts.clear()
             chunk, check = Chunk(blob, parts), crc32(blob)
             for p in range(parts):
                 if (sent := chunk.request(p)) is not None:
@@ -264,6 +282,7 @@ def weighed(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFr
 
     def replies(part: int, rows: Iterable) -> Iterator[tuple]:
         """To each chunk's partition its buckets; to those behind, the sums."""
+        large_ones_mapped()
         small, sums = np.min_scalar_type(buckets), np.zeros((2, buckets), np.int64)
         for (pid, k, p, check), goal, counts, bucket in merged(rows, buckets):
             np.add.at(sums[int(goal)], bucket, counts)
@@ -277,10 +296,19 @@ def weighed(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFr
     all_sums = told.mapPartitionsWithIndex(lambda pid, rows: (x for _, x in rows) if pid >= n else iter(()))
     gains = sc.broadcast(bucket_gains(all_sums.treeAggregate(np.zeros((2, buckets), np.int64), np.add, np.add)))
 
-    def gathered(rows):  # refers to nothing of this module, so a worker that only gathers loads no library
+    def gathered(rows):
         yield list(rows)
 
+    def held(rows):  # light as well: texts are encoded where the answers are joined
+        import pickle
+        import zlib
+
+        yield [None if goal else zlib.compress(pickle.dumps((ids, texts), 5), 1) for goal, ids, texts in chunks(rows)]
+
     def weigh(pair) -> Iterator[tuple]:
+        import zlib
+
+        large_ones_mapped()
         rows, answers = pair
         by_chunk: dict[int, dict[int, bytes]] = {}
         for _, answer in answers:
@@ -288,22 +316,27 @@ def weighed(docs: DataFrame, target: DataFrame, buckets: int = 10_000) -> DataFr
                 k, p, check, blob = answer
                 by_chunk.setdefault(k, {})[p] = blob
                 by_chunk[k][-1] = check
-        for k, (goal, blob) in enumerate(rows):
-            if not goal:
-                known = by_chunk.get(k, {})
+        answers.clear()
+        for k, kept in enumerate(rows):
+            if kept is not None:
+                ids, texts = pickle.loads(zlib.decompress(kept))
+                rows[k] = kept = None
+                blob = packed((ids, *encoded(texts)))
+                del texts
+                known = by_chunk.pop(k, {})
                 if known.pop(-1, crc32(blob)) != crc32(blob):
                     raise ValueError("the texts of a task came in another order than before")
                 chunk = Chunk(blob, parts)
                 got = chunk.weights({p: unpacked(x) for p, x in known.items()}, gains.value)
-                ids, counts = chunk.ids, chunk.counts.tolist()
-                del chunk
+                counts = chunk.counts.tolist()
+                del chunk, known
                 given_back()
                 for i, words, w in zip(ids, counts, got.tolist()):
                     yield i, words, words + max(words - 1, 0) + max(words - 2, 0), w
 
     # Partitions of both sides in the same number: behind the chunks' there are those of the sums.
     more = told.getNumPartitions() - source.getNumPartitions()
-    rows = source.union(sc.parallelize([], more)).mapPartitions(gathered).zip(told.mapPartitions(gathered)).flatMap(weigh)
+    rows = _rows(docs, target, more).mapPartitions(held).zip(told.mapPartitions(gathered)).flatMap(weigh)
     return written(spark.createDataFrame(rows, "doc_id long, n_words long, n_features long, weight long", verifySchema=False), "weights")
 
 
