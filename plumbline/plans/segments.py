@@ -3,7 +3,7 @@
 Where an interval ends depends on where the one before ended, so no window function can tell.  But from
 any step the end of an interval that would begin there follows from prefix sums alone.  These jumps are composed with
 themselves (pointer doubling), so the beginnings of all intervals are known after as many joins as the number
-of intervals has binary digits.
+of intervals has binary digits.  Both sides grow with the texts, however small their files are, so none is sent to all tasks.
 """
 
 from __future__ import annotations
@@ -45,12 +45,12 @@ def segments(steps: DataFrame, num_intervals: int = 10, flag: int = 2) -> DataFr
         jump = materialised(jumps(rows, num_intervals, flag), "jumps")
         hops = 1
         while hops < num_intervals:
-            there = starts.join(jump, ["key", "step"]).where("to is not null").select("key", F.col("to").alias("step"), (F.col("segment") + hops).alias("segment"))
+            there = starts.join(jump.hint("merge"), ["key", "step"]).where("to is not null").select("key", F.col("to").alias("step"), (F.col("segment") + hops).alias("segment"))
             starts = materialised(starts.unionByName(there), "starts")
             hops *= 2
             if hops < num_intervals:
                 twice = jump.select("key", F.col("step").alias("to"), F.col("to").alias("then"))
-                jump = materialised(jump.join(twice, ["key", "to"]).select("key", "step", F.col("then").alias("to")), "jumps")
+                jump = materialised(jump.join(twice.hint("merge"), ["key", "to"]).select("key", "step", F.col("then").alias("to")), "jumps")
         starts = starts.where(F.col("segment") < num_intervals)
     latest = F.max("segment").over(W.partitionBy("key").orderBy("step"))
-    return rows.join(starts, ["key", "step"], "left").select("key", "step", latest.alias("segment"))
+    return rows.join(starts.hint("merge"), ["key", "step"], "left").select("key", "step", latest.alias("segment"))

@@ -243,3 +243,22 @@ def test_intervals_take_time_in_proportion_to_the_steps(spark):
     row = df.select(ends.alias("e"), F.size(arrays.cumulative_slices(F.col("t"), 10, "\n")).alias("n"), F.size(arrays.interval_slices(F.col("t"), 10, "\n")).alias("two")).first()
     assert row.e == [2000 * i for i in range(1, 11)] and (row.n, row.two) == (10, 2)
     assert time.time() - began < 20
+
+
+def test_segments_send_nothing_to_all_tasks(spark, monkeypatch):
+    """Every join of the plans is by shuffle, though the tables are small here."""
+    from plumbline.plans import segments
+
+    seen = []
+    written = segments.materialised
+
+    def kept(df, label):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(segments, "materialised", kept)
+    rows = spark.range(40).selectExpr("id % 4 as key", "cast(id div 4 as int) as step", "3 as length")
+    out = segments.segments(rows, 10, 1)
+    seen.append(out._jdf.queryExecution().executedPlan().toString())
+    assert out.count() == 40
+    assert not [p for p in seen if "Broadcast" in p] and any("SortMergeJoin" in p for p in seen)
