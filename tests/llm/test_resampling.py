@@ -86,3 +86,25 @@ def test_a_chunk_sends_each_feature_once_and_gets_its_weights_back(texts, parts)
     assert sent == want
     weight = lambda t: sum(k * int(gains[zlib.crc32(f.encode()) % 97]) for f, k in plain_features(t)[1].items())
     assert chunk.weights(buckets, gains).tolist() == [weight(t) for t in texts]
+
+
+def test_requests_are_small():
+    """Words go without their lengths, and counts in as few bytes as they need."""
+    import numpy as np
+
+    from plumbline.llm import resampling as r
+
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 123, int(n)).astype(np.uint8)) for n in rng.integers(1, 12, 2000)]
+    texts = [b" ".join(words[i] for i in rng.zipf(1.3, 400) % 2000) for _ in range(100)] + [b"", "größe 中文".encode()]
+    chunk = r.Chunk(r.packed((list(range(102)), *r.encoded(texts))), 2)
+    sent = [chunk.request(p) for p in range(2)]
+    got = {x: int(n) for s in sent for x, n in zip(*(a.tolist() for a in r.strings_of(s)))}
+    want: dict = {}
+    for t in texts:
+        w = t.split()
+        for f in (b" ".join(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1)):
+            want[f] = want.get(f, 0) + 1
+    assert got == want
+    lengths = [r.strings_out(chunk.words.take(__import__("pyarrow").array(i))) for p in range(2) for i in (chunk.of_part(p)[0], chunk.third[chunk.of_part(p)[2]])]
+    assert sum(map(len, sent)) < 1.6 * len(r.packed(lengths))
